@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id
+from . import decontaminate, language_id, license_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op7_language_id": language_id.op7_language_id,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
