@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan
+from . import decontaminate, language_id, license_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op7_language_id": language_id.op7_language_id,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 
