@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,3 +41,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id long, text binary); other columns, whatever their names, take no part."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
+
+
+def drop_written(df: DataFrame) -> None:
+    """Deletes the files behind a table made by ``written``."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path.startswith(shared_folder(spark)) or shared_folder(spark).split(":", 1)[-1] in path:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
