@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, packing, substring_dedup, toxicity
+from . import decontaminate, language_id, license_scan, packing, substring_dedup, topk_search, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op5_topk_search": topk_search.op5_topk_search,
     "op6_bestfit_packing": packing.op6_bestfit_packing,
     "op7_language_id": language_id.op7_language_id,
     "op9_toxicity": toxicity.op9_toxicity,
@@ -19,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_substring_dedup": substring_dedup.ORACLE,
+    "op5_topk_search": topk_search.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
 }
