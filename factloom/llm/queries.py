@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, line_dedup, packing, substring_dedup, topk_search, toxicity
+from . import decontaminate, language_id, license_scan, line_dedup, ngram_jaccard, packing, substring_dedup, topk_search, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_ngram_jaccard": ngram_jaccard.op4_ngram_jaccard,
     "op5_topk_search": topk_search.op5_topk_search,
     "op6_bestfit_packing": packing.op6_bestfit_packing,
     "op7_language_id": language_id.op7_language_id,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_substring_dedup": substring_dedup.ORACLE,
+    "op4_ngram_jaccard": ngram_jaccard.ORACLE,
     "op5_topk_search": topk_search.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,

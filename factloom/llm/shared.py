@@ -60,3 +60,12 @@ def free_shuffles(spark: SparkSession) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: rows of a few numbers that may be broadcast; beyond it the join is left to a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def join_ids(df: DataFrame, ids: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` joined with a written table of ids; broadcast only if it has been counted to hold at most ``limit`` rows."""
+    return df.join(F.broadcast(ids) if ids.count() <= limit else ids, on, how)
