@@ -23,30 +23,41 @@ from .shared import table, written
 DIVISOR, LEAST_LINES = 3, 2
 
 
-def _chunked(docs: DataFrame) -> DataFrame:
-    """Adds dl_lines and dl_ends, the place of each chunk's last line."""
-    lines = docs.withColumn("dl_lines", F.split("text", "\n", -1))
-    hashed = lines.withColumn("dl_hash", F.expr("transform(dl_lines, x -> cast(conv(substring(md5(cast(x as binary)), 1, 8), 16, 10) as bigint))"))
-    ends = f"filter(sequence(0, size(dl_lines) - 1), i -> i = size(dl_lines) - 1 or (coalesce(get(dl_hash, i - 1), 0) * 31 + dl_hash[i]) % {DIVISOR} = 0)"
-    return hashed.withColumn("dl_ends", F.expr(f"if(dl_lines is null, null, {ends})"))
+def let(name: str, value: str, body: str) -> str:
+    """SQL that evaluates ``value`` once and ``body`` with it; a plain column would be evaluated at each use inside a lambda."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-_START = "if(k = 0, 0, dl_ends[k - 1] + 1)"
-_TEXT = f"array_join(slice(dl_lines, {_START} + 1, e - {_START} + 1), '\\n')"
+def _cut() -> str:
+    """SQL for struct(lines, ends) of ``text``: its lines, and the place of each chunk's last line; null for a null text."""
+    hashes = "transform(lines, x -> cast(conv(substring(md5(cast(x as binary)), 1, 8), 16, 10) as bigint))"
+    ends = f"filter(sequence(0, size(h) - 1), i -> i = size(h) - 1 or (coalesce(get(h, i - 1), 0) * 31 + h[i]) % {DIVISOR} = 0)"
+    return let("lines", "split(text, '\\n', -1)", f"if(lines is null, null, {let('h', hashes, f'named_struct({chr(39)}lines{chr(39)}, lines, {chr(39)}ends{chr(39)}, {ends})')})")
+
+
+def _start(k: str) -> str:
+    return f"if({k} = 0, 0, s.ends[{k} - 1] + 1)"
+
+
+def _lines(k: str) -> str:
+    """SQL for the lines of chunk ``k`` of the cut text ``s``."""
+    return f"slice(s.lines, {_start(k)} + 1, s.ends[{k}] - {_start(k)} + 1)"
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """doc_id, dl_text (hash of the text), k: the chunks to be removed. ``docs``: doc_id, text."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("dl_text"))
-    chunks = _chunked(keyed).withColumn("c", F.expr(f"filter(transform(dl_ends, (e, k) -> named_struct('k', k, 'n', e - {_START} + 1, 'a', xxhash64({_TEXT}), 'b', xxhash64({_TEXT}, 7))), c -> c.n >= {LEAST_LINES})"))
+    chunk = let("t", f"array_join({_lines('k')}, '\\n')", f"named_struct('k', k, 'n', e - {_start('k')} + 1, 'a', xxhash64(t), 'b', xxhash64(t, 7))")
+    found = let("s", _cut(), f"filter(transform(s.ends, (e, k) -> {chunk}), c -> c.n >= {LEAST_LINES})")
+    chunks = keyed.withColumn("c", F.expr(found))
     places = chunks.select("doc_id", "dl_text", F.explode("c").alias("c")).select("doc_id", "dl_text", "c.k", "c.a", "c.b")
     places = written(places.distinct(), "chunks")
     first = places.groupBy("a", "b").agg(F.min(F.struct("doc_id", "dl_text", "k")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     again = places.join(first, ["a", "b"])
     is_first = F.col("first") == F.struct("doc_id", "dl_text", "k")
     wanted = again.groupBy("doc_id", "dl_text").agg(F.collect_list(F.struct("k", "a", "b", is_first.alias("first"))).alias("wanted"))
-    texts = _chunked(keyed.join(wanted, ["doc_id", "dl_text"]))
-    cut = F.expr(f"transform(wanted, w -> named_struct('w', w, 'bytes', array_join(slice(dl_lines, if(w.k = 0, 0, dl_ends[w.k - 1] + 1) + 1, dl_ends[w.k] - if(w.k = 0, 0, dl_ends[w.k - 1] + 1) + 1), '\\n')))")
+    texts = keyed.join(wanted, ["doc_id", "dl_text"])
+    cut = F.expr(let("s", _cut(), f"transform(wanted, w -> named_struct('w', w, 'bytes', array_join({_lines('w.k')}, '\\n')))"))
     bytes_ = written(texts.select("doc_id", "dl_text", F.explode(cut).alias("x")).select("doc_id", "dl_text", "x.w.*", "x.bytes"), "bytes")
     kept = bytes_.filter("first").select("a", "b", F.col("bytes").alias("first_bytes")).dropDuplicates(["a", "b"])
     same = bytes_.filter("not first").join(kept, ["a", "b"]).filter("bytes = first_bytes")
@@ -57,15 +68,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated chunks taken out of ``text``, and dl_n_lines, dl_n_removed, dl_n_chunks_removed."""
     removed = repeated_chunks(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))).groupBy("doc_id", "dl_text").agg(F.collect_set("k").alias("dl_gone"))
     keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn("dl_text", F.xxhash64("text"))
-    both = _chunked(keyed.join(removed, ["doc_id", "dl_text"], "left"))
-    stay = both.withColumn("dl_stay", F.expr("if(dl_gone is null, null, array_except(sequence(0, size(dl_ends) - 1), dl_gone))"))
-    left = stay.withColumn("dl_left", F.expr("flatten(transform(dl_stay, k -> slice(dl_lines, if(k = 0, 0, dl_ends[k - 1] + 1) + 1, dl_ends[k] - if(k = 0, 0, dl_ends[k - 1] + 1) + 1)))"))
-    out = left.withColumn("text", F.expr("if(dl_gone is null, text, array_join(dl_left, '\\n'))"))
-    lines = F.expr("cast(coalesce(size(dl_lines), 0) as bigint)")
-    n = F.when(F.col("dl_lines").isNull(), 0).otherwise(lines).cast("long")
-    gone = F.when(F.col("dl_gone").isNull(), 0).otherwise(F.size("dl_lines") - F.size("dl_left")).cast("long")
+    both = keyed.join(removed, ["doc_id", "dl_text"], "left")
+    stay = f"flatten(transform(array_except(sequence(0, size(s.ends) - 1), dl_gone), k -> {_lines('k')}))"
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long")
+    left = both.withColumn("dl_n_lines", lines).withColumn("dl_left", F.expr(f"if(dl_gone is null, null, {let('s', _cut(), stay)})"))
+    text = F.expr("if(dl_gone is null, text, array_join(dl_left, '\n'))").alias("text")
+    gone = F.when(F.col("dl_gone").isNull(), 0).otherwise(F.col("dl_n_lines") - F.size("dl_left")).cast("long")
     parts = F.when(F.col("dl_gone").isNull(), 0).otherwise(F.size("dl_gone")).cast("long")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], n.alias("dl_n_lines"), gone.alias("dl_n_removed"), parts.alias("dl_n_chunks_removed"))
+    return left.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns], "dl_n_lines", gone.alias("dl_n_removed"), parts.alias("dl_n_chunks_removed"))
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
