@@ -53,6 +53,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     places = chunks.select("doc_id", "dl_text", F.explode("c").alias("c")).select("doc_id", "dl_text", "c.k", "c.a", "c.b")
     places = written(places.distinct(), "chunks")
     first = places.groupBy("a", "b").agg(F.min(F.struct("doc_id", "dl_text", "k")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = written(first, "repeated")  # so both sides of the join are exchanges, which adaptive execution can split
     again = places.join(first, ["a", "b"])
     is_first = F.col("first") == F.struct("doc_id", "dl_text", "k")
     wanted = again.groupBy("doc_id", "dl_text").agg(F.collect_list(F.struct("k", "a", "b", is_first.alias("first"))).alias("wanted"))

@@ -12,7 +12,7 @@ is at most the sum over the groups of the smaller count; groups are nested, so p
 3. Every member of a cell is paired with the cell's smallest document; pairs are bounded by their points, and survivors
    verified on whole sets.  Their connected components absorb cliques of copies without pairing all their members.
 4. Cells that still hold several components go to R-trees: leaves of near points, each with the largest count per group
-   and the least size.  Pairs of leaves, then of points, of different components survive if the summed minima allow a
+   and the least size; cells of ``LARGE`` rows or more use fine points.  Pairs of leaves, then of points, of different components survive if the summed minima allow a
    link; cells above ``CELL`` rows are cut into pairs of parts.  Survivors are bounded by fine points and verified.
 
 No cell is gathered whole, no partner or candidate is dropped, and no link between different components is lost.
@@ -33,7 +33,9 @@ from .shared import arrow_rows, drop_written, free_shuffles, id_and_text, join_i
 from .textwords import SPACE_WORDS, Words, chunks, mix
 
 SHINGLE, NUM, DEN = 5, 80, 100
-COARSE, CELL, LEAF, COMMON = 32, 1024, 16, 1 << 16
+COARSE, CELL, LEAF, COMMON = 32, 512, 16, 1 << 16
+#: cells of this many rows are searched with fine points, as their coarse ones are much alike.
+LARGE = 64
 #: shingles looked at together when common ones are counted
 FLUSH = 4 << 20
 _BIG = np.uint64(1 << 40)
@@ -83,23 +85,23 @@ def common_shingles(src: DataFrame, most: int = COMMON) -> np.ndarray:
 
 
 def fine_groups(n: np.ndarray) -> np.ndarray:
-    """Bits of a point: groups hold 4 to 8 shingles on average, and there are ``COARSE`` at least."""
-    return np.maximum(int(np.log2(COARSE)), np.ceil(np.log2(np.maximum(n, 1) / 8)).astype(np.int64))
+    """Bits of a point: groups hold one or two shingles on average, and there are ``COARSE`` at least."""
+    return np.maximum(int(np.log2(COARSE)), np.ceil(np.log2(np.maximum(n, 1) / 2)).astype(np.int64))
 
 
 def points(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """Counts per group of each document; 65535 stands for that many or more."""
+    """Counts per group of each document; 255 stands for that many or more."""
     bits = fine_groups(n)
     at = np.concatenate((np.zeros(1, np.int64), np.cumsum(1 << bits)))
     where = at[doc] + (h >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64)
-    counts = np.minimum(np.bincount(where, minlength=int(at[-1])), 65535).astype(np.uint16)
+    counts = np.minimum(np.bincount(where, minlength=int(at[-1])), 255).astype(np.uint8)
     return [counts[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def fold(point: np.ndarray, groups: int) -> np.ndarray:
     """A point in fewer groups, as upper bounds of the counts."""
-    wide = np.where(point == 65535, _BIG, point.astype(np.uint64)).astype(np.int64)
-    return wide.reshape(groups, -1).sum(axis=1)
+    wide = np.where(point == np.iinfo(point.dtype).max, _BIG, point.astype(np.uint64)).astype(np.int64)
+    return wide.reshape(*point.shape[:-1], groups, -1).sum(axis=-1)
 
 
 def _describe(common: np.ndarray):
@@ -143,7 +145,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in batches:
         keep = []
         for n, m, x, y in zip(*(t.column(c).to_pylist() for c in ("nx", "ny", "fx", "fy")), strict=True):
-            x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
             groups = min(len(x), len(y))
             keep.append(bool(enough(np.minimum(fold(x, groups), fold(y, groups)).sum(), n, m)))
         yield t.filter(pa.array(keep, pa.bool_())).select(["x", "y"])
@@ -168,9 +170,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(src: DataFrame, described: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (x, y) that link: bounded by their fine points first, then verified on whole sets. Written."""
-    point = described.select("doc_id", "n", "fine")
-    near = pairs.join(point.toDF("x", "nx", "fx"), "x").join(point.toDF("y", "ny", "fy"), "y").filter(f"{DEN} * least(nx, ny) >= {NUM} * greatest(nx, ny)")
-    near = written(near.mapInArrow(_bounded, "x long, y long"), "bounded")
+    n, fine = described.select("doc_id", "n"), described.select("doc_id", "fine")
+    close = pairs.join(n.toDF("x", "nx"), "x").join(n.toDF("y", "ny"), "y").filter(f"{DEN} * least(nx, ny) >= {NUM} * greatest(nx, ny)")
+    close = written(close.select("x", "y", "nx", "ny"), "close")
+    left = join_ids(fine.toDF("x", "fx"), close, ["x"], "inner")
+    right = join_ids(fine.toDF("y", "fy"), close.select("x", "y"), ["y"], "inner")
+    near = written(left.join(right, ["x", "y"]).mapInArrow(_bounded, "x long, y long"), "bounded")
     ids = written(near.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "ids")
     sets = written(join_ids(src, ids, ["doc_id"], "left_semi").mapInArrow(_sets, "doc_id long, s binary"), "sets")
     both = near.join(sets.toDF("x", "sx"), "x").join(sets.toDF("y", "sy"), "y")
@@ -179,8 +184,8 @@ def links(src: DataFrame, described: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
-def tree_pairs(doc: np.ndarray, part: np.ndarray, comp: np.ndarray, n: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of one cell's pairs of different components (and parts, if there are two) that may link, by its R-tree."""
+def tree_pairs(doc: np.ndarray, part: np.ndarray, comp: np.ndarray, n: np.ndarray, point: np.ndarray, done: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of one cell's pairs of different components (and parts, if there are two) that may link, by its R-tree; pairs of two ``done`` rows are left out."""
     order = np.lexsort((doc, n, comp))
     leaf = [order[a : a + LEAF] for a in range(0, len(order), LEAF)]
     top = np.stack([point[x].max(axis=0) for x in leaf])
@@ -195,16 +200,32 @@ def tree_pairs(doc: np.ndarray, part: np.ndarray, comp: np.ndarray, n: np.ndarra
             y = leaf[b]
             if comp[x[0]] == comp[y[-1]] and comp[x[0]] == comp[x[-1]] and comp[y[0]] == comp[y[-1]]:
                 continue
-            ok = (comp[x][:, None] != comp[y]) & enough(np.minimum(point[x][:, None], point[y]).sum(axis=2), n[x][:, None], n[y])
+            ok = (comp[x][:, None] != comp[y]) & ~(done[x][:, None] & done[y]) & (DEN * np.minimum(n[x][:, None], n[y]) >= NUM * np.maximum(n[x][:, None], n[y]))
             if two:
                 ok &= part[x][:, None] != part[y]
-            i, j = np.nonzero(ok)
-            left.append(x[i])
-            right.append(y[j])
+            if ok.any():
+                ok &= enough(np.minimum(point[x][:, None], point[y]).sum(axis=2), n[x][:, None], n[y])
+                i, j = np.nonzero(ok)
+                left.append(x[i])
+                right.append(y[j])
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def cell_pairs(doc: np.ndarray, part: np.ndarray, comp: np.ndarray, n: np.ndarray, points: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a cell whose points differ in size: documents that may link have equal sizes or one twice the other."""
+    size = np.array([len(x) for x in points])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for groups in np.unique(size).tolist():
+        own = np.flatnonzero((size == groups) | (size == 2 * groups))
+        if len(own) > 1:
+            point = np.stack([fold(np.frombuffer(points[k], np.uint8), groups) for k in own.tolist()])
+            x, y = tree_pairs(doc[own], part[own], comp[own], n[own], point, size[own] != groups)
+            left.append(own[x])
+            right.append(own[y])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by cell -> candidate pairs. Cells may run over the ends of batches."""
     held: pa.Table | None = None
@@ -213,18 +234,24 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not t.num_rows:
             return
         h, i, j, part, doc, comp, n = (t.column(c).to_numpy() for c in ("h", "i", "j", "part", "doc_id", "comp", "n"))
-        raw = np.frombuffer(b"".join(t.column("coarse").to_pylist()), np.uint16).reshape(-1, COARSE)
-        point = np.where(raw == 65535, np.int64(1 << 40), raw.astype(np.int64))
+        raw = t.column("point").to_pylist()
+        large = t.column("large").to_numpy()
+        coarse = np.frombuffer(b"".join(b"\0" * 2 * COARSE if f else x for x, f in zip(raw, large.tolist(), strict=True)), np.uint16).reshape(-1, COARSE)
+        point = fold(coarse, COARSE)
         new = np.concatenate((np.ones(1, bool), (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(h)))
-        a = start[size == 2]
+        small = (size == 2) & ~large[start]
+        a = start[small]
         b = a + 1
-        ok = (comp[a] != comp[b]) & enough(np.minimum(point[a], point[b]).sum(axis=1), n[a], n[b])
+        ok = (comp[a] != comp[b]) & (DEN * np.minimum(n[a], n[b]) >= NUM * np.maximum(n[a], n[b])) & enough(np.minimum(point[a], point[b]).sum(axis=1), n[a], n[b])
         left, right = [a[ok]], [b[ok]]
-        for s, k in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        for s, k in zip(start[~small].tolist(), size[~small].tolist(), strict=True):
             own = slice(s, s + k)
-            x, y = tree_pairs(doc[own], part[own], comp[own], n[own], point[own])
+            if large[s]:
+                x, y = cell_pairs(doc[own], part[own], comp[own], n[own], raw[own])
+            else:
+                x, y = tree_pairs(doc[own], part[own], comp[own], n[own], point[own], np.zeros(k, bool))
             left.append(x + s)
             right.append(y + s)
         x, y = doc[np.concatenate(left)], doc[np.concatenate(right)]
@@ -248,7 +275,7 @@ def jaccard_components(docs: DataFrame, **columns: str) -> DataFrame:
     spark = docs.sparkSession
     arrow_rows(spark)
     src = id_and_text(docs, **columns)
-    described = written(src.mapInArrow(_describe(common_shingles(src)), DESCRIBED), "described")
+    described = written(src.mapInArrow(_describe(common_shingles(src)), DESCRIBED), "described", scan=True)
 
     kinds = ["n", "d1", "d2"]
     classes = written(described.filter("n > 0").groupBy(*kinds).agg(F.min("doc_id").alias("rep")), "classes")
@@ -262,11 +289,13 @@ def jaccard_components(docs: DataFrame, **columns: str) -> DataFrame:
     star = links(src, described, rows.filter("doc_id <> leader").select(F.col("doc_id").alias("x"), F.col("leader").alias("y")).distinct())
     label = connected_components(star.toDF("a", "b"))
 
-    known = rows.select("h", "doc_id").join(label.toDF("doc_id", "label"), "doc_id", "left").select("h", "doc_id", F.coalesce("label", "doc_id").alias("comp"))
+    known = join_ids(rows.select("h", "doc_id"), label.toDF("doc_id", "label"), ["doc_id"], "left").select("h", "doc_id", F.coalesce("label", "doc_id").alias("comp"))
     known = written(known, "known")
-    mixed = written(known.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).filter("a < b").select("h", F.ceil(F.col("m") / CELL).cast("int").alias("parts")), "mixed")
-    open_ = known.join(mixed, "h").join(described.select("doc_id", "n", "coarse"), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    spread = open_.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("h", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "doc_id", "comp", "n", "coarse")
+    mixed = written(known.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).filter("a < b").select("h", (F.col("m") >= LARGE).alias("large"), F.ceil(F.col("m") / CELL).cast("int").alias("parts")), "mixed")
+    point = F.when(F.col("large"), F.col("fine")).otherwise(F.col("coarse")).alias("point")
+    open_ = known.join(mixed, "h").join(described.select("doc_id", "n", "coarse", "fine"), "doc_id").select("h", "doc_id", "comp", "n", "large", "parts", point)
+    open_ = open_.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    spread = open_.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("h", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "doc_id", "comp", "n", "large", "point")
     found = spread.repartition(partitions(spark), "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_search, "x long, y long").distinct()
     more = links(src, described, found)
     free_shuffles(spark)

@@ -279,7 +279,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Dat
     """Pieces with sequence_id and offset; sequences hold at most ``capacity`` ids."""
     arrow_rows(pieces.sparkSession)
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    pieces = written(pieces.select(*cols).withColumn("slot", F.monotonically_increasing_id()), "pieces")
+    pieces = written(pieces.select(*cols).withColumn("slot", F.monotonically_increasing_id()), "pieces", scan=True)
     full = pieces.filter(F.col("length") >= capacity).select(*cols, (F.col("slot") * 4).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.filter(F.col("length") < capacity)
     blocks = max(1, -(-rest.count() // block))

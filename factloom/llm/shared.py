@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 512
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; in a session without it (tests), a temporary one, set there."""
+    """The folder in ``spark.checkpoint.dir``; in a session without it (as in tests on one machine), a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _OWN.setdefault(app, _OWN.get(app) or tempfile.mkdtemp(prefix="factloom-"))
     return folder.rstrip("/")
 
 
@@ -26,11 +29,18 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, and survives the loss of any executor."""
+#: write tasks for each core of the cluster; tables made by shuffles are written by no more tasks than this.
+WRITERS = 4
+
+
+def written(df: DataFrame, what: str, scan: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts the lineage, and survives the loss of any executor.
+
+    ``scan``: it comes straight from an input, or is sorted across its parts, and is written by its own tasks.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if scan else df.coalesce(WRITERS * spark.sparkContext.defaultParallelism)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

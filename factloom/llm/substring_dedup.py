@@ -2,7 +2,7 @@
 
 A window is ``WINDOW`` consecutive words of one document.  Of each window the fingerprint is its smallest ``GRAM``-word
 hash, so equal windows have equal fingerprints and neighbouring windows mostly share one: a document has about one
-fingerprint in 22 words.  The index keeps them as immutable runs of (hash, batch, doc_id, place), sorted by hash; each
+fingerprint in 22 words.  The index keeps them as immutable runs of (hash, batch, doc_id), sorted by hash; each
 new batch is written as one more run, and runs are compacted into one when there are more than ``FANOUT``.
 
 Adding a batch merge-joins its run with the historical runs on the hash.  Fingerprints of one document only are done
@@ -55,32 +55,34 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in chunks(batches):
         w = Words(texts, SPACE_WORDS, False)
         _, place, h = fingerprints(w)
-        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(place)), bool), place[1:] != place[:-1])))
-        place, h = place[new], h[new]
         doc = np.searchsorted(w.first, place, side="right") - 1
+        order = np.lexsort((h, doc))  # each fingerprint once a document
+        doc, h = doc[order], h[order]
+        new = np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
+        doc, h = doc[new], h[new]
         offsets = pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)), pa.int32())
         digest = [hashlib.sha256(b" ".join((x or b"").split())).digest() for x in texts]
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(w.counts()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array((place - w.first[doc]).astype(np.int32)))],
-            ["doc_id", "n_words", "digest", "hashes", "places"],
+            [part.column("doc_id"), pa.array(w.counts()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))],
+            ["doc_id", "n_words", "digest", "hashes"],
         )
 
 
-DESCRIBED = "doc_id long, n_words long, digest binary, hashes array<long>, places array<int>"
+DESCRIBED = "doc_id long, n_words long, digest binary, hashes array<long>"
 
 
-def _candidates(w: Words, places: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, two hashes) of the windows of one document whose fingerprint stands at one of ``places``."""
-    at, place, _ = fingerprints(w)
-    at = at[np.isin(place, np.array(places, dtype=np.int64))]
+def _candidates(w: Words, shared: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, two hashes) of the windows of one document whose fingerprint is one of ``shared``."""
+    at, _, h = fingerprints(w)
+    at = at[np.isin(h, np.array(shared, dtype=np.int64).view(np.uint64))]
     return at, window_hashes(w.hash, WINDOW)[at], window_hashes(mix(w.hash ^ _SECOND), WINDOW)[at]
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in chunks(batches):
         first, second, row = [], [], []
-        for i, (text, places) in enumerate(zip(texts, part.column("places").to_pylist(), strict=True)):
-            _, a, b = _candidates(Words([text], SPACE_WORDS, False), places)
+        for i, (text, shared) in enumerate(zip(texts, part.column("shared").to_pylist(), strict=True)):
+            _, a, b = _candidates(Words([text], SPACE_WORDS, False), shared)
             a, one = np.unique(a, return_index=True)
             first.append(a)
             second.append(b[one])
@@ -92,9 +94,9 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in chunks(batches):
         digest, n, kept = [], [], []
-        for text, places, owned in zip(texts, part.column("places").to_pylist(), part.column("owned").to_pylist(), strict=True):
+        for text, shared, owned in zip(texts, part.column("shared").to_pylist(), part.column("owned").to_pylist(), strict=True):
             w = Words([text], SPACE_WORDS, False)
-            at, a, _ = _candidates(w, places)
+            at, a, _ = _candidates(w, shared)
             at = at[~np.isin(a, np.array(owned or [], dtype=np.int64).view(np.uint64))]
             edge = np.zeros(len(w) + 1, dtype=np.int64)
             np.add.at(edge, at, 1)
@@ -122,7 +124,7 @@ class FingerprintIndex:
         self.batch += 1
         now = F.lit(self.batch)
         src = docs.select("doc_id", "text")
-        described = written(src.mapInArrow(_describe, DESCRIBED), "described")
+        described = written(src.mapInArrow(_describe, DESCRIBED), "described", scan=True)
 
         digests = described.filter(F.col("n_words") >= WINDOW).groupBy("digest").agg(F.min(F.struct(now.alias("batch"), "doc_id")).alias("first"))
         for old in self.digests:
@@ -134,19 +136,19 @@ class FingerprintIndex:
         earlier = F.col("first") < F.struct(now.alias("batch"), F.col("doc_id"))
         marked = described.join(digests, "digest", "left").withColumn("copy", F.coalesce(earlier, F.lit(False)))
 
-        zipped = F.explode(F.arrays_zip("hashes", "places")).alias("x")
-        run = marked.filter("not copy").select(zipped, "doc_id").select(F.col("x.hashes").alias("h"), now.alias("batch"), "doc_id", F.col("x.places").alias("place"))
-        self.runs.append(written(run.repartitionByRange(partitions(self.spark), "h", "doc_id").sortWithinPartitions("h", "doc_id"), "run"))
+        run = marked.filter("not copy").select(F.explode("hashes").alias("h"), now.alias("batch"), "doc_id")
+        self.runs.append(written(run.repartitionByRange(partitions(self.spark), "h", "doc_id").sortWithinPartitions("h", "doc_id"), "run", scan=True))
         postings = self.runs[0]
         for more in self.runs[1:]:
             postings = postings.unionByName(more)
 
         who = F.struct("batch", "doc_id")
         shared = postings.groupBy("h").agg(F.min(who).alias("a"), F.max(who).alias("b")).filter((F.col("a") < F.col("b")) & (F.col("b.batch") == now)).select("h")
-        places = postings.join(shared, "h").groupBy("doc_id", "batch").agg(F.collect_list("place").alias("places"))
+        shared = written(shared, "shared-hashes")  # so both sides of the join are exchanges, which adaptive execution can split
+        by_doc = postings.join(shared, "h").groupBy("doc_id", "batch").agg(F.collect_set("h").alias("shared"))
         texts = src.withColumn("batch", now)
         self.history = texts if self.history is None else self.history.unionByName(texts)
-        found = written(self.history.join(places, ["doc_id", "batch"]), "shared")
+        found = written(self.history.join(by_doc, ["doc_id", "batch"]), "shared")
 
         owners = found.mapInArrow(_windows, "w1 long, w2 long, batch int, doc_id long").groupBy("w1", "w2").agg(F.min(who).alias("o"))
         owned = owners.filter(F.col("o.batch") == now).groupBy(F.col("o.doc_id").alias("doc_id")).agg(F.collect_list("w1").alias("owned"))
@@ -168,7 +170,7 @@ class FingerprintIndex:
         merged = self.runs[0]
         for more in self.runs[1:]:
             merged = merged.unionByName(more)
-        merged = written(merged.repartitionByRange(partitions(self.spark), "h", "doc_id").sortWithinPartitions("h", "doc_id"), "run")
+        merged = written(merged.repartitionByRange(partitions(self.spark), "h", "doc_id").sortWithinPartitions("h", "doc_id"), "run", scan=True)
         for old in self.runs:
             drop_written(old)
         self.runs = [merged]

@@ -121,8 +121,9 @@ def link_calls(calls: DataFrame, routes: DataFrame) -> DataFrame:
         F.coalesce("cf", F.when(F.col("t") == "external-api", "high").when(F.col("t") == "backend-route", "low").otherwise("medium")).alias("confidence"),
         F.col("t").alias("target_kind"),
     )
-    on = [calls["endpoint"].eqNullSafe(out["endpoint"]), calls["method"].eqNullSafe(out["method"]), calls["client"].eqNullSafe(out["client"])]
-    return calls.join(out, on[0] & on[1] & on[2], "left").select(calls["call_id"], calls["source"], calls["endpoint"], calls["method"], "matched_route", "matched_method", "matched_framework", "match_type", "confidence", "target_kind")
+    out = out.withColumnsRenamed({"endpoint": "_e", "method": "_m", "client": "_c"})
+    on = F.col("endpoint").eqNullSafe(F.col("_e")) & F.col("method").eqNullSafe(F.col("_m")) & F.col("client").eqNullSafe(F.col("_c"))
+    return calls.join(out, on, "left").select("call_id", "source", "endpoint", "method", "matched_route", "matched_method", "matched_framework", "match_type", "confidence", "target_kind")
 
 
 def _static_choices(calls: DataFrame, routes: DataFrame) -> DataFrame:
