@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Readies the session for Arrow functions: their batch size, and where workers on this machine find the package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
 #: write tasks for each core of the cluster; tables made by shuffles are written by no more tasks than this.
