@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, line_dedup, ngram_jaccard, packing, substring_dedup, topk_search, toxicity
+from . import decontaminate, language_id, license_scan, line_dedup, ngram_jaccard, packing, secret_scan, substring_dedup, topk_search, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_ngram_jaccard": ngram_jaccard.op4_ngram_jaccard,
     "op5_topk_search": topk_search.op5_topk_search,
