@@ -18,7 +18,7 @@ from .operators import relate as R
 from .operators.classify import classify, kept_path, language_of, role_of
 from .operators.link import link_calls
 from .operators.ordered import first_wins, numbered, top_n
-from .sources.tables import table
+from .sources.tables import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,7 +142,7 @@ def first_wins_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_wins(e, ["user_id", "event_type"], ["event_id"])
 
 
-@query("last_wins_lookup", "SELECT o.o_orderkey, l.last_part FROM orders o LEFT JOIN (SELECT l_orderkey, arg_max(l_partkey, l_linenumber * 100000000 + l_partkey) AS last_part FROM lineitem GROUP BY 1) l ON l.l_orderkey = o.o_orderkey")
+@query("last_wins_lookup", "SELECT o.o_orderkey, CAST(l.last_part AS BIGINT) AS last_part FROM orders o LEFT JOIN (SELECT l_orderkey, arg_max(l_partkey, l_linenumber * 100000000 + l_partkey) AS last_part FROM lineitem GROUP BY 1) l ON l.l_orderkey = o.o_orderkey")
 def last_wins_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_partkey", F.col("l_linenumber") * 100000000 + F.col("l_partkey")).alias("last_part"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
@@ -294,8 +294,8 @@ _ALL = f"WITH {_CODE}, {_LINES}, {_ROUTES}, {_CALLS}, {_LINKS} "
 
 def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     files = classify(code_files(spark, sf_dir))
-    routes = X.api_routes(files)
-    calls = X.api_calls(files)
+    routes = stored(X.api_routes(files), "routes")
+    calls = stored(X.api_calls(files), "calls")
     keyed = calls.select(F.xxhash64("path", "line").alias("call_id"), F.col("path").alias("source"), "endpoint", "method", "client")
     known = routes.select(F.xxhash64("method", "path").alias("route_id"), "method", "path", "framework", "handler", F.lit(None).cast("string").alias("route_name"))
     return routes, calls, link_calls(keyed, known)

@@ -1,14 +1,21 @@
-"""Facts from source text: files are cut into lines, and a small table of rules is joined to them by language."""
+"""Facts from source text: one scan applies a small table of rules to each file, by its language.
+
+``raw`` in the functions below is a written result of ``extract``, for callers that derive several fact tables from one scan.
+"""
 
 from __future__ import annotations
 
+import re
 import tomllib
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_path
+from ..sources.tables import arrow_ready
 from .ordered import first_wins
 from .rules import MANIFESTS, RULES, Rule
 
@@ -17,45 +24,58 @@ NOISE = ["generated", "sample"]
 SPAN = 4
 
 
-def code_lines(files: DataFrame, skip_roles: list[str] = NOISE) -> DataFrame:
-    """path, language, role, line, text, block (the line and the three after it)."""
-    src = files.filter(~F.col("role").isin(*skip_roles) & F.col("content").isNotNull())
-    cut = src.select("path", "language", "role", F.split("content", "\r?\n").alias("ls"))
-    return cut.select("path", "language", "role", F.posexplode(F.transform("ls", lambda x, i: F.struct(x.alias("text"), F.array_join(F.slice(F.col("ls"), i + 1, SPAN), "\n").alias("block")))).alias("i", "x")).select("path", "language", "role", (F.col("i") + 1).alias("line"), "x.text", "x.block")
+RULE_ROWS = "path string, language string, role string, line int, rule int, nth int, family string, label string, verb string, subject string, detail string"
 
 
-def rule_table(spark, rules: list[Rule]) -> DataFrame:
-    """The rules as rows, one for each language they read; a few hundred at most."""
-    rows = []
+def compiled(rules: list[Rule]) -> dict[str, list[tuple]]:
+    """By language: (number, rule, pattern over the whole text, pattern over a line and the lines after it)."""
+    by: dict[str, list[tuple]] = {}
     for n, r in enumerate(rules):
-        verb = (r.verb, "") if isinstance(r.verb, int) else (0, r.verb)
-        pattern = rf"\A[^\n]*?(?:{r.pattern})" if r.span > 1 and not r.pattern.startswith("^") else r.pattern.replace("^", r"\A", 1) if r.span > 1 else r.pattern
-        rows += [(n, r.family, r.label, lang, pattern, *verb, r.subject, r.detail, r.span) for lang in r.languages.split()]
-    return spark.createDataFrame(rows, "rule int, family string, label string, language string, pattern string, verb_group int, verb string, subject_group int, detail_group int, span int")
-
-
-def extract(files: DataFrame, families: list[str] | None = None, rules: list[Rule] | None = None) -> DataFrame:
+        flags = re.ASCII | (re.IGNORECASE if r.pattern.startswith("(?i)") else 0)
+        pattern = r.pattern.removeprefix("(?i)")
+        whole = re.compile(pattern, flags | re.MULTILINE)
+        if r.span > 1:
+            pattern = pattern.replace("^", r"\A", 1) if pattern.startswith("^") else rf"\A[^\n]*?(?:{pattern})"
+        one = re.compile(pattern, flags)
+        for lang in r.languages.split():
+            by.setdefault(lang, []).append((n, r, whole, one))
+    return by
+
+
+def matches(content: str, rules: list[tuple]) -> Iterator[tuple]:
+    """(line, rule number, nth match in the line, family, label, verb, subject, detail) in one file; empty groups are None."""
+    lines = None
+    for n, r, whole, one in rules:
+        if not whole.search(content):
+            continue
+        lines = lines if lines is not None else re.split("\r?\n", content)
+        for i, text in enumerate(lines):
+            for k, m in enumerate(one.finditer("\n".join(lines[i : i + SPAN]) if r.span > 1 else text)):
+                verb = (m[r.verb] if r.verb else None) if isinstance(r.verb, int) else r.verb
+                yield i + 1, n, k, r.family, r.label, verb or None, (m[r.subject] if r.subject else None) or None, (m[r.detail] if r.detail else None) or None
+
+
+def extract(files: DataFrame, families: list[str] | None = None, rules: list[Rule] | None = None, skip_roles: list[str] = NOISE) -> DataFrame:
     """path, language, role, line, rule, nth, family, label, verb, subject, detail of every match of the rules, empty groups as null.
 
-    One pass over the lines whatever the number of families; the rules are broadcast (a fixed table).
+    One scan of the files whatever the number of families, and nothing shuffled; each pattern is compiled once a task, and
+    a file is cut into lines only where a pattern occurs in it.
     """
-    wanted = [r for r in (rules or RULES) if not families or r.family in families]
-    table = F.broadcast(rule_table(files.sparkSession, wanted))
-    both = code_lines(files).join(table, "language")
-    subject = F.when(F.col("span") > 1, F.col("block")).otherwise(F.col("text"))
-    hits = both.withColumn("s", subject).filter("s rlike pattern")
-
-    def group(which: str) -> Column:
-        return F.expr(f"regexp_extract_all(s, pattern, {which})")
+    wanted = compiled([r for r in (rules or RULES) if not families or r.family in families])
 
-    zipped = F.arrays_zip(group("verb_group").alias("v"), group("subject_group").alias("x"), group("detail_group").alias("d"))
-    rows = hits.withColumn("m", zipped).select("path", "language", "role", "line", "rule", "family", "label", "verb_group", "verb", "subject_group", "detail_group", F.posexplode("m").alias("nth", "m"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [
+                (path, language, role, *m)
+                for path, language, role, content in zip(*(b.column(c).to_pylist() for c in ("path", "language", "role", "content")), strict=True)
+                if language in wanted
+                for m in matches(content, wanted[language])
+            ]
+            kinds = [pa.string()] * 3 + [pa.int32()] * 3 + [pa.string()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split()[0] for x in RULE_ROWS.split(", ")])
 
-    def value(text: Column, used: Column) -> Column:
-        return F.when(used & (text != ""), text)
-
-    verb = F.coalesce(value(F.col("m.v"), F.col("verb_group") > 0), F.when(F.col("verb") != "", F.col("verb")))
-    return rows.select("path", "language", "role", "line", "rule", "nth", "family", "label", verb.alias("verb"), value(F.col("m.x"), F.col("subject_group") > 0).alias("subject"), value(F.col("m.d"), F.col("detail_group") > 0).alias("detail"))
+    src = files.filter(~F.col("role").isin(*skip_roles) & F.col("content").isNotNull()).select("path", "language", "role", "content")
+    return arrow_ready(src).mapInArrow(run, RULE_ROWS)
 
 
 def evidence(kind: Column | str) -> Column:
@@ -66,9 +86,13 @@ def evidence(kind: Column | str) -> Column:
 _ORDER = ["path", "line", "rule", "nth"]
 
 
-def api_routes(files: DataFrame) -> DataFrame:
+def _of(files: DataFrame, family: str, raw: DataFrame | None) -> DataFrame:
+    return extract(files, [family]) if raw is None else raw.filter(F.col("family") == family)
+
+
+def api_routes(files: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """method, path, handler, framework, kind, evidence; class-level prefixes joined on; first of (method, path, framework, handler) wins."""
-    raw = extract(files, ["route"]).filter("role <> 'test'")
+    raw = _of(files, "route", raw).filter("role <> 'test'")
     # a class-level prefix applies to the routes below it in its file
     prefix_rx = [("spring", r"@RequestMapping\(\s*(?:(?:value|path)\s*=\s*)?\"([^\"]*)\"\s*\)"), ("nestjs", r"@Controller\(\s*[\"'`]([^\"'`]*)[\"'`]"), ("aspnetcore", r"\[Route\(\s*\"([^\"]*)\"")]
     prefix = F.coalesce(*[F.when((F.regexp_extract("content", rx, 1) != ""), F.struct(F.lit(fw).alias("label"), F.regexp_extract("content", rx, 1).alias("class_prefix"))) for fw, rx in prefix_rx])
@@ -80,23 +104,23 @@ def api_routes(files: DataFrame) -> DataFrame:
     return first_wins(routes, ["method", "path_", "framework", "handler"], _ORDER).select("method", F.col("path_").alias("path"), "handler", "framework", "kind", "class_prefix", "evidence")
 
 
-def api_calls(files: DataFrame) -> DataFrame:
+def api_calls(files: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """path, endpoint, method, client, line, evidence; first of (path, method, endpoint, line) wins."""
-    raw = extract(files, ["call"]).filter("role <> 'test' and subject is not null")
+    raw = _of(files, "call", raw).filter("role <> 'test' and subject is not null")
     calls = raw.select("path", F.col("subject").alias("endpoint"), F.upper(F.coalesce("verb", F.when(F.col("label") == "fetch", "GET"))).alias("method"), F.col("label").alias("client"), evidence("api-call").alias("evidence"), "line", "rule", "nth")
     return first_wins(calls, ["path", "method", "endpoint", "line"], _ORDER).drop("rule", "nth")
 
 
-def named(files: DataFrame, family: str, out: str = "name") -> DataFrame:
+def named(files: DataFrame, family: str, out: str = "name", raw: DataFrame | None = None) -> DataFrame:
     """path, kind, name, detail, line, evidence of a family whose subject is a name; first of (path, kind, name, line) wins."""
-    raw = extract(files, [family]).filter("subject is not null")
+    raw = _of(files, family, raw).filter("subject is not null")
     rows = raw.select("path", F.col("label").alias("kind"), F.col("subject").alias(out), "verb", "detail", evidence(F.lit(family)).alias("evidence"), "line", "rule", "nth")
     return first_wins(rows, ["path", "kind", out, "line"], _ORDER).drop("rule", "nth")
 
 
-def dependencies(files: DataFrame) -> DataFrame:
+def dependencies(files: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """name, source, scope, path of every declared dependency, from text manifests, package.json, composer.json, pyproject, Cargo and pom files."""
-    text = extract(files, ["dependency"]).filter("subject is not null and role not in ('test')")
+    text = _of(files, "dependency", raw).filter("subject is not null and role not in ('test')")
     allowed = F.coalesce(*[F.when(F.col("label") == k, F.col("path").rlike(rx)) for k, rx in MANIFESTS.items()])
     plain = text.filter(allowed).select(F.col("subject").alias("name"), F.col("label").alias("source"), F.when(F.col("label") == "gradle", "gradle").otherwise(F.col("verb")).alias("scope"), "path")
     usable = files.filter(~F.col("role").isin("generated", "test", "sample") & F.col("content").isNotNull())

@@ -10,6 +10,7 @@ from ..operators import pages as P
 from ..operators import relate as R
 from ..operators.link import link_calls
 from ..operators.ordered import first_wins
+from ..sources.tables import stored
 
 #: (kind, path pattern, content pattern, command) of entrypoints (fixed values)
 ENTRYPOINTS = [
@@ -31,40 +32,44 @@ def entrypoints(files: DataFrame) -> DataFrame:
     return code.unionByName(manifest.select("path", F.explode(F.map_keys(bin_)).alias("command")).select("path", F.lit("node-bin").alias("kind"), "command"))
 
 
-def commands(files: DataFrame) -> DataFrame:
+def commands(files: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """path, name, description: commands defined in code, and scripts of package.json."""
-    code = X.named(files, "command").select("path", "name", F.col("detail").alias("description"))
+    code = X.named(files, "command", raw=raw).select("path", "name", F.col("detail").alias("description"))
     manifest = files.filter(F.col("path").rlike(r"(^|/)package\.json$") & ~F.col("role").isin("test", "sample", "generated"))
     scripts = F.from_json(F.get_json_object("content", "$.scripts"), "map<string,string>")
     return first_wins(code.unionByName(manifest.select("path", F.explode(scripts).alias("name", "description"))), ["path", "name"], ["description"])
 
 
 def project_facts(files: DataFrame) -> dict[str, DataFrame]:
-    """Every fact table of a classified corpus (see ``classify``), lazily; the order of producers doesn't matter."""
+    """Every fact table of a classified corpus (see ``classify``), lazily; the order of producers doesn't matter.
+
+    The rules scan the files once; their matches, and the tables that many others read, are stored.
+    """
+    raw = stored(X.extract(files), "matches")
     f: dict[str, DataFrame] = {"files": files.drop("content")}
     f["languages"] = files.groupBy("language").agg(F.count("*").alias("n"))
-    f["dependencies"], f["imports"], f["symbols"] = X.dependencies(files), X.named(files, "import"), X.named(files, "symbol")
+    f["dependencies"], f["imports"], f["symbols"] = stored(X.dependencies(files, raw), "dependencies"), X.named(files, "import", raw=raw), X.named(files, "symbol", raw=raw)
     f["frameworks"] = X.frameworks(f["dependencies"], f["imports"])
-    f["entrypoints"], f["commands"] = entrypoints(files), commands(files)
-    f["routes"], f["calls"] = X.api_routes(files), X.api_calls(files)
+    f["entrypoints"], f["commands"] = stored(entrypoints(files), "entrypoints"), commands(files, raw)
+    f["routes"], f["calls"] = stored(X.api_routes(files, raw), "routes"), stored(X.api_calls(files, raw), "calls")
     for name, family in (("components", "component"), ("states", "state"), ("frontend_routes", "frontend-route"), ("models", "data-model"), ("repositories", "repository"), ("services", "service"), ("data_layer", "data-layer"), ("runtime", "runtime"), ("servlets", "servlet")):
-        f[name] = X.named(files, family)
+        f[name] = X.named(files, family, raw=raw)
     f["forms"], f["assets"], f["styles"] = P.form_facts(files), P.asset_facts(files), P.style_facts(files)
     calls = f["calls"].select(F.xxhash64("path", "line", "endpoint", "method").alias("call_id"), F.col("path").alias("source"), "endpoint", "method", "client")
     routes = f["routes"].select(F.xxhash64("method", "path", "framework", "handler").alias("route_id"), "method", "path", "framework", "handler", F.lit(None).cast("string").alias("route_name"))
-    f["links"] = link_calls(calls, routes)
+    f["links"] = stored(link_calls(calls, routes), "links")
     targets = R.union_all([f[k].select(F.lit(kind).alias("kind"), "name", F.lit(o).cast("long").alias("ord")) for o, (k, kind) in enumerate((("components", "component"), ("services", "service"), ("repositories", "repository"), ("models", "data-model"), ("commands", "cli-command")))]).filter("name is not null").distinct()
-    f["test_maps"] = R.test_maps(files, f["routes"], targets)
+    f["test_maps"] = stored(R.test_maps(files, f["routes"], stored(targets, "targets")), "test-maps")
     f["boundaries"], f["issues"] = R.module_boundaries(files), X.parse_issues(files)
     f["surfaces"] = R.surfaces(f["routes"], f["services"], f["models"])
     f["features"] = R.feature_maps(f["links"], f["routes"], f["commands"], f["entrypoints"])
     empty = F.array().cast("array<string>")
     known = f["routes"].select("method", "path", F.lit(0).alias("ord"), F.filter(F.regexp_extract_all("path", F.lit(r"[:{<\[]([A-Za-z_]\w*)"), F.lit(1)), lambda x: x != "").alias("request_hints"), *[empty.alias(c) for c in ("response_hints", "status_codes", "error_hints")])
     f["contracts"] = R.contracts(f["routes"].select("method", "path", "framework"), known)
-    f["contract_gaps"] = R.contract_gaps(f["contracts"], R.unmatched_calls(f["links"]), R.unlinked_routes(f["routes"], f["links"]))
+    f["contract_gaps"] = stored(R.contract_gaps(f["contracts"], R.unmatched_calls(f["links"]), R.unlinked_routes(f["routes"], f["links"])), "contract-gaps")
     f["large_files"] = R.large_files(files)
-    f["quality"] = R.quality(f)
-    f["gaps"] = R.detect_gaps(gap_counts(f))
+    f["quality"] = stored(R.quality(f), "quality")
+    f["gaps"] = stored(R.detect_gaps(gap_counts(f)), "gaps")
     f["claims"] = R.trace_claims(f)
     return f
 

@@ -1,9 +1,34 @@
-"""Reading the Parquet tables of a data folder."""
+"""The tables of a scale folder, and fact tables that are written once and read many times."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def arrow_ready(df: DataFrame) -> DataFrame:
+    """``df``, after workers on this machine have been told where the package is; on a cluster it is installed or shipped."""
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    return df
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written as Parquet in the folder of ``spark.checkpoint.dir`` (a temporary one if that is unset) and read again.
+
+    Tables that several others derive from are computed once, and survive the loss of executors.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="factloom-")
+    _OWN[spark.sparkContext.applicationId] = folder
+    path = f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
