@@ -9,6 +9,10 @@ Chunks are matched by 128 bits of hash with a grouped minimum (partial aggregati
 times moves as a few rows; byte comparison is a join that adaptive execution may split.  All array work is linear in the
 lines of a document.
 
+Boundaries that fall elsewhere in two documents hide most short runs from any one cut.  With ``every`` the chunks are those
+of all cuts at once: each two adjacent lines are one, so every repeated run of two lines or more is found.  A chunk that
+overlaps its own first place is not a repeat.  Each line taken out still stands at an earlier place.
+
 Null texts have no lines and stay null; an empty text is one empty line.  Single-line chunks are never removed.  Rows
 equal in doc_id and text are one document for the order and are all returned alike; other columns pass through.
 """
@@ -44,46 +48,63 @@ def _lines(k: str) -> str:
     return f"slice(s.lines, {_start(k)} + 1, s.ends[{k}] - {_start(k)} + 1)"
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
+_LINES = "split(text, '\\n', -1)"
+#: SQL for the two lines that chunk ``k`` of ``every`` holds, of the lines ``s``
+_PAIR = "array_join(slice(s, {k} + 1, 2), '\\n')"
+
+
+def repeated_chunks(docs: DataFrame, every: bool = False) -> DataFrame:
     """doc_id, dl_text (hash of the text), k: the chunks to be removed. ``docs``: doc_id, text."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("dl_text"))
     chunk = let("t", f"array_join({_lines('k')}, '\\n')", f"named_struct('k', k, 'n', e - {_start('k')} + 1, 'a', xxhash64(t), 'b', xxhash64(t, 7))")
     found = let("s", _cut(), f"filter(transform(s.ends, (e, k) -> {chunk}), c -> c.n >= {LEAST_LINES})")
+    if every:
+        pair = let("t", _PAIR.format(k="k"), "named_struct('k', k, 'a', xxhash64(t), 'b', xxhash64(7, t))")
+        found = let("s", _LINES, f"if(size(s) < 2, null, transform(sequence(0, size(s) - 2), k -> {pair}))")
     chunks = keyed.withColumn("c", F.expr(found))
     places = chunks.select("doc_id", "dl_text", F.explode("c").alias("c")).select("doc_id", "dl_text", "c.k", "c.a", "c.b")
     places = written(places.distinct(), "chunks")
     first = places.groupBy("a", "b").agg(F.min(F.struct("doc_id", "dl_text", "k")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     first = written(first, "repeated")  # so both sides of the join are exchanges, which adaptive execution can split
     again = places.join(first, ["a", "b"])
+    if every:
+        again = again.filter("not (first.doc_id <=> doc_id and first.dl_text = dl_text and k = first.k + 1)")
     is_first = F.col("first") == F.struct("doc_id", "dl_text", "k")
     wanted = again.groupBy("doc_id", "dl_text").agg(F.collect_list(F.struct("k", "a", "b", is_first.alias("first"))).alias("wanted"))
     texts = keyed.join(wanted, ["doc_id", "dl_text"])
-    cut = F.expr(let("s", _cut(), f"transform(wanted, w -> named_struct('w', w, 'bytes', array_join({_lines('w.k')}, '\\n')))"))
+    bytes_of = _PAIR.format(k="w.k") if every else f"array_join({_lines('w.k')}, '\\n')"
+    cut = F.expr(let("s", _LINES if every else _cut(), f"transform(wanted, w -> named_struct('w', w, 'bytes', {bytes_of}))"))
     bytes_ = written(texts.select("doc_id", "dl_text", F.explode(cut).alias("x")).select("doc_id", "dl_text", "x.w.*", "x.bytes"), "bytes")
     kept = bytes_.filter("first").select("a", "b", F.col("bytes").alias("first_bytes")).dropDuplicates(["a", "b"])
     same = bytes_.filter("not first").join(kept, ["a", "b"]).filter("bytes = first_bytes")
     return same.select("doc_id", "dl_text", "k")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks taken out of ``text``, and dl_n_lines, dl_n_removed, dl_n_chunks_removed."""
-    removed = repeated_chunks(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))).groupBy("doc_id", "dl_text").agg(F.collect_set("k").alias("dl_gone"))
+def dedup_lines(docs: DataFrame, every: bool = False) -> DataFrame:
+    """``docs`` with repeated chunks (``every``: of all cuts) taken out of ``text``, and dl_n_lines, dl_n_removed, dl_n_chunks_removed."""
+    removed = repeated_chunks(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")), every).groupBy("doc_id", "dl_text").agg(F.collect_set("k").alias("dl_gone"))
     keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn("dl_text", F.xxhash64("text"))
     both = keyed.join(removed, ["doc_id", "dl_text"], "left")
     stay = f"flatten(transform(array_except(sequence(0, size(s.ends) - 1), dl_gone), k -> {_lines('k')}))"
+    if every:
+        stay = "transform(array_except(sequence(0, size(s) - 1), flatten(transform(dl_gone, k -> array(k, k + 1)))), i -> s[i])"
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long")
-    left = both.withColumn("dl_n_lines", lines).withColumn("dl_left", F.expr(f"if(dl_gone is null, null, {let('s', _cut(), stay)})"))
+    left = both.withColumn("dl_n_lines", lines).withColumn("dl_left", F.expr(f"if(dl_gone is null, null, {let('s', _LINES if every else _cut(), stay)})"))
     text = F.expr("if(dl_gone is null, text, array_join(dl_left, '\n'))").alias("text")
     gone = F.when(F.col("dl_gone").isNull(), 0).otherwise(F.col("dl_n_lines") - F.size("dl_left")).cast("long")
     parts = F.when(F.col("dl_gone").isNull(), 0).otherwise(F.size("dl_gone")).cast("long")
     return left.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns], "dl_n_lines", gone.alias("dl_n_removed"), parts.alias("dl_n_chunks_removed"))
 
 
-def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
-    rows = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def op8_line_dedup(spark, sf_dir: str, every: bool = False) -> DataFrame:
+    rows = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), every)
     return rows.select("doc_id", F.col("dl_n_lines").alias("n_lines"), F.col("dl_n_removed").alias("n_removed"), F.col("dl_n_chunks_removed").alias("n_chunks_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_line_dedup_every_run(spark, sf_dir: str) -> DataFrame:
+    return op8_line_dedup(spark, sf_dir, True)
+
+
 ORACLE = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
 h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS lh FROM l),
@@ -97,3 +118,16 @@ n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(lines_gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(chunks_gone, 0) AS BIGINT) AS n_chunks_removed, sha256(coalesce(s.t, '')) AS kept_sha256
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN gs USING (doc_id) LEFT JOIN s USING (doc_id)
 """
+
+ORACLE_EVERY_RUN = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+p AS (SELECT * FROM (SELECT doc_id, i AS k, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS bytes FROM l) WHERE bytes IS NOT NULL),
+r AS (SELECT doc_id, k, row_number() OVER w AS r, first_value(doc_id) OVER w AS fd, first_value(k) OVER w AS fk FROM p WINDOW w AS (PARTITION BY bytes ORDER BY doc_id, k)),
+g AS (SELECT doc_id, k FROM r WHERE r > 1 AND NOT (doc_id = fd AND k = fk + 1)),
+gs AS (SELECT doc_id, count(*) AS chunks_gone FROM g GROUP BY doc_id),
+gl AS (SELECT doc_id, k AS i FROM g UNION SELECT doc_id, k + 1 FROM g),
+s AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t, count(*) AS n FROM l WHERE NOT EXISTS (SELECT 1 FROM gl WHERE gl.doc_id = l.doc_id AND gl.i = l.i) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(n.n, 0) - coalesce(s.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(chunks_gone, 0) AS BIGINT) AS n_chunks_removed, sha256(coalesce(s.t, '')) AS kept_sha256
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN gs USING (doc_id) LEFT JOIN s USING (doc_id)
+"""

@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bestfit_packing": packing.op6_bestfit_packing,
     "op7_language_id": language_id.op7_language_id,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op8_line_dedup_every_run": line_dedup.op8_line_dedup_every_run,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
@@ -26,5 +27,6 @@ ORACLES: dict[str, str] = {
     "op4_ngram_jaccard": ngram_jaccard.ORACLE,
     "op5_topk_search": topk_search.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op8_line_dedup_every_run": line_dedup.ORACLE_EVERY_RUN,
     "op10_decontamination": decontaminate.ORACLE,
 }

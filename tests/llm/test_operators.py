@@ -241,6 +241,22 @@ def test_line_dedup(spark):
     assert want[1][1] > 10
 
 
+def test_line_dedup_every_run(spark):
+    texts = ["one\ntwo", "own\none\ntwo\nend", "three\nfour\nfive", "x\nfour\nfive", "two\none", "k\nk\nk", "k\n" * 7, None, "", "one\ntwo\none\ntwo", "four\nfive\ntwo\none\nrest"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = by_id(line_dedup.dedup_lines(docs, every=True), "text", "dl_n_removed")
+    first, want = {}, {}
+    for i, t in enumerate(texts):
+        lines, gone = [] if t is None else t.split("\n"), set()
+        for k in range(len(lines) - 1):
+            at = first.setdefault(tuple(lines[k : k + 2]), (i, k))
+            if at != (i, k) and at != (i, k - 1):
+                gone |= {k, k + 1}
+        want[i] = (None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
+    assert got == want
+    assert want[1] == ("own\nend", 2) and want[5][1] == 0 and want[10] == ("rest", 4)
+
+
 # ---------------------------------------------------------------- 9 toxicity
 
 
