@@ -1,10 +1,12 @@
 """Licence scans with a positional rare-token index.
 
 The index maps each word of the licence templates to its postings (template, position).  The inverse document frequency
-of every template word is counted over the whole corpus.  A file is looked up by its ``RAREST`` template words of highest
-IDF; their places in the file and their postings are intersected by relative position (file place minus template place);
-an alignment with enough different words in step is verified: the template's mandatory key phrase must stand in the file
-at that alignment.  The share of the template's words that stand at the aligned places is the match's score.
+of every template word is counted over the whole corpus.  Each template has its own ``RAREST`` words of highest IDF, of
+all its words and not of those that a file happens to hold, so it is looked up alike whatever else the file holds.  Their
+places in the file and their postings are intersected by relative position (file place minus template place);
+an alignment with enough words in step is verified: the template's mandatory key phrase must stand in the file at that
+alignment.  The words of the key phrase are looked up too, so every alignment that would be verified is found.  The share
+of the template's words that stand at the aligned places is the match's score.
 
 Base places are those where a phrase's words stand consecutively.  ``labels`` are the base labels and those of verified
 templates; ``score`` is 1 if there is a base place, else the best verified share, else 0.  Null and empty texts have no
@@ -66,16 +68,27 @@ class TemplateIndex:
         self.post_template = np.repeat(np.arange(len(rows)), [len(x) for x in rows])[order]
         self.post_place = np.concatenate([np.arange(len(x)) for x in rows])[order]
         self.vocabulary = np.unique(word)
-        self.idf = np.zeros(len(self.vocabulary))
         self.key = []  # (place in the template, words)
         for (_, text, phrase), row in zip(templates, rows, strict=True):
             words, own = phrase.split(), text.split()
             at = next(i for i in range(len(own)) if own[i : i + len(words)] == words)
             self.key.append((at, row[at : at + len(words)]))
+        self.need = np.array([min(MIN_STEP, len(words)) for _, words in self.key])
+        self.look_up(np.zeros(len(self.vocabulary)))
         self.base = [(len(p.split()), window_hashes(hash_words(p.split()), len(p.split()))[0], label) for p, label in base.items()]
         self.known = np.zeros(1 << 16, dtype=bool)
         self.known[self.vocabulary >> np.uint64(48)] = True
 
+    def look_up(self, idf: np.ndarray) -> None:
+        """Chooses the postings in use: of each template, its words of highest ``idf`` and those of its key phrase."""
+        use = np.zeros(len(self.post_word), dtype=bool)
+        for t, (row, (_, key)) in enumerate(zip(self.rows, self.key, strict=True)):
+            own = np.searchsorted(self.vocabulary, np.unique(row))
+            rare = self.vocabulary[own[np.lexsort((own, -idf[own]))][:RAREST]]
+            use |= (self.post_template == t) & np.isin(self.post_word, np.concatenate((rare, key)))
+        self.use_word, self.use_template, self.use_place = self.post_word[use], self.post_template[use], self.post_place[use]
+        self.used = np.isin(self.vocabulary, self.use_word)
+
     def template_words(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(word place, vocabulary number) of the chunk's words that are in some template."""
         at = np.flatnonzero(self.known[w.hash >> np.uint64(48)])
@@ -84,21 +97,17 @@ class TemplateIndex:
         return at[ok], v[ok]
 
     def verified(self, words: np.ndarray, place: np.ndarray, vocab: np.ndarray) -> dict[str, float]:
-        """Labels of the templates found in one file, with their scores. place, vocab: its template words."""
-        have = np.unique(vocab)
-        rare = have[np.lexsort((have, -self.idf[have]))][:RAREST]
-        use = np.isin(vocab, rare)
-        place, hashes = place[use], self.vocabulary[vocab[use]]
-        lo, hi = np.searchsorted(self.post_word, hashes, "left"), np.searchsorted(self.post_word, hashes, "right")
+        """Labels of the templates found in one file, with their scores. place, vocab: its template words that are looked up."""
+        hashes = self.vocabulary[vocab]
+        lo, hi = np.searchsorted(self.use_word, hashes, "left"), np.searchsorted(self.use_word, hashes, "right")
         n = hi - lo
         flat = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        template = self.post_template[flat]
-        shift = np.repeat(place, n) - self.post_place[flat]
-        pairs, votes = np.unique(np.stack((template, shift), 1), axis=0, return_counts=True)
+        shift = np.repeat(place, n) - self.use_place[flat]
+        pairs, votes = np.unique((self.use_template[flat] << 40) + shift + (1 << 39), return_counts=True)
+        template, shift = pairs >> 40, (pairs & ((1 << 40) - 1)) - (1 << 39)
+        enough = votes >= self.need[template]
         found: dict[str, float] = {}
-        for (t, at), k in zip(pairs.tolist(), votes.tolist(), strict=True):
-            if k < min(MIN_STEP, len(self.rows[t])):
-                continue
+        for t, at in zip(template[enough].tolist(), shift[enough].tolist(), strict=True):
             offset, key = self.key[t]
             a = at + offset
             if a < 0 or not np.array_equal(words[a : a + len(key)], key):
@@ -137,7 +146,7 @@ def scan_licenses(docs: DataFrame, **columns: str) -> DataFrame:
     """One row per document: base places and labels, the labels of verified templates, a score."""
     spark = docs.sparkSession
     index = TemplateIndex()
-    index.idf = template_idf(docs, index, **columns)
+    index.look_up(template_idf(docs, index, **columns))
     shared = spark.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +167,7 @@ def scan_licenses(docs: DataFrame, **columns: str) -> DataFrame:
                     base[d].add(label)
             labels, score = [set(x) for x in base], [1.0 if x else 0.0 for x in base]
             at, v = index.template_words(w)
+            at, v = at[index.used[v]], v[index.used[v]]
             doc = np.searchsorted(w.first, at, side="right") - 1
             for d in np.unique(doc).tolist():
                 own = doc == d if size < 2 else slice(*np.searchsorted(doc, [d, d + 1]))

@@ -61,6 +61,25 @@ def test_license_base(spark):
     assert got[5][5] == "" and got[5][6] == 0
 
 
+def test_several_licences_and_long_texts(spark):
+    templates = {x: t for x, t, _ in license_scan.TEMPLATES}
+    scattered = [x for _, t, _ in license_scan.TEMPLATES for x in t.split()]
+    long = " ".join(random.choice(scattered + WORDS[:50]) for _ in range(20000))
+    half = " ".join(x if k in (4, 5, 6, 7) or k % 2 else "zzz" for k, x in enumerate(templates["bsd"].split()))
+    texts = [" ".join(t for _, t, _ in license_scan.TEMPLATES), "copyright all rights reserved " + templates["mit"], templates["mit"], templates["bsd"] + " licensed under cc by nc 4 0", f"{long} {templates['isc']} {long}", f"{templates['mpl']} {long} {templates['lgpl']}", half, long]
+    got = by_id(license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "base_labels", "labels")
+    for i, text in enumerate(texts):
+        w, want = text.split(), set(filter(None, got[i][0].split(",")))
+        for label, t, phrase in license_scan.TEMPLATES:
+            t, key = t.split(), phrase.split()
+            offset = next(k for k in range(len(t)) if t[k : k + len(key)] == key)
+            for at in (a - offset for a in range(len(w)) if w[a : a + len(key)] == key):
+                if sum(0 <= at + k < len(w) and w[at + k] == x for k, x in enumerate(t)) >= license_scan.MIN_SHARE * len(t):
+                    want.add(label)
+        assert got[i][1] == ",".join(sorted(want)), i
+    assert set(templates) == set(got[0][1].split(",")) and {"all-rights-reserved", "mit"} <= set(got[1][1].split(","))
+
+
 # ---------------------------------------------------------------- 2 secret scan
 
 KEYS = [f"{random.getrandbits(96):024x}" for _ in range(80)]
