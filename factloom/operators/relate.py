@@ -65,13 +65,12 @@ BOUNDARIES = [("cli", r"(^|/)(cli|commands?)(/|\.|$)"), ("tests", None), ("front
 
 
 def module_boundaries(files: DataFrame) -> DataFrame:
-    """name, paths, n_files: files of each boundary by role or path; ``shared`` has the source files of none."""
+    """name, path: every file of each boundary, by role or path; ``shared`` has the source files of none."""
     role = F.col("role")
     by_role = F.when(role == "test", "tests").when(role.isin("frontend-page", "style", "asset", "webapp"), "frontend").when(role.isin("data-layer", "data-model", "repository"), "data-layer").when(role == "config", "runtime-config").when(role == "api", "backend-api")
     by_path = F.coalesce(*[F.when(role.isin("source", "service", "entrypoint") & F.col("path").rlike(p), F.lit(n)) for n, p in BOUNDARIES if p])
     other = F.when(role.isin("source", "service", "entrypoint"), "shared")
-    rows = files.select("path", F.coalesce(by_role, by_path, other).alias("name")).filter("name is not null")
-    return rows.groupBy("name").agg(F.count("*").alias("n_files"), F.slice(F.array_sort(F.collect_set("path")), 1, 30).alias("paths"))
+    return files.select(F.coalesce(by_role, by_path, other).alias("name"), "path").filter("name is not null")
 
 
 #: (gap id, title, severity, condition over the counts) (fixed values)

@@ -60,7 +60,8 @@ def project_facts(files: DataFrame) -> dict[str, DataFrame]:
     f["links"] = stored(link_calls(calls, routes), "links")
     targets = R.union_all([f[k].select(F.lit(kind).alias("kind"), "name", F.lit(o).cast("long").alias("ord")) for o, (k, kind) in enumerate((("components", "component"), ("services", "service"), ("repositories", "repository"), ("models", "data-model"), ("commands", "cli-command")))]).filter("name is not null").distinct()
     f["test_maps"] = stored(R.test_maps(files, f["routes"], stored(targets, "targets")), "test-maps")
-    f["boundaries"], f["issues"] = R.module_boundaries(files), X.parse_issues(files)
+    f["boundary_paths"], f["issues"] = R.module_boundaries(files), X.parse_issues(files)
+    f["boundaries"] = f["boundary_paths"].groupBy("name").agg(F.count("*").alias("n_files"))
     f["surfaces"] = R.surfaces(f["routes"], f["services"], f["models"])
     f["features"] = R.feature_maps(f["links"], f["routes"], f["commands"], f["entrypoints"])
     empty = F.array().cast("array<string>")

@@ -1,10 +1,16 @@
-"""Fact tables as documents: one row of text for each document, made by ordered aggregation."""
+"""Fact tables as documents: rows of text, each holding the next ``PART_LINES`` lines of its document."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import top_n
+from ..operators.relate import union_all
+from ..sources.tables import stored
+
+#: lines in one row of a document; paths that the text of a boundary shows (fixed values)
+PART_LINES, SHOWN_PATHS = 5000, 30
 #: document -> (title, fact table, line, order) (fixed values)
 DOCUMENTS = {
     "inventory": ("Inventory", "files", "concat('- `', path, '` (', language, ', ', role, ', ', size_bytes, ' bytes)')", "path"),
@@ -28,7 +34,7 @@ DOCUMENTS = {
     "imports": ("Imports", "imports", "concat('- `', path, '` imports `', name, '`')", "path"),
     "tests": ("Test map", "test_maps", "concat('- `', test_path, '` → ', coalesce(target, 'unmatched'), ' (', confidence, ')')", "test_path"),
     "features": ("Features", "features", "concat('- ', name, ' (', kind, ', ', confidence, ')')", "name"),
-    "module-boundaries": ("Module boundaries", "boundaries", "concat('- ', name, ': ', n_files, ' files')", "name"),
+    "module-boundaries": ("Module boundaries", "boundaries", "concat('- ', name, ': ', n_files, ' files', coalesce(concat(': `', array_join(paths, '`, `'), '`'), ''))", "name"),
     "contract-gaps": ("Contract gaps", "contract_gaps", "concat('- `', contract, '`: ', gap_type)", "contract"),
     "quality": ("Quality", "quality", "concat('- ', metric, ': ', value)", "metric"),
     "gaps": ("Gaps", "gaps", "concat('- ', gap_id, ' ', title, ' (', severity, ')')", "gap_id"),
@@ -36,15 +42,29 @@ DOCUMENTS = {
 }
 
 
-def render(facts: dict[str, DataFrame], max_lines: int = 5000) -> DataFrame:
-    """document, n, text: each document lists its first ``max_lines`` facts in order and says how many there are."""
-    out = None
-    for name, (title, table, line, order) in DOCUMENTS.items():
-        if table not in facts:
-            continue
-        lines = facts[table].select(F.expr(f"cast({order} as string)").alias("o"), F.expr(line).alias("line")).filter("line is not null")
-        first = lines.orderBy("o", "line").limit(max_lines)
-        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x["line"]), "\n")
-        doc = first.agg(text.alias("body")).crossJoin(lines.agg(F.count("*").alias("n"))).select(F.lit(name).alias("document"), "n", F.concat(F.lit(f"# {title}\n\n"), F.when(F.col("n") == 0, "None found.").otherwise(F.col("body")), F.lit("\n")).alias("text"))
-        out = doc if out is None else out.unionByName(doc)
-    return out
+def render(facts: dict[str, DataFrame], part_lines: int = PART_LINES) -> DataFrame:
+    """document, part, n, text: all ``n`` lines of each document in order, ``part_lines`` to a row; part 0 has the title.
+
+    Lines are range-sorted and numbered by per-partition counts, so no document passes through one task.
+    """
+    facts = dict(facts)
+    if "boundaries" in facts:
+        shown = top_n(facts["boundary_paths"], ["name"], ["path"], SHOWN_PATHS).groupBy("name").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+        facts["boundaries"] = facts["boundaries"].join(shown, "name", "left")
+    titles = [(name, title, table, line, order) for name, (title, table, line, order) in DOCUMENTS.items() if table in facts]
+    lines = union_all([facts[table].select(F.lit(name).alias("document"), F.expr(f"cast({order} as string)").alias("o"), F.expr(line).alias("line")).filter("line is not null") for name, _, table, line, order in titles])
+    spark = lines.sparkSession
+    order = ["document", "o", "line"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()), "lines")
+    sizes = placed.groupBy("document", "_p").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("document")
+    sizes = sizes.select("document", "_p", (F.sum("n").over(own.orderBy("_p")) - F.col("n")).alias("before"), F.sum("n").over(own).alias("n"))
+    inside = placed.withColumn("i", F.row_number().over(Window.partitionBy("document", "_p").orderBy("o", "line")))
+    at = (F.col("before") + F.col("i") - 1).alias("at")
+    numbered = inside.join(F.broadcast(sizes), ["document", "_p"]).select("document", "n", at, "line").withColumn("part", F.expr(f"at div {part_lines}"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
+    bodies = numbered.groupBy("document", "part").agg(F.max("n").alias("n"), text.alias("body"))
+    heads = spark.createDataFrame([(name, title) for name, title, *_ in titles], "document string, title string")
+    rows = F.broadcast(heads).join(bodies, "document", "right").unionByName(heads.join(bodies.select("document").distinct(), "document", "left_anti").select("document", "title", F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("n"), F.lit("None found.").alias("body")))
+    return rows.select("document", "part", "n", F.concat(F.when(F.col("part") == 0, F.concat(F.lit("# "), "title", F.lit("\n\n"))).otherwise(F.lit("")), F.col("body"), F.lit("\n")).alias("text"))
