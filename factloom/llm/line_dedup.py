@@ -14,7 +14,7 @@ of all cuts at once: each two adjacent lines are one, so every repeated run of t
 overlaps its own first place is not a repeat.  Each line taken out still stands at an earlier place.
 
 Null texts have no lines and stay null; an empty text is one empty line.  Single-line chunks are never removed.  Rows
-equal in doc_id and text are one document for the order and are all returned alike; other columns pass through.
+equal in doc_id and text are one document for the order and are all returned alike; a null doc_id comes first.  Other columns pass through.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import join_same, table, written
 
 DIVISOR, LEAST_LINES = 3, 2
 
@@ -71,7 +71,7 @@ def repeated_chunks(docs: DataFrame, every: bool = False) -> DataFrame:
         again = again.filter("not (first.doc_id <=> doc_id and first.dl_text = dl_text and k = first.k + 1)")
     is_first = F.col("first") == F.struct("doc_id", "dl_text", "k")
     wanted = again.groupBy("doc_id", "dl_text").agg(F.collect_list(F.struct("k", "a", "b", is_first.alias("first"))).alias("wanted"))
-    texts = keyed.join(wanted, ["doc_id", "dl_text"])
+    texts = join_same(keyed, wanted, ["doc_id", "dl_text"])
     bytes_of = _PAIR.format(k="w.k") if every else f"array_join({_lines('w.k')}, '\\n')"
     cut = F.expr(let("s", _LINES if every else _cut(), f"transform(wanted, w -> named_struct('w', w, 'bytes', {bytes_of}))"))
     bytes_ = written(texts.select("doc_id", "dl_text", F.explode(cut).alias("x")).select("doc_id", "dl_text", "x.w.*", "x.bytes"), "bytes")
@@ -84,7 +84,7 @@ def dedup_lines(docs: DataFrame, every: bool = False) -> DataFrame:
     """``docs`` with repeated chunks (``every``: of all cuts) taken out of ``text``, and dl_n_lines, dl_n_removed, dl_n_chunks_removed."""
     removed = repeated_chunks(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")), every).groupBy("doc_id", "dl_text").agg(F.collect_set("k").alias("dl_gone"))
     keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn("dl_text", F.xxhash64("text"))
-    both = keyed.join(removed, ["doc_id", "dl_text"], "left")
+    both = join_same(keyed, removed, ["doc_id", "dl_text"], "left")
     stay = f"flatten(transform(array_except(sequence(0, size(s.ends) - 1), dl_gone), k -> {_lines('k')}))"
     if every:
         stay = "transform(array_except(sequence(0, size(s) - 1), flatten(transform(dl_gone, k -> array(k, k + 1)))), i -> s[i])"

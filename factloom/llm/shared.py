@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,3 +83,10 @@ BROADCAST_ROWS = 1_000_000
 def join_ids(df: DataFrame, ids: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` joined with a written table of ids; broadcast only if it has been counted to hold at most ``limit`` rows."""
     return df.join(F.broadcast(ids) if ids.count() <= limit else ids, on, how)
+
+
+def join_same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` where the columns ``on`` are equal or both null."""
+    own = right.select(*[F.col(c).alias(f"_same_{c}") if c in on else F.col(c) for c in right.columns])
+    equal = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in on])
+    return left.join(own, equal, how).drop(*[f"_same_{c}" for c in on])

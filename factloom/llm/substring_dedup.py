@@ -14,6 +14,7 @@ they lose everything, and add nothing to the index.
 All steps are joins and grouped minima with partial aggregation; no group is ever gathered, however many copies it has.
 Null and empty texts have no words; documents below ``WINDOW`` words lose none; windows repeated inside one document
 only are kept; rows that repeat a doc_id do not remove each other's words; other columns take no part.
+A null doc_id comes before all others and is in the first batch.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, drop_written, free_shuffles, id_and_text, partitions, table, written
+from .shared import arrow_rows, drop_written, free_shuffles, id_and_text, join_same, partitions, table, written
 from .textwords import SPACE_WORDS, Words, chunks, mix, window_hashes
 
 WINDOW, GRAM, FANOUT = 50, 8, 4
@@ -148,15 +149,15 @@ class FingerprintIndex:
         by_doc = postings.join(shared, "h").groupBy("doc_id", "batch").agg(F.collect_set("h").alias("shared"))
         texts = src.withColumn("batch", now)
         self.history = texts if self.history is None else self.history.unionByName(texts)
-        found = written(self.history.join(by_doc, ["doc_id", "batch"]), "shared")
+        found = written(join_same(self.history, by_doc, ["doc_id", "batch"]), "shared")
 
         owners = found.mapInArrow(_windows, "w1 long, w2 long, batch int, doc_id long").groupBy("w1", "w2").agg(F.min(who).alias("o"))
         owned = owners.filter(F.col("o.batch") == now).groupBy(F.col("o.doc_id").alias("doc_id")).agg(F.collect_list("w1").alias("owned"))
-        changed = found.filter(F.col("batch") == now).join(owned, "doc_id", "left").mapInArrow(_removed, "doc_id long, digest binary, n_removed long, kept string")
+        changed = join_same(found.filter(F.col("batch") == now), owned, ["doc_id"], "left").mapInArrow(_removed, "doc_id long, digest binary, n_removed long, kept string")
         changed = changed.filter("n_removed > 0").dropDuplicates(["doc_id", "digest"])
         copied = F.struct(F.col("n_words").alias("n_removed"), F.lit("").alias("kept"))
         cut = F.struct(F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.col("kept"))
-        done = marked.join(changed, ["doc_id", "digest"], "left").withColumn("r", F.when(F.col("copy"), copied).otherwise(cut))
+        done = join_same(marked, changed, ["doc_id", "digest"], "left").withColumn("r", F.when(F.col("copy"), copied).otherwise(cut))
         out = written(done.select("doc_id", "n_words", "r.n_removed", "r.kept", "digest"), "deduplicated")
         drop_written(described)
         drop_written(found)
@@ -188,7 +189,8 @@ def dedup_substrings(docs: DataFrame, batches: int = 2, **columns: str) -> DataF
         if low is not None:
             own = own.filter(F.col("doc_id") >= low)
         if high is not None:
-            own = own.filter(F.col("doc_id") < high)
+            below = F.col("doc_id") < high
+            own = own.filter(below | F.col("doc_id").isNull() if low is None else below)
         rows = index.add(own)
         out = rows if out is None else out.unionByName(rows)
     return out

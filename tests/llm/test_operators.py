@@ -133,6 +133,20 @@ def test_substring_dedup(docs, batches):
     assert got == dict(enumerate(removed(TEXTS)))
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+def test_substring_dedup_null_ids(spark, batches):
+    texts = [SHARED + " first", "b " + SHARED + " " + prose(9), prose(70), SHARED + " first", "one", prose(80)]
+    docs = spark.createDataFrame([(i or None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = F.when(F.col("kept").isNull(), F.lower(F.hex("digest"))).otherwise(F.sha2(F.col("kept").cast("binary"), 256)).alias("k")
+    got = by_id(substring_dedup.dedup_substrings(docs, batches).select("doc_id", "n_words", "n_removed", kept), "n_words", "n_removed", "k")
+    assert got == {i or None: x for i, x in enumerate(removed(texts))} and got[1][1] == 60
+    # a passage repeated among rows without an id and rows with one stays only in the former
+    texts = [prose(3) + " " + SHARED, SHARED + " x", prose(60)]
+    docs = spark.createDataFrame([(None, texts[0]), (None, texts[0]), (1, texts[1]), (2, texts[2])], "doc_id long, text string")
+    rows = sorted((r.doc_id or 0, r.n_removed) for r in substring_dedup.dedup_substrings(docs, batches).collect())
+    assert rows == [(0, 0), (0, 0), (1, 60), (2, 0)]
+
+
 def test_fingerprint_index_compacts(spark):
     index = substring_dedup.FingerprintIndex(spark)
     for n in range(substring_dedup.FANOUT + 2):
@@ -260,6 +274,15 @@ def test_line_dedup(spark):
     assert want[1][1] > 10
 
 
+@pytest.mark.parametrize("every", [False, True])
+def test_line_dedup_null_ids(spark, every):
+    block = "\n".join(f"line {i} of a shared block" for i in range(30))
+    docs = spark.createDataFrame([(None, block), (1, block), (2, block + "\nown")], "doc_id long, text string")
+    got = by_id(line_dedup.dedup_lines(docs, every), "text", "dl_n_removed")
+    assert got[None] == (block, 0)
+    assert got[1][1] > 10 and got[2][1] > 10
+
+
 def test_line_dedup_every_run(spark):
     texts = ["one\ntwo", "own\none\ntwo\nend", "three\nfour\nfive", "x\nfour\nfive", "two\none", "k\nk\nk", "k\n" * 7, None, "", "one\ntwo\none\ntwo", "four\nfive\ntwo\none\nrest"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
