@@ -9,7 +9,9 @@ A window is ``WINDOW`` consecutive words of an item; an item of fewer words, but
 texts without words hit nothing.  Repeated items with one id count once; repeated documents each get their own row.
 
 The test set is held in memory in blocks of at most ``BLOCK_BYTES`` of text (a longer item is a block of its own);
-with several blocks, each block is one pass and the hits are united by document.
+with several blocks, each block is one pass, written before the next is collected, and the hits are united by row.  The
+longest match is that of most words, then of the first place, then of the smallest item id.  An item with a null id counts
+as one more item; null ids come first.
 """
 
 from __future__ import annotations
@@ -20,15 +22,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, id_and_text
+from .shared import arrow_rows, id_and_text, written
 from .textwords import ALNUM_WORDS, Words, chunks
 
 WINDOW, LEAD = 13, 4
 BLOCK_BYTES = 8 << 20
-PARTS = "doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>, longest int, longest_item string, longest_at int"
+PARTS = "row long, n_words long, starts array<int>, ends array<int>, items array<string>, longest int, longest_item string, longest_at int"
 RESULT = "doc_id long, n_words long, n_hit long, items array<string>, longest int, longest_item string, longest_at int"
 
 
@@ -143,7 +146,7 @@ def scan(texts: list[bytes | None], tests: TestSuffixes) -> list[tuple]:
                 row[4:] = [k, row[3][-1], p]
     for row in out:
         row[1], row[2] = united(row[1], row[2])
-        row[3] = sorted(set(row[3]))
+        row[3] = sorted(set(row[3]), key=lambda x: (x is not None, x or ""))
     return out
 
 
@@ -163,19 +166,24 @@ def is_contaminated(n_hit: int, n_words: int) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
-def test_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes]]]:
-    """The test set in blocks of about ``block_bytes``; null texts are left out."""
-    t = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).cast("string").cast("binary").alias("text")).filter("text is not null and item_id is not null")
-    total = t.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = max(1, math.ceil(2 * total / block_bytes)) if total > block_bytes else 1
+def _test_set(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    return items.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).cast("string").cast("binary").alias("text")).filter("text is not null")
+
+
+def block_count(items: DataFrame, block_bytes: int = BLOCK_BYTES, **columns: str) -> int:
+    total = _test_set(items, **columns).agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    return max(1, math.ceil(2 * total / block_bytes)) if total > block_bytes else 1
+
+
+def test_blocks(items: DataFrame, n: int, **columns: str) -> Iterator[list[tuple[str | None, bytes]]]:
+    """The test set in ``n`` blocks, each collected when it is asked for; null texts are left out."""
+    t = _test_set(items, **columns)
     for k in range(n):
         own = t if n == 1 else t.filter(F.expr(f"pmod(xxhash64(item_id, text), {n}) = {k}"))
         yield [(r.item_id, bytes(r.text)) for r in own.orderBy("item_id", "text").collect()]
 
 
-def _rows(spark, items: list[tuple[str, bytes]], schema: str, row: Callable) -> Callable:
-    tests = spark.sparkContext.broadcast(TestSuffixes(items))
-
+def _rows(tests: Broadcast, row: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
             yield row(part, scan(texts, tests.value))
@@ -183,48 +191,66 @@ def _rows(spark, items: list[tuple[str, bytes]], schema: str, row: Callable) ->
     return run
 
 
+def _hits(rows: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """row, and what ``RESULT`` has after doc_id, by ``n`` passes over ``rows``: row (unique), text."""
+    spark = rows.sparkSession
+
+    def partial(first: bool) -> Callable:
+        def make(part: pa.RecordBatch, found: list) -> pa.RecordBatch:
+            size, a, b, ids, longest, item, at = (list(x) for x in zip(*found, strict=True))
+            ints = pa.list_(pa.int32())
+            out = pa.RecordBatch.from_arrays([part.column("row"), pa.array(size, pa.int64()), pa.array(a, ints), pa.array(b, ints), pa.array(ids, pa.list_(pa.string())), pa.array(longest, pa.int32()), pa.array(item, pa.string()), pa.array(at, pa.int32())], ["row", "n_words", "starts", "ends", "items", "longest", "longest_item", "longest_at"])
+            return out if first else out.filter(pa.array([bool(x) for x in a], pa.bool_()))
+
+        return make
+
+    parts = None
+    for k, block in enumerate(test_blocks(items, n)):
+        tests = spark.sparkContext.broadcast(TestSuffixes(block))
+        own = written(rows.mapInArrow(_rows(tests, partial(k == 0)), PARTS), "hits", scan=True)
+        tests.destroy()
+        parts = own if parts is None else parts.unionAll(own)
+    n_hit = F.udf(lambda s, e: sum(b - a for a, b in zip(*united(s or [], e or []), strict=True)), "long")
+    best = F.min(F.when(F.col("longest").isNotNull(), F.struct((-F.col("longest")).alias("less"), "longest_at", "longest_item", "longest")))
+    merged = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("s"), F.flatten(F.collect_list("ends")).alias("e"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best.alias("b"))
+    return merged.select("row", "n_words", n_hit("s", "e").alias("n_hit"), "items", "b.longest", "b.longest_item", "b.longest_at")
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES, **columns: str) -> DataFrame:
-    """One row per document: n_words, n_hit, the item ids whose windows occur, and the longest verbatim match (words, item, place)."""
+    """One row per row of ``docs``: n_words, n_hit, the item ids whose windows occur, and the longest verbatim match (words, item, place)."""
     spark = docs.sparkSession
     arrow_rows(spark)
     src = id_and_text(docs, **columns)
-    blocks = list(test_blocks(items, block_bytes=block_bytes))
-    if len(blocks) == 1:
+    n_blocks = block_count(items, block_bytes)
+    if n_blocks == 1:
         def whole(part: pa.RecordBatch, found: list) -> pa.RecordBatch:
             n, a, b, ids, size, item, at = (list(x) for x in zip(*found, strict=True))
             hit = [sum(e) - sum(s) for s, e in zip(a, b, strict=True)]
             return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(size, pa.int32()), pa.array(item, pa.string()), pa.array(at, pa.int32())], ["doc_id", "n_words", "n_hit", "items", "longest", "longest_item", "longest_at"])
 
-        return src.mapInArrow(_rows(spark, blocks[0], RESULT, whole), RESULT)
+        tests = spark.sparkContext.broadcast(TestSuffixes(next(test_blocks(items, 1))))
+        return src.mapInArrow(_rows(tests, whole), RESULT)
 
-    def partial(part: pa.RecordBatch, found: list) -> pa.RecordBatch:
-        n, a, b, ids, size, item, at = (list(x) for x in zip(*found, strict=True))
-        ints = pa.list_(pa.int32())
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, ints), pa.array(b, ints), pa.array(ids, pa.list_(pa.string())), pa.array(size, pa.int32()), pa.array(item, pa.string()), pa.array(at, pa.int32())], ["doc_id", "n_words", "starts", "ends", "items", "longest", "longest_item", "longest_at"])
-
-    parts = None
-    for block in blocks:
-        own = src.mapInArrow(_rows(spark, block, PARTS, partial), PARTS)
-        parts = own if parts is None else parts.unionAll(own)
-    n_hit = F.udf(lambda s, e: sum(b - a for a, b in zip(*united(s or [], e or []), strict=True)), "long")
-    best = F.max(F.when(F.col("longest").isNotNull(), F.struct("longest", "longest_item", "longest_at")))
-    merged = parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("s"), F.flatten(F.collect_list("ends")).alias("e"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best.alias("b"))
-    return merged.select("doc_id", "n_words", n_hit("s", "e").alias("n_hit"), "items", "b.longest", "b.longest_item", "b.longest_at")
+    rows = written(src.withColumn("row", F.monotonically_increasing_id()), "rows", scan=True)
+    return rows.select("row", "doc_id").join(_hits(rows.select("row", "text"), items, n_blocks), "row").drop("row")
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without its contaminated rows, all columns unchanged."""
     spark = docs.sparkSession
     arrow_rows(spark)
-    blocks = list(test_blocks(items, block_bytes=block_bytes))
-    if len(blocks) > 1:
-        bad = find_contamination(docs, items, block_bytes).filter("n_hit > 0 and 20 * n_hit >= n_words").select("doc_id")
-        return docs.join(bad, "doc_id", "left_anti")
+    n_blocks = block_count(items, block_bytes)
+    if n_blocks > 1:
+        rows = written(docs.withColumn("dc_row", F.monotonically_increasing_id()), "rows", scan=True)
+        found = _hits(id_and_text(rows, doc_id="dc_row").withColumnRenamed("doc_id", "row"), items, n_blocks)
+        bad = found.filter("n_hit > 0 and 20 * n_hit >= n_words").select(F.col("row").alias("dc_row"))
+        return rows.join(bad, "dc_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
     def keep(part: pa.RecordBatch, found: list) -> pa.RecordBatch:
         return part.filter(pa.array([not is_contaminated(sum(b) - sum(a), n) for n, a, b, *_ in found], pa.bool_()))
 
-    return docs.mapInArrow(_rows(spark, blocks[0], "", keep), docs.schema)
+    tests = spark.sparkContext.broadcast(TestSuffixes(next(test_blocks(items, 1))))
+    return docs.mapInArrow(_rows(tests, keep), docs.schema)
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

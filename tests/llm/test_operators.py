@@ -342,6 +342,19 @@ def test_decontamination(spark, docs, block_bytes):
     assert clean == {i for i, (n, h, _) in want.items() if not (h and 20 * h >= n)}
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+def test_decontamination_rows(spark, block_bytes):
+    one, two, other = prose(20), prose(20), prose(300)
+    rows = [(1, one, "a"), (1, other, "b"), (1, two, "c"), (None, two, "d"), (None, other, "e"), (2, f"{two} {one}", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k string")
+    bench = spark.createDataFrame([(None, one), ("t", two), ("u", prose(40)), ("v", prose(40))], "item_id string, text string")
+    got = decontaminate.find_contamination(docs, bench, block_bytes).select("doc_id", "n_words", "n_hit", "items", "longest", "longest_item", "longest_at").collect()
+    want = [(1, 20, 20, [None], 20, None, 0), (1, 300, 0, [], None, None, None), (1, 20, 20, ["t"], 20, "t", 0), (None, 20, 20, ["t"], 20, "t", 0), (None, 300, 0, [], None, None, None), (2, 40, 40, [None, "t"], 20, "t", 0)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    clean = decontaminate.remove_contaminated(docs, bench, block_bytes)
+    assert clean.columns == docs.columns and sorted(r.k for r in clean.collect()) == ["b", "e"]
+
+
 # ---------------------------------------------------------------- empty tables
 
 
