@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_written, written
+from .shared import Tables
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, tables: Tables) -> DataFrame:
     """edges (a, b) -> (node, label): the smallest node reachable. No edges give no rows.
 
     A round takes each node's smallest neighbouring label (a grouped minimum, so hubs are pre-aggregated) and then the
     label of that label, which halves chains; every round is written, so none depends on executors' local state.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    both = tables.put(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = tables.put(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(seen, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = written(lower.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
-        changed = new.filter("label < was").limit(1).count()
-        drop_written(labels)
-        labels = new.select("node", "label")
+        new = tables.put(lower.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
+        changed = not new.filter("label < was").isEmpty()
+        tables.drop(labels)
+        labels = new
         if not changed:
-            return labels
+            tables.drop(both)
+            return labels.select("node", "label")

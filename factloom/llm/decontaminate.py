@@ -1,22 +1,25 @@
 """Benchmark decontamination with training suffix arrays.
 
-Every chunk of training documents is a shard with a suffix array of word positions.  The array is sparse: it holds the
-suffixes whose first words (four, or as many as a short test window has) begin some test window, so a shard sorts only
-what a test suffix can match.  Every test suffix that starts a window is binary-searched in every shard; the range
-found gives all places of the window, and each is extended word by word to the longest verbatim match.
+Every chunk of about 1 MB of training documents is a shard with a suffix array: its word positions in the order of the
+word sequences that begin there and end with their document.  It is sorted by prefix doubling, whole and to any depth.
+Every test suffix that starts a window is binary-searched in every shard; the range found gives all places of the window,
+and each is extended word by word to the longest verbatim match.  A table of the shard's ``LEAD``-word hashes spares the
+search of suffixes that cannot stand in it.  Places found are compared with the test item's words, not their hashes alone.
 
 A window is ``WINDOW`` consecutive words of an item; an item of fewer words, but not none, is one window.  Nulls and
-texts without words hit nothing.  Repeated items with one id count once; repeated documents each get their own row.
-
-The test set is held in memory in blocks of at most ``BLOCK_BYTES`` of text (a longer item is a block of its own);
-with several blocks, each block is one pass, written before the next is collected, and the hits are united by row.  The
-longest match is that of most words, then of the first place, then of the smallest item id.  An item with a null id counts
-as one more item; null ids come first.
+texts without words hit nothing.  Repeated items with one id count once; repeated documents each get their own row, and
+so do rows with a null doc_id.  Texts of any length are searched whole.  Without items nothing is hit, without documents
+there are no rows.  Other columns pass through or take no part, whatever their names.
+
+The test set is held in memory in blocks of at most ``BLOCK_BYTES`` of text (a longer item is a block of its own).  With
+several blocks the shards are written first, text and suffix array, and each block is one pass over them, written before
+the next is collected; the hits are united by row.  The result is the same for any block size.  The longest match is
+that of most words, then of the first place, then of the smallest item id.  An item with a null id counts as one more
+item; null ids come first.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -26,21 +29,50 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, id_and_text, written
+from .shared import Tables, id_and_text, result, ship, table
 from .textwords import ALNUM_WORDS, Words, chunks
 
 WINDOW, LEAD = 13, 4
 BLOCK_BYTES = 8 << 20
+_TABLE = np.uint64(64 - 22)
+SHARD = "row array<long>, text array<binary>, suffixes binary"
 PARTS = "row long, n_words long, starts array<int>, ends array<int>, items array<string>, longest int, longest_item string, longest_at int"
 RESULT = "doc_id long, n_words long, n_hit long, items array<string>, longest int, longest_item string, longest_at int"
 
 
+def document_ends(w: Words) -> np.ndarray:
+    """For each word position where its document ends."""
+    return np.repeat(w.first[1:], w.counts())
+
+
+def suffix_array(w: Words) -> np.ndarray:
+    """The word positions of a chunk in the order of their suffixes, by prefix doubling of what is still tied."""
+    n, end = len(w), document_ends(w)
+    order = np.argsort(w.hash, kind="stable").astype(np.int64)
+    rank = np.zeros(n, np.int64)  # the first slot of those not told apart yet, from 1; 0: behind the document
+    slots, key, depth, going = np.arange(n), w.hash[order], 1, np.ones(n, bool)
+    while True:
+        new = np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
+        group = slots[new][np.cumsum(new) - 1]
+        rank[order[slots]] = group + 1
+        tied = ~(new & np.append(new[1:], True))
+        slots = slots[tied & going]  # those tied with nothing more to come are equal
+        if not len(slots):
+            return order
+        own = order[slots]
+        going = own + depth < end[own]
+        key = rank[own] * (n + 1) + rank[np.minimum(own + depth, n - 1)] * going
+        by_key = np.argsort(key, kind="stable")
+        order[slots], key, going = own[by_key], key[by_key], going[by_key]
+        depth *= 2
+
+
 class TestSuffixes:
-    """The suffixes of test items that start a window, with a filter over their first words."""
+    """The suffixes of test items that start a window, with the hashes of their first words."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW) -> None:
         self.window = window
-        w = Words([x for _, x in items], ALNUM_WORDS, True)
+        self.text = w = Words([x for _, x in items], ALNUM_WORDS, True)
         self.words, n = w.hash, w.counts()
         self.ids = [k for k, _ in items]
         size = np.minimum(n, window)
@@ -56,68 +88,53 @@ class TestSuffixes:
         for q in np.unique(np.minimum(self.length, LEAD)).tolist():
             own = np.flatnonzero(np.minimum(self.length, LEAD) == q)
             at, h = w.windows(q)
-            lead = h[np.searchsorted(at, self.start[own])]
-            known = np.unique(lead)
-            table = np.zeros(1 << 22, dtype=bool)
-            table[known >> np.uint64(42)] = True
-            self.leads[q] = (own, lead, known, table)
+            self.leads[q] = (own, h[np.searchsorted(at, self.start[own])] >> _TABLE)
 
 
-def _in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-    return known[at] == values
-
-
-def _search(shard: np.ndarray, keys: np.ndarray, length: np.ndarray, above: bool) -> np.ndarray:
-    """For each key the first row of the sorted ``shard`` that is not below it (``above``: that is above it)."""
-    lo, hi = np.zeros(len(keys), np.int64), np.full(len(keys), len(shard), np.int64)
+def _search(w: Words, end: np.ndarray, suffixes: np.ndarray, keys: np.ndarray, length: np.ndarray, above: bool) -> np.ndarray:
+    """For each key the first slot of the suffix array that is not below it (``above``: that is above it)."""
+    lo, hi = np.zeros(len(keys), np.int64), np.full(len(keys), len(suffixes), np.int64)
     col = np.arange(keys.shape[1])
-    rows = np.arange(len(keys))
-    while (open_ := lo < hi).any():
-        mid = np.minimum((lo + hi) // 2, len(shard) - 1)
-        differ = (shard[mid] != keys) & (col < length[:, None])
+    while len(live := np.flatnonzero(lo < hi)):
+        mid = (lo[live] + hi[live]) // 2
+        place = suffixes[mid]
+        at = place[:, None] + col
+        row = np.where(at < end[place][:, None], w.hash[np.minimum(at, len(w) - 1)], np.uint64(0))
+        key = keys[live]
+        differ = (row != key) & (col < length[live, None])
         j = differ.argmax(axis=1)
-        unequal = differ[rows, j]
-        right = np.where(unequal, shard[mid, j] < keys[rows, j], above)
-        lo, hi = np.where(open_ & right, mid + 1, lo), np.where(open_ & ~right, mid, hi)
+        own = np.arange(len(live))
+        right = np.where(differ[own, j], row[own, j] < key[own, j], above)
+        lo[live], hi[live] = np.where(right, mid + 1, lo[live]), np.where(right, hi[live], mid)
     return lo
 
 
-def matches(w: Words, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
+def matches(w: Words, tests: TestSuffixes, suffixes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(test suffix, word position) of every place in the chunk where a test window stands."""
-    found, wanted = [], []
-    for own, lead, known, table in tests.leads.values():
-        q = int(min(tests.length[own[0]], LEAD))
-        at, h = w.windows(q)
-        keep = table[h >> np.uint64(42)]
-        at, h = at[keep], h[keep]
-        keep = _in_sorted(h, known)
-        if keep.any():
-            found.append(at[keep])
-            wanted.append(own[_in_sorted(lead, np.unique(h[keep]))])
     none = np.zeros(0, np.int64)
-    if not found:
+    wanted = [none]
+    for q, (own, lead) in tests.leads.items():
+        there = np.zeros(1 << 22, dtype=bool)
+        there[w.windows(q)[1] >> _TABLE] = True
+        wanted.append(own[there[lead]])
+    wanted = np.sort(np.concatenate(wanted))
+    if not len(wanted):
         return none, none
-    starts, tests_here = np.unique(np.concatenate(found)), np.concatenate(wanted)
-    last = np.repeat(w.first[1:], w.counts())[starts]
-    col = np.arange(tests.window)
-    at = starts[:, None] + col
-    rows = np.where(at < last[:, None], w.hash[np.minimum(at, len(w) - 1)], np.uint64(0))
-    order = np.lexsort(rows.T[::-1])  # the shard's suffix array
-    shard, suffix = rows[order], starts[order]
-    keys, length = tests.rows[tests_here], tests.length[tests_here]
-    lo, hi = _search(shard, keys, length, False), _search(shard, keys, length, True)
+    suffixes = suffix_array(w) if suffixes is None else suffixes
+    end, keys, length = document_ends(w), tests.rows[wanted], tests.length[wanted]
+    lo, hi = (_search(w, end, suffixes, keys, length, above) for above in (False, True))
     n = hi - lo
     flat = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    test, place = np.repeat(tests_here, n), suffix[flat]
-    inside = place + tests.length[test] <= np.repeat(w.first[1:], w.counts())[place] if len(place) else np.zeros(0, bool)
-    return test[inside], place[inside]
+    test, place = np.repeat(wanted, n), suffixes[flat]
+    same = [w.text(p, p + k) == tests.text.text(a, a + k) for p, a, k in zip(place.tolist(), tests.start[test].tolist(), tests.length[test].tolist(), strict=True)]
+    same = np.array(same, dtype=bool)
+    return test[same], place[same]
 
 
 def _longest(w: Words, tests: TestSuffixes, test: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Words of each match when it is extended to the right as far as both sides agree."""
     size = tests.length[test].copy()
-    doc_end = np.repeat(w.first[1:], w.counts())[place]
+    doc_end = document_ends(w)[place]
     live = np.arange(len(test))
     while len(live):
         a, b = tests.start[test[live]] + size[live], place[live] + size[live]
@@ -128,11 +145,11 @@ def _longest(w: Words, tests: TestSuffixes, test: np.ndarray, place: np.ndarray)
     return size
 
 
-def scan(texts: list[bytes | None], tests: TestSuffixes) -> list[tuple]:
-    """For each text: (n_words, starts, ends, item ids, longest, its item, its place)."""
+def scan(texts: list[bytes | None], tests: TestSuffixes, suffixes: np.ndarray | None = None) -> list[tuple]:
+    """For each text of a shard: (n_words, starts, ends, item ids, longest, its item, its place)."""
     w = Words(texts, ALNUM_WORDS, True)
     out = [[n, [], [], [], None, None, None] for n in w.counts().tolist()]
-    test, place = matches(w, tests)
+    test, place = matches(w, tests, suffixes)
     if len(test):
         doc = np.searchsorted(w.first, place, side="right") - 1
         size = _longest(w, tests, test, place)
@@ -167,7 +184,7 @@ def is_contaminated(n_hit: int, n_words: int) -> bool:
 
 
 def _test_set(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    return items.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).cast("string").cast("binary").alias("text")).filter("text is not null")
+    return items.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).cast("string").cast("binary").alias("text")).filter("text is not null").distinct()
 
 
 def block_count(items: DataFrame, block_bytes: int = BLOCK_BYTES, **columns: str) -> int:
@@ -183,43 +200,61 @@ def test_blocks(items: DataFrame, n: int, **columns: str) -> Iterator[list[tuple
         yield [(r.item_id, bytes(r.text)) for r in own.orderBy("item_id", "text").collect()]
 
 
-def _rows(tests: Broadcast, row: Callable) -> Callable:
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, texts in chunks(batches):
+        suffixes = suffix_array(Words(texts, ALNUM_WORDS, True)).astype(np.int32).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([part.column("row").to_pylist()], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.binary())), pa.array([suffixes], pa.binary())], ["row", "text", "suffixes"])
+
+
+def _block_hits(tests: Broadcast, first: bool) -> Callable:
+    """Shards -> ``PARTS`` of one test block; rows without hits only if ``first``."""
+    ints = pa.list_(pa.int32())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches):
-            yield row(part, scan(texts, tests.value))
+        for b in batches:
+            for rows, texts, suffixes in zip(*(b.column(c) for c in ("row", "text", "suffixes")), strict=True):
+                found = scan(texts.as_py(), tests.value, np.frombuffer(suffixes.as_py(), np.int32).astype(np.int64))
+                size, a, e, ids, longest, item, at = (list(x) for x in zip(*found, strict=True))
+                out = pa.RecordBatch.from_arrays([pa.array(rows.as_py(), pa.int64()), pa.array(size, pa.int64()), pa.array(a, ints), pa.array(e, ints), pa.array(ids, pa.list_(pa.string())), pa.array(longest, pa.int32()), pa.array(item, pa.string()), pa.array(at, pa.int32())], ["row", "n_words", "starts", "ends", "items", "longest", "longest_item", "longest_at"])
+                yield out if first else out.filter(pa.array([bool(x) for x in a], pa.bool_()))
 
     return run
 
 
-def _hits(rows: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """row, and what ``RESULT`` has after doc_id, by ``n`` passes over ``rows``: row (unique), text."""
-    spark = rows.sparkSession
-
-    def partial(first: bool) -> Callable:
-        def make(part: pa.RecordBatch, found: list) -> pa.RecordBatch:
-            size, a, b, ids, longest, item, at = (list(x) for x in zip(*found, strict=True))
-            ints = pa.list_(pa.int32())
-            out = pa.RecordBatch.from_arrays([part.column("row"), pa.array(size, pa.int64()), pa.array(a, ints), pa.array(b, ints), pa.array(ids, pa.list_(pa.string())), pa.array(longest, pa.int32()), pa.array(item, pa.string()), pa.array(at, pa.int32())], ["row", "n_words", "starts", "ends", "items", "longest", "longest_item", "longest_at"])
-            return out if first else out.filter(pa.array([bool(x) for x in a], pa.bool_()))
+#: SQL for the number of words that ranges (starts, ends) cover together
+_COVERED = """aggregate(array_sort(flatten(collect_list(arrays_zip(starts, ends)))), named_struct('n', 0L, 'to', 0),
+    (a, x) -> named_struct('n', a.n + greatest(0, x.ends - greatest(x.starts, a.to)), 'to', greatest(a.to, x.ends)), a -> a.n)"""
 
-        return make
 
+def _hits(rows: DataFrame, items: DataFrame, n: int, tables: Tables) -> DataFrame:
+    """row, and what ``RESULT`` has after doc_id, by ``n`` passes over the shards of ``rows``: row (unique), text."""
+    spark = rows.sparkSession
+    shards = tables.put(rows.select("row", "text").mapInArrow(_shards, SHARD), "shards")
     parts = None
     for k, block in enumerate(test_blocks(items, n)):
         tests = spark.sparkContext.broadcast(TestSuffixes(block))
-        own = written(rows.mapInArrow(_rows(tests, partial(k == 0)), PARTS), "hits", scan=True)
+        own = tables.put(shards.mapInArrow(_block_hits(tests, k == 0), PARTS), "hits")
         tests.destroy()
         parts = own if parts is None else parts.unionAll(own)
-    n_hit = F.udf(lambda s, e: sum(b - a for a, b in zip(*united(s or [], e or []), strict=True)), "long")
     best = F.min(F.when(F.col("longest").isNotNull(), F.struct((-F.col("longest")).alias("less"), "longest_at", "longest_item", "longest")))
-    merged = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("s"), F.flatten(F.collect_list("ends")).alias("e"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best.alias("b"))
-    return merged.select("row", "n_words", n_hit("s", "e").alias("n_hit"), "items", "b.longest", "b.longest_item", "b.longest_at")
+    merged = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), F.expr(_COVERED).alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best.alias("b"))
+    return merged.select("row", "n_words", "n_hit", "items", "b.longest", "b.longest_item", "b.longest_at")
+
+
+def _rows(tests: Broadcast, row: Callable) -> Callable:
+    """Chunks of documents -> what ``row`` makes of a chunk and of what one test block finds in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches):
+            yield row(part, scan(texts, tests.value))
+
+    return run
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES, **columns: str) -> DataFrame:
     """One row per row of ``docs``: n_words, n_hit, the item ids whose windows occur, and the longest verbatim match (words, item, place)."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    ship(spark)
     src = id_and_text(docs, **columns)
     n_blocks = block_count(items, block_bytes)
     if n_blocks == 1:
@@ -231,20 +266,22 @@ def find_contamination(docs: DataFrame, items: DataFrame, block_bytes: int = BLO
         tests = spark.sparkContext.broadcast(TestSuffixes(next(test_blocks(items, 1))))
         return src.mapInArrow(_rows(tests, whole), RESULT)
 
-    rows = written(src.withColumn("row", F.monotonically_increasing_id()), "rows", scan=True)
-    return rows.select("row", "doc_id").join(_hits(rows.select("row", "text"), items, n_blocks), "row").drop("row")
+    with Tables(spark, "contamination") as tables:
+        rows = tables.put(src.withColumn("row", F.monotonically_increasing_id()), "rows")
+        return result(rows.select("row", "doc_id").join(_hits(rows, items, n_blocks, tables), "row").drop("row"), "contamination")
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without its contaminated rows, all columns unchanged."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    ship(spark)
     n_blocks = block_count(items, block_bytes)
     if n_blocks > 1:
-        rows = written(docs.withColumn("dc_row", F.monotonically_increasing_id()), "rows", scan=True)
-        found = _hits(id_and_text(rows, doc_id="dc_row").withColumnRenamed("doc_id", "row"), items, n_blocks)
-        bad = found.filter("n_hit > 0 and 20 * n_hit >= n_words").select(F.col("row").alias("dc_row"))
-        return rows.join(bad, "dc_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+        with Tables(spark, "contamination") as tables:
+            rows = tables.put(docs.withColumn("dc_row", F.monotonically_increasing_id()), "rows")
+            found = _hits(id_and_text(rows, doc_id="dc_row").withColumnRenamed("doc_id", "row"), items, n_blocks, tables)
+            bad = found.filter("n_hit > 0 and 20 * n_hit >= n_words").select(F.col("row").alias("dc_row"))
+            return result(rows.join(bad, "dc_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]), "decontaminated")
 
     def keep(part: pa.RecordBatch, found: list) -> pa.RecordBatch:
         return part.filter(pa.array([not is_contaminated(sum(b) - sum(a), n) for n, a, b, *_ in found], pa.bool_()))
@@ -254,8 +291,6 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BL
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
-    from .shared import table
-
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), F.expr("n_hit > 0 and 20 * n_hit >= n_words").alias("contaminated"))
 

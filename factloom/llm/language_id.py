@@ -8,7 +8,8 @@ The nearest language is predicted, ties going to the first by name.
 
 Letters are Unicode letters; code points count modulo 2**16.  A null text, or one without letters, is ``und`` with
 score 0; so is every text when no language has been learned.  The score is 1 minus the distance over its largest
-possible value.  Repeated rows are predicted alike.
+possible value.  Repeated rows are predicted alike.  A null doc_id is kept as it is; all null ones are sampled alike.
+Without documents nothing is learned and nothing returned; other columns, whatever their names, take no part.
 
 ``fit`` learns from at most ``SAMPLE`` documents of each language, chosen by a hash of doc_id: the bound of this
 classifier's sample.  Profiles hold ``PROFILE`` rows a language, whatever the input.
@@ -24,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, table
+from .shared import ship, table
 from .textwords import chunks
 
 PROFILE = 400
 SAMPLE = 4000
+HASHES = 1 << 63
 #: training n-grams counted in a worker before they are handed on
 FLUSH = 4 << 20
 RESULT = "doc_id long, lang_pred string, score double"
@@ -109,16 +111,22 @@ class Profiles:
         return pred, score
 
 
+def sample_threshold(sample: int, n: int) -> int:
+    """Of ``HASHES`` hash values, how many to take for ``sample`` of ``n`` documents."""
+    return HASHES - 1 if n <= sample else max(1, HASHES * sample // n)
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
     """Profiles of the languages in ``docs`` (doc_id, text, lang); rows without lang or text teach nothing."""
     spark = docs.sparkSession
-    arrow_rows(spark)
-    src = docs.select(F.col("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
+    ship(spark)
+    src = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in src.groupBy("lang").count().collect()}
     if not counts:
         return Profiles([])
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, int(min(1.0, sample / n) * 1_000_000))])
-    src = src.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share[F.col("lang")])
+    # a threshold on all 63 bits: a language of any size keeps about ``sample`` documents
+    below = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, sample_threshold(sample, n))])
+    src = src.filter(F.xxhash64("doc_id", F.lit(11)).bitwiseAND(F.lit(HASHES - 1)) <= below[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -153,7 +161,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """(doc_id, lang_pred, score) of every document."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    ship(spark)
     model = spark.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +175,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
 def keep_known(docs: DataFrame, profiles: Profiles, min_score: float = 0.0) -> DataFrame:
     """``docs`` without those that are ``und`` or score below ``min_score``; columns unchanged, nothing shuffled."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    ship(spark)
     model = spark.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,10 @@ of the template's words that stand at the aligned places is the match's score.
 
 Base places are those where a phrase's words stand consecutively.  ``labels`` are the base labels and those of verified
 templates; ``score`` is 1 if there is a base place, else the best verified share, else 0.  Null and empty texts have no
-words, no labels and score 0.  Repeated rows are scanned alike; repeated words of a phrase count at each place.
+words, no labels and score 0.  Repeated rows are scanned alike; repeated words of a phrase count at each place; a null
+doc_id is kept as it is.  Texts of any length are scanned whole.  An empty table gives no rows; other columns, whatever
+their names, take no part.  Words are compared by 64-bit hashes, that is with a chance of 2**-64 for each two words;
+every base place and key phrase is compared with the words of the text.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, id_and_text, table
+from .shared import id_and_text, ship, table
 from .textwords import ALNUM_WORDS, Words, chunks, hash_words, window_hashes
 
 #: phrase -> label of the base contract (fixed values)
@@ -75,7 +78,7 @@ class TemplateIndex:
             self.key.append((at, row[at : at + len(words)]))
         self.need = np.array([min(MIN_STEP, len(words)) for _, words in self.key])
         self.look_up(np.zeros(len(self.vocabulary)))
-        self.base = [(len(p.split()), window_hashes(hash_words(p.split()), len(p.split()))[0], label) for p, label in base.items()]
+        self.base = [(p.encode().split(), window_hashes(hash_words(p.split()), len(p.split()))[0], label) for p, label in base.items()]
         self.known = np.zeros(1 << 16, dtype=bool)
         self.known[self.vocabulary >> np.uint64(48)] = True
 
@@ -123,7 +126,7 @@ class TemplateIndex:
 def template_idf(docs: DataFrame, index: TemplateIndex, **columns: str) -> np.ndarray:
     """Inverse document frequency of each template word, over all documents."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    ship(spark)
     shared = spark.sparkContext.broadcast(index)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +148,7 @@ def template_idf(docs: DataFrame, index: TemplateIndex, **columns: str) -> np.nd
 def scan_licenses(docs: DataFrame, **columns: str) -> DataFrame:
     """One row per document: base places and labels, the labels of verified templates, a score."""
     spark = docs.sparkSession
+    ship(spark)
     index = TemplateIndex()
     index.look_up(template_idf(docs, index, **columns))
     shared = spark.sparkContext.broadcast(index)
@@ -156,9 +160,11 @@ def scan_licenses(docs: DataFrame, **columns: str) -> DataFrame:
             size = part.num_rows
             n, low, high = np.zeros(size, np.int64), np.full(size, 2**62), np.full(size, -1)
             base: list[set] = [set() for _ in range(size)]
-            for k, phrase, label in index.base:
+            for words, phrase, label in index.base:
+                k = len(words)
                 at, h = w.windows(k)
                 at = at[h == phrase]
+                at = at[[w.text(a, a + k) == words for a in at.tolist()]] if len(at) else at
                 doc = np.searchsorted(w.first, at, side="right") - 1
                 np.add.at(n, doc, 1)
                 np.minimum.at(low, doc, at - w.first[doc])

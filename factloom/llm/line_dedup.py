@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import join_same, table, written
+from .shared import Tables, join_same, result, table
 
 DIVISOR, LEAST_LINES = 3, 2
 
@@ -53,7 +53,7 @@ _LINES = "split(text, '\\n', -1)"
 _PAIR = "array_join(slice(s, {k} + 1, 2), '\\n')"
 
 
-def repeated_chunks(docs: DataFrame, every: bool = False) -> DataFrame:
+def repeated_chunks(docs: DataFrame, tables: Tables, every: bool = False) -> DataFrame:
     """doc_id, dl_text (hash of the text), k: the chunks to be removed. ``docs``: doc_id, text."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("dl_text"))
     chunk = let("t", f"array_join({_lines('k')}, '\\n')", f"named_struct('k', k, 'n', e - {_start('k')} + 1, 'a', xxhash64(t), 'b', xxhash64(t, 7))")
@@ -63,9 +63,9 @@ def repeated_chunks(docs: DataFrame, every: bool = False) -> DataFrame:
         found = let("s", _LINES, f"if(size(s) < 2, null, transform(sequence(0, size(s) - 2), k -> {pair}))")
     chunks = keyed.withColumn("c", F.expr(found))
     places = chunks.select("doc_id", "dl_text", F.explode("c").alias("c")).select("doc_id", "dl_text", "c.k", "c.a", "c.b")
-    places = written(places.distinct(), "chunks")
+    places = tables.put(places.distinct(), "chunks")
     first = places.groupBy("a", "b").agg(F.min(F.struct("doc_id", "dl_text", "k")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    first = written(first, "repeated")  # so both sides of the join are exchanges, which adaptive execution can split
+    first = tables.put(first, "repeated")  # so both sides of the join are exchanges, which adaptive execution can split
     again = places.join(first, ["a", "b"])
     if every:
         again = again.filter("not (first.doc_id <=> doc_id and first.dl_text = dl_text and k = first.k + 1)")
@@ -74,7 +74,7 @@ def repeated_chunks(docs: DataFrame, every: bool = False) -> DataFrame:
     texts = join_same(keyed, wanted, ["doc_id", "dl_text"])
     bytes_of = _PAIR.format(k="w.k") if every else f"array_join({_lines('w.k')}, '\\n')"
     cut = F.expr(let("s", _LINES if every else _cut(), f"transform(wanted, w -> named_struct('w', w, 'bytes', {bytes_of}))"))
-    bytes_ = written(texts.select("doc_id", "dl_text", F.explode(cut).alias("x")).select("doc_id", "dl_text", "x.w.*", "x.bytes"), "bytes")
+    bytes_ = tables.put(texts.select("doc_id", "dl_text", F.explode(cut).alias("x")).select("doc_id", "dl_text", "x.w.*", "x.bytes"), "bytes")
     kept = bytes_.filter("first").select("a", "b", F.col("bytes").alias("first_bytes")).dropDuplicates(["a", "b"])
     same = bytes_.filter("not first").join(kept, ["a", "b"]).filter("bytes = first_bytes")
     return same.select("doc_id", "dl_text", "k")
@@ -82,7 +82,9 @@ def repeated_chunks(docs: DataFrame, every: bool = False) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, every: bool = False) -> DataFrame:
     """``docs`` with repeated chunks (``every``: of all cuts) taken out of ``text``, and dl_n_lines, dl_n_removed, dl_n_chunks_removed."""
-    removed = repeated_chunks(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")), every).groupBy("doc_id", "dl_text").agg(F.collect_set("k").alias("dl_gone"))
+    with Tables(docs.sparkSession, "line-dedup") as tables:
+        gone = repeated_chunks(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")), tables, every)
+        removed = result(gone.groupBy("doc_id", "dl_text").agg(F.collect_set("k").alias("dl_gone")), "removed-chunks")
     keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn("dl_text", F.xxhash64("text"))
     both = join_same(keyed, removed, ["doc_id", "dl_text"], "left")
     stay = f"flatten(transform(array_except(sequence(0, size(s.ends) - 1), dl_gone), k -> {_lines('k')}))"

@@ -9,14 +9,24 @@ is at most the sum over the groups of the smaller count; groups are nested, so p
 2. One R-tree over all points cannot be cut into independent parts, so points are routed to a forest: linked documents
    share one of the first n - ceil(0.8 n) + 1 shingles of any common order (rare ones first, ties by hash), and the
    documents sharing one such shingle are a cell.  The list of common shingles only orders; results don't depend on it.
-3. Every member of a cell is paired with the cell's smallest document; pairs are bounded by their points, and survivors
-   verified on whole sets.  Their connected components absorb cliques of copies without pairing all their members.
-4. Cells that still hold several components go to R-trees: leaves of near points, each with the largest count per group
-   and the least size; cells of ``LARGE`` rows or more use fine points.  Pairs of leaves, then of points, of different components survive if the summed minima allow a
-   link; cells above ``CELL`` rows are cut into pairs of parts.  Survivors are bounded by fine points and verified.
+3. Each cell's points are bulk-loaded into an R-tree: sorted and cut in half by the group in which they spread most, again
+   and again down to leaves of ``LEAF``; a node has the largest count per group and the least and most set size below it.
+   All candidates come from these trees.  Descending from pairs of the root with itself, a pair of nodes goes on if the
+   summed minima of its counts allow a link, down to pairs of points.  Survivors are bounded by fine points and verified
+   on whole sets.
+4. Trees are descended twice.  The first time only pairs of neighbours are taken from trees of several leaves: the first
+   document of a node with those of its children.  Their links make components, which absorb groups of copies without
+   pairing all their members.  The second time all trees that hold several components are descended in full, past pairs of
+   nodes within one component.  Trees of one leaf are taken in full at once.
+
+Cells above ``CELL`` rows are cut into parts by a hash: the first time each part has the cell's smallest document too,
+which meets all of it; the second time the cell is cut by set size first (a link needs sizes within 0.8, so a band meets
+itself and the next) and each two parts of a band meet in a tree of their own.
 
 No cell is gathered whole, no partner or candidate is dropped, and no link between different components is lost.
-doc_ids are expected to be unique; rows that repeat one share its links.
+doc_ids are expected to be unique; rows that repeat one share its links.  A row with a null doc_id has its n_shingles, a
+null component_id, and links with nothing.  Null and empty texts are components of their own.  Long texts have points of
+as many groups as they need.  An empty table gives no rows; other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -29,15 +39,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import arrow_rows, drop_written, free_shuffles, id_and_text, join_ids, partitions, table, written
+from .shared import Tables, id_and_text, join_ids, result, ship, table
 from .textwords import SPACE_WORDS, Words, chunks, mix
 
 SHINGLE, NUM, DEN = 5, 80, 100
-COARSE, CELL, LEAF, COMMON = 32, 512, 16, 1 << 16
-#: cells of this many rows are searched with fine points, as their coarse ones are much alike.
+COARSE, CELL, LEAF, COMMON = 32, 512, 8, 1 << 16
+#: cells of this many rows are descended with fine points the second time, as their coarse ones are much alike.
 LARGE = 64
 #: shingles looked at together when common ones are counted
 FLUSH = 4 << 20
+#: pairs bounded at a time
+PAIRS = 1 << 15
 _BIG = np.uint64(1 << 40)
 
 
@@ -142,23 +154,36 @@ def enough(overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with their fine points -> those that may link."""
     for t in batches:
-        keep = []
-        for n, m, x, y in zip(*(t.column(c).to_pylist() for c in ("nx", "ny", "fx", "fy")), strict=True):
-            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-            groups = min(len(x), len(y))
-            keep.append(bool(enough(np.minimum(fold(x, groups), fold(y, groups)).sum(), n, m)))
-        yield t.filter(pa.array(keep, pa.bool_())).select(["x", "y"])
+        n, m = (t.column(c).to_numpy() for c in ("nx", "ny"))
+        x, y = (t.column(c).to_pylist() for c in ("fx", "fy"))
+        a, b = (np.fromiter(map(len, v), np.int64, len(v)) for v in (x, y))
+        keep = np.zeros(t.num_rows, bool)
+        for i, j in np.unique(np.stack((a, b), 1), axis=0).tolist():
+            same = np.flatnonzero((a == i) & (b == j))
+            groups, step = min(i, j), max(1, (PAIRS << 5) // max(i, j))
+            for own in np.split(same, range(step, len(same), step)):
+                p, q = (fold(np.frombuffer(b"".join(v[k] for k in own.tolist()), np.uint8).reshape(len(own), -1), groups) for v in (x, y))
+                keep[own] = enough(np.minimum(p, q).sum(axis=1), n[own], m[own])
+        yield t.filter(pa.array(keep)).select(["x", "y"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with their whole sets -> those that link."""
     for t in batches:
-        keep = []
-        for x, y in zip(t.column("sx").to_pylist(), t.column("sy").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.sort(np.concatenate((x, y)))
-            keep.append(bool(enough((both[1:] == both[:-1]).sum(), len(x), len(y))))
-        yield t.filter(pa.array(keep, pa.bool_())).select(["x", "y"])
+        x, y = (t.column(c).to_pylist() for c in ("sx", "sy"))
+        a, b = (np.fromiter((len(s) >> 3 for s in v), np.int64, len(v)) for v in (x, y))
+        keep = np.zeros(t.num_rows, bool)
+        cut = np.searchsorted(np.cumsum(a + b), np.arange(FLUSH >> 2, int((a + b).sum()), FLUSH >> 2))
+        for own in np.split(np.arange(t.num_rows), cut):
+            h = np.frombuffer(b"".join(v[k] for v in (x, y) for k in own.tolist()), np.uint64)
+            pair = np.concatenate((np.repeat(own, a[own]), np.repeat(own, b[own])))
+            order = np.lexsort((h, pair))
+            h, pair = h[order], pair[order]
+            both = np.bincount(pair[1:][(h[1:] == h[:-1]) & (pair[1:] == pair[:-1])], minlength=t.num_rows)[own]
+            keep[own] = enough(both, a[own], b[own])
+        yield t.filter(pa.array(keep)).select(["x", "y"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,145 +193,265 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["doc_id", "s"])
 
 
-def links(src: DataFrame, described: DataFrame, pairs: DataFrame) -> DataFrame:
+def links(src: DataFrame, described: DataFrame, pairs: DataFrame, tables: Tables) -> DataFrame:
     """The pairs (x, y) that link: bounded by their fine points first, then verified on whole sets. Written."""
     n, fine = described.select("doc_id", "n"), described.select("doc_id", "fine")
     close = pairs.join(n.toDF("x", "nx"), "x").join(n.toDF("y", "ny"), "y").filter(f"{DEN} * least(nx, ny) >= {NUM} * greatest(nx, ny)")
-    close = written(close.select("x", "y", "nx", "ny"), "close")
+    close = tables.put(close.select("x", "y", "nx", "ny"), "close")
     left = join_ids(fine.toDF("x", "fx"), close, ["x"], "inner")
     right = join_ids(fine.toDF("y", "fy"), close.select("x", "y"), ["y"], "inner")
-    near = written(left.join(right, ["x", "y"]).mapInArrow(_bounded, "x long, y long"), "bounded")
-    ids = written(near.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "ids")
-    sets = written(join_ids(src, ids, ["doc_id"], "left_semi").mapInArrow(_sets, "doc_id long, s binary"), "sets")
+    near = tables.put(left.join(right, ["x", "y"]).mapInArrow(_bounded, "x long, y long"), "bounded")
+    ids = tables.put(near.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "ids")
+    sets = tables.put(join_ids(src, ids, ["doc_id"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, s binary"), "sets")
     both = near.join(sets.toDF("x", "sx"), "x").join(sets.toDF("y", "sy"), "y")
-    out = written(both.mapInArrow(_verified, "x long, y long"), "links")
-    drop_written(sets)
+    out = tables.put(both.mapInArrow(_verified, "x long, y long"), "links")
+    tables.drop(close, near, ids, sets)
     return out
 
 
-def tree_pairs(doc: np.ndarray, part: np.ndarray, comp: np.ndarray, n: np.ndarray, point: np.ndarray, done: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of one cell's pairs of different components (and parts, if there are two) that may link, by its R-tree; pairs of two ``done`` rows are left out."""
-    order = np.lexsort((doc, n, comp))
-    leaf = [order[a : a + LEAF] for a in range(0, len(order), LEAF)]
-    top = np.stack([point[x].max(axis=0) for x in leaf])
-    least, most = np.array([n[x].min() for x in leaf]), np.array([n[x].max() for x in leaf])
-    two = part.min() != part.max()
-    left, right = [], []
-    for a, x in enumerate(leaf):
-        other = np.arange(a, len(leaf))
-        bound = np.minimum(top[a], top[other]).sum(axis=1)
-        fits = enough(bound, least[a], least[other]) & (DEN * most[a] >= NUM * least[other]) & (DEN * most[other] >= NUM * least[a])
-        for b in other[fits].tolist():
-            y = leaf[b]
-            if comp[x[0]] == comp[y[-1]] and comp[x[0]] == comp[x[-1]] and comp[y[0]] == comp[y[-1]]:
-                continue
-            ok = (comp[x][:, None] != comp[y]) & ~(done[x][:, None] & done[y]) & (DEN * np.minimum(n[x][:, None], n[y]) >= NUM * np.maximum(n[x][:, None], n[y]))
-            if two:
-                ok &= part[x][:, None] != part[y]
-            if ok.any():
-                ok &= enough(np.minimum(point[x][:, None], point[y]).sum(axis=2), n[x][:, None], n[y])
-                i, j = np.nonzero(ok)
-                left.append(x[i])
-                right.append(y[j])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
-
-
-def cell_pairs(doc: np.ndarray, part: np.ndarray, comp: np.ndarray, n: np.ndarray, points: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The same for a cell whose points differ in size: documents that may link have equal sizes or one twice the other."""
+class RTree:
+    """A count-vector R-tree over points (one row each) of sets of ``n`` shingles; ``comp``: the component of each."""
+
+    def __init__(self, n: np.ndarray, point: np.ndarray, comp: np.ndarray, leaf: int = LEAF) -> None:
+        self.n, self.point, self.comp = n, point, comp
+        parts = [np.lexsort((n, comp))]
+        while max(map(len, parts)) > leaf:
+            halves = []
+            for own in parts:
+                if len(own) > 1:
+                    at = point[own]
+                    own = own[np.argsort(at[:, at.var(axis=0).argmax()], kind="stable")]
+                halves += [own[: (len(own) + 1) // 2], own[(len(own) + 1) // 2 :]]
+            parts = halves
+        self.leaves = np.full((len(parts), leaf), -1)
+        for k, own in enumerate(parts):
+            self.leaves[k, : len(own)] = own
+        first = self.leaves[:, 0]
+        real = self.leaves >= 0
+        shown = np.where(real, self.leaves, first[:, None])  # an empty place repeats the leaf's first row
+        node = {"top": point[shown].max(axis=1), "least": n[shown].min(axis=1), "most": n[shown].max(axis=1), "low": comp[shown].min(axis=1), "high": comp[shown].max(axis=1), "first": first}
+        self.levels = [node]  # from the leaves up to the root
+        while len(node["first"]) > 1:
+            node = {k: f(v[::2], v[1::2]) for (k, v), f in zip(node.items(), (np.maximum, np.minimum, np.maximum, np.minimum, np.maximum, lambda a, b: a), strict=True)}
+            self.levels.append(node)
+
+    def _linkable(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the points of each pair may link: different components, sizes and summed minima."""
+        n, m = self.n[i], self.n[j]
+        ok = (self.comp[i] != self.comp[j]) & (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m))
+        for a in range(0, len(i), PAIRS):
+            own = a + np.flatnonzero(ok[a : a + PAIRS])
+            ok[own] = enough(np.minimum(self.point[i[own]], self.point[j[own]]).sum(axis=1, dtype=np.int64), n[own], m[own])
+        return ok
+
+    def pairs(self, part: np.ndarray | None = None, done: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of points that may link; of different ``part`` only, if there are two, and not both in one of the masks ``done``."""
+        i = j = np.zeros(1, np.int64)
+        for depth, node in enumerate(reversed(self.levels)):
+            if depth:
+                own = i == j
+                i, j = np.concatenate((2 * i, 2 * i, 2 * i + 1, 2 * i[~own] + 1)), np.concatenate((2 * j, 2 * j + 1, 2 * j + 1, 2 * j[~own]))
+            least, most = node["least"], node["most"]
+            ok = (DEN * most[i] >= NUM * least[j]) & (DEN * most[j] >= NUM * least[i])
+            ok &= ~((node["low"][i] == node["high"][i]) & (node["low"][j] == node["high"][j]) & (node["low"][i] == node["low"][j]))
+            i, j = i[ok], j[ok]
+            fits = [enough(np.minimum(node["top"][i[a : a + PAIRS]], node["top"][j[a : a + PAIRS]]).sum(axis=1, dtype=np.int64), least[i[a : a + PAIRS]], least[j[a : a + PAIRS]]) for a in range(0, len(i), PAIRS)]
+            fits = np.concatenate([np.zeros(0, bool), *fits])
+            i, j = i[fits], j[fits]
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        step = max(1, (PAIRS << 3) // self.leaves.shape[1] ** 2)
+        for a in range(0, len(i), step):
+            p, q = i[a : a + step], j[a : a + step]
+            x, y = (np.broadcast_to(v, (len(p), *2 * self.leaves.shape[1:])) for v in (self.leaves[p][:, :, None], self.leaves[q][:, None, :]))
+            ok = (x >= 0) & (y >= 0) & ((p != q)[:, None, None] | (np.arange(x.shape[1])[:, None] < np.arange(x.shape[2])))
+            x, y = x[ok], y[ok]
+            if part is not None and part.min() != part.max():
+                ok = part[x] != part[y]
+                x, y = x[ok], y[ok]
+            for mask in done:
+                ok = ~(mask[x] & mask[y])
+                x, y = x[ok], y[ok]
+            ok = self._linkable(x, y)
+            left.append(x[ok])
+            right.append(y[ok])
+        return np.concatenate(left), np.concatenate(right)
+
+    def neighbours(self, leader: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that may link of each node's first document with its children's, and of ``leader`` with all."""
+        x, y = [np.repeat(self.leaves[:, 0], self.leaves.shape[1] - 1)], [self.leaves[:, 1:].ravel()]
+        for node in self.levels[:-1]:
+            x.append(node["first"][::2])
+            y.append(node["first"][1::2])
+        if leader is not None:
+            x.append(np.full(len(self.n), leader))
+            y.append(np.arange(len(self.n)))
+        x, y = np.concatenate(x), np.concatenate(y)
+        ok = (x >= 0) & (y >= 0) & (x != y)
+        x, y = x[ok], y[ok]
+        ok = self._linkable(x, y)
+        return x[ok], y[ok]
+
+
+def cell_pairs(part: np.ndarray, guest: np.ndarray, comp: np.ndarray, n: np.ndarray, points: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of one cell's pairs that may link, by R-trees over fine points: documents that may link have points of equal sizes or one twice the other."""
     size = np.array([len(x) for x in points])
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for groups in np.unique(size).tolist():
         own = np.flatnonzero((size == groups) | (size == 2 * groups))
-        if len(own) > 1:
-            point = np.stack([fold(np.frombuffer(points[k], np.uint8), groups) for k in own.tolist()])
-            x, y = tree_pairs(doc[own], part[own], comp[own], n[own], point, size[own] != groups)
-            left.append(own[x])
-            right.append(own[y])
+        if len(own) < 2:
+            continue
+        point = np.stack([fold(np.frombuffer(points[k], np.uint8), groups) for k in own.tolist()])
+        x, y = RTree(n[own], point, comp[own]).pairs(part[own], (guest[own], size[own] != groups))
+        left.append(own[x])
+        right.append(own[y])
     return np.concatenate(left), np.concatenate(right)
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell -> candidate pairs. Cells may run over the ends of batches."""
+def _by_cell(batches: Iterator[pa.RecordBatch], keys: list[str], pairs) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cell -> the pairs of doc_ids that ``pairs(table, starts, sizes)`` finds. Cells may run over the ends of batches."""
     held: pa.Table | None = None
 
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not t.num_rows:
-            return
-        h, i, j, part, doc, comp, n = (t.column(c).to_numpy() for c in ("h", "i", "j", "part", "doc_id", "comp", "n"))
-        raw = t.column("point").to_pylist()
-        large = t.column("large").to_numpy()
-        coarse = np.frombuffer(b"".join(b"\0" * 2 * COARSE if f else x for x, f in zip(raw, large.tolist(), strict=True)), np.uint16).reshape(-1, COARSE)
-        point = fold(coarse, COARSE)
-        new = np.concatenate((np.ones(1, bool), (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(h)))
-        small = (size == 2) & ~large[start]
-        a = start[small]
-        b = a + 1
-        ok = (comp[a] != comp[b]) & (DEN * np.minimum(n[a], n[b]) >= NUM * np.maximum(n[a], n[b])) & enough(np.minimum(point[a], point[b]).sum(axis=1), n[a], n[b])
-        left, right = [a[ok]], [b[ok]]
-        for s, k in zip(start[~small].tolist(), size[~small].tolist(), strict=True):
-            own = slice(s, s + k)
-            if large[s]:
-                x, y = cell_pairs(doc[own], part[own], comp[own], n[own], raw[own])
-            else:
-                x, y = tree_pairs(doc[own], part[own], comp[own], n[own], point[own], np.zeros(k, bool))
-            left.append(x + s)
-            right.append(y + s)
-        x, y = doc[np.concatenate(left)], doc[np.concatenate(right)]
-        both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["x", "y"])
+    def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if t.num_rows:
+            new = np.zeros(t.num_rows, bool)
+            new[0] = True
+            for c in keys:
+                k = t.column(c).to_numpy()
+                new[1:] |= k[1:] != k[:-1]
+            start = np.flatnonzero(new)
+            x, y = pairs(t, start, np.diff(np.append(start, t.num_rows)))
+            doc = t.column("doc_id").to_numpy()
+            both = np.stack((np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])), 1)
+            both = both[np.lexsort((both[:, 1], both[:, 0]))]
+            both = both[np.append(np.ones(min(1, len(both)), bool), (both[1:] != both[:-1]).any(axis=1))]
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["x", "y"])
 
     for b in batches:
+        if not b.num_rows:
+            continue
         t = pa.Table.from_batches([b])
         held = t if held is None else pa.concat_tables([held, t])
-        key = [held.column(c).to_numpy() for c in ("h", "i", "j")]
-        last = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in key]))
+        last = np.flatnonzero(np.logical_or.reduce([(k := held.column(c).to_numpy()) != k[-1] for c in keys]))
         cut = int(last[-1]) + 1 if len(last) else 0
-        yield from pairs(held.slice(0, cut))
+        yield from found(held.slice(0, cut))
         held = held.slice(cut)
     if held is not None:
-        yield from pairs(held)
+        yield from found(held)
+
+
+def _first_descent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells (h, part) of doc_id, n, coarse, leads -> pairs of neighbours; all pairs of one leaf."""
+
+    def pairs(t: pa.Table, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        doc, n, leads = (t.column(c).to_numpy() for c in ("doc_id", "n", "leads"))
+        point = np.frombuffer(b"".join(t.column("coarse").to_pylist()), np.uint16).reshape(-1, COARSE)
+        place = np.arange(t.num_rows) - np.repeat(start, size)
+        after = np.repeat(size, size) - 1 - place
+        one_leaf = np.repeat(size <= LEAF, size)
+        after = np.where(one_leaf, after, 0)
+        left = np.repeat(np.arange(t.num_rows), after)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
+        ok = np.zeros(len(left), bool)
+        for a in range(0, len(left), PAIRS):
+            x, y = left[a : a + PAIRS], right[a : a + PAIRS]
+            fits = (doc[x] != doc[y]) & (DEN * np.minimum(n[x], n[y]) >= NUM * np.maximum(n[x], n[y]))
+            fits[fits] = enough(np.minimum(fold(point[x[fits]], COARSE), fold(point[y[fits]], COARSE)).sum(axis=1), n[x[fits]], n[y[fits]])
+            ok[a : a + PAIRS] = fits
+        left, right = [left[ok]], [right[ok]]
+        for s, k in zip(start[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
+            own = slice(s, s + k)
+            leader = np.flatnonzero(leads[own])
+            x, y = RTree(n[own], fold(point[own], COARSE), doc[own]).neighbours(int(leader[0]) if len(leader) else None)
+            left.append(x + s)
+            right.append(y + s)
+        return np.concatenate(left), np.concatenate(right)
 
+    return _by_cell(batches, ["h", "part"], pairs)
 
-def jaccard_components(docs: DataFrame, **columns: str) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    spark = docs.sparkSession
-    arrow_rows(spark)
-    src = id_and_text(docs, **columns)
-    described = written(src.mapInArrow(_describe(common_shingles(src)), DESCRIBED), "described", scan=True)
 
-    kinds = ["n", "d1", "d2"]
-    classes = written(described.filter("n > 0").groupBy(*kinds).agg(F.min("doc_id").alias("rep")), "classes")
-    member = described.select("doc_id", *kinds).join(classes, kinds, "left").select("doc_id", *kinds, F.coalesce("rep", "doc_id").alias("rep"))
-    copies = written(member.filter("rep <> doc_id").select("doc_id", *kinds), "copies")
-    postings = join_ids(described.filter("n > 0"), copies, ["doc_id", *kinds], "left_anti").select("doc_id", F.explode("prefix").alias("h"))
+def _second_descent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells (h, band, i, j) of part, guest, doc_id, comp, n, large, point -> all pairs of different components that may link."""
 
-    cells = postings.groupBy("h").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("b")).filter("leader < b").select("h", "leader")
-    rows = written(postings.join(written(cells, "cells"), "h").select("h", "doc_id", "leader"), "cell-rows")
-    free_shuffles(spark)
-    star = links(src, described, rows.filter("doc_id <> leader").select(F.col("doc_id").alias("x"), F.col("leader").alias("y")).distinct())
-    label = connected_components(star.toDF("a", "b"))
+    def pairs(t: pa.Table, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        part, comp, n, guest, large = (t.column(c).to_numpy() for c in ("part", "comp", "n", "guest", "large"))
+        raw = t.column("point").to_pylist()
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, k in zip(start.tolist(), size.tolist(), strict=True):
+            own = slice(s, s + k)
+            if large[s]:
+                x, y = cell_pairs(part[own], guest[own], comp[own], n[own], raw[own])
+            else:
+                point = fold(np.frombuffer(b"".join(raw[own]), np.uint16).reshape(-1, COARSE), COARSE)
+                x, y = RTree(n[own], point, comp[own]).pairs(part[own], (guest[own],))
+            left.append(x + s)
+            right.append(y + s)
+        return np.concatenate(left), np.concatenate(right)
 
-    known = join_ids(rows.select("h", "doc_id"), label.toDF("doc_id", "label"), ["doc_id"], "left").select("h", "doc_id", F.coalesce("label", "doc_id").alias("comp"))
-    known = written(known, "known")
-    mixed = written(known.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).filter("a < b").select("h", (F.col("m") >= LARGE).alias("large"), F.ceil(F.col("m") / CELL).cast("int").alias("parts")), "mixed")
+    return _by_cell(batches, ["h", "band", "i", "j"], pairs)
+
+
+def _spread(known: DataFrame, described: DataFrame, tables: Tables) -> DataFrame:
+    """Cells of several leaves and components, as rows for ``_second_descent``. known: h, doc_id, comp."""
+    mixed = known.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).filter(f"a < b and m > {LEAF}")
+    mixed = tables.put(mixed.select("h", (F.col("m") >= LARGE).alias("large"), (F.col("m") > CELL).alias("hot")), "mixed")
+    rows = known.join(mixed, "h").join(described.select("doc_id", "n", "coarse", "fine"), "doc_id")
     point = F.when(F.col("large"), F.col("fine")).otherwise(F.col("coarse")).alias("point")
-    open_ = known.join(mixed, "h").join(described.select("doc_id", "n", "coarse", "fine"), "doc_id").select("h", "doc_id", "comp", "n", "large", "parts", point)
-    open_ = open_.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    spread = open_.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("h", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "doc_id", "comp", "n", "large", "point")
-    found = spread.repartition(partitions(spark), "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_search, "x long, y long").distinct()
-    more = links(src, described, found)
-    free_shuffles(spark)
-    label = connected_components(star.unionByName(more).toDF("a", "b"))
-    out = member.join(label.toDF("rep", "label"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
+    band = F.floor(F.log("n") / F.log(F.lit(DEN / NUM))).cast("int")
+    kinds = F.when(F.col("hot"), F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band + 1).alias("band"), F.lit(True).alias("guest"))))
+    kinds = kinds.otherwise(F.array(F.struct(F.lit(-1).alias("band"), F.lit(False).alias("guest"))))
+    rows = tables.put(rows.select("h", "doc_id", "comp", "n", "large", point, F.explode(kinds).alias("k")).select("*", "k.band", "k.guest").drop("k"), "spread")
+    cells = rows.groupBy("h", "band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("guest").alias("guests"), F.count("*").alias("m")).filter("a < b and not guests")
+    cells = tables.put(cells.select("h", "band", F.ceil(F.col("m") / CELL).cast("int").alias("parts")), "spread-cells")
+    rows = rows.join(cells, ["h", "band"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.select("h", "band", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "guest", "doc_id", "comp", "n", "large", "point")
+
+
+def _class_labels(src: DataFrame, described: DataFrame, member: DataFrame, copies: DataFrame, tables: Tables) -> DataFrame:
+    """(rep, label): the component of each class that links with another."""
+    postings = join_ids(described.filter("n > 0 and doc_id is not null"), copies, ["doc_id", "n", "d1", "d2"], "left_anti").select("doc_id", F.explode("prefix").alias("h"))
+    cells = postings.groupBy("h").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("b"), F.count("*").alias("m")).filter("leader < b")
+    cells = tables.put(cells.select("h", "leader", F.ceil(F.col("m") / CELL).cast("int").alias("parts")), "cells")
+    rows = tables.put(postings.join(cells, "h").select("h", "doc_id", "leader", "parts"), "cell-rows")
+
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    everywhere = (F.col("doc_id") == F.col("leader")) & (F.col("parts") > 1)
+    trees = rows.withColumn("part", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))))
+    trees = trees.join(described.select("doc_id", "n", "coarse"), "doc_id").select("h", "part", "doc_id", "n", "coarse", everywhere.cast("int").alias("leads"))
+    near = trees.repartition("h", "part").sortWithinPartitions("h", "part", "doc_id").mapInArrow(_first_descent, "x long, y long").distinct()
+    near = links(src, described, near, tables)
+    label = connected_components(near.toDF("a", "b"), tables)
+
+    known = join_ids(rows.select("h", "doc_id"), label.toDF("doc_id", "label"), ["doc_id"], "left").select("h", "doc_id", F.coalesce("label", "doc_id").alias("comp"))
+    spread = _spread(tables.put(known, "known"), described, tables)
+    found = spread.repartition("h", "band", "i", "j").sortWithinPartitions("h", "band", "i", "j", "doc_id").mapInArrow(_second_descent, "x long, y long").distinct()
+    more = links(src, described, found, tables)
+    return connected_components(near.unionByName(more).toDF("a", "b"), tables)
+
+
+def jaccard_components(docs: DataFrame, **columns: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    spark = docs.sparkSession
+    ship(spark)
+    src = id_and_text(docs, **columns)
+    with Tables(spark, "jaccard") as tables:
+        described = tables.put(src.mapInArrow(_describe(common_shingles(src)), DESCRIBED), "described")
+        kinds = ["n", "d1", "d2"]
+        classes = tables.put(described.filter("n > 0 and doc_id is not null").groupBy(*kinds).agg(F.min("doc_id").alias("rep")), "classes")
+        member = described.select("doc_id", *kinds).join(classes, kinds, "left").select("doc_id", *kinds, F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
+        member = tables.put(member, "members")
+        copies = tables.put(member.filter("rep <> doc_id").select("doc_id", *kinds).distinct(), "copies")
+        label = _class_labels(src.filter("doc_id is not null"), described, member, copies, tables)
+        out = member.join(label.toDF("rep", "label"), "rep", "left")
+        return result(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id")), "components")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest doc_id; columns unchanged."""
-    gone = written(jaccard_components(docs).filter("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
+    """``docs`` with one document of each component, that of the smallest doc_id; columns unchanged.
+
+    Rows that repeat the kept doc_id all stay, and so do rows with a null one.
+    """
+    gone = result(jaccard_components(docs).filter("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
     return join_ids(docs, gone, ["doc_id"], "left_anti")
 
 

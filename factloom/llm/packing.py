@@ -2,16 +2,17 @@
 
 Documents are tokenised and closed by id 0; those longer than ``CAPACITY`` ids are cut into full pieces and a rest.  Full
 pieces are sequences of their own.  The others are dealt by a hash into blocks of about ``BLOCK`` pieces, so the work and
-memory of a block stay the same however many blocks there are.  ``ISLANDS`` islands evolve packings of each block from
-different seeds.  Genes are whole bins: crossover injects a choice of the other parent's well-filled bins, drops the bins
+memory of a block stay the same however many blocks there are.  ``ISLANDS`` islands evolve packings of each block, from
+best-fit packings of its pieces in random orders.  Genes are whole bins: crossover injects a choice of the other parent's well-filled bins, drops the bins
 that hold one of the same pieces, and best-fits the displaced pieces, largest first; mutation dissolves the emptiest
 bins in the same way.  After each epoch every island's elite migrates to all islands of its block.  An island stops early
 at the lower bound.  The badly filled bins of all blocks then meet once more in new blocks, as whole bins; the result
 replaces them only where it needs fewer.
 
-Null and empty texts are the single id 0.  Repeated rows are packed each on its own.  Other columns take no part.
-Ids are those of the tokenizer for the whole text: it drops white space and never joins across it, so ids are kept per
-white-space-separated word in a bounded cache.
+Null and empty texts are the single id 0.  Repeated rows are packed each on its own; a null doc_id stays null.  Pieces of
+one length are interchangeable, and ties between packings go to the one found first.  An empty table gives no rows; other
+columns, whatever their names, take no part.  Ids are those of the tokenizer for the whole text: it drops white space and
+never joins across it, so ids are kept per white-space-separated word, by the word itself, in a bounded cache.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, id_and_text, table, written
-from .textwords import SPACE_WORDS, Words, chunks
+from .shared import Tables, id_and_text, result, ship, table
+from .textwords import chunks
 
-CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2048, 4096, 2, 2, 12, 4
+CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, MUTATION = 2048, 4096, 2, 2, 60, 4, 0.1
 #: words whose ids a worker keeps; at this many it starts afresh.
 CACHE = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -36,7 +37,7 @@ PACKED = PIECES + ", sequence_id long, offset long"
 
 
 class WordIds:
-    """Token ids of words, by the words' hashes."""
+    """Token ids of words, kept by the words themselves."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -46,36 +47,30 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.known: dict[bytes, int] = {}
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used, self.bytes = np.zeros(1 << 16, np.uint32), 0, 0
 
-    def ids(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the chunk's words in order, and how many each word has."""
-        if len(self.keys) > CACHE:
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words in order, and how many each word has."""
+        if len(self.known) > CACHE or self.bytes > 64 * CACHE:
             self._clear()
-        distinct, one, back = np.unique(w.hash, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(at, len(self.keys) - 1)] == distinct
-        new = np.flatnonzero(~known)
-        if len(new):
-            text = [w.data[a:b].decode("utf-8", "replace") for a, b in zip(w.start[one[new]].tolist(), w.end[one[new]].tolist(), strict=True)]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(text, add_special_tokens=False)]
+        new = list(dict.fromkeys(x for x in words if x not in self.known))
+        if new:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)]
             size = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.array([i for x in found for i in x], dtype=np.uint32)
             while self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
             self.pool[self.used : self.used + len(flat)] = flat
-            self.at = np.insert(self.at, at[new], self.used + np.cumsum(size) - size)
-            self.size = np.insert(self.size, at[new], size)
-            self.keys = np.insert(self.keys, at[new], distinct[new])
+            self.known.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+            self.at = np.concatenate((self.at, self.used + np.cumsum(size) - size))
+            self.size = np.concatenate((self.size, size))
             self.used += len(flat)
-            at = np.searchsorted(self.keys, distinct)
-        at = at[back]
-        size = self.size[at]
-        total = int(size.sum())
-        return self.pool[np.repeat(self.at[at] - (np.cumsum(size) - size), size) + np.arange(total)], size
+            self.bytes += sum(map(len, new))
+        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        at, size = self.at[which], self.size[which]
+        return self.pool[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))], size
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -85,9 +80,9 @@ def document_ids(texts: list[bytes | None], path: str) -> list[np.ndarray]:
     """The ids of each text, closed by 0."""
     if path not in _WORD_IDS:
         _WORD_IDS[path] = WordIds(path)
-    w = Words(texts, SPACE_WORDS, False)
-    ids, size = _WORD_IDS[path].ids(w)
-    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))[w.first]
+    words = [(x or b"").split() for x in texts]
+    ids, size = _WORD_IDS[path].ids([x for own in words for x in own])
+    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))[np.concatenate((np.zeros(1, np.int64), np.cumsum([len(x) for x in words])))]
     zero = np.zeros(1, np.uint32)
     return [np.concatenate((ids[a:b], zero)) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
@@ -100,7 +95,7 @@ def tokenizer_path() -> str:
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32 (and the ids, if wanted)."""
-    arrow_rows(docs.sparkSession)
+    ship(docs.sparkSession)
     path = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +177,10 @@ def _rebuilt(sizes: np.ndarray, assign: np.ndarray, lose: np.ndarray, capacity:
 
 
 def crossover(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """``a`` with a choice of the well-filled bins of ``b`` injected whole; bins of ``a`` that hold one of their pieces go."""
     fill = np.bincount(b, sizes)
     well = np.flatnonzero(fill >= np.median(fill))
-    pick = rng.choice(well, max(1, len(well) // 3), replace=False)
+    pick = rng.choice(well, int(rng.integers(1, max(2, len(well) // 2 + 1))), replace=False)
     chosen = np.zeros(len(fill), bool)
     chosen[pick] = True
     items = np.flatnonzero(chosen[b])
@@ -196,10 +192,12 @@ def crossover(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, capacity: int, rn
 
 
 def mutate(sizes: np.ndarray, a: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """``a`` with its emptiest bins, and a few others, dissolved."""
     fill = np.bincount(a, sizes)
     lose = np.zeros(len(fill), bool)
-    lose[np.argsort(fill, kind="stable")[: max(2, len(fill) // 50)]] = True
-    lose[rng.choice(len(fill), max(1, len(fill) // 50), replace=False)] = True
+    share = int(len(fill) * MUTATION)
+    lose[np.argsort(fill, kind="stable")[: max(2, share)]] = True
+    lose[rng.choice(len(fill), max(1, share), replace=False)] = True
     return _rebuilt(sizes, a, lose, capacity, [])
 
 
@@ -207,60 +205,75 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return max(-(-int(sizes.sum()) // capacity), int((2 * sizes > capacity).sum()))
 
 
-def evolve(sizes: np.ndarray, elites: list[np.ndarray], seed: int, capacity: int = CAPACITY, generations: int = GENERATIONS) -> np.ndarray:
-    """The best packing (a bin for each piece) that one island finds from the elites it has been sent."""
+def evolve(sizes: np.ndarray, elites: list[np.ndarray], seed: int | list[int], capacity: int = CAPACITY, generations: int = GENERATIONS, population: int = POPULATION, log: dict | None = None) -> np.ndarray:
+    """The best packing (a bin for each piece) that one island finds from the elites it has been sent.
+
+    An island without elites starts from best-fit packings of the pieces in random orders.  ``log`` counts what happens:
+    crossovers, those whose child needed fewer bins than both parents, and the bins of the first and last best.
+    """
     rng = np.random.default_rng(seed)
-    falling = np.argsort(-sizes, kind="stable")
     none = np.full(len(sizes), -1)
-    pop = list(elites) or [best_fit(sizes, falling, capacity, none, [])]
+    pop = list(elites)
+    while len(pop) < population:
+        pop.append(best_fit(sizes, rng.permutation(len(sizes)), capacity, none, []))
     least = lower_bound(sizes, capacity)
-    rank = lambda x: _fitness(sizes, x, capacity)
-    pop.sort(key=rank)
-    if rank(pop[0])[0] <= least:
-        return pop[0]
-    while len(pop) < POPULATION:
-        noisy = np.argsort(-sizes * rng.uniform(0.9, 1.0, len(sizes)), kind="stable")
-        pop.append(best_fit(sizes, noisy, capacity, none, []))
+    pop = sorted(((*_fitness(sizes, x, capacity), k, x) for k, x in enumerate(pop)), key=lambda x: x[:3])
+    log = {} if log is None else log
+    log |= {"crossovers": 0, "fewer": 0, "first": pop[0][0]}
+    born = len(pop)
     for _ in range(generations):
-        i, j = rng.choice(len(pop), 2, replace=False)
-        child = crossover(sizes, pop[min(i, j)], pop[max(i, j)], capacity, rng)
-        pop = sorted([*pop, child, mutate(sizes, child, capacity, rng)], key=rank)[:POPULATION]
-        if rank(pop[0])[0] <= least:
+        if pop[0][0] <= least:
             break
-    return pop[0]
+        i, j = sorted(rng.choice(len(pop), 2, replace=False).tolist())
+        child = crossover(sizes, pop[i][3], pop[j][3], capacity, rng)
+        other = mutate(sizes, child, capacity, rng)
+        log["crossovers"] += 1
+        log["fewer"] += len(np.unique(child)) < pop[i][0]
+        for x in (child, other):
+            born += 1
+            fit = _fitness(sizes, x, capacity)
+            if all(fit != y[:2] for y in pop):  # twins would take the place of other parents
+                pop.append((*fit, born, x))
+        pop = sorted(pop, key=lambda x: x[:3])[:population]
+    log["last"] = pop[0][0]
+    return pop[0][3]
+
+
+_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
+#: what a block holds of its pieces, each as one binary of numbers; no_id: 1 where doc_id is null
+_KINDS = {"doc_id": np.int64, "no_id": np.int8, "piece": np.int32, "start": np.int64, "length": np.int64, "ids_crc32": np.int64, "bin": np.int64}
 
 
-def _pack_blocks(items: DataFrame, capacity: int) -> DataFrame:
-    """items (block, doc_id, piece, start, length, ids_crc32, bin) -> the same with the evolved bins; bin -1: none yet."""
-    cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    kinds = {"doc_id": np.int64, "piece": np.int32, "start": np.int64, "length": np.int64, "ids_crc32": np.int64, "bin": np.int64}
+def _pack_blocks(items: DataFrame, tables: Tables, capacity: int) -> DataFrame:
+    """items (block, the piece's columns, bin) -> the same with the evolved bins, offset and fill; bin -1: none yet."""
 
     def gather(t: pa.Table) -> pa.Table:
-        raw = [pa.array([t.column(c).to_numpy().astype(k).tobytes()], pa.binary()) for c, k in kinds.items()]
-        return pa.Table.from_arrays([t.column("block").combine_chunks()[:1], *raw], ["block", *kinds])
+        raw = [pa.array([t.column(c).to_numpy().astype(k).tobytes()], pa.binary()) for c, k in _KINDS.items()]
+        return pa.Table.from_arrays([t.column("block").combine_chunks()[:1], *raw], ["block", *_KINDS])
 
-    blocks = written(items.groupBy("block").applyInArrow(gather, "block long, " + ", ".join(f"{c} binary" for c in kinds)), "blocks")
+    plain = items.withColumn("no_id", F.col("doc_id").isNull().cast("byte")).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    blocks = tables.put(plain.groupBy("block").applyInArrow(gather, "block long, " + ", ".join(f"{c} binary" for c in _KINDS)), "blocks")
 
     def island(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for block, k, raw, sent in zip(*(b.column(c).to_pylist() for c in ("block", "island", "length", "elites")), strict=True):
-                sizes = np.frombuffer(raw, np.int64)
+            for block, k, epoch, raw, sent in zip(*(b.column(c).to_pylist() for c in ("block", "island", "epoch", "length", "elites")), strict=True):
                 elites = [np.frombuffer(x, np.int64) for x in sent]
-                out.append(evolve(sizes, [x for x in elites if len(x) and x[0] >= 0], abs(hash((block, k, len(elites)))), capacity).astype(np.int64).tobytes())
+                seed = [block & 0xFFFFFFFF, k, epoch]
+                out.append(evolve(np.frombuffer(raw, np.int64), [x for x in elites if len(x) and x[0] >= 0], seed, capacity).astype(np.int64).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("block"), b.column("island"), pa.array(out, pa.binary())], ["block", "island", "elite"])
 
     sizes = blocks.select("block", "length")
     elites = blocks.select("block", F.array("bin").alias("elites"))
-    for _ in range(EPOCHS):
-        isle = sizes.join(elites, "block").select("block", "length", "elites", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
-        done = written(isle.repartition("block", "island").mapInArrow(island, "block long, island int, elite binary"), "elites")
+    for epoch in range(EPOCHS):
+        isle = sizes.join(elites, "block").select("block", "length", "elites", F.lit(epoch).alias("epoch"), F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
+        done = tables.put(isle.repartition("block", "island").mapInArrow(island, "block long, island int, elite binary"), "elites")
         elites = done.groupBy("block").agg(F.sort_array(F.collect_list("elite")).alias("elites"))  # ISLANDS of them: every elite goes to every island
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                own = {c: np.frombuffer(row[c], k) for c, k in kinds.items()}
+                own = {c: np.frombuffer(row[c], k) for c, k in _KINDS.items()}
                 tried = [np.frombuffer(x, np.int64) for x in row["elites"]]
                 if len(own["bin"]) and own["bin"][0] >= 0:
                     tried.append(own["bin"])
@@ -270,35 +283,37 @@ def _pack_blocks(items: DataFrame, capacity: int) -> DataFrame:
                 first = np.concatenate((np.ones(1, bool), np.diff(best[order]) != 0))
                 offset = fill - np.repeat(fill[first], np.diff(np.append(np.flatnonzero(first), len(order))))
                 total = np.bincount(best, own["length"]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), row["block"])), *(pa.array(own[c][order]) for c in cols), pa.array(best[order]), pa.array(offset), pa.array(total[best[order]])], ["block", *cols, "bin", "offset", "fill"])
+                doc_id = pa.array(own["doc_id"][order], mask=own["no_id"][order] > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), row["block"])), doc_id, *(pa.array(own[c][order]) for c in _COLUMNS[1:]), pa.array(best[order]), pa.array(offset), pa.array(total[best[order]])], ["block", *_COLUMNS, "bin", "offset", "fill"])
 
-    return blocks.join(elites, "block").mapInArrow(settle, "block long, " + PIECES + ", bin long, offset long, fill long")
+    return tables.put(blocks.join(elites, "block").mapInArrow(settle, "block long, " + PIECES + ", bin long, offset long, fill long"), "packed")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """Pieces with sequence_id and offset; sequences hold at most ``capacity`` ids."""
-    arrow_rows(pieces.sparkSession)
-    cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    pieces = written(pieces.select(*cols).withColumn("slot", F.monotonically_increasing_id()), "pieces", scan=True)
-    full = pieces.filter(F.col("length") >= capacity).select(*cols, (F.col("slot") * 4).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = pieces.filter(F.col("length") < capacity)
-    blocks = max(1, -(-rest.count() // block))
-    first = written(_pack_blocks(rest.select(F.pmod(F.xxhash64("doc_id", "piece", "slot"), F.lit(blocks)).alias("block"), *cols, F.lit(-1).cast("long").alias("bin")), capacity), "packed")
-    number = (F.col("block") * (1 << 24) + F.col("bin")).alias("group")
-    poor = F.col("fill") < int(0.97 * capacity)
-    good = first.filter(~poor).select(*cols, (F.col("block") * (1 << 24) * 4 + F.col("bin") * 4 + 1).alias("sequence_id"), "offset")
-    # the badly filled bins, whole, in new blocks; bins are numbered anew within each
-    again = first.filter(poor).select(*cols, number)
-    blocks = max(1, -(-again.count() // block))
-    again = again.withColumn("block", F.pmod(F.xxhash64("group", F.lit(5)), F.lit(blocks)))
-
-    def renumber(t: pa.Table) -> pa.Table:
-        _, bin_ = np.unique(t.column("group").to_numpy(), return_inverse=True)
-        return t.select(["block", *cols]).append_column("bin", pa.array(bin_.astype(np.int64)))
-
-    again = again.groupBy("block").applyInArrow(renumber, "block long, " + PIECES + ", bin long")
-    second = _pack_blocks(again, capacity).select(*cols, (F.col("block") * (1 << 24) * 4 + F.col("bin") * 4 + 2).alias("sequence_id"), "offset")
-    return full.unionByName(good).unionByName(second)
+    spark, cols = pieces.sparkSession, _COLUMNS
+    ship(spark)
+    with Tables(spark, "packing") as tables:
+        pieces = tables.put(pieces.select(*cols).withColumn("slot", F.monotonically_increasing_id()), "pieces")
+        full = pieces.filter(F.col("length") >= capacity).select(*cols, (F.col("slot") * 4).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        rest = pieces.filter(F.col("length") < capacity)
+        blocks = max(1, -(-rest.count() // block))
+        first = _pack_blocks(rest.select(F.pmod(F.xxhash64("slot"), F.lit(blocks)).alias("block"), *cols, F.lit(-1).cast("long").alias("bin")), tables, capacity)
+        number = (F.col("block") * (1 << 24) + F.col("bin")).alias("group")
+        poor = F.col("fill") < int(0.97 * capacity)
+        good = first.filter(~poor).select(*cols, (F.col("block") * (1 << 24) * 4 + F.col("bin") * 4 + 1).alias("sequence_id"), "offset")
+        # the badly filled bins, whole, in new blocks; bins are numbered anew within each
+        again = first.filter(poor).select(*cols, number)
+        blocks = max(1, -(-again.count() // block))
+        again = again.withColumn("block", F.pmod(F.xxhash64("group", F.lit(5)), F.lit(blocks)))
+
+        def renumber(t: pa.Table) -> pa.Table:
+            _, bin_ = np.unique(t.column("group").to_numpy(), return_inverse=True)
+            return t.select(["block", *cols]).append_column("bin", pa.array(bin_.astype(np.int64)))
+
+        again = again.groupBy("block").applyInArrow(renumber, "block long, " + PIECES + ", bin long")
+        second = _pack_blocks(again, tables, capacity).select(*cols, (F.col("block") * (1 << 24) * 4 + F.col("bin") * 4 + 2).alias("sequence_id"), "offset")
+        return result(full.unionByName(good).unionByName(second), "sequences")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:

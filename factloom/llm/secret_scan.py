@@ -14,7 +14,7 @@ those of the smallest hashes in the corpus (the bound of this classifier's sampl
 teach nothing).  Base places cover all texts.
 
 A null text is empty; an empty text has no spans.  Repeated rows are scanned alike.  A kind without labelled values adds
-no spans; without any table rows there are no rows.  Other columns take no part.
+no spans; without any table rows there are no rows.  A null doc_id is kept as it is.  Other columns take no part.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, id_and_text, table
+from .shared import id_and_text, ship, table
 from .textwords import chunks
 
 #: kinds in the contract's order: (pattern, group that must be long enough, its least length) (fixed values)
@@ -186,7 +186,7 @@ def _hash(kind: str, value: bytes) -> int:
 
 def learn(docs: DataFrame, **columns: str) -> Formats:
     """The formats of the credentials in ``docs``."""
-    arrow_rows(docs.sparkSession)
+    ship(docs.sparkSession)
     most = {**dict.fromkeys(BASE, SAMPLE), "ordinary": ORDINARY}
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +225,7 @@ def learn(docs: DataFrame, **columns: str) -> Formats:
 def find_secrets(docs: DataFrame, formats: Formats, **columns: str) -> DataFrame:
     """One row per document: base counts, base and all spans (kind:start:end in code points), n_like, the best candidate's score."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    ship(spark)
     shared = spark.sparkContext.broadcast(formats)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,53 +1,125 @@
-"""What the operators of this subpackage share on Spark's side: folders that all executors see, and Arrow batch sizes."""
+"""What the operators of this subpackage share on Spark's side: tables that all executors see, and the package on workers."""
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
+import importlib.util
+import os
+import sys
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
 from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: rows handed to Python at a time; documents are chunked by bytes again on the other side.
-ARROW_ROWS = 512
-
-
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+_RESULTS: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; in a session without it (as in tests on one machine), a temporary one."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one where it is unset and all of Spark runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        app = spark.sparkContext.applicationId
-        folder = _OWN.setdefault(app, _OWN.get(app) or tempfile.mkdtemp(prefix="factloom-"))
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _OWN.setdefault(context.applicationId, _OWN.get(context.applicationId) or tempfile.mkdtemp(prefix="factloom-"))
     return folder.rstrip("/")
 
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Readies the session for Arrow functions: their batch size, and where workers on this machine find the package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once a session, unless they find it on their own path."""
+    root = Path(__file__).resolve().parents[2]
+    on_path = {*os.environ.get("PYTHONPATH", "").split(os.pathsep), *(p for p in sys.path if p.endswith(("site-packages", "dist-packages")))}
+    context = spark.sparkContext
+    if str(root) in on_path or context.applicationId in _SHIPPED or importlib.util.find_spec("factloom") is None:
+        return
+    _SHIPPED.add(context.applicationId)
+    archive = Path(tempfile.mkdtemp(prefix="factloom-")) / "factloom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted((root / "factloom").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    context.addPyFile(str(archive))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as the query that made them ends; the session's own setting comes back afterwards."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+class Tables:
+    """The Parquet tables that one call writes in the shared folder, all deleted when its ``with`` ends.
+
+    A table cuts the lineage and survives the loss of any executor.  Spark chooses the number of tasks that write it.
+    """
 
+    def __init__(self, spark: SparkSession, what: str) -> None:
+        self.spark, self.folder, self._n = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}", 0
 
-#: write tasks for each core of the cluster; tables made by shuffles are written by no more tasks than this.
-WRITERS = 4
+    def __enter__(self) -> Tables:
+        return self
 
+    def __exit__(self, *_: object) -> None:
+        _delete(self.spark, self.folder)
 
-def written(df: DataFrame, what: str, scan: bool = False) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, and survives the loss of any executor.
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        self._n += 1
+        path = f"{self.folder}/{self._n}-{name}"
+        with freed_shuffles(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._table_path = path  # dropped by ``drop``
+        return out
 
-    ``scan``: it comes straight from an input, or is sorted across its parts, and is written by its own tasks.
-    """
-    spark = df.sparkSession
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            _delete(self.spark, t._table_path)
+
+
+def result_folder(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, deleted when the driver's Python ends."""
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    (df if scan else df.coalesce(WRITERS * spark.sparkContext.defaultParallelism)).write.parquet(path)
+    _RESULTS.append((spark, path))
+    return path
+
+
+def result(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a table that outlives the call that made it."""
+    spark = df.sparkSession
+    path = result_folder(spark, what)
+    with freed_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@atexit.register
+def _forget() -> None:
+    for spark, path in _RESULTS:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            _delete(spark, path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -57,25 +129,6 @@ def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files behind a table made by ``written``."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.startswith(shared_folder(spark)) or shared_folder(spark).split(":", 1)[-1] in path:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 #: rows of a few numbers that may be broadcast; beyond it the join is left to a shuffle.
 BROADCAST_ROWS = 1_000_000
 

@@ -2,37 +2,44 @@
 
 A window is ``WINDOW`` consecutive words of one document.  Of each window the fingerprint is its smallest ``GRAM``-word
 hash, so equal windows have equal fingerprints and neighbouring windows mostly share one: a document has about one
-fingerprint in 22 words.  The index keeps them as immutable runs of (hash, batch, doc_id), sorted by hash; each
-new batch is written as one more run, and runs are compacted into one when there are more than ``FANOUT``.
+fingerprint in 22 words.
 
-Adding a batch merge-joins its run with the historical runs on the hash.  Fingerprints of one document only are done
-with.  Where a fingerprint is shared, the windows around it are taken from the texts of both sides again and compared
-by 128 bits; the first document of each window, by (batch, doc_id), owns it, and every other document of the batch loses
-the words that the window covers.  Whole copies of an earlier document are found by the digest of their words first:
-they lose everything, and add nothing to the index.
+The index holds immutable runs, bucketed and sorted by fingerprint, with one row for each fingerprint: the batches it occurs
+in.  A new batch is written as one more run; when there are more than ``FANOUT`` runs the two smallest are merged.  Lookup
+and merging are merge joins of buckets, without an exchange.  Beside the runs stands a log of each batch: its postings
+(fingerprint, doc_id) and its texts, which are read only of batches that share a fingerprint with the new one.
+
+Adding a batch merge-joins its run with the historical runs.  Where a fingerprint is shared, in history or inside the batch,
+the windows around it are taken from the texts again and compared by 128-bit BLAKE2 digests of their words; the first
+document of each window, by (batch, doc_id), owns it, and every other document of the batch loses the words that the
+window covers.  Whole copies of an earlier document are found first, in runs of SHA-256 digests of their words: they lose
+everything, and add nothing to the index.
+
+An index in a folder of its own can be opened again: every batch ends with a new manifest, and one without a finished
+manifest is not part of it.  Batches, buckets and run sizes don't change results, only the order of batches does.
 
 All steps are joins and grouped minima with partial aggregation; no group is ever gathered, however many copies it has.
 Null and empty texts have no words; documents below ``WINDOW`` words lose none; windows repeated inside one document
-only are kept; rows that repeat a doc_id do not remove each other's words; other columns take no part.
-A null doc_id comes before all others and is in the first batch.
+only are kept; rows that repeat a doc_id do not remove each other's words.  A null doc_id comes before all others and is in
+the first batch.  An empty table gives no rows; other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, drop_written, free_shuffles, id_and_text, join_same, partitions, table, written
-from .textwords import SPACE_WORDS, Words, chunks, mix, window_hashes
+from .shared import Tables, freed_shuffles, id_and_text, join_ids, join_same, result, ship, table
+from .textwords import SPACE_WORDS, Words, chunks, window_hashes
 
-WINDOW, GRAM, FANOUT = 50, 8, 4
-_SECOND = np.uint64(0xD1B54A32D192ED03)
-NOTHING = hashlib.sha256(b"").hexdigest()
+WINDOW, GRAM, FANOUT, BATCHES = 50, 8, 2, 3
 
 
 def fingerprints(w: Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,24 +79,27 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 DESCRIBED = "doc_id long, n_words long, digest binary, hashes array<long>"
 
 
-def _candidates(w: Words, shared: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, two hashes) of the windows of one document whose fingerprint is one of ``shared``."""
+def _candidates(w: Words, shared: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(start, two numbers of a digest) of the windows of one document whose fingerprint is one of ``shared``."""
     at, _, h = fingerprints(w)
     at = at[np.isin(h, np.array(shared, dtype=np.int64).view(np.uint64))]
-    return at, window_hashes(w.hash, WINDOW)[at], window_hashes(mix(w.hash ^ _SECOND), WINDOW)[at]
+    words = w.text(0, len(w))
+    whole = b" ".join(words)
+    start = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.fromiter((len(x) + 1 for x in words), np.int64, len(words)))))
+    digest = b"".join(hashlib.blake2b(whole[a:b], digest_size=16).digest() for a, b in zip(start[at].tolist(), (start[at + WINDOW] - 1).tolist(), strict=True))
+    return at, np.frombuffer(digest, np.int64).reshape(-1, 2)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in chunks(batches):
-        first, second, row = [], [], []
+        both, row = [], []
         for i, (text, shared) in enumerate(zip(texts, part.column("shared").to_pylist(), strict=True)):
-            _, a, b = _candidates(Words([text], SPACE_WORDS, False), shared)
-            a, one = np.unique(a, return_index=True)
-            first.append(a)
-            second.append(b[one])
-            row.append(np.full(len(a), i))
-        at = pa.array(np.concatenate(row))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.concatenate(second).view(np.int64)), part.column("batch").take(at), part.column("doc_id").take(at)], ["w1", "w2", "batch", "doc_id"])
+            _, d = _candidates(Words([text], SPACE_WORDS, False), shared)
+            _, one = np.unique(d[:, 0], return_index=True)
+            both.append(d[one])
+            row.append(np.full(len(one), i))
+        at, d = pa.array(np.concatenate(row)), np.concatenate(both)
+        yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), part.column("batch").take(at), part.column("doc_id").take(at)], ["w1", "w2", "batch", "doc_id"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,103 +107,200 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, n, kept = [], [], []
         for text, shared, owned in zip(texts, part.column("shared").to_pylist(), part.column("owned").to_pylist(), strict=True):
             w = Words([text], SPACE_WORDS, False)
-            at, a, _ = _candidates(w, shared)
-            at = at[~np.isin(a, np.array(owned or [], dtype=np.int64).view(np.uint64))]
+            at, d = _candidates(w, shared)
+            at = at[~np.isin(d[:, 0], np.array(owned or [], dtype=np.int64))]
             edge = np.zeros(len(w) + 1, dtype=np.int64)
             np.add.at(edge, at, 1)
             np.add.at(edge, at + WINDOW, -1)
             gone = np.cumsum(edge)[:-1] > 0
-            words = (text or b"").split()
+            words = w.text(0, len(w))
             digest.append(hashlib.sha256(b" ".join(words)).digest())
             n.append(int(gone.sum()))
             kept.append(b" ".join([x for x, out in zip(words, gone.tolist(), strict=True) if not out]).decode("utf-8", "replace"))
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "digest", "n_removed", "kept"])
 
 
-class FingerprintIndex:
-    """Runs of the batches added so far, and the documents they came from (read again where fingerprints are shared)."""
+class Runs:
+    """Immutable runs of one kind of key, in ``buckets`` buckets by h and sorted in each; one row for each h (and payload)."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, buckets: int, paths: list[str]) -> None:
+        self.spark, self.folder, self.schema, self.buckets = spark, folder, schema, buckets
+        self.names: dict[str, str] = {}
+        self.paths = list(paths)
+        for p in paths:
+            self.names[p] = self._name()
+            spark.sql(f"CREATE TABLE {self.names[p]} ({schema}) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {buckets} BUCKETS LOCATION '{p}'")
+
+    @staticmethod
+    def _name() -> str:
+        return f"factloom_run_{uuid.uuid4().hex}"
+
+    def write(self, rows: DataFrame) -> str:
+        """``rows`` as a run that is looked up only once it is among ``paths``. Rows of a bucket must stand in one partition."""
+        name = self._name()
+        path = f"{self.folder}/{name}"
+        with freed_shuffles(self.spark):
+            rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
+        self.names[path] = name
+        return path
 
-    def __init__(self, spark: SparkSession) -> None:
-        arrow_rows(spark)
-        self.spark, self.batch = spark, 0
-        self.runs: list[DataFrame] = []
-        self.digests: list[DataFrame] = []
-        self.history: DataFrame | None = None
+    def read(self, path: str) -> DataFrame:
+        return self.spark.table(self.names[path])
 
-    def add(self, docs: DataFrame) -> DataFrame:
+    def forget(self) -> None:
+        """Takes the names out of the session; the files stay."""
+        for name in self.names.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+class FingerprintIndex:
+    """Runs and logs of the batches added so far, in ``folder``; opened again if there is an index already."""
+
+    FINGERPRINTS = "h BIGINT, many BOOLEAN, batches ARRAY<INT>"
+    DIGESTS = "h BIGINT, digest BINARY, many BOOLEAN, first STRUCT<batch: INT, doc_id: BIGINT>"
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None, fanout: int = FANOUT) -> None:
+        ship(spark)
+        self.spark, self.folder, self.fanout = spark, folder.rstrip("/"), fanout
+        self.log = {"merges": 0}
+        state = self._manifest()
+        self.batch = state.get("batch", 0)
+        buckets = state.get("buckets") or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.fingerprints = Runs(spark, self.folder, self.FINGERPRINTS, buckets, state.get("fingerprints", []))
+        self.digests = Runs(spark, self.folder, self.DIGESTS, buckets, state.get("digests", []))
+        self.sizes: dict[str, int] = state.get("sizes", {})  # of each run, in batches
+
+    def _files(self, path: str) -> tuple:
+        """Hadoop's path and file system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{path}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _manifest(self) -> dict:
+        """The newest manifest."""
+        path, files = self._files("manifest-*.json")
+        names = {int(x.getPath().getName()[9:-5]): x.getPath().toString() for x in files.globStatus(path) or []}
+        return json.loads(self.spark.read.text(names[max(names)], wholetext=True).first()[0]) if names else {}
+
+    def _commit(self) -> None:
+        """Makes the batch part of the index: a manifest that is moved into place whole."""
+        state = {"batch": self.batch, "buckets": self.fingerprints.buckets, "fingerprints": self.fingerprints.paths, "digests": self.digests.paths, "sizes": self.sizes}
+        under_way, files = self._files(f"new-{uuid.uuid4().hex}.json")
+        out = files.create(under_way)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        files.rename(under_way, self._files(f"manifest-{self.batch}.json")[0])
+
+    def _logged(self, kind: str, batch: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{kind}-{batch}").withColumn("batch", F.lit(batch))
+
+    def _new_run(self, runs: Runs, keys: DataFrame) -> str:
+        """``keys`` (grouped by h) as a run; the exchange of the grouping is the one that deals them to buckets."""
+        path = runs.write(keys.repartition(runs.buckets, "h"))
+        self.sizes[path] = 1
+        return path
+
+    def _merge(self, runs: Runs, combine: dict[str, Column]) -> None:
+        """The two smallest runs become one, by a merge join of their buckets, until there are ``fanout``."""
+        while len(runs.paths) > self.fanout:
+            one, two = sorted(runs.paths, key=lambda p: self.sizes[p])[:2]
+            a, b = runs.read(one).alias("a"), runs.read(two).alias("b")
+            both = a.join(b, F.col("a.h") == F.col("b.h"), "full").select(F.coalesce("a.h", "b.h").alias("h"), *[x.alias(c) for c, x in combine.items()])
+            path = runs.write(both)
+            self.sizes[path] = self.sizes[one] + self.sizes[two]
+            runs.paths = [p for p in runs.paths if p not in (one, two)] + [path]
+            self.log["merges"] += 1
+
+    def add(self, docs: DataFrame, tables: Tables) -> DataFrame:
         """Indexes ``docs`` (doc_id, text) and returns, per row: doc_id, n_words, n_removed, kept (null: the text's words as they are), digest (of all its words)."""
-        self.batch += 1
-        now = F.lit(self.batch)
+        now = F.lit(self.batch + 1)
         src = docs.select("doc_id", "text")
-        described = written(src.mapInArrow(_describe, DESCRIBED), "described", scan=True)
-
-        digests = described.filter(F.col("n_words") >= WINDOW).groupBy("digest").agg(F.min(F.struct(now.alias("batch"), "doc_id")).alias("first"))
-        for old in self.digests:
-            digests = digests.unionByName(old)
-        digests = written(digests.groupBy("digest").agg(F.min("first").alias("first")), "digests")
-        for old in self.digests:
-            drop_written(old)
-        self.digests = [digests]
-        earlier = F.col("first") < F.struct(now.alias("batch"), F.col("doc_id"))
-        marked = described.join(digests, "digest", "left").withColumn("copy", F.coalesce(earlier, F.lit(False)))
-
-        run = marked.filter("not copy").select(F.explode("hashes").alias("h"), now.alias("batch"), "doc_id")
-        self.runs.append(written(run.repartitionByRange(partitions(self.spark), "h", "doc_id").sortWithinPartitions("h", "doc_id"), "run", scan=True))
-        postings = self.runs[0]
-        for more in self.runs[1:]:
-            postings = postings.unionByName(more)
+        described = tables.put(src.mapInArrow(_describe, DESCRIBED), "described")
+        log = f"{self.folder}/{{}}-{self.batch + 1}"
+
+        # whole copies, by merge joins of digests
+        first = F.min(F.struct(now.alias("batch"), "doc_id")).alias("first")
+        own = described.filter(F.col("n_words") >= WINDOW).groupBy("digest").agg(first, (F.count("*") > 1).alias("many"))
+        run = self._new_run(self.digests, own.select(F.xxhash64("digest").alias("h"), "digest", "many", "first"))
+        seen = self.digests.read(run)
+        for k, path in enumerate(self.digests.paths):
+            old = self.digests.read(path).select("h", F.col("digest").alias(f"d{k}"), F.col("first").alias(f"f{k}"))
+            seen = seen.join(old, "h", "left")
+        known = [F.when(F.col(f"d{k}") == F.col("digest"), F.col(f"f{k}")) for k in range(len(self.digests.paths))]
+        owner = F.coalesce(*known, F.col("first"))
+        repeated = tables.put(seen.filter(F.col("many") | (owner < F.col("first"))).groupBy("digest").agg(F.min(owner).alias("owner")), "repeated")
+        copy = F.coalesce(F.col("owner") < F.struct(now.alias("batch"), F.col("doc_id")), F.lit(False))
+        marked = tables.put(join_ids(described, repeated, ["digest"], "left").withColumn("copy", copy).drop("owner"), "marked")
+        tables.drop(described, repeated)
+
+        # this batch's run and log
+        with freed_shuffles(self.spark):
+            marked.filter("not copy").select(F.explode("hashes").alias("h"), "doc_id").write.mode("overwrite").parquet(log.format("postings"))
+            src.filter(F.octet_length("text") >= 2 * WINDOW - 1).write.mode("overwrite").parquet(log.format("texts"))
+        postings = self._logged("postings", self.batch + 1)
+        keys = postings.groupBy("h").agg((F.count("*") > 1).alias("many"))
+        fresh = self._new_run(self.fingerprints, keys.select("h", "many", F.array(now).alias("batches")))
+
+        # merge join with history
+        seen = self.fingerprints.read(fresh)
+        for k, path in enumerate(self.fingerprints.paths):
+            seen = seen.join(self.fingerprints.read(path).select("h", F.col("batches").alias(f"b{k}")), "h", "left")
+        past = [F.coalesce(f"b{k}", F.array().cast("array<int>")) for k in range(len(self.fingerprints.paths))]
+        batches = F.concat("batches", *past).alias("batches")
+        shared = tables.put(seen.select("h", "many", batches).filter("many or size(batches) > 1").select("h", F.explode("batches").alias("batch")), "shared-hashes")
+        hit = sorted(r.batch for r in shared.select("batch").distinct().collect())  # one number a batch
 
+        self.batch += 1
+        found = self._found(shared, hit, tables)
         who = F.struct("batch", "doc_id")
-        shared = postings.groupBy("h").agg(F.min(who).alias("a"), F.max(who).alias("b")).filter((F.col("a") < F.col("b")) & (F.col("b.batch") == now)).select("h")
-        shared = written(shared, "shared-hashes")  # so both sides of the join are exchanges, which adaptive execution can split
-        by_doc = postings.join(shared, "h").groupBy("doc_id", "batch").agg(F.collect_set("h").alias("shared"))
-        texts = src.withColumn("batch", now)
-        self.history = texts if self.history is None else self.history.unionByName(texts)
-        found = written(join_same(self.history, by_doc, ["doc_id", "batch"]), "shared")
-
         owners = found.mapInArrow(_windows, "w1 long, w2 long, batch int, doc_id long").groupBy("w1", "w2").agg(F.min(who).alias("o"))
         owned = owners.filter(F.col("o.batch") == now).groupBy(F.col("o.doc_id").alias("doc_id")).agg(F.collect_list("w1").alias("owned"))
         changed = join_same(found.filter(F.col("batch") == now), owned, ["doc_id"], "left").mapInArrow(_removed, "doc_id long, digest binary, n_removed long, kept string")
-        changed = changed.filter("n_removed > 0").dropDuplicates(["doc_id", "digest"])
+        changed = tables.put(changed.filter("n_removed > 0").dropDuplicates(["doc_id", "digest"]), "changed")
         copied = F.struct(F.col("n_words").alias("n_removed"), F.lit("").alias("kept"))
         cut = F.struct(F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.col("kept"))
-        done = join_same(marked, changed, ["doc_id", "digest"], "left").withColumn("r", F.when(F.col("copy"), copied).otherwise(cut))
-        out = written(done.select("doc_id", "n_words", "r.n_removed", "r.kept", "digest"), "deduplicated")
-        drop_written(described)
-        drop_written(found)
-        self._compact()
-        free_shuffles(self.spark)
+        done = join_same(marked.drop("hashes"), changed, ["doc_id", "digest"], "left").withColumn("r", F.when(F.col("copy"), copied).otherwise(cut))
+        out = tables.put(done.select("doc_id", "n_words", "r.n_removed", "r.kept", "digest"), "deduplicated")
+        tables.drop(marked, shared, changed, *([found] if hit else []))
+
+        self.fingerprints.paths.append(fresh)
+        self.digests.paths.append(run)
+        either = [F.coalesce(f"{x}.batches", F.array().cast("array<int>")) for x in "ab"]
+        self._merge(self.fingerprints, {"many": F.lit(True), "batches": F.concat(*either)})
+        self._merge(self.digests, {"digest": F.coalesce("a.digest", "b.digest"), "many": F.lit(True), "first": F.coalesce(F.least("a.first", "b.first"), "a.first", "b.first")})
+        self._commit()
         return out
 
-    def _compact(self) -> None:
-        if len(self.runs) <= FANOUT:
-            return
-        merged = self.runs[0]
-        for more in self.runs[1:]:
-            merged = merged.unionByName(more)
-        merged = written(merged.repartitionByRange(partitions(self.spark), "h", "doc_id").sortWithinPartitions("h", "doc_id"), "run", scan=True)
-        for old in self.runs:
-            drop_written(old)
-        self.runs = [merged]
+    def _found(self, shared: DataFrame, hit: list[int], tables: Tables) -> DataFrame:
+        """batch, doc_id, text, shared: the documents that hold fingerprints in ``shared`` (h, batch), with these."""
+        if not hit:
+            return self.spark.createDataFrame([], "batch int, doc_id long, text binary, shared array<long>")
+        postings, texts = self._logged("postings", hit[0]), self._logged("texts", hit[0])
+        for b in hit[1:]:
+            postings, texts = postings.unionByName(self._logged("postings", b)), texts.unionByName(self._logged("texts", b))
+        by_doc = postings.join(shared, ["h", "batch"]).groupBy("doc_id", "batch").agg(F.collect_set("h").alias("shared"))
+        return tables.put(join_same(texts, by_doc, ["doc_id", "batch"]).select("batch", "doc_id", "text", "shared"), "found")
 
 
-def dedup_substrings(docs: DataFrame, batches: int = 2, **columns: str) -> DataFrame:
+def dedup_substrings(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, **columns: str) -> DataFrame:
     """``docs`` added to an empty index in ``batches`` ranges of rising doc_id; the rows of ``FingerprintIndex.add``."""
     src = id_and_text(docs, **columns)
-    index = FingerprintIndex(docs.sparkSession)
-    cuts = src.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
-    bounds = [None, *sorted({int(x) for x in cuts}), None]
-    out = None
-    for low, high in zip(bounds, bounds[1:], strict=False):
-        own = src
-        if low is not None:
-            own = own.filter(F.col("doc_id") >= low)
-        if high is not None:
-            below = F.col("doc_id") < high
-            own = own.filter(below | F.col("doc_id").isNull() if low is None else below)
-        rows = index.add(own)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    with Tables(docs.sparkSession, "substring-dedup") as tables:
+        index = FingerprintIndex(docs.sparkSession, f"{tables.folder}/index", fanout=fanout)
+        cuts = src.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
+        bounds = [None, *sorted({int(x) for x in cuts}), None]
+        out = None
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            own = src
+            if low is not None:
+                own = own.filter(F.col("doc_id") >= low)
+            if high is not None:
+                below = F.col("doc_id") < high
+                own = own.filter(below | F.col("doc_id").isNull() if low is None else below)
+            rows = index.add(own, tables)
+            out = rows if out is None else out.unionByName(rows)
+        index.fingerprints.forget()
+        index.digests.forget()
+        return result(out, "deduplicated")
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,9 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK = 1 << 20
-#: bytes hashed at a time inside a chunk; bounds the 8-byte-per-byte temporaries for very long documents.
+#: words are hashed by a quarter of this many at a time; bounds the temporaries of very long documents.
 BLOCK = 1 << 20
 
 _SPACES = np.zeros(256, dtype=bool)
@@ -25,9 +26,11 @@ for _a, _b in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
 #: word bytes of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after A-Z have been lower-cased
 ALNUM_WORDS = _ALNUM
 
-_BYTE_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0x2545F4914F6CDD1D
-_BYTE_TABLE = np.random.default_rng(20240229).integers(0, 2**64 - 1, 256, dtype=np.uint64) | np.uint64(1)
+#: keys of the two families of word hashes
+_KEYS = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+#: words of at most this many bytes are hashed from two machine words, longer ones by xxh3
+SHORT = 16
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1] * (SHORT + 1 - 8), dtype=np.uint64)
 
 
 def mix(z: np.ndarray) -> np.ndarray:
@@ -37,23 +40,21 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, kept up to the longest length asked for."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 2**64)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << max(10, int(n - 1).bit_length())
-            up, down = np.full(size, self.base, np.uint64), np.full(size, self.inverse, np.uint64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        return self.up[:n], self.down[:n]
-
-
-_BYTE_POWERS, _WORD_POWERS = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+def byte_hashes(data: bytes, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
+    """64-bit hashes of the slices data[start:end]. Up to 8 bytes, slices of one length differ surely; else with chance 2**-64."""
+    one, two = (np.uint64(k) for k in _KEYS[family])
+    out = np.empty(len(start), dtype=np.uint64)
+    padded = data + bytes(SHORT)
+    eight = np.ndarray((len(data) + 8,), dtype="<u8", buffer=padded, strides=(1,))
+    size = end - start
+    for a in range(0, len(start), BLOCK >> 2):
+        s, n = start[a : a + (BLOCK >> 2)], np.minimum(size[a : a + (BLOCK >> 2)], SHORT)
+        low = eight[s] & _MASK[n]
+        high = np.where(n > 8, eight[np.minimum(s + 8, len(data))] & _MASK[np.maximum(n - 8, 0)], np.uint64(0))
+        out[a : a + (BLOCK >> 2)] = mix(mix(low ^ one) + high * two + n.astype(np.uint64))
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]], _KEYS[family][0])
+    return out
 
 
 class Words:
@@ -66,33 +67,9 @@ class Words:
         lengths = np.fromiter((len(x) + 1 for x in texts), dtype=np.int64, count=len(texts))
         self.doc_start = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths)))
         buf = np.frombuffer(self.data, dtype=np.uint8)
-        starts, ends, hashes = [], [], []
-        at = 0
-        while at < len(buf):
-            stop = min(at + BLOCK, len(buf))
-            if stop < len(buf):  # end the block behind a byte that is in no word
-                back = np.flatnonzero(~table[buf[at:stop]])
-                if len(back):
-                    stop = at + int(back[-1]) + 1
-                else:  # one word fills the block: take it whole
-                    ahead = stop
-                    while table[buf[ahead]]:
-                        ahead += 1
-                    stop = ahead + 1
-            b = buf[at:stop]
-            edges = np.flatnonzero(np.diff(np.concatenate((np.zeros(1, np.int8), table[b].view(np.int8), np.zeros(1, np.int8)))))
-            s, e = edges[::2], edges[1::2]
-            up, down = _BYTE_POWERS.get(len(b))
-            total = np.empty(len(b) + 1, dtype=np.uint64)
-            total[0] = 0
-            np.cumsum(_BYTE_TABLE[b] * up, dtype=np.uint64, out=total[1:])
-            hashes.append(mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)))
-            starts.append(s + at)
-            ends.append(e + at)
-            at = stop
-        none = np.zeros(0, np.int64)
-        self.start, self.end = np.concatenate([none, *starts]), np.concatenate([none, *ends])
-        self.hash = np.concatenate([none.view(np.uint64), *hashes])
+        edges = np.flatnonzero(np.diff(np.concatenate((np.zeros(1, np.int8), table[buf].view(np.int8), np.zeros(1, np.int8)))))
+        self.start, self.end = edges[::2], edges[1::2]
+        self.hash = byte_hashes(self.data, self.start, self.end)
         self.first = np.searchsorted(self.start, self.doc_start)
 
     def __len__(self) -> int:
@@ -118,15 +95,23 @@ class Words:
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hash of each ``k`` consecutive entries of ``words``, in order."""
-    n = len(words) - k + 1
-    if n <= 0:
+    """64-bit hash of each ``k`` consecutive entries of ``words``, in order: halves are hashed and mixed, so no sum or power of entries can cancel."""
+    if k < 1 or len(words) < k:
         return np.zeros(0, np.uint64)
-    up, down = _WORD_POWERS.get(len(words))
-    total = np.empty(len(words) + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(words * up, dtype=np.uint64, out=total[1:])
-    return mix((total[k:] - total[:n]) * down[:n])
+    out, done, power, size = None, 0, words, 1
+    while True:
+        if k & size:
+            own = power[: len(words) - size + 1]
+            out = own if out is None else joined(out[: len(words) - done - size + 1], own[done : len(words) - size + 1])
+            done += size
+        if done == k:
+            return mix(out + np.uint64(k))
+        power = joined(power[: len(power) - size], power[size:])
+        size *= 2
+
+
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * np.uint64(0x2545F4914F6CDD1D) + (right ^ np.uint64(0x9E6C63D0876A9A47)))
 
 
 def hash_words(words: list[str]) -> np.ndarray:

@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.llm.shared import Tables
+from factloom.llm.textwords import ALNUM_WORDS, Words, joined
 from factloom.llm import decontaminate, language_id, license_scan, line_dedup, ngram_jaccard, packing, secret_scan, substring_dedup, topk_search, toxicity
 
 random.seed(5)
@@ -147,12 +149,39 @@ def test_substring_dedup_null_ids(spark, batches):
     assert rows == [(0, 0), (0, 0), (1, 60), (2, 0)]
 
 
-def test_fingerprint_index_compacts(spark):
-    index = substring_dedup.FingerprintIndex(spark)
-    for n in range(substring_dedup.FANOUT + 2):
-        rows = index.add(spark.createDataFrame([(n, SHARED + f" end{n}")], "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("text")))
-        assert rows.first().n_removed == (0 if n == 0 else 60)
-    assert len(index.runs) <= substring_dedup.FANOUT
+def test_fingerprint_index_merges_and_opens_again(spark, tmp_path):
+    batch = lambda n: spark.createDataFrame([(n, SHARED + f" end{n}"), (100 + n, prose(60))], "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("text"))
+    merges = 0
+    with Tables(spark, "test") as tables:
+        for n in range(substring_dedup.FANOUT + 2):
+            index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/index", buckets=3)
+            assert index.batch == n
+            rows = {r.doc_id: r.n_removed for r in index.add(batch(n), tables).collect()}
+            assert rows == {n: 0 if n == 0 else 60, 100 + n: 0}
+            assert len(index.fingerprints.paths) <= substring_dedup.FANOUT >= len(index.digests.paths)
+            merges += index.log["merges"]
+            plan = index.fingerprints.read(index.fingerprints.paths[0]).join(index.fingerprints.read(index.fingerprints.paths[-1]).hint("merge"), "h")._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan
+            index.fingerprints.forget()
+            index.digests.forget()
+    assert merges == 4
+
+
+def thue_morse(n):
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomials_confuse(spark):
+    one, two = thue_morse(2048)
+    texts = [f"{one} {SHARED}", f"{two} {SHARED}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(substring_dedup.dedup_substrings(docs), "n_words", "n_removed")
+    assert got == {0: (61, 0), 1: (61, 60)}
+    crc = {r.doc_id: r.ids_crc32 for r in packing.token_pieces(docs).collect() if r.piece == 0}
+    assert crc[0] != crc[1]
 
 
 # ---------------------------------------------------------------- 4 n-gram Jaccard join
@@ -182,6 +211,58 @@ def test_jaccard_chains(spark):
     assert by_id(ngram_jaccard.jaccard_components(docs), "n_shingles", "component_id") == components(chain)
 
 
+def test_jaccard_hot_cells(spark, monkeypatch):
+    """Small limits, so that cells are cut into parts and bands and searched with fine points."""
+    monkeypatch.setattr(ngram_jaccard, "CELL", 12)
+    monkeypatch.setattr(ngram_jaccard, "LARGE", 10)
+    base = prose(60).split()
+    texts = []
+    for k in range(70):
+        own = base[: 45 + k % 15]
+        for _ in range(k % 4):
+            own[random.randrange(len(own))] = random.choice(WORDS)
+        texts.append(" ".join(own))
+    texts += [" ".join(base[:6] + prose(n).split()) for n in range(1, 40)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (None, texts[5])], "doc_id long, text string")
+    rows = ngram_jaccard.jaccard_components(docs).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows if r.doc_id is not None} == components(texts)
+    assert [(r.n_shingles, r.component_id) for r in rows if r.doc_id is None] == [(len(texts[k].split()) - 4, None) for k in (0, 5)] or len(rows) == len(texts) + 2
+
+
+def test_tree_finds_every_pair():
+    """The R-tree yields all pairs of different components whose summed minima allow a link, and compares few points."""
+    rng = np.random.default_rng(2)
+    groups = rng.integers(0, 6, size=(40, 32))
+    point = np.concatenate((groups, groups + (rng.random(groups.shape) < 0.05), rng.integers(0, 6, size=(120, 32)))).astype(np.int64)
+    n, comp = point.sum(axis=1), np.arange(len(point)) // 2
+    tree = ngram_jaccard.RTree(n, point, comp)
+    assert len(tree.levels) > 3 and all((a["top"].max(axis=0) == point.max(axis=0)).all() for a in tree.levels)
+    want = {(i, j) for i in range(len(n)) for j in range(i) if comp[i] != comp[j] and ngram_jaccard.enough(np.minimum(point[i], point[j]).sum(), n[i], n[j]) and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j])}
+    x, y = tree.pairs()
+    assert len(x) == len(want) > 30 and {(max(a, b), min(a, b)) for a, b in zip(x.tolist(), y.tolist())} == want
+    part = np.arange(len(n)) % 2
+    x, y = tree.pairs(part, (n > 90,))
+    assert {(max(a, b), min(a, b)) for a, b in zip(x.tolist(), y.tolist())} == {(i, j) for i, j in want if part[i] != part[j] and not (n[i] > 90 and n[j] > 90)}
+    x, y = tree.neighbours(0)
+    assert {(max(a, b), min(a, b)) for a, b in zip(x.tolist(), y.tolist())} <= want
+
+
+def test_links_come_from_the_trees(spark, monkeypatch):
+    asked = []
+    own = ngram_jaccard.links
+
+    def links(src, described, pairs, tables):
+        out = own(src, described, pairs, tables)
+        asked.append((pairs.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "links", links)
+    chain = [" ".join(WORDS[k * 4 : k * 4 + 100]) for k in range(30)]
+    docs = spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")
+    assert by_id(ngram_jaccard.jaccard_components(docs), "n_shingles", "component_id") == components(chain)
+    assert sum(found for _, found in asked) >= 29  # a tree of 30 documents
+
+
 # ---------------------------------------------------------------- 5 top-k search
 
 
@@ -190,7 +271,7 @@ def test_topk(spark):
     vectors = [rng.normal(size=8).tolist() for _ in range(300)]
     vectors[7], vectors[8], vectors[9], vectors[100], vectors[101] = None, [float("nan")] * 8, [None] * 8, vectors[50], vectors[50]
     df = topk_search.usable(spark.createDataFrame([(i, v, "x") for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, score string"))
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk_search.top_k(df, df.filter("vec_id % 50 = 0"), 10, query_block=3).collect()}
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk_search.top_k(df, df.filter("vec_id % 50 = 0"), 10, query_values=27).collect()}
     ok = {i: np.floor(1024 * np.array(v)) for i, v in enumerate(vectors) if i not in (7, 8, 9)}
     want = {}
     for q in range(0, 300, 50):
@@ -199,6 +280,32 @@ def test_topk(spark):
     assert got == want
 
 
+def test_topk_multiplies_each_list_once():
+    rng = np.random.default_rng(0)
+    x = np.floor(1024 * rng.normal(size=(20000, 32)))
+    best = topk_search.Best(np.arange(0, 20000, 100), x[::100], np.full(200, -np.inf), 10)
+    best.seed(np.arange(2048), x[:2048])
+    for a in range(0, len(x), 2048):
+        best.collect(np.arange(a, min(len(x), a + 2048)), x[a : a + 2048])
+    pairs = best.counts["pairs"]
+    assert pairs == 200 * 20000
+    assert best.counts["lists"] <= topk_search.LISTS * (pairs + 200 * 2048)
+    assert best.counts["candidates"] + best.counts["missing"] < pairs / 10  # sums are made for few of the pairs
+    score = x[::100] @ x.T
+    score[np.arange(200), np.arange(0, 20000, 100)] = -np.inf
+    assert (np.sort(best.score.reshape(200, 10))[:, ::-1] == -np.sort(-score, axis=1)[:, :10]).all()
+
+
+def test_topk_leaves_out_lists_that_cannot_reach_the_cutoff():
+    rng = np.random.default_rng(0)
+    x = np.floor(1024 * rng.normal(size=(4096, 32)) * np.where(np.arange(4096) < 200, 10, 0.1)[:, None])
+    best = topk_search.Best(np.arange(50), x[:50], np.full(50, -np.inf), 10)
+    best.seed(np.arange(2048), x[:2048])
+    before = best.counts["lists"]
+    best.collect(np.arange(2048, 4096), x[2048:])
+    assert best.counts["lists"] - before < 50 * 2048 / 10
+
+
 # ---------------------------------------------------------------- 6 best-fit packing
 
 
@@ -228,6 +335,40 @@ def test_packing_round_trip(spark, docs):
     assert len(by) <= 1 + -(-sum(sizes) // packing.CAPACITY) + sum(s > packing.CAPACITY // 2 for s in sizes) // 50
 
 
+def test_evolution_beats_best_fit_decreasing():
+    """Three pieces fill each of 60 bins; best-fit decreasing misses that, crossover comes nearer from worse seeds, and elites are used."""
+    rng = np.random.default_rng(1)
+    sizes = []
+    for _ in range(60):
+        a = int(rng.integers(520, 800))
+        b = int(rng.integers(520, 2048 - a - 512))
+        sizes += [a, b, 2048 - a - b]
+    sizes = rng.permutation(np.array(sizes))
+    greedy = packing.best_fit(sizes, np.argsort(-sizes, kind="stable"), 2048, np.full(len(sizes), -1), [])
+    islands, logs = [], []
+    for k in range(2):
+        logs.append({})
+        islands.append(packing.evolve(sizes, [], [k], generations=300, population=12, log=logs[-1]))
+    for log in logs:
+        assert log["crossovers"] > 0 and log["fewer"] > 0 and log["last"] < log["first"] and log["last"] < greedy.max() + 1
+    log = {}
+    moved = packing.evolve(sizes, islands, [7], generations=100, population=12, log=log)
+    assert log["first"] == min(x["last"] for x in logs) >= log["last"]
+    assert (np.bincount(moved, sizes) <= 2048).all() and len(np.unique(moved)) == log["last"]
+
+
+def test_packing_reaches_the_bound_by_evolution(spark):
+    """More pieces than a block holds; the seeds need more bins than the result."""
+    rows = [(k, " ".join(["w"] * random.randrange(50, 900))) for k in range(1500)] + [(None, "one two"), (None, "one two"), (7, "again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(packing.token_pieces(docs, capacity=1024), 1024, block=512).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 2
+    sizes = np.array([r.length for r in got])
+    seeds = packing.best_fit(sizes, np.arange(len(sizes)), 1024, np.full(len(sizes), -1), [])
+    used = len({r.sequence_id for r in got})
+    assert packing.lower_bound(sizes, 1024) <= used <= 1.01 * packing.lower_bound(sizes, 1024) + 1 and used < seeds.max() + 1
+
+
 # ---------------------------------------------------------------- 7 language ID
 
 LANGS = {"en": "the quick brown fox jumps over the lazy dog and then they were there with that".split(), "de": "der schnelle braune fuchs springt über den faulen hund und dann waren sie nicht".split()}
@@ -243,6 +384,52 @@ def test_language_id(spark):
     assert language_id.keep_known(docs, language_id.fit(docs)).count() == 81
 
 
+def out_of_place(train, text):
+    """Rank-order profiles and distances in plain Python."""
+
+    def profile(texts):
+        n = {}
+        for t in texts:
+            for word in re.split("[^" + "".join({c for c in t.lower() if c.isalpha()}) + "]+", t.lower()) if any(map(str.isalpha, t)) else []:
+                if word:
+                    marked = "\x01" + word + "\x01"
+                    for k in (1, 2, 3):
+                        for i in range(len(marked) - k + 1):
+                            g = marked[i : i + k]
+                            if g != "\x01":
+                                n[g] = n.get(g, 0) + 1
+        code = lambda g: int("".join(f"{ord(c) & 0xFFFF:04x}" for c in g), 16)
+        return [g for _, _, g in sorted((-c, code(g), g) for g, c in n.items())][: language_id.PROFILE]
+
+    own = profile([text or ""])
+    if not own:
+        return "und", 0.0
+    apart = {}
+    for lang in sorted({x for _, x in train}):
+        rank = {g: i for i, g in enumerate(profile([t for t, x in train if x == lang]))}
+        apart[lang] = sum(abs(rank[g] - i) if g in rank else language_id.PROFILE for i, g in enumerate(own))
+    best = min(apart, key=apart.get)
+    return best, 1 - apart[best] / (language_id.PROFILE * len(own))
+
+
+def test_language_distances(spark):
+    train = [(" ".join(random.choice(LANGS[k]) for _ in range(12)), k) for k in ["en", "de"] * 10]
+    texts = ["Then, the FOX jumps!", "über den Hund", "a", "12", "", None, "x-y z", "der quick braune fox " * 50, "ǅ ß"]
+    docs = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(train)], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(i, t, "n", 0) for i, t in enumerate(texts)] + [(None, texts[0], "n", 0)], "doc_id long, text string, gram string, n int")
+    got = by_id(language_id.predict(asked, language_id.fit(docs)), "lang_pred", "score")
+    for i, t in enumerate(texts):
+        lang, score = out_of_place(train, t)
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score), t
+    assert got[None] == got[0]
+
+
+def test_language_sample_of_huge_languages():
+    assert language_id.sample_threshold(4000, 4000) == language_id.HASHES - 1
+    for n in (4001, 10**7, 10**10, 10**14):
+        assert language_id.sample_threshold(4000, n) / language_id.HASHES == pytest.approx(4000 / n)
+
+
 # ---------------------------------------------------------------- 8 line dedup
 
 
@@ -314,6 +501,32 @@ def test_toxicity(spark):
     assert by_id(toxicity.score_toxicity(docs, one), "score")[0][0] < 0.5
 
 
+def test_toxicity_scores_are_the_model_on_plain_ngrams(spark):
+    texts = ["Hello, World!", "", None, "  ..x", "é 12 fünf", "a", "idiot!! idiot", "ab cd " * 3000]
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(np.arange(1 << toxicity.BITS), rng.normal(size=1 << toxicity.BITS), -0.25)
+    got = by_id(toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model), "score")
+    for i, t in enumerate(texts):
+        marked = re.sub("\x01+", "\x01", "\x01" + "".join(c if c.isalpha() else "\x01" for c in (t or "").lower()) + "\x01")
+        buckets = set()
+        for k in toxicity.SIZES:
+            for a in range(len(marked) - k + 1):
+                h = np.array([ord(c) for c in marked[a : a + k]], dtype=np.uint64)
+                while len(h) > 1:
+                    h = np.concatenate((joined(h[:1], h[1:2]), h[2:]))
+                buckets.add(int(h[0] >> np.uint64(64 - toxicity.BITS)))
+        z = model.intercept + float(model.weights[sorted(buckets)].sum(dtype=np.float64))
+        assert got[i][0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6), t
+
+
+def test_toxicity_without_documents(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    assert toxicity.score_toxicity(none, toxicity.fit(none, labels)).count() == 0
+    some = spark.createDataFrame([(1, "good text"), (1, "repeated id"), (3, "other")], "doc_id long, text string")
+    assert by_id(toxicity.score_toxicity(some, toxicity.fit(some, labels)), "score")[3][0] < 0.5
+
+
 # ---------------------------------------------------------------- 10 decontamination
 
 
@@ -342,6 +555,15 @@ def test_decontamination(spark, docs, block_bytes):
     assert clean == {i for i, (n, h, _) in want.items() if not (h and 20 * h >= n)}
 
 
+def test_suffix_arrays():
+    for _ in range(60):
+        texts = [" ".join(random.choice("abc") for _ in range(random.randrange(13))).encode() for _ in range(4)]
+        w = Words(texts, ALNUM_WORDS, True)
+        end = decontaminate.document_ends(w)
+        suffix = lambda p: tuple(w.hash[p : end[p]].tolist())  # noqa: E731, B023
+        assert [suffix(p) for p in decontaminate.suffix_array(w)] == sorted(suffix(p) for p in range(len(w)))
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 300])
 def test_decontamination_rows(spark, block_bytes):
     one, two, other = prose(20), prose(20), prose(300)
