@@ -113,7 +113,7 @@ def points(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
 def fold(point: np.ndarray, groups: int) -> np.ndarray:
     """A point in fewer groups, as upper bounds of the counts."""
     wide = np.where(point == np.iinfo(point.dtype).max, _BIG, point.astype(np.uint64)).astype(np.int64)
-    return wide.reshape(*point.shape[:-1], groups, -1).sum(axis=-1)
+    return wide.reshape(*point.shape[:-1], groups, point.shape[-1] // groups).sum(axis=-1)
 
 
 def _describe(common: np.ndarray):

@@ -53,19 +53,24 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: what holds while a table is written: shuffle files go as soon as the query that made them ends, and Arrow batches are small
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216b"}
+
+
 @contextlib.contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files go as soon as the query that made them ends; the session's own setting comes back afterwards."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Holds ``_WRITING``; the session's own settings come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 class Tables:
@@ -86,7 +91,7 @@ class Tables:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
         path = f"{self.folder}/{self._n}-{name}"
-        with freed_shuffles(self.spark):
+        with writing(self.spark):
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._table_path = path  # dropped by ``drop``
@@ -108,7 +113,7 @@ def result(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a table that outlives the call that made it."""
     spark = df.sparkSession
     path = result_folder(spark, what)
-    with freed_shuffles(spark):
+    with writing(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

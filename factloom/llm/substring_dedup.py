@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Tables, freed_shuffles, id_and_text, join_ids, join_same, result, ship, table
+from .shared import Tables, writing, id_and_text, join_ids, join_same, result, ship, table
 from .textwords import SPACE_WORDS, Words, chunks, window_hashes
 
 WINDOW, GRAM, FANOUT, BATCHES = 50, 8, 2, 3
@@ -139,7 +139,7 @@ class Runs:
         """``rows`` as a run that is looked up only once it is among ``paths``. Rows of a bucket must stand in one partition."""
         name = self._name()
         path = f"{self.folder}/{name}"
-        with freed_shuffles(self.spark):
+        with writing(self.spark):
             rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
         self.names[path] = name
         return path
@@ -233,7 +233,7 @@ class FingerprintIndex:
         tables.drop(described, repeated)
 
         # this batch's run and log
-        with freed_shuffles(self.spark):
+        with writing(self.spark):
             marked.filter("not copy").select(F.explode("hashes").alias("h"), "doc_id").write.mode("overwrite").parquet(log.format("postings"))
             src.filter(F.octet_length("text") >= 2 * WINDOW - 1).write.mode("overwrite").parquet(log.format("texts"))
         postings = self._logged("postings", self.batch + 1)

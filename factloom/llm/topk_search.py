@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Tables, freed_shuffles, result_folder, ship, table
+from .shared import Tables, writing, result_folder, ship, table
 
 LISTS, SCALE, SEED, ROWS_AT_ONCE, QUERY_ROWS, QUERY_VALUES = 2, 1024, 2048, 2048, 1024, 1 << 19
 _EXACT = 2.0**53
@@ -210,7 +210,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_values: int
             bound = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") == k).select("query_id", "score").collect()
             low = spark.sparkContext.broadcast({r.query_id: float(r.score) for r in bound})
             found = vectors.mapInArrow(_searched(block, low, k), ROWS).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-            with freed_shuffles(spark):
+            with writing(spark):
                 found.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
             block.destroy()
             low.destroy()
