@@ -4,13 +4,13 @@ Three patterns label credentials wherever they match (the base).  From a sample
 prefix tree is grown and its states are merged while they are statistically compatible: two states are, if their
 frequencies of ending and of each next character, and those of all states that both reach by the same characters, differ
 by less than Hoeffding's bound at level ``ALPHA``.  What remains is a probabilistic automaton of the kind's format; one
-more is inferred from ordinary strings.  Every string of ``LEAST`` characters or more of the credentials' alphabet, in
+more is inferred from ordinary strings.  Every string of ``LEAST`` characters or more (the shortest of any kind) of the credentials' alphabet, in
 every whole text, is a candidate and is scored by the likelihood of its format against that of ordinary strings, per
 character.  Candidates above ``RATIO`` that touch no base match are spans of their own, of kind ``like_`` and the
 likeliest format.
 
-The automata learn from at most ``SAMPLE`` different labelled values of each kind and ``ORDINARY`` ordinary strings, all
-those of the smallest hashes in the corpus (the bound of this classifier's sample; values above ``LONGEST`` characters
+The automata learn from at most ``SAMPLE`` different labelled values of each kind and ``ORDINARY`` ordinary strings below
+``LONG`` characters and as many longer ones, all those of the smallest hashes in the corpus (the bound of this classifier's sample; values above ``LONGEST`` characters
 teach nothing).  Base places cover all texts.
 
 A null text is empty; an empty text has no spans.  Repeated rows are scanned alike.  A kind without labelled values adds
@@ -41,9 +41,9 @@ BASE = {
 }
 #: lower-case words without which a text has no match of the kind (fixed values)
 HINTS = {"assign": (b"password", b"passwd", b"secret", b"token", b"api"), "access": (b"akia",)}
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{16,}")
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{6,}")
 ALPHABET = 68
-LEAST, LONGEST, SAMPLE, ORDINARY = 16, 256, 400, 2000
+LEAST, LONG, LONGEST, SAMPLE, ORDINARY = 6, 16, 256, 400, 2000
 ALPHA, RATIO, RARE = 0.05, 2.5, 8
 KINDS = [*BASE, *(f"like_{k}" for k in BASE)]
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base string, spans string, n_like long, score double"
@@ -187,7 +187,7 @@ def _hash(kind: str, value: bytes) -> int:
 def learn(docs: DataFrame, **columns: str) -> Formats:
     """The formats of the credentials in ``docs``."""
     ship(docs.sparkSession)
-    most = {**dict.fromkeys(BASE, SAMPLE), "ordinary": ORDINARY}
+    most = {**dict.fromkeys(BASE, SAMPLE), "short": ORDINARY, "long": ORDINARY}
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict[int, bytes]] = {k: {} for k in most}
@@ -206,20 +206,20 @@ def learn(docs: DataFrame, **columns: str) -> Formats:
                     for m in found:
                         put(kind, m.group(BASE[kind][1]))
                 for m in _free(text or b"", base):
-                    put("ordinary", m.group())
+                    put("long" if m.end() - m.start() >= LONG else "short", m.group())
         rows = [(k, h, own[h].decode()) for k, own in held.items() for h in sorted(own)[: most[k]]]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["kind", "h", "value"])
 
     # a part hands on its smallest hashes only; they are ranked by part first, so none but a bounded few meet in a task
     found = id_and_text(docs, **columns).mapInArrow(sample, "kind string, h long, value string").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
     rank = lambda *by: F.dense_rank().over(Window.partitionBy("kind", *by).orderBy("h"))
-    limit = F.when(F.col("kind") == "ordinary", ORDINARY).otherwise(SAMPLE)
+    limit = F.when(F.col("kind").isin("short", "long"), ORDINARY).otherwise(SAMPLE)
     near = found.distinct().withColumn("r", rank("part")).filter(F.col("r") <= limit)
     rows = near.select("kind", "h", "value").distinct().withColumn("r", rank()).filter(F.col("r") <= limit).collect()
     by: dict[str, list[bytes]] = {k: [] for k in most}
     for r in sorted(rows, key=lambda r: (r.kind, r.h)):
         by[r.kind].append(r.value.encode())
-    return Formats({k: by[k] for k in BASE}, by["ordinary"])
+    return Formats({k: by[k] for k in BASE}, by["short"] + by["long"])
 
 
 def find_secrets(docs: DataFrame, formats: Formats, **columns: str) -> DataFrame:

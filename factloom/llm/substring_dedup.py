@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Tables, writing, id_and_text, join_ids, join_same, result, ship, table
+from .shared import Tables, id_and_text, join_ids, join_same, result, ship, table, writing
 from .textwords import SPACE_WORDS, Words, chunks, window_hashes
 
 WINDOW, GRAM, FANOUT, BATCHES = 50, 8, 2, 3

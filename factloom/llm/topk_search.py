@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Tables, writing, result_folder, ship, table
+from .shared import Tables, result_folder, ship, table, writing
 
 LISTS, SCALE, SEED, ROWS_AT_ONCE, QUERY_ROWS, QUERY_VALUES = 2, 1024, 2048, 2048, 1024, 1 << 19
 _EXACT = 2.0**53
