@@ -10,46 +10,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import accepts, external_host, is_id_like, is_param, names_id, normalize_path, optional_variants, segments, shares_static, unquoted, without_format
+from ..functions.text import external_host, is_static, meets, normalize_path, optional_variants, parsed, unquoted, without_format
+from ..sources.tables import stored
 
 #: (tier, match_type, confidence of a method match) (fixed values)
-TIERS = [(1, "named-route", "high"), (2, "phoenix-helper", "high"), (3, "rails-helper", "medium"), (4, "exact", "high"), (5, "case-insensitive", "medium"), (6, "format-suffix", "medium"), (7, "param", "medium"), (10, "param-format-suffix", "medium"), (13, "static-choice-param", "low"), (15, "trpc-procedure", "medium")]
+TIERS = [
+    (1, "named-route", "high"), (2, "phoenix-helper", "high"), (3, "rails-helper", "medium"), (4, "exact", "high"), (5, "case-insensitive", "medium"), (6, "format-suffix", "medium"), (7, "param", "medium"),
+    (8, "rails-anchored-param", "low"), (9, "rails-resource-text-id-param", "low"), (10, "param-format-suffix", "medium"), (11, "rails-anchored-param-format-suffix", "low"),
+    (12, "rails-resource-text-id-param-format-suffix", "low"), (13, "static-choice-param", "low"), (14, "static-page-family", "low"), (15, "trpc-procedure", "medium"),
+]
 PARAM_TIER, EXACT_TIER = 7, 4
 
 
-def _first(parts: Column) -> Column:
-    return F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
-
-
 def _patterns(routes: DataFrame, path: Column) -> DataFrame:
     """One row for each variant of a route: parts, key, specificity."""
-    v = routes.select("route_id", F.explode(optional_variants(path)).alias("variant")).withColumn("parts", segments(F.col("variant"))).filter(F.size("parts") > 0)
-    static = F.size(F.filter("parts", lambda p: ~is_param(p) & (p != "*")))
-    wild, params = F.size(F.filter("parts", lambda p: p == "*")), F.size(F.filter("parts", is_param))
-    head = _first(F.col("parts"))
-    key = F.when(is_param(head) | (head == "*") | head.rlike(r"^v\d+$"), "*").otherwise(head)
-    return v.select("route_id", "parts", F.size("parts").alias("n"), key.alias("head"), F.struct(static.alias("s"), (-wild).alias("w"), (-params).alias("p")).alias("specificity"))
-
-
-def _pattern_matches(calls: DataFrame, patterns: DataFrame, endpoint: str, signal: bool) -> DataFrame:
-    parts = segments(F.col(endpoint))
-    ends = calls.filter(F.col(endpoint) != "").select("call_id", parts.alias("own")).filter(F.size("own") > 0)
-    ends = ends.withColumn("n", F.size("own")).withColumn("head", F.explode(F.array_distinct(F.array(_first(F.col("own")), F.lit("*")))))
-    ends = ends.unionByName(ends.filter(is_param(_first(F.col("own"))) & (F.col("head") != "*")).withColumn("head", F.lit("*"))).distinct()
-    both = ends.join(patterns, ["n", "head"])
-    star = F.array_position("parts", "*")
+    v = routes.select("route_id", "kind", "framework", F.explode(optional_variants(path)).alias("variant")).withColumn("parts", parsed(F.col("variant"))).filter(F.size("parts") > 0)
+    count = lambda *kinds: F.size(F.filter("parts", lambda p: p.kind.isin(*kinds)))
+    head = F.element_at("parts", 1)
+    key = F.when(head.kind.isin("param", "rest", "version"), "*").otherwise(head.text)
+    specificity = F.struct((F.size("parts") - count("param", "rest")).alias("s"), (-count("rest")).alias("w"), (-count("param")).alias("p"))
+    return v.select("route_id", "kind", "framework", "parts", F.size("parts").alias("n"), key.alias("head"), specificity.alias("specificity"))
+
+
+def _same_shape(calls: DataFrame, patterns: DataFrame, endpoint: str) -> DataFrame:
+    """Endpoints beside the patterns of as many parts that begin alike: call_id, own, and the pattern's columns. Written, as many tiers look at it."""
+    ends = calls.filter(F.col(endpoint) != "").select("call_id", parsed(F.col(endpoint)).alias("own")).filter(F.size("own") > 0)
+    ends = stored(ends.withColumn("n", F.size("own")).withColumn("head", F.explode(F.array_distinct(F.array(F.element_at("own", 1).text, F.lit("*"))))), "endpoints")
+    return ends.join(stored(patterns, "patterns"), ["n", "head"])
+
+
+#: whether a static part of the route is met by the endpoint's
+_ANCHORED = lambda: F.exists(F.zip_with("parts", "own", lambda p, o: is_static(p) & meets(p, o)), lambda x: x)
+
+
+def _best(both: DataFrame) -> DataFrame:
+    return both.groupBy("call_id", "route_id").agg(F.max("specificity").alias("specificity"))
+
+
+def _pattern_matches(both: DataFrame, signal: bool) -> DataFrame:
+    """Routes whose parts up to a rest take the endpoint's. ``signal``: a lone id or parameters only are enough beside shared static parts."""
+    star = F.array_position(F.transform("parts", lambda p: p.kind), "rest")
     upto = F.when(star > 0, star - 1).otherwise(F.col("n")).cast("int")
-    cut = lambda c: F.slice(c, F.lit(1), upto)
-    fits = F.forall(F.zip_with(cut(F.col("parts")), cut(F.col("own")), accepts), lambda x: x)
-    shared = F.exists(F.zip_with("parts", "own", shares_static), lambda x: x)
-    one_id = (F.col("n") == 1) & is_param(_first(F.col("parts"))) & names_id(_first(F.col("parts"))) & (is_id_like(_first(F.col("own"))) | is_param(_first(F.col("own"))))
-    all_params = F.forall("own", is_param)
-    ok = fits & (shared | (one_id | all_params) if signal else shared)
-    return both.filter(ok).groupBy("call_id", "route_id").agg(F.max("specificity").alias("specificity"))
+    fits = F.forall(F.slice(F.zip_with("parts", "own", meets), F.lit(1), upto), lambda x: x)
+    route, own = F.element_at("parts", 1), F.element_at("own", 1)
+    one_id = (F.col("n") == 1) & F.coalesce(route["name"].endswith("id"), F.lit(False)) & own.kind.isin("id", "param")
+    all_params = F.forall("own", lambda o: o.kind == "param")
+    return _best(both.filter(fits & (_ANCHORED() | (one_id | all_params) if signal else _ANCHORED())))
+
+
+def _text_id_matches(both: DataFrame, members: bool) -> DataFrame:
+    """Rails routes whose id parameters stand for words: each between static parts, or (``members``) on resource member routes after a plural part."""
+    n = F.size("parts")
+    text = lambda p, o: (p.kind == "param") & p["name"].endswith("id") & o.kind.isin("word", "version")
+    met = F.zip_with("parts", "own", lambda p, o: F.when(meets(p, o), "met").when(text(p, o), "text").otherwise("no"))
+    static_at = lambda i: F.coalesce(is_static(F.get("parts", i)), F.lit(False))
+    last = F.get("parts", n - 1)
+    if members:
+        safe = F.transform(met, lambda m, i: (m == "met") | ((m == "text") & static_at(i - 1) & F.get("parts", i - 1).text.endswith("s")))
+        wanted = F.col("kind") == "rails-resource-member-route"
+    else:
+        safe = F.transform(met, lambda m, i: (m == "met") | ((m == "text") & static_at(i - 1) & static_at(i + 1)))
+        wanted = is_static(last)
+    ok = (F.col("framework") == "rails") & F.coalesce(wanted, F.lit(False)) & F.exists(met, lambda m: m == "text") & F.forall(safe, lambda x: x)
+    return _best(both.filter(ok & _ANCHORED()))
 
 
 def link_calls(calls: DataFrame, routes: DataFrame) -> DataFrame:
-    """calls (call_id, source, endpoint, method, client) and routes (route_id, method, path, framework, handler, route_name)
+    """calls (call_id, source, endpoint, method, client) and routes (route_id, method, path, framework, handler, route_name[, kind])
     -> one row per call: call_id, source, endpoint, method, matched_route, matched_method, matched_framework, match_type, confidence, target_kind.
     """
     asked = calls.select("endpoint", "method", "client").distinct().withColumn("call_id", F.xxhash64("endpoint", "method", "client"))
@@ -74,12 +101,18 @@ def link_calls(calls: DataFrame, routes: DataFrame) -> DataFrame:
     phoenix = F.when(helper != "", F.concat(F.regexp_replace(F.lower(helper), "_", ""), F.lit(":"), action))
     handler = F.concat(F.regexp_replace(F.lower(F.regexp_extract("handler", r"(\w+?)Controller[.:#](\w+)$", 1)), "_", ""), F.lit(":"), F.regexp_extract("handler", r"(\w+?)Controller[.:#](\w+)$", 2))
     rails = F.when(s.startswith("rails-helper:"), F.regexp_replace(F.substring_index(s, ":", -1), "_(path|url)$", ""))
-    stem = F.array_join(F.filter(segments(F.col("p")), lambda x: ~is_param(x)), "_")
+    stem = F.array_join(F.transform(F.filter(parsed(F.col("p")), is_static), lambda x: x.text), "_")
     last = F.when((F.col("client") == "trpc") & F.col("e").startswith("/trpc/"), F.regexp_extract("e", r"([^./]+)$", 1))
     trpc = r.filter((F.col("framework") == "trpc") & F.col("p").startswith("/trpc/")).withColumn("k", F.regexp_extract("p", r"([^./]+)$", 1))
     single = trpc.withColumn("n", F.count("*").over(Window.partitionBy("k"))).filter("n = 1")
 
     choice = _static_choices(open_, r)
+    if "kind" not in r.columns:
+        r = r.withColumn("kind", F.lit("route"))
+    whole, bare = _same_shape(open_, _patterns(r, F.col("p")), "e"), _same_shape(open_, _patterns(r, F.col("pf")), "ef")
+    page = open_.filter((F.upper("method") == "GET") & F.col("e").rlike(r"^/:[A-Za-z_][\w-]*\.html$"))
+    page = calls.filter(F.lower("source").contains("static")).select("endpoint", "method", "client").distinct().join(page, ["endpoint", "method", "client"], "left_semi").withColumn("call_id", F.xxhash64("endpoint", "method", "client"))
+    shown = r.filter((F.upper("method") == "GET") & (F.lower("handler") == "static#show") & F.col("p").rlike(r"^/[A-Za-z][\w-]*$"))
     found = [
         equal(1, name, F.col("route_name")),
         equal(2, phoenix, handler, r.filter(F.col("framework") == "phoenix")),
@@ -87,9 +120,14 @@ def link_calls(calls: DataFrame, routes: DataFrame) -> DataFrame:
         equal(4, F.col("e"), F.col("p")),
         equal(5, F.lower("e"), F.lower("p"), r.filter(F.col("framework") == "aspnetcore")),
         equal(6, F.col("ef"), F.col("pf")),
-        tier(7, _pattern_matches(open_, _patterns(r, F.col("p")), "e", True)),
-        tier(10, _pattern_matches(open_, _patterns(r, F.col("pf")), "ef", False)),
+        tier(7, _pattern_matches(whole, True)),
+        tier(8, _text_id_matches(whole, False)),
+        tier(9, _text_id_matches(whole, True)),
+        tier(10, _pattern_matches(bare, False)),
+        tier(11, _text_id_matches(bare, False)),
+        tier(12, _text_id_matches(bare, True)),
         tier(13, choice),
+        equal(14, F.lit("static#show"), F.lower("handler"), shown, page),
         equal(15, last, F.col("k"), single),
     ]
     all_ = found[0]
@@ -128,11 +166,12 @@ def link_calls(calls: DataFrame, routes: DataFrame) -> DataFrame:
 
 def _static_choices(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """Endpoints whose parameters stand for at least two static alternatives of one route shape."""
-    ends = calls.select("call_id", segments(F.col("ef")).alias("own")).filter(F.exists("own", is_param))
-    shape = F.array_join(F.transform("own", lambda x: F.when(is_param(x), "*").otherwise(x)), "/")
-    ends = ends.select("call_id", "own", shape.alias("shape"), F.transform("own", is_param).alias("hole"))
+    ends = calls.select("call_id", parsed(F.col("ef")).alias("own")).filter(F.exists("own", lambda x: x.kind == "param"))
+    shape = F.array_join(F.transform("own", lambda x: F.when(x.kind == "param", "*").otherwise(x.text)), "/")
+    ends = ends.select("call_id", shape.alias("shape"), F.transform("own", lambda x: x.kind == "param").alias("hole"))
     holes = ends.select("hole").distinct().withColumn("n", F.size("hole"))
-    parts = routes.select("route_id", segments(F.col("pf")).alias("parts")).filter((F.size("parts") > 0) & ~F.exists("parts", is_param)).withColumn("n", F.size("parts"))
+    parts = routes.select("route_id", parsed(F.col("pf")).alias("own")).filter((F.size("own") > 0) & ~F.exists("own", lambda x: x.kind == "param"))
+    parts = parts.select("route_id", F.transform("own", lambda x: x.text).alias("parts"), F.size("own").alias("n"))
     safe = F.forall(F.zip_with("parts", "hole", lambda p, h: ~h | p.rlike(r"^[A-Za-z][\w-]*$")), lambda x: x)
     seen = parts.join(holes, "n").filter(safe).select("route_id", F.array_join(F.zip_with("parts", "hole", lambda p, h: F.when(h, "*").otherwise(p)), "/").alias("shape"), F.array_join("parts", "/").alias("own_path"))
     pairs = ends.select("call_id", "shape").join(seen, "shape")
