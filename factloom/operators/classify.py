@@ -12,17 +12,17 @@ IGNORED_DIRS = [".git", ".hg", ".svn", ".venv", "venv", "__pycache__", "node_mod
 
 #: language -> file suffixes (fixed values)
 SUFFIXES = {
-    "python": "py", "java": "java", "groovy": "groovy", "kotlin": "kt", "scala": "scala", "scala-build": "sbt", "swift": "swift",
-    "typescript": "ts tsx mts", "javascript": "js jsx cjs mjs", "glimmer-js": "gjs", "vue": "vue", "svelte": "svelte", "astro": "astro",
-    "go": "go", "rust": "rs", "csharp": "cs", "razor": "cshtml razor", "xaml": "xaml axaml", "msbuild": "csproj fsproj",
-    "php": "php inc module install profile theme", "ruby": "rb rake gemspec", "elixir": "ex exs", "erlang": "erl", "clojure": "clj cljs cljc edn",
-    "dart": "dart", "c": "c h", "cpp": "cpp cc hpp", "lua": "lua", "r": "r", "julia": "jl", "perl": "pl pm", "shell": "sh bash zsh",
-    "powershell": "ps1", "batch": "bat cmd", "sql": "sql", "prisma": "prisma", "graphql": "graphql graphqls gql", "protobuf": "proto",
-    "html": "html htm", "css": "css", "scss": "scss", "sass": "sass", "less": "less", "jsp": "jsp", "erb": "erb", "haml": "haml", "twig": "twig",
-    "ejs": "ejs", "pug": "pug", "handlebars": "hbs handlebars", "mustache": "mustache", "liquid": "liquid", "markdown": "md mdx", "rst": "rst",
-    "text": "txt", "json": "json", "yaml": "yml yaml", "toml": "toml", "xml": "xml", "ini": "ini cfg", "properties": "properties", "csv": "csv",
-    "terraform": "tf tfvars", "hcl": "hcl", "nix": "nix", "notebook": "ipynb", "image": "png jpg jpeg gif webp svg ico bmp avif", "font": "woff woff2 ttf otf eot",
-    "archive": "zip gz xz jar war", "media": "mp4 mp3 ogg mov webm", "lock": "lock", "patch": "patch diff", "template": "tpl tmpl",
+    "python": ["py"], "java": ["java"], "groovy": ["groovy"], "kotlin": ["kt"], "scala": ["scala"], "scala-build": ["sbt"], "swift": ["swift"],
+    "typescript": ["ts", "tsx", "mts"], "javascript": ["js", "jsx", "cjs", "mjs"], "glimmer-js": ["gjs"], "vue": ["vue"], "svelte": ["svelte"], "astro": ["astro"],
+    "go": ["go"], "rust": ["rs"], "csharp": ["cs"], "razor": ["cshtml", "razor"], "xaml": ["xaml", "axaml"], "msbuild": ["csproj", "fsproj"],
+    "php": ["php", "inc", "module", "install", "profile", "theme"], "ruby": ["rb", "rake", "gemspec"], "elixir": ["ex", "exs"], "erlang": ["erl"], "clojure": ["clj", "cljs", "cljc", "edn"],
+    "dart": ["dart"], "c": ["c", "h"], "cpp": ["cpp", "cc", "hpp"], "lua": ["lua"], "r": ["r"], "julia": ["jl"], "perl": ["pl", "pm"], "shell": ["sh", "bash", "zsh"],
+    "powershell": ["ps1"], "batch": ["bat", "cmd"], "sql": ["sql"], "prisma": ["prisma"], "graphql": ["graphql", "graphqls", "gql"], "protobuf": ["proto"],
+    "html": ["html", "htm"], "css": ["css"], "scss": ["scss"], "sass": ["sass"], "less": ["less"], "jsp": ["jsp"], "erb": ["erb"], "haml": ["haml"], "twig": ["twig"],
+    "ejs": ["ejs"], "pug": ["pug"], "handlebars": ["hbs", "handlebars"], "mustache": ["mustache"], "liquid": ["liquid"], "markdown": ["md", "mdx"], "rst": ["rst"],
+    "text": ["txt"], "json": ["json"], "yaml": ["yml", "yaml"], "toml": ["toml"], "xml": ["xml"], "ini": ["ini", "cfg"], "properties": ["properties"], "csv": ["csv"],
+    "terraform": ["tf", "tfvars"], "hcl": ["hcl"], "nix": ["nix"], "notebook": ["ipynb"], "image": ["png", "jpg", "jpeg", "gif", "webp", "svg", "ico", "bmp", "avif"], "font": ["woff", "woff2", "ttf", "otf", "eot"],
+    "archive": ["zip", "gz", "xz", "jar", "war"], "media": ["mp4", "mp3", "ogg", "mov", "webm"], "lock": ["lock"], "patch": ["patch", "diff"], "template": ["tpl", "tmpl"],
 }
 
 #: language by a pattern over the lower-cased base name, tried before the suffixes (fixed values)
@@ -66,7 +66,7 @@ def ladder(rules: list[tuple[str, str]], c: Column, default: Column) -> Column:
 
 def language_of(path: Column, first_line: Column | None = None) -> Column:
     name = F.lower(basename(path))
-    by_suffix = F.create_map(*[F.lit(x) for lang, all_ in SUFFIXES.items() for s in all_.split() for x in (s, lang)])
+    by_suffix = F.create_map(*[F.lit(x) for lang, all_ in SUFFIXES.items() for s in all_ for x in (s, lang)])
     suffix = F.when(name.contains("."), F.element_at(F.split(name, r"\."), -1)).otherwise("")
     last = F.lit("unknown") if first_line is None else F.coalesce(*[F.when(first_line.rlike(rf"^#!.*\b({p})"), F.lit(x)) for x, p in SHEBANGS], F.when(first_line.startswith("#!"), F.lit("script")), F.lit("unknown"))
     return ladder(NAMES, name, F.coalesce(by_suffix[suffix], last))

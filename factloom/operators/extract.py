@@ -7,59 +7,64 @@ from __future__ import annotations
 
 import re
 import tomllib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_path
-from ..sources.tables import arrow_ready
+from ..functions.text import normalize_path, once
+from ..sources.tables import arrow_ready, stored
+from .mounts import mounted
 from .ordered import first_wins
-from .rules import MANIFESTS, RULES, Rule
+from .rules import CHANNEL_OF, FILE_ROUTES, MANIFESTS, PATHS, RULES, Rule
 
 #: roles whose files are not evidence of the project itself (fixed values)
 NOISE = ["generated", "sample"]
-SPAN = 4
 
-
-RULE_ROWS = "path string, language string, role string, line int, rule int, nth int, family string, label string, verb string, subject string, detail string"
+RULE_ROWS = "path string, language string, role string, line int, rule int, nth int, family string, label string, verb string, subject string, detail string, owner string"
 
 
 def compiled(rules: list[Rule]) -> dict[str, list[tuple]]:
-    """By language: (number, rule, pattern over the whole text, pattern over a line and the lines after it)."""
+    """By language: (number, rule, pattern over the whole text, pattern over one line)."""
     by: dict[str, list[tuple]] = {}
     for n, r in enumerate(rules):
         flags = re.ASCII | (re.IGNORECASE if r.pattern.startswith("(?i)") else 0)
         pattern = r.pattern.removeprefix("(?i)")
-        whole = re.compile(pattern, flags | re.MULTILINE)
-        if r.span > 1:
-            pattern = pattern.replace("^", r"\A", 1) if pattern.startswith("^") else rf"\A[^\n]*?(?:{pattern})"
-        one = re.compile(pattern, flags)
+        both = re.compile(pattern, flags | re.MULTILINE), re.compile(pattern, flags)
         for lang in r.languages.split():
-            by.setdefault(lang, []).append((n, r, whole, one))
+            by.setdefault(lang, []).append((n, r, *both))
     return by
 
 
 def matches(content: str, rules: list[tuple]) -> Iterator[tuple]:
-    """(line, rule number, nth match in the line, family, label, verb, subject, detail) in one file; empty groups are None."""
-    lines = None
+    """(line, rule number, nth match in the line, family, label, verb, subject, detail, owner) in one file; empty groups are None.
+
+    Only lines in which a pattern begins are looked at.
+    """
+    starts = None
     for n, r, whole, one in rules:
-        if not whole.search(content):
-            continue
-        lines = lines if lines is not None else re.split("\r?\n", content)
-        for i, text in enumerate(lines):
-            for k, m in enumerate(one.finditer("\n".join(lines[i : i + SPAN]) if r.span > 1 else text)):
-                verb = (m[r.verb] if r.verb else None) if isinstance(r.verb, int) else r.verb
-                yield i + 1, n, k, r.family, r.label, verb or None, (m[r.subject] if r.subject else None) or None, (m[r.detail] if r.detail else None) or None
+        at = 0
+        while m := whole.search(content, at):
+            if starts is None:
+                starts = [0, *(x.end() for x in re.finditer("\n", content))]
+            line = bisect_right(starts, m.start())
+            end = starts[line] if line < len(starts) else len(content) + 1
+            found = [m] if r.span > 1 else one.finditer(content[starts[line - 1] : end - 1].removesuffix("\r"))
+            for k, x in enumerate(found):
+                verb = (x[r.verb] if r.verb else None) if isinstance(r.verb, int) else r.verb
+                yield line, n, k, r.family, r.label, verb or None, (x[r.subject] if r.subject else None) or None, (x[r.detail] if r.detail else None) or None, x.groupdict().get("owner")
+            if end > len(content):
+                break
+            at = end
 
 
 def extract(files: DataFrame, families: list[str] | None = None, rules: list[Rule] | None = None, skip_roles: list[str] = NOISE) -> DataFrame:
-    """path, language, role, line, rule, nth, family, label, verb, subject, detail of every match of the rules, empty groups as null.
+    """path, language, role, line, rule, nth, family, label, verb, subject, detail, owner of every match of the rules, empty groups as null.
 
-    One scan of the files whatever the number of families, and nothing shuffled; each pattern is compiled once a task, and
-    a file is cut into lines only where a pattern occurs in it.
+    One scan of the files whatever the number of families, and nothing shuffled; each pattern is compiled once a task.
     """
     wanted = compiled([r for r in (rules or RULES) if not families or r.family in families])
 
@@ -71,11 +76,13 @@ def extract(files: DataFrame, families: list[str] | None = None, rules: list[Rul
                 if language in wanted
                 for m in matches(content, wanted[language])
             ]
-            kinds = [pa.string()] * 3 + [pa.int32()] * 3 + [pa.string()] * 5
+            kinds = [pa.string()] * 3 + [pa.int32()] * 3 + [pa.string()] * 6
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split()[0] for x in RULE_ROWS.split(", ")])
 
     src = files.filter(~F.col("role").isin(*skip_roles) & F.col("content").isNotNull()).select("path", "language", "role", "content")
-    return arrow_ready(src).mapInArrow(run, RULE_ROWS)
+    found = arrow_ready(src).mapInArrow(run, RULE_ROWS)
+    allowed = F.coalesce(*[F.when(F.col("label") == k, F.col("path").rlike(rx)) for k, rx in PATHS.items()], F.lit(True))
+    return found.filter(allowed)
 
 
 def evidence(kind: Column | str) -> Column:
@@ -86,41 +93,84 @@ def evidence(kind: Column | str) -> Column:
 _ORDER = ["path", "line", "rule", "nth"]
 
 
-def _of(files: DataFrame, family: str, raw: DataFrame | None) -> DataFrame:
-    return extract(files, [family]) if raw is None else raw.filter(F.col("family") == family)
+def _of(files: DataFrame, families: list[str], raw: DataFrame | None) -> DataFrame:
+    return extract(files, families) if raw is None else raw.filter(F.col("family").isin(*families))
+
+
+def file_route(path: Column, side: str) -> Column:
+    """struct(label, route) of a file whose name is a route, or null: groups in brackets are left out, parameters written with colons."""
+    found = []
+    for label, pattern, own in FILE_ROUTES:
+        if own == side:
+            route = F.regexp_replace(F.regexp_replace(F.regexp_extract(path, pattern, 1), r"\([^/)]*\)/?", ""), r"\[(?:\.\.\.)?([^\]/]+)\]", ":$1")
+            found.append(F.when(path.rlike(pattern), F.struct(F.lit(label).alias("label"), F.concat(F.lit("/"), F.regexp_replace(route, "^/+|/+$", "")).alias("route"))))
+    return F.coalesce(*found)
 
 
 def api_routes(files: DataFrame, raw: DataFrame | None = None) -> DataFrame:
-    """method, path, handler, framework, kind, evidence; class-level prefixes joined on; first of (method, path, framework, handler) wins."""
-    raw = _of(files, "route", raw).filter("role <> 'test'")
-    # a class-level prefix applies to the routes below it in its file
-    prefix_rx = [("spring", r"@RequestMapping\(\s*(?:(?:value|path)\s*=\s*)?\"([^\"]*)\"\s*\)"), ("nestjs", r"@Controller\(\s*[\"'`]([^\"'`]*)[\"'`]"), ("aspnetcore", r"\[Route\(\s*\"([^\"]*)\"")]
-    prefix = F.coalesce(*[F.when((F.regexp_extract("content", rx, 1) != ""), F.struct(F.lit(fw).alias("label"), F.regexp_extract("content", rx, 1).alias("class_prefix"))) for fw, rx in prefix_rx])
-    prefixes = files.select("path", prefix.alias("x")).filter("x is not null").select("path", "x.label", "x.class_prefix")
-    both = raw.join(prefixes, ["path", "label"], "left")
-    own = F.when(F.col("label") == "next-app", F.regexp_replace(F.regexp_replace("path", r"^(.*/)?app/", "/"), r"/route\.[jt]sx?$", "")).otherwise(F.coalesce("subject", F.lit("")))
-    whole = F.when(F.col("class_prefix").isNotNull(), F.concat_ws("/", F.regexp_replace("class_prefix", "/+$", ""), F.regexp_replace(own, "^/+", ""))).otherwise(own)
-    routes = both.select(F.upper(F.coalesce("verb", F.lit("GET"))).alias("method"), normalize_path(whole).alias("path_"), F.col("detail").alias("handler"), F.col("label").alias("framework"), F.lit("route").alias("kind"), "class_prefix", evidence("route").alias("evidence"), *_ORDER)
-    return first_wins(routes, ["method", "path_", "framework", "handler"], _ORDER).select("method", F.col("path_").alias("path"), "handler", "framework", "kind", "class_prefix", "evidence")
+    """method, path, handler, framework, kind, class_prefix, evidence; first of (method, path, framework, handler) wins.
+
+    A class-level prefix applies to the routes below it, up to the next one of its framework in the file; routers that other
+    files mount have their routes under the mount's prefix.
+    """
+    raw = stored(_of(files, ["route", "class-prefix", "router", "mount", "binding", "import"], raw), "route-matches") if raw is None else raw
+    declared = stored(declared_routes(raw), "declared")
+    return first_wins(mounted(declared, raw, files), ["method", "path", "framework", "handler"], [F.col(f"evidence.{c}") for c in ("file", "line_start")] + ["rule", "nth"]).drop("rule", "nth", "owner", "own_path")
+
+
+def declared_routes(raw: DataFrame) -> DataFrame:
+    """The routes as their files declare them, with class-level prefixes, and the router variable (owner)."""
+    both = raw.filter("family in ('route', 'class-prefix') and role <> 'test'")
+    above = Window.partitionBy("path", "label").orderBy("line", F.col("family").desc(), "rule", "nth").rowsBetween(Window.unboundedPreceding, 0)
+    named_class = F.replace(F.coalesce("subject", F.lit("")), F.lit("[controller]"), F.coalesce("detail", F.lit("")))
+    both = both.withColumn("class_prefix", F.last(F.when(F.col("family") == "class-prefix", named_class), ignorenulls=True).over(above))
+    raw = both.filter("family = 'route'")
+    named_by_file = F.col("label") == "next-app"
+    channel = F.coalesce(*[F.when(F.col("label") == k, F.lit(v)) for k, v in CHANNEL_OF.items()])
+
+    def placed(file: Column) -> Column:
+        own = F.when(named_by_file, F.coalesce(file.route, F.lit(""))).otherwise(F.coalesce("subject", F.lit("")))
+        own = F.when(F.col("label") == "wordpress", F.concat_ws("/", "detail", F.regexp_replace("subject", "^/", ""))).otherwise(own)
+        below = once(own, lambda x: F.when(F.coalesce("class_prefix", F.lit("")) != "", F.concat_ws("/", F.regexp_replace("class_prefix", "/+$", ""), F.regexp_replace(x, "^/+", ""))).otherwise(x))
+        path = F.when(channel.isNotNull(), F.concat(channel, "subject")).otherwise(once(below, normalize_path))
+        return F.struct(path.alias("path_"), F.when(named_by_file, F.coalesce(file.label, F.lit("next-app"))).otherwise(F.col("label")).alias("framework"))
+
+    raw = raw.withColumn("placed", once(F.when(named_by_file, file_route(F.col("path"), "backend")), placed))
+    handler = F.when(F.col("label") != "wordpress", F.col("detail"))
+    routes = raw.select(F.upper(F.coalesce("verb", F.lit("GET"))).alias("method"), "placed.path_", handler.alias("handler"), "placed.framework", F.lit("route").alias("kind"), "class_prefix", "owner", evidence("route").alias("evidence"), "rule", "nth")
+    return routes.withColumnRenamed("path_", "path")
 
 
 def api_calls(files: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """path, endpoint, method, client, line, evidence; first of (path, method, endpoint, line) wins."""
-    raw = _of(files, "call", raw).filter("role <> 'test' and subject is not null")
-    calls = raw.select("path", F.col("subject").alias("endpoint"), F.upper(F.coalesce("verb", F.when(F.col("label") == "fetch", "GET"))).alias("method"), F.col("label").alias("client"), evidence("api-call").alias("evidence"), "line", "rule", "nth")
+    raw = _of(files, ["call"], raw).filter("role <> 'test' and subject is not null")
+    channel = F.coalesce(*[F.when(F.col("label") == k, F.lit(v)) for k, v in CHANNEL_OF.items()], F.lit(""))
+    calls = raw.select("path", F.concat(channel, "subject").alias("endpoint"), F.upper(F.coalesce("verb", F.when(F.col("label") == "fetch", "GET"))).alias("method"), F.col("label").alias("client"), evidence("api-call").alias("evidence"), "line", "rule", "nth")
     return first_wins(calls, ["path", "method", "endpoint", "line"], _ORDER).drop("rule", "nth")
 
 
 def named(files: DataFrame, family: str, out: str = "name", raw: DataFrame | None = None) -> DataFrame:
     """path, kind, name, detail, line, evidence of a family whose subject is a name; first of (path, kind, name, line) wins."""
-    raw = _of(files, family, raw).filter("subject is not null")
+    raw = _of(files, [family], raw).filter("subject is not null")
     rows = raw.select("path", F.col("label").alias("kind"), F.col("subject").alias(out), "verb", "detail", evidence(F.lit(family)).alias("evidence"), "line", "rule", "nth")
     return first_wins(rows, ["path", "kind", out, "line"], _ORDER).drop("rule", "nth")
 
 
+def data_models(files: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+    """path, kind, name, detail, line, evidence, fields of every data model; a field belongs to the last model of its kind above it."""
+    both = _of(files, ["data-model", "field"], raw).filter("subject is not null")
+    both = both.withColumn("kind", F.explode(F.when(F.col("family") == "field", F.split("label", " ")).otherwise(F.array("label"))))
+    above = Window.partitionBy("path", "kind").orderBy("line", "family", "rule", "nth").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("model", F.last(F.when(F.col("family") == "data-model", F.struct("line", F.col("subject").alias("name"))), ignorenulls=True).over(above))
+    own = placed.filter("family = 'field' and model is not null and line > model.line").groupBy("path", "kind", "model.name", "model.line").agg(F.array_sort(F.collect_set(F.struct(F.col("line").alias("at"), F.col("subject").alias("f")))).alias("f"))
+    fields = own.select("path", "kind", "name", "line", F.array_distinct("f.f").alias("fields"))
+    models = named(files, "data-model", raw=both.filter("family = 'data-model'"))
+    return models.join(fields, ["path", "kind", "name", "line"], "left").withColumn("fields", F.coalesce("fields", F.array().cast("array<string>")))
+
+
 def dependencies(files: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """name, source, scope, path of every declared dependency, from text manifests, package.json, composer.json, pyproject, Cargo and pom files."""
-    text = _of(files, "dependency", raw).filter("subject is not null and role not in ('test')")
+    text = _of(files, ["dependency"], raw).filter("subject is not null and role not in ('test')")
     allowed = F.coalesce(*[F.when(F.col("label") == k, F.col("path").rlike(rx)) for k, rx in MANIFESTS.items()])
     plain = text.filter(allowed).select(F.col("subject").alias("name"), F.col("label").alias("source"), F.when(F.col("label") == "gradle", "gradle").otherwise(F.col("verb")).alias("scope"), "path")
     usable = files.filter(~F.col("role").isin("generated", "test", "sample") & F.col("content").isNotNull())
