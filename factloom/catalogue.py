@@ -15,9 +15,12 @@ from .functions import text as T
 from .operators import extract as X
 from .operators import pages as P
 from .operators import relate as R
+from .operators.contracts import contract_details
 from .operators.classify import classify, kept_path, language_of, role_of
 from .operators.link import link_calls
 from .operators.ordered import first_wins, numbered, top_n
+from .plans.project import project_facts
+from .plans.report import render
 from .sources.tables import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -292,43 +295,48 @@ _LINKS = r"""links AS (SELECT c.path AS source, c.endpoint, c.method, r.rpath AS
 _ALL = f"WITH {_CODE}, {_LINES}, {_ROUTES}, {_CALLS}, {_LINKS} "
 
 
-def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _routes(files: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+    return X.api_routes(files, raw)
+
+
+def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """routes, links of the corpus, by one scan of it."""
     files = classify(code_files(spark, sf_dir))
-    routes = stored(X.api_routes(files), "routes")
-    calls = stored(X.api_calls(files), "calls")
+    raw = stored(X.extract(files, ["route", "class-prefix", "router", "mount", "binding", "import", "call"]), "matches")
+    routes, calls = stored(_routes(files, raw), "routes"), X.api_calls(files, raw)
     keyed = calls.select(F.xxhash64("path", "line").alias("call_id"), F.col("path").alias("source"), "endpoint", "method", "client")
     known = routes.select(F.xxhash64("method", "path").alias("route_id"), "method", "path", "framework", "handler", F.lit(None).cast("string").alias("route_name"))
-    return routes, calls, link_calls(keyed, known)
+    return routes, link_calls(keyed, known)
 
 
 @query("extract_routes_express", _ALL + "SELECT method, rpath AS path, handler, file, line FROM routes")
 def extract_routes_express(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spark, sf_dir)[0].select("method", "path", "handler", "evidence.file", F.col("evidence.line_start").cast("long").alias("line"))
+    return _routes(classify(code_files(spark, sf_dir))).select("method", "path", "handler", "evidence.file", F.col("evidence.line_start").cast("long").alias("line"))
 
 
 @query("extract_calls", _ALL + "SELECT path, endpoint, method, client, line FROM calls")
 def extract_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spark, sf_dir)[1].select("path", "endpoint", "method", "client", F.col("line").cast("long").alias("line"))
+    return X.api_calls(classify(code_files(spark, sf_dir))).select("path", "endpoint", "method", "client", F.col("line").cast("long").alias("line"))
 
 
 @query("link_calls", _ALL + "SELECT source, endpoint, method, matched_route, match_type, confidence, target_kind FROM links")
 def link_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spark, sf_dir)[2].select("source", "endpoint", "method", "matched_route", "match_type", "confidence", "target_kind")
+    return _links(spark, sf_dir)[1].select("source", "endpoint", "method", "matched_route", "match_type", "confidence", "target_kind")
 
 
 @query("link_tiers", _ALL + "SELECT match_type, confidence, count(*) AS n FROM links GROUP BY 1, 2")
 def link_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spark, sf_dir)[2].groupBy("match_type", "confidence").agg(F.count("*").alias("n"))
+    return _links(spark, sf_dir)[1].groupBy("match_type", "confidence").agg(F.count("*").alias("n"))
 
 
 @query("unmatched_calls", _ALL + "SELECT source, endpoint FROM links WHERE match_type = 'unmatched'")
 def unmatched_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.unmatched_calls(_facts(spark, sf_dir)[2]).select("source", "endpoint")
+    return R.unmatched_calls(_links(spark, sf_dir)[1]).select("source", "endpoint")
 
 
 @query("unlinked_routes", _ALL + "SELECT method, rpath AS path FROM routes r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE (c.endpoint = r.rpath AND c.method = r.method) OR (r.method = 'GET' AND c.endpoint = r.rpath AND c.method = 'PUT') OR (contains(r.rpath, '/:id/') AND c.method = 'GET' AND regexp_matches(c.endpoint, '^/api/regions/\\d+/' || regexp_extract(r.rpath, '([^/]+)$', 1) || '$')))".replace("\\\\", "\\"))
 def unlinked_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routes, _, links = _facts(spark, sf_dir)
+    routes, links = _links(spark, sf_dir)
     return R.unlinked_routes(routes, links).select("method", "path")
 
 
@@ -339,7 +347,7 @@ def env_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("quality_ratios", _ALL + """SELECT 'linked_call_ratio' AS metric, round(count(*) FILTER (matched_route IS NOT NULL) / count(*), 4) AS value FROM links WHERE target_kind = 'backend-route'""")
 def quality_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = _facts(spark, sf_dir)[2].filter("target_kind = 'backend-route'")
+    links = _links(spark, sf_dir)[1].filter("target_kind = 'backend-route'")
     return links.agg(F.round(F.count_if(F.col("matched_route").isNotNull()) / F.count("*"), 4).alias("value")).select(F.lit("linked_call_ratio").alias("metric"), "value")
 
 
@@ -375,18 +383,95 @@ def test_map_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms("benchmark", "item_id").join(terms("documents", "doc_id"), "term").groupBy("item_id").agg(F.count("*").alias("n_pairs"), F.countDistinct("doc_id").alias("n_docs"))
 
 
+# ---------------------------------------------------------------- a corpus of services: mounted routers, models, tests, manifests
+
+#: (table, path, content) of its files, as string functions of both engines
+_SERVICES = [
+    ("region", "'srv/r' || r_regionkey || '/index.js'", "'const users = require(''./users'');' || chr(10) || 'app.use(''/r' || r_regionkey || '/api'', users);' || chr(10)"),
+    ("region", "'srv/r' || r_regionkey || '/users.js'", "'router.get(''/list/:id'', (req, res) => {' || chr(10) || '  if (!req.query.page) {' || chr(10) || '    res.status(404).json({});' || chr(10) || '  }' || chr(10) || '});' || chr(10)"),
+    ("region", "'srv/r' || r_regionkey || '/package.json'", "'{\"dependencies\": {\"express\": \"1\"}}'"),
+    ("nation", "'api/n' || n_nationkey || '/main.py'", "'from routers import items' || chr(10) || 'app.include_router(items.router, prefix=\"/n' || n_nationkey || '\")' || chr(10)"),
+    ("nation", "'api/n' || n_nationkey || '/routers/items.py'", "'router = APIRouter(prefix=\"/items\")' || chr(10) || '@router.post(\"/{item_id}\", status_code=201, response_model=Item)' || chr(10) || 'def add' || n_nationkey || '(item_id: int, body: Item):' || chr(10) || '    raise HTTPException(409)' || chr(10)"),
+    ("supplier", "'tests/s' || s_suppkey || '.test.js'", "CASE WHEN s_suppkey % 2 = 0 THEN 'visit(''/r' || s_nationkey % 5 || '/api/list/:id'');' ELSE 'ok();' END || chr(10)"),
+    ("part", "'app/models/p' || p_partkey || '.py'", "'class Part' || p_partkey || '(BaseModel):' || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN '    pass' ELSE '    name: str' || chr(10) || '    size: int' END || chr(10)"),
+]
+
+
+def service_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus: path, content."""
+    return R.union_all([table(spark, sf_dir, name).select(F.expr(path).alias("path"), F.expr(_spark_quotes(content)).alias("content")) for name, path, content in _SERVICES])
+
+
+def _service_routes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    files = classify(service_files(spark, sf_dir))
+    return files, stored(X.api_routes(files), "routes")
+
+
+@query("mounted_routes", """SELECT 'GET' AS method, '/r' || r_regionkey || '/api/list/:id' AS path, NULL AS handler, 'express' AS framework, 'srv/r' || r_regionkey || '/users.js' AS file FROM region
+  UNION ALL SELECT 'POST', '/n' || n_nationkey || '/items/{item_id}', 'add' || n_nationkey, 'fastapi', 'api/n' || n_nationkey || '/routers/items.py' FROM nation""")
+def mounted_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _service_routes(spark, sf_dir)[1].select("method", "path", "handler", "framework", "evidence.file")
+
+
+@query("contract_hints", """SELECT '/r' || r_regionkey || '/api/list/:id' AS path, 'query:req.query.page' AS request, 'response:res.json' AS response, '404' AS status, 'error:4xx-or-5xx-status' AS error FROM region
+  UNION ALL SELECT '/n' || n_nationkey || '/items/{item_id}', 'path:item_id|path:item_id:int|body:body:Item', 'response_model:Item', '201', 'error:HTTPException|error:raise |error:4xx-or-5xx-status' FROM nation""")
+def contract_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, routes = _service_routes(spark, sf_dir)
+    c = R.contracts(routes.select("method", "path", "framework"), contract_details(files, routes))
+    return c.select("path", *[F.array_join(x, "|").alias(n) for x, n in (("request_hints", "request"), ("response_hints", "response"), ("status_codes", "status"), ("error_hints", "error"))])
+
+
+@query("model_fields", "SELECT 'Part' || p_partkey AS name, 'pydantic' AS kind, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'name,size' END AS fields FROM part")
+def model_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.data_models(classify(service_files(spark, sf_dir))).select("name", "kind", F.array_join("fields", ",").alias("fields"))
+
+
+@query("detected_frameworks", "SELECT 'express' AS name, 'backend' AS category, 'dependency:srv/r' || min(r_regionkey) || '/package.json' AS source, 0.95 AS confidence FROM region")
+def detected_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = classify(service_files(spark, sf_dir))
+    return X.frameworks(X.dependencies(files), X.named(files, "import")).withColumn("confidence", F.col("confidence").cast("decimal(3,2)").cast("double"))
+
+
+@query("test_targets", """SELECT 'tests/s' || s_suppkey || '.test.js' AS test_path, CASE WHEN s_suppkey % 2 = 0 THEN 'api-route' ELSE 'unmatched' END AS target_kind,
+  CASE WHEN s_suppkey % 2 = 0 THEN 'GET /r' || s_nationkey % 5 || '/api/list/:id' END AS target, CASE WHEN s_suppkey % 2 = 0 THEN 'high' ELSE 'low' END AS confidence FROM supplier""")
+def test_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, routes = _service_routes(spark, sf_dir)
+    targets = X.data_models(files).select(F.lit("data-model").alias("kind"), "name", F.lit(0).cast("long").alias("ord")).distinct()
+    return R.test_maps(files, routes, targets)
+
+
+@query("boundary_sizes", """SELECT 'shared' AS name, 2 * count(*) AS n_files FROM region UNION ALL SELECT 'runtime-config', count(*) FROM region UNION ALL SELECT 'backend-api', 2 * count(*) FROM nation
+  UNION ALL SELECT 'tests', count(*) FROM supplier UNION ALL SELECT 'data-layer', count(*) FROM part""")
+def boundary_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.module_boundaries(classify(service_files(spark, sf_dir))).groupBy("name").agg(F.count("*").alias("n_files"))
+
+
+@query("service_gaps", """SELECT * FROM (VALUES ('GAP-007', 'medium'), ('GAP-008', 'low'), ('GAP-013', 'low'), ('GAP-015', 'low')) g(gap_id, severity)""")
+def service_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project_facts(classify(service_files(spark, sf_dir)))["gaps"].select("gap_id", "severity")
+
+
+@query("service_claims", """WITH r AS (SELECT count(*) AS n FROM region), a AS (SELECT count(*) AS n FROM nation), s AS (SELECT count(*) AS n FROM supplier), p AS (SELECT count(*) AS n FROM part)
+  SELECT 'language' AS claim_type, CAST(3 AS BIGINT) AS n UNION ALL SELECT 'dependency', n FROM r UNION ALL SELECT 'entrypoint', n FROM a UNION ALL SELECT 'framework', 1 UNION ALL SELECT 'api-route', r.n + a.n FROM r, a UNION ALL SELECT 'data-model', n FROM p
+  UNION ALL SELECT 'test-map', n FROM s UNION ALL SELECT 'feature-map', r.n + a.n FROM r, a UNION ALL SELECT 'module-boundary', 5 UNION ALL SELECT 'contract-gap', r.n + a.n FROM r, a UNION ALL SELECT 'symbol', a.n + p.n FROM a, p UNION ALL SELECT 'import', r.n + a.n FROM r, a""")
+def service_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project_facts(classify(service_files(spark, sf_dir)))["claims"].groupBy("claim_type").agg(F.count("*").alias("n"))
+
+
+@query("service_documents", """WITH r AS (SELECT count(*) AS n FROM region), a AS (SELECT count(*) AS n FROM nation), s AS (SELECT count(*) AS n FROM supplier), p AS (SELECT count(*) AS n FROM part)
+  SELECT 'api-routes' AS document, r.n + a.n AS n FROM r, a UNION ALL SELECT 'data-models', n FROM p UNION ALL SELECT 'tests', n FROM s UNION ALL SELECT 'gaps', 4 UNION ALL SELECT 'inventory', 3 * r.n + 2 * a.n + s.n + p.n FROM r, a, s, p""")
+def service_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = render(project_facts(classify(service_files(spark, sf_dir)))).filter("document in ('api-routes', 'data-models', 'tests', 'gaps', 'inventory')")
+    return rows.groupBy("document").agg(F.max("n").alias("n"))
+
+
 @query("project_claims")
 def project_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All claims of the code corpus, by the whole project plan."""
-    from .plans.project import project_facts
-
     return project_facts(classify(code_files(spark, sf_dir)))["claims"]
 
 
 @query("project_report")
 def project_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the code corpus."""
-    from .plans.project import project_facts
-    from .plans.report import render
-
     return render(project_facts(classify(code_files(spark, sf_dir))))

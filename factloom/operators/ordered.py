@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key by ``order``."""
@@ -19,15 +21,21 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column | str], n: int) ->
 
 
 def numbered(df: DataFrame, prefix: str, order: list[Column | str]) -> DataFrame:
-    """claim_id ``PREFIX-001`` … in order.
+    """claim_id ``PREFIX-001`` … in order."""
+    return numbered_within(df.withColumn("_prefix", F.lit(prefix)), "_prefix", order).drop("_prefix")
+
+
+def numbered_within(df: DataFrame, prefix: str, order: list[Column | str]) -> DataFrame:
+    """claim_id ``PREFIX-001`` … in order within each value of the column ``prefix``.
 
-    Ranks come from a range sort and per-partition counts, so the table never passes through one task.
+    One range sort for all of them, written so that every use sees the same parts, and per-part counts: no prefix passes
+    through one task.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, so both uses below see the same parts
-    ordered = df.withColumn("_o", F.struct(*order)).repartitionByRange(parts, "_o").sortWithinPartitions("_o")
-    placed = ordered.withColumn("_p", F.spark_partition_id())
-    inside = placed.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("_o")))
-    sizes = placed.groupBy("_p").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = inside.join(F.broadcast(sizes.select("_p", "_before")), "_p")
+    sorted_ = df.withColumn("_o", F.struct(*order)).repartitionByRange(prefix, "_o").withColumn("_p", F.spark_partition_id())
+    placed = stored(sorted_, "ordered")
+    inside = placed.withColumn("_i", F.row_number().over(Window.partitionBy("_p", prefix).orderBy("_o")))
+    sizes = placed.groupBy("_p", prefix).count()
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.partitionBy(prefix).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    joined = inside.join(F.broadcast(sizes.select("_p", prefix, "_before")), ["_p", prefix])  # a row for each part and prefix
     number = (F.col("_before") + F.col("_i")).cast("string")
-    return joined.withColumn("claim_id", F.concat(F.lit(prefix + "-"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number))).drop("_o", "_p", "_i", "_before")
+    return joined.withColumn("claim_id", F.concat(F.col(prefix), F.lit("-"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number))).drop("_o", "_p", "_i", "_before")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import feature_name, name_terms, normalize_path, tokens
-from .ordered import numbered
+from ..sources.tables import stored
+from .ordered import numbered_within
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -26,10 +27,11 @@ def unmatched_calls(links: DataFrame) -> DataFrame:
 
 
 def contracts(routes: DataFrame, hints: DataFrame) -> DataFrame:
-    """Routes with the last hints found for (method, path): later rows replace earlier ones. hints: method, path, ord, request_hints, response_hints, status_codes, error_hints."""
-    last = hints.groupBy("method", "path").agg(F.max(F.struct("ord", "request_hints", "response_hints", "status_codes", "error_hints")).alias("h"))
+    """Routes with the last hints found for (method, path, framework): later rows replace earlier ones. hints: method, path, framework, ord, request_hints, response_hints, status_codes, error_hints."""
+    kinds = ["request_hints", "response_hints", "status_codes", "error_hints"]
+    last = hints.groupBy("method", "path", "framework").agg(F.max(F.struct("ord", *kinds)).alias("h"))
     empty = F.array().cast("array<string>")
-    return routes.join(last, ["method", "path"], "left").select("method", "path", "framework", *[F.coalesce(f"h.{c}", empty).alias(c) for c in ("request_hints", "response_hints", "status_codes", "error_hints")])
+    return routes.join(last, ["method", "path", "framework"], "left").select("method", "path", "framework", *[F.coalesce(f"h.{c}", empty).alias(c) for c in kinds])
 
 
 def contract_gaps(contract: DataFrame, calls: DataFrame, routes: DataFrame) -> DataFrame:
@@ -131,12 +133,12 @@ CLAIMS = {
 
 def trace_claims(facts: dict[str, DataFrame]) -> DataFrame:
     """claim_id, claim, claim_type, confidence of every fact; numbered within each table by its sentence."""
-    out = []
-    for name, (prefix, kind, confidence, sentence) in CLAIMS.items():
-        if name in facts:
-            rows = facts[name].select(F.expr(sentence).alias("claim"), F.lit(kind).alias("claim_type"), F.expr(f"cast({confidence} as double)").alias("confidence")).filter("claim is not null")
-            out.append(numbered(rows, prefix, ["claim", "confidence"]).select("claim_id", "claim", "claim_type", "confidence"))
-    return union_all(out)
+    out = [
+        facts[name].select(F.lit(prefix).alias("prefix"), F.expr(sentence).alias("claim"), F.lit(kind).alias("claim_type"), F.expr(f"cast({confidence} as double)").alias("confidence")).filter("claim is not null")
+        for name, (prefix, kind, confidence, sentence) in CLAIMS.items()
+        if name in facts
+    ]
+    return numbered_within(union_all(out), "prefix", ["claim", "confidence"]).select("claim_id", "claim", "claim_type", "confidence")
 
 
 def spec_diff(now: dict[str, DataFrame], before: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFrame:
@@ -202,17 +204,22 @@ def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     return hit.groupBy("path", "name").agg(F.min_by("candidate", "rank").alias("target"))
 
 
-def mount_closure(edges: DataFrame, roots: DataFrame, max_depth: int = 16) -> DataFrame:
-    """Full prefixes of mounted routers: edges (parent, child, prefix), roots (node). A router mounted twice has two prefixes; cycles end at ``max_depth``."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_mount_edges")
-    roots.createOrReplaceTempView("_mount_roots")
-    return spark.sql(f"""
-        WITH RECURSIVE m(node, prefix, depth) AS (
-          SELECT node, cast('' AS string), 0 FROM _mount_roots
-          UNION ALL
-          SELECT e.child, regexp_replace(concat(m.prefix, '/', e.prefix), '/+', '/'), m.depth + 1 FROM m JOIN _mount_edges e ON e.parent = m.node WHERE m.depth < {max_depth})
-        SELECT DISTINCT node, prefix, depth FROM m""")
+def mount_closure(edges: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
+    """node, prefix, depth of mounted routers: edges (parent, child, prefix), roots (node).
+
+    One join for each level of nesting.  A router mounted twice has two prefixes; a cycle that a root leads into ends at
+    ``max_depth`` levels.
+    """
+    level = roots.select("node", F.lit("").alias("prefix"), F.lit(0).alias("depth")).distinct()
+    out = [level]
+    step = edges.select(F.col("parent").alias("node"), "child", F.col("prefix").alias("own"))
+    for _ in range(max_depth):
+        below = level.join(step, "node").select(F.col("child").alias("node"), F.regexp_replace(F.concat("prefix", F.lit("/"), "own"), "/+", "/").alias("prefix"), (F.col("depth") + 1).alias("depth"))
+        level = stored(below.distinct(), "mounts")
+        if level.isEmpty():
+            break
+        out.append(level)
+    return union_all(out)
 
 
 def surfaces(routes: DataFrame, services: DataFrame, models: DataFrame) -> DataFrame:

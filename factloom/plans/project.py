@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import extract as X
 from ..operators import pages as P
 from ..operators import relate as R
+from ..operators.contracts import contract_details
 from ..operators.link import link_calls
 from ..operators.ordered import first_wins
 from ..sources.tables import stored
@@ -52,8 +53,12 @@ def project_facts(files: DataFrame) -> dict[str, DataFrame]:
     f["frameworks"] = X.frameworks(f["dependencies"], f["imports"])
     f["entrypoints"], f["commands"] = stored(entrypoints(files), "entrypoints"), commands(files, raw)
     f["routes"], f["calls"] = stored(X.api_routes(files, raw), "routes"), stored(X.api_calls(files, raw), "calls")
-    for name, family in (("components", "component"), ("states", "state"), ("frontend_routes", "frontend-route"), ("models", "data-model"), ("repositories", "repository"), ("services", "service"), ("data_layer", "data-layer"), ("runtime", "runtime"), ("servlets", "servlet")):
+    for name, family in (("components", "component"), ("states", "state"), ("frontend_routes", "frontend-route"), ("repositories", "repository"), ("services", "service"), ("data_layer", "data-layer"), ("runtime", "runtime"), ("servlets", "servlet")):
         f[name] = X.named(files, family, raw=raw)
+    f["models"] = X.data_models(files, raw)
+    by_file = X.file_route(F.col("path"), "frontend")
+    paged = files.filter("role not in ('test', 'sample', 'generated')").withColumn("r", by_file).filter("r is not null")
+    f["frontend_routes"] = f["frontend_routes"].select("path", "kind", "name", "line").unionByName(paged.select("path", F.col("r.label").alias("kind"), F.col("r.route").alias("name"), F.lit(1).alias("line")))
     f["forms"], f["assets"], f["styles"] = P.form_facts(files), P.asset_facts(files), P.style_facts(files)
     calls = f["calls"].select(F.xxhash64("path", "line", "endpoint", "method").alias("call_id"), F.col("path").alias("source"), "endpoint", "method", "client")
     routes = f["routes"].select(F.xxhash64("method", "path", "framework", "handler").alias("route_id"), "method", "path", "framework", "handler", F.lit(None).cast("string").alias("route_name"))
@@ -64,9 +69,7 @@ def project_facts(files: DataFrame) -> dict[str, DataFrame]:
     f["boundaries"] = f["boundary_paths"].groupBy("name").agg(F.count("*").alias("n_files"))
     f["surfaces"] = R.surfaces(f["routes"], f["services"], f["models"])
     f["features"] = R.feature_maps(f["links"], f["routes"], f["commands"], f["entrypoints"])
-    empty = F.array().cast("array<string>")
-    known = f["routes"].select("method", "path", F.lit(0).alias("ord"), F.filter(F.regexp_extract_all("path", F.lit(r"[:{<\[]([A-Za-z_]\w*)"), F.lit(1)), lambda x: x != "").alias("request_hints"), *[empty.alias(c) for c in ("response_hints", "status_codes", "error_hints")])
-    f["contracts"] = R.contracts(f["routes"].select("method", "path", "framework"), known)
+    f["contracts"] = stored(R.contracts(f["routes"].select("method", "path", "framework"), contract_details(files, f["routes"])), "contracts")
     f["contract_gaps"] = stored(R.contract_gaps(f["contracts"], R.unmatched_calls(f["links"]), R.unlinked_routes(f["routes"], f["links"])), "contract-gaps")
     f["large_files"] = R.large_files(files)
     f["quality"] = stored(R.quality(f), "quality")
@@ -82,7 +85,7 @@ def gap_counts(f: dict[str, DataFrame]) -> DataFrame:
 
     parts = [
         n(f["files"], "unknown_language", "language = 'unknown'"), n(f["files"], "tests", "role = 'test'"), n(f["files"], "sources", "role in ('source','service','api','entrypoint','repository','data-model')"),
-        n(f["entrypoints"], "entrypoints"), n(f["dependencies"], "dependencies"), n(f["commands"], "commands"), n(f["routes"], "routes"), n(f["models"], "models_without_fields", "detail is null"), n(f["frontend_routes"], "frontend_routes"),
+        n(f["entrypoints"], "entrypoints"), n(f["dependencies"], "dependencies"), n(f["commands"], "commands"), n(f["routes"], "routes"), n(f["models"], "models_without_fields", "size(fields) = 0"), n(f["frontend_routes"], "frontend_routes"),
         n(f["styles"], "styles"), n(f["states"], "states"), n(R.unmatched_calls(f["links"]), "unmatched_calls"), n(R.unlinked_routes(f["routes"], f["links"]), "unlinked_routes"), n(f["contract_gaps"], "unknown_contracts", "gap_type like 'unknown%'"), n(f["test_maps"], "unmapped_tests", "target is null"),
     ]
     out = parts[0]
