@@ -6,8 +6,9 @@ one.  Chunks of two lines or more that occur again anywhere, in another document
 their first place by (doc_id, text hash, chunk number), after their bytes have been compared with that first place's.
 
 Chunks are matched by 128 bits of hash with a grouped minimum (partial aggregation), so a chunk that occurs a million
-times moves as a few rows; byte comparison is a join that adaptive execution may split.  All array work is linear in the
-lines of a document.
+times moves as a few rows; byte comparison is a join that adaptive execution may split.  Texts are joined with what is
+marked in them by a broadcast as long as that is counted to be small, and by a shuffle beyond.  All array work is linear in
+the lines of a document.
 
 Boundaries that fall elsewhere in two documents hide most short runs from any one cut.  With ``every`` the chunks are those
 of all cuts at once: each two adjacent lines are one, so every repeated run of two lines or more is found.  A chunk that
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Tables, join_same, result, table
+from .shared import BROADCAST_ROWS, Tables, join_same, result, table
 
 DIVISOR, LEAST_LINES = 3, 2
 
@@ -53,6 +54,12 @@ _LINES = "split(text, '\\n', -1)"
 _PAIR = "array_join(slice(s, {k} + 1, 2), '\\n')"
 
 
+def beside(marked: DataFrame, entries: str) -> DataFrame:
+    """A written table of documents with arrays ``entries``: broadcast if it has been counted to be small, so that texts stay where they are."""
+    size = marked.agg(F.sum(1 + F.size(entries))).first()[0] or 0
+    return F.broadcast(marked) if size <= BROADCAST_ROWS else marked
+
+
 def repeated_chunks(docs: DataFrame, tables: Tables, every: bool = False) -> DataFrame:
     """doc_id, dl_text (hash of the text), k: the chunks to be removed. ``docs``: doc_id, text."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("dl_text"))
@@ -71,7 +78,7 @@ def repeated_chunks(docs: DataFrame, tables: Tables, every: bool = False) -> Dat
         again = again.filter("not (first.doc_id <=> doc_id and first.dl_text = dl_text and k = first.k + 1)")
     is_first = F.col("first") == F.struct("doc_id", "dl_text", "k")
     wanted = again.groupBy("doc_id", "dl_text").agg(F.collect_list(F.struct("k", "a", "b", is_first.alias("first"))).alias("wanted"))
-    texts = join_same(keyed, wanted, ["doc_id", "dl_text"])
+    texts = join_same(keyed, beside(tables.put(wanted, "wanted"), "wanted"), ["doc_id", "dl_text"])
     bytes_of = _PAIR.format(k="w.k") if every else f"array_join({_lines('w.k')}, '\\n')"
     cut = F.expr(let("s", _LINES if every else _cut(), f"transform(wanted, w -> named_struct('w', w, 'bytes', {bytes_of}))"))
     bytes_ = tables.put(texts.select("doc_id", "dl_text", F.explode(cut).alias("x")).select("doc_id", "dl_text", "x.w.*", "x.bytes"), "bytes")
@@ -86,7 +93,7 @@ def dedup_lines(docs: DataFrame, every: bool = False) -> DataFrame:
         gone = repeated_chunks(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")), tables, every)
         removed = result(gone.groupBy("doc_id", "dl_text").agg(F.collect_set("k").alias("dl_gone")), "removed-chunks")
     keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn("dl_text", F.xxhash64("text"))
-    both = join_same(keyed, removed, ["doc_id", "dl_text"], "left")
+    both = join_same(keyed, beside(removed, "dl_gone"), ["doc_id", "dl_text"], "left")
     stay = f"flatten(transform(array_except(sequence(0, size(s.ends) - 1), dl_gone), k -> {_lines('k')}))"
     if every:
         stay = "transform(array_except(sequence(0, size(s) - 1), flatten(transform(dl_gone, k -> array(k, k + 1)))), i -> s[i])"
