@@ -244,7 +244,7 @@ _COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 _KINDS = {"doc_id": np.int64, "no_id": np.int8, "piece": np.int32, "start": np.int64, "length": np.int64, "ids_crc32": np.int64, "bin": np.int64}
 
 
-def _pack_blocks(items: DataFrame, tables: Tables, capacity: int) -> DataFrame:
+def _pack_blocks(items: DataFrame, tables: Tables, capacity: int, blocks: int) -> DataFrame:
     """items (block, the piece's columns, bin) -> the same with the evolved bins, offset and fill; bin -1: none yet."""
 
     def gather(t: pa.Table) -> pa.Table:
@@ -252,6 +252,8 @@ def _pack_blocks(items: DataFrame, tables: Tables, capacity: int) -> DataFrame:
         return pa.Table.from_arrays([t.column("block").combine_chunks()[:1], *raw], ["block", *_KINDS])
 
     plain = items.withColumn("no_id", F.col("doc_id").isNull().cast("byte")).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    # the islands' rows are few and their work is long, so their tasks go by number and not by size
+    tasks = min(blocks * ISLANDS, max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), items.sparkSession.sparkContext.defaultParallelism))
     blocks = tables.put(plain.groupBy("block").applyInArrow(gather, "block long, " + ", ".join(f"{c} binary" for c in _KINDS)), "blocks")
 
     def island(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +269,7 @@ def _pack_blocks(items: DataFrame, tables: Tables, capacity: int) -> DataFrame:
     elites = blocks.select("block", F.array("bin").alias("elites"))
     for epoch in range(EPOCHS):
         isle = sizes.join(elites, "block").select("block", "length", "elites", F.lit(epoch).alias("epoch"), F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
-        done = tables.put(isle.repartition("block", "island").mapInArrow(island, "block long, island int, elite binary"), "elites")
+        done = tables.put(isle.repartition(tasks, "block", "island").mapInArrow(island, "block long, island int, elite binary"), "elites")
         elites = done.groupBy("block").agg(F.sort_array(F.collect_list("elite")).alias("elites"))  # ISLANDS of them: every elite goes to every island
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +300,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Dat
         full = pieces.filter(F.col("length") >= capacity).select(*cols, (F.col("slot") * 4).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
         rest = pieces.filter(F.col("length") < capacity)
         blocks = max(1, -(-rest.count() // block))
-        first = _pack_blocks(rest.select(F.pmod(F.xxhash64("slot"), F.lit(blocks)).alias("block"), *cols, F.lit(-1).cast("long").alias("bin")), tables, capacity)
+        first = _pack_blocks(rest.select(F.pmod(F.xxhash64("slot"), F.lit(blocks)).alias("block"), *cols, F.lit(-1).cast("long").alias("bin")), tables, capacity, blocks)
         number = (F.col("block") * (1 << 24) + F.col("bin")).alias("group")
         poor = F.col("fill") < int(0.97 * capacity)
         good = first.filter(~poor).select(*cols, (F.col("block") * (1 << 24) * 4 + F.col("bin") * 4 + 1).alias("sequence_id"), "offset")
@@ -312,7 +314,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Dat
             return t.select(["block", *cols]).append_column("bin", pa.array(bin_.astype(np.int64)))
 
         again = again.groupBy("block").applyInArrow(renumber, "block long, " + PIECES + ", bin long")
-        second = _pack_blocks(again, tables, capacity).select(*cols, (F.col("block") * (1 << 24) * 4 + F.col("bin") * 4 + 2).alias("sequence_id"), "offset")
+        second = _pack_blocks(again, tables, capacity, blocks).select(*cols, (F.col("block") * (1 << 24) * 4 + F.col("bin") * 4 + 2).alias("sequence_id"), "offset")
         return result(full.unionByName(good).unionByName(second), "sequences")
 
 
