@@ -19,7 +19,7 @@ from .operators.contracts import contract_details
 from .operators.classify import classify, kept_path, language_of, role_of
 from .operators.link import link_calls
 from .operators.ordered import first_wins, numbered, top_n
-from .plans.project import project_facts
+from .plans.project import commands, entrypoints, project_facts
 from .plans.report import render
 from .sources.tables import stored, table
 
@@ -402,6 +402,17 @@ def service_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.union_all([table(spark, sf_dir, name).select(F.expr(path).alias("path"), F.expr(_spark_quotes(content)).alias("content")) for name, path, content in _SERVICES])
 
 
+_FACTS: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def _service_facts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Every fact of the corpus; the analysis is the same for each query of one session, so it is planned once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FACTS:
+        _FACTS[key] = project_facts(classify(service_files(spark, sf_dir)))
+    return _FACTS[key]
+
+
 def _service_routes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     files = classify(service_files(spark, sf_dir))
     return files, stored(X.api_routes(files), "routes")
@@ -440,28 +451,48 @@ def test_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.test_maps(files, routes, targets)
 
 
-@query("boundary_sizes", """SELECT 'shared' AS name, 2 * count(*) AS n_files FROM region UNION ALL SELECT 'runtime-config', count(*) FROM region UNION ALL SELECT 'backend-api', 2 * count(*) FROM nation
-  UNION ALL SELECT 'tests', count(*) FROM supplier UNION ALL SELECT 'data-layer', count(*) FROM part""")
+@query("boundary_sizes", """SELECT 'shared' AS name, count(*) AS n_files FROM region UNION ALL SELECT 'cli', count(*) FROM nation UNION ALL SELECT 'backend-api', (SELECT count(*) FROM region) + count(*) FROM nation UNION ALL SELECT 'frontend', 0
+  UNION ALL SELECT 'runtime-config', 0 UNION ALL SELECT 'tests', count(*) FROM supplier UNION ALL SELECT 'data-layer', count(*) FROM part""")
 def boundary_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.module_boundaries(classify(service_files(spark, sf_dir))).groupBy("name").agg(F.count("*").alias("n_files"))
+    files = classify(service_files(spark, sf_dir))
+    raw = stored(X.extract(files), "matches")
+    tests = files.filter("role = 'test'").select(F.col("path").alias("test_path"))
+    facts = {"files": files, "routes": X.api_routes(files, raw), "models": X.data_models(files, raw), "commands": commands(files, raw), "entrypoints": entrypoints(files), "test_maps": tests}
+    return R.boundary_counts(stored(R.module_boundaries(facts), "boundaries"))
+
+
+@query("refactor_findings", """SELECT title, count(*) AS n FROM (SELECT 'Backend route has no detected frontend caller' AS title FROM region UNION ALL SELECT 'Backend route has no detected frontend caller' FROM nation
+  UNION ALL SELECT 'Test file could not be mapped' FROM supplier WHERE s_suppkey % 2 = 1) GROUP BY 1""")
+def refactor_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _service_facts(spark, sf_dir)["findings"].groupBy("title").agg(F.count("*").alias("n"))
+
+
+@query("gap_evidence", """SELECT gap_id, CAST(rank AS INTEGER) AS rank, evidence FROM (SELECT 'GAP-008' AS gap_id, row_number() OVER (ORDER BY e) AS rank, e AS evidence FROM (SELECT 'app/models/p' || p_partkey || '.py:1' AS e FROM part WHERE p_partkey % 3 = 0)
+  UNION ALL SELECT 'GAP-015', row_number() OVER (ORDER BY e), e FROM (SELECT 'tests/s' || s_suppkey || '.test.js' AS e FROM supplier WHERE s_suppkey % 2 = 1)) WHERE rank <= 10""")
+def gap_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, routes = _service_routes(spark, sf_dir)
+    models = stored(X.data_models(files), "models")
+    targets = models.select(F.lit("data-model").alias("kind"), "name", F.lit(0).cast("long").alias("ord")).distinct()
+    facts = {"models": models, "test_maps": R.test_maps(files, routes, targets)}
+    return R.gap_evidence(facts, spark.createDataFrame([("GAP-008",), ("GAP-015",)], "gap_id string"))
 
 
-@query("service_gaps", """SELECT * FROM (VALUES ('GAP-007', 'medium'), ('GAP-008', 'low'), ('GAP-013', 'low'), ('GAP-015', 'low')) g(gap_id, severity)""")
+@query("service_gaps", """SELECT * FROM (VALUES ('GAP-006', 'low'), ('GAP-007', 'medium'), ('GAP-008', 'low'), ('GAP-015', 'low')) g(gap_id, severity)""")
 def service_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return project_facts(classify(service_files(spark, sf_dir)))["gaps"].select("gap_id", "severity")
+    return _service_facts(spark, sf_dir)["gaps"].select("gap_id", "severity")
 
 
 @query("service_claims", """WITH r AS (SELECT count(*) AS n FROM region), a AS (SELECT count(*) AS n FROM nation), s AS (SELECT count(*) AS n FROM supplier), p AS (SELECT count(*) AS n FROM part)
   SELECT 'language' AS claim_type, CAST(3 AS BIGINT) AS n UNION ALL SELECT 'dependency', n FROM r UNION ALL SELECT 'entrypoint', n FROM a UNION ALL SELECT 'framework', 1 UNION ALL SELECT 'api-route', r.n + a.n FROM r, a UNION ALL SELECT 'data-model', n FROM p
-  UNION ALL SELECT 'test-map', n FROM s UNION ALL SELECT 'feature-map', r.n + a.n FROM r, a UNION ALL SELECT 'module-boundary', 5 UNION ALL SELECT 'contract-gap', r.n + a.n FROM r, a UNION ALL SELECT 'symbol', a.n + p.n FROM a, p UNION ALL SELECT 'import', r.n + a.n FROM r, a""")
+  UNION ALL SELECT 'test-map', n FROM s UNION ALL SELECT 'feature-map', r.n + a.n FROM r, a UNION ALL SELECT 'module-boundary', 7 UNION ALL SELECT 'refactor-finding', r.n + a.n + (s.n + 1) // 2 FROM r, a, s UNION ALL SELECT 'contract-gap', r.n + a.n FROM r, a UNION ALL SELECT 'symbol', a.n + p.n FROM a, p UNION ALL SELECT 'import', r.n + a.n FROM r, a""")
 def service_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return project_facts(classify(service_files(spark, sf_dir)))["claims"].groupBy("claim_type").agg(F.count("*").alias("n"))
+    return _service_facts(spark, sf_dir)["claims"].groupBy("claim_type").agg(F.count("*").alias("n"))
 
 
 @query("service_documents", """WITH r AS (SELECT count(*) AS n FROM region), a AS (SELECT count(*) AS n FROM nation), s AS (SELECT count(*) AS n FROM supplier), p AS (SELECT count(*) AS n FROM part)
   SELECT 'api-routes' AS document, r.n + a.n AS n FROM r, a UNION ALL SELECT 'data-models', n FROM p UNION ALL SELECT 'tests', n FROM s UNION ALL SELECT 'gaps', 4 UNION ALL SELECT 'inventory', 3 * r.n + 2 * a.n + s.n + p.n FROM r, a, s, p""")
 def service_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = render(project_facts(classify(service_files(spark, sf_dir)))).filter("document in ('api-routes', 'data-models', 'tests', 'gaps', 'inventory')")
+    rows = render(_service_facts(spark, sf_dir)).filter("document in ('api-routes', 'data-models', 'tests', 'gaps', 'inventory')")
     return rows.groupBy("document").agg(F.max("n").alias("n"))
 
 

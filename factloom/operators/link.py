@@ -113,6 +113,9 @@ def link_calls(calls: DataFrame, routes: DataFrame) -> DataFrame:
     page = open_.filter((F.upper("method") == "GET") & F.col("e").rlike(r"^/:[A-Za-z_][\w-]*\.html$"))
     page = calls.filter(F.lower("source").contains("static")).select("endpoint", "method", "client").distinct().join(page, ["endpoint", "method", "client"], "left_semi").withColumn("call_id", F.xxhash64("endpoint", "method", "client"))
     shown = r.filter((F.upper("method") == "GET") & (F.lower("handler") == "static#show") & F.col("p").rlike(r"^/[A-Za-z][\w-]*$"))
+    seen = routes.agg(F.collect_set("framework").alias("frameworks"), F.count("route_name").alias("named")).first()  # a few names
+    needs = {2: "phoenix", 3: "rails", 5: "aspnetcore", 8: "rails", 9: "rails", 11: "rails", 12: "rails", 15: "trpc"}
+    kept = {1: seen.named > 0} | {number: framework in seen.frameworks for number, framework in needs.items()}
     found = [
         equal(1, name, F.col("route_name")),
         equal(2, phoenix, handler, r.filter(F.col("framework") == "phoenix")),
@@ -130,6 +133,8 @@ def link_calls(calls: DataFrame, routes: DataFrame) -> DataFrame:
         equal(14, F.lit("static#show"), F.lower("handler"), shown, page),
         equal(15, last, F.col("k"), single),
     ]
+    # tiers that no route of this corpus can meet are left out of the plan
+    found = [df for (number, _, _), df in zip(TIERS, found, strict=True) if kept.get(number, True)]
     all_ = found[0]
     for more in found[1:]:
         all_ = all_.unionByName(more)

@@ -59,6 +59,8 @@ def mount_edges(raw: DataFrame, files: DataFrame) -> DataFrame:
 def mounted(routes: DataFrame, raw: DataFrame, files: DataFrame) -> DataFrame:
     """``routes`` (with owner) under their full paths; a router mounted twice gives a route for each prefix, one never mounted keeps its paths."""
     edges = stored(mount_edges(raw, files), "mount-edges")
+    if edges.filter(F.regexp_replace("prefix", "/", "") != "").isEmpty():
+        return routes.withColumn("own_path", F.col("path"))
     child = edges.select(F.col("child").alias("node")).distinct()
     roots = edges.select(F.col("parent").alias("node")).distinct().join(child, "node", "left_anti")
     closed = mount_closure(edges, roots).filter("depth > 0").select("node", "prefix").distinct()

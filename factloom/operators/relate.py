@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import feature_name, name_terms, normalize_path, tokens
 from ..sources.tables import stored
-from .ordered import numbered_within
+from .ordered import numbered_within, top_n
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -62,17 +62,52 @@ def feature_maps(links: DataFrame, routes: DataFrame, commands: DataFrame, entry
     return some.unionByName(by_entry.crossJoin(F.broadcast(empty)).drop("n"))
 
 
-#: boundary -> roles and path pattern of its files (fixed values)
-BOUNDARIES = [("cli", r"(^|/)(cli|commands?)(/|\.|$)"), ("tests", None), ("frontend", r"\.(tsx|jsx|vue|svelte)$|(^|/)(components|pages|views|web|frontend)/"), ("data-layer", r"(^|/)(models?|entit(y|ies)|repositor(y|ies)|migrations|db)/"), ("runtime-config", None), ("backend-api", r"(^|/)(api|routes?|controllers?|server|backend)(/|\.|$)")]
+#: boundary -> fact tables whose files it has, with the column that names the file (fixed values)
+BOUNDARIES = {
+    "cli": {"commands": "path", "entrypoints": "path"},
+    "frontend": {"pages": "path", "components": "path", "forms": "source", "styles": "path", "assets": "source", "states": "path"},
+    "backend-api": {"routes": "evidence.file"},
+    "data-layer": {"models": "path", "repositories": "path", "services": "path", "data_layer": "path"},
+    "runtime-config": {"runtime": "path"},
+    "tests": {"test_maps": "test_path"},
+    "shared": {},
+}
+#: languages of files that are no source of a project's own (fixed values)
+NOT_SOURCE = ["config", "dockerfile", "font", "gitignore", "gradle", "image", "json", "license", "lockfile", "markdown", "nix", "properties", "svg", "toml", "xml", "yaml"]
+NOT_IMPLEMENTATION = ["dockerfile", "font", "gitignore", "image", "json", "lockfile", "markdown", "svg", "toml", "yaml", "yml"]
+IMPLEMENTATION_ROLES = ["api", "data-layer", "data-model", "entrypoint", "frontend-page", "repository", "service", "source", "test", "webapp"]
+
+
+def is_shared_source(path: Column, language: Column, role: Column) -> Column:
+    """Whether a file is source of the project itself, and no configuration or documentation."""
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    elsewhere = F.lower(path).rlike(r"^(docs|openspec|\.github|\.changeset)/") | name.contains("config") | name.isin("build.js", "build.ts")
+    return role.isin("source", "entrypoint") & ~language.isin(*NOT_SOURCE) & ~elsewhere
+
+
+def module_boundaries(f: dict[str, DataFrame]) -> DataFrame:
+    """name, path: the files of each boundary, by the facts found in them; ``shared`` has the source files of none. A file may be in several."""
+    parts = [f[t].select(F.lit(name).alias("name"), F.col(c).alias("path")) for name, tables in BOUNDARIES.items() for t, c in tables.items() if t in f]
+    known = union_all(parts).filter("path is not null").distinct()
+    rest = f["files"].filter(is_shared_source(F.col("path"), F.col("language"), F.col("role"))).select("path").join(known.select("path").distinct(), "path", "left_anti")
+    return known.unionByName(rest.select(F.lit("shared").alias("name"), "path"))
+
 
+def boundary_counts(paths: DataFrame) -> DataFrame:
+    """name, n_files of every boundary, those without files too."""
+    names = paths.sparkSession.createDataFrame([(n,) for n in BOUNDARIES], "name string")
+    return names.join(paths.groupBy("name").agg(F.count("*").alias("n_files")), "name", "left").select("name", F.coalesce("n_files", F.lit(0)).alias("n_files"))
 
-def module_boundaries(files: DataFrame) -> DataFrame:
-    """name, path: every file of each boundary, by role or path; ``shared`` has the source files of none."""
-    role = F.col("role")
-    by_role = F.when(role == "test", "tests").when(role.isin("frontend-page", "style", "asset", "webapp"), "frontend").when(role.isin("data-layer", "data-model", "repository"), "data-layer").when(role == "config", "runtime-config").when(role == "api", "backend-api")
-    by_path = F.coalesce(*[F.when(role.isin("source", "service", "entrypoint") & F.col("path").rlike(p), F.lit(n)) for n, p in BOUNDARIES if p])
-    other = F.when(role.isin("source", "service", "entrypoint"), "shared")
-    return files.select(F.coalesce(by_role, by_path, other).alias("name"), "path").filter("name is not null")
+
+def refactor_findings(f: dict[str, DataFrame]) -> DataFrame:
+    """title, severity, subject, detail: unmatched calls, routes without a caller, unknown contracts, tests without a target, large files."""
+    called = unmatched_calls(f["links"]).select(F.lit("Unmatched frontend API call").alias("title"), F.lit("medium").alias("severity"), F.concat_ws(" ", F.coalesce("method", F.lit("ANY")), "endpoint").alias("subject"), F.concat(F.lit("called in "), "source").alias("detail"))
+    alone = unlinked_routes(f["routes"], f["links"]).select(F.lit("Backend route has no detected frontend caller").alias("title"), F.lit("low").alias("severity"), F.concat_ws(" ", "method", "path").alias("subject"), F.lit("served, but no call in the corpus is linked to it").alias("detail"))
+    unknown = f["contract_gaps"].filter("gap_type like 'unknown-%'").agg(F.countDistinct("contract").alias("n")).filter("n > 0")
+    unknown = unknown.select(F.lit("API contracts have unknown fields").alias("title"), F.lit("medium").alias("severity"), F.lit("api-contracts").alias("subject"), F.concat("n", F.lit(" contracts lack hints")).alias("detail"))
+    tests = f["test_maps"].filter("target_kind = 'unmatched'").select(F.lit("Test file could not be mapped").alias("title"), F.lit("low").alias("severity"), F.col("test_path").alias("subject"), F.lit("no route, component, command, service, repository or model was found for it").alias("detail"))
+    large = f["large_files"].select(F.lit("Large file may need a module boundary").alias("title"), F.lit("low").alias("severity"), F.col("path").alias("subject"), F.concat("size_bytes", F.lit(" bytes")).alias("detail"))
+    return union_all([called, alone, unknown, tests, large])
 
 
 #: (gap id, title, severity, condition over the counts) (fixed values)
@@ -82,23 +117,43 @@ GAP_RULES = [
     ("GAP-003", "No dependency metadata detected", "low", "dependencies = 0"),
     ("GAP-004", "Files with unknown language", "low", "unknown_language > 0"),
     ("GAP-005", "No source files detected", "high", "sources = 0"),
-    ("GAP-006", "Side effects of commands are unknown", "medium", "commands > 0"),
+    ("GAP-006", "Side effects of API routes are unknown", "low", "routes > 0"),
     ("GAP-007", "Authentication of routes is unknown", "medium", "routes > 0"),
     ("GAP-008", "Data models without fields", "low", "models_without_fields > 0"),
-    ("GAP-009", "User flows of frontend routes are unknown", "medium", "frontend_routes > 0"),
+    ("GAP-009", "User flows of the frontend are unknown", "low", "pages + frontend_routes + forms > 0"),
     ("GAP-010", "Rendered style is unknown", "low", "styles > 0"),
     ("GAP-011", "State transitions are unknown", "low", "states > 0"),
     ("GAP-012", "Frontend API calls without a backend route", "medium", "unmatched_calls > 0"),
-    ("GAP-013", "Backend routes without a caller", "low", "unlinked_routes > 0"),
+    ("GAP-013", "Backend routes without a caller", "low", "routes > 0 and links > 0 and uncalled_routes > 0"),
     ("GAP-014", "API contracts with unknown parts", "medium", "unknown_contracts > 0"),
     ("GAP-015", "Tests without a target", "low", "unmapped_tests > 0"),
 ]
 
 
-def detect_gaps(counts: DataFrame) -> DataFrame:
-    """gap_id, title, severity of the rules that hold for one row of counts."""
+def detect_gaps(counts: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+    """gap_id, title, severity of the rules that hold for one row of counts, and of each parse issue (path, extractor)."""
     rows = F.array(*[F.when(F.expr(cond), F.struct(F.lit(i).alias("gap_id"), F.lit(t).alias("title"), F.lit(s).alias("severity"))) for i, t, s, cond in GAP_RULES])
-    return counts.select(F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("g")).select("g.*")
+    out = counts.select(F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("g")).select("g.*")
+    if issues is None:
+        return out
+    each = issues.select(F.concat("extractor", F.lit(" issue in "), "path").alias("title"), F.lit("high").alias("severity"))
+    return out.unionByName(numbered_within(each.withColumn("prefix", F.lit("GAP-AST")), "prefix", ["title"]).select(F.col("claim_id").alias("gap_id"), "title", "severity"))
+
+
+#: gap -> (fact table, condition, what names the evidence) (fixed values)
+GAP_EVIDENCE = {
+    "GAP-004": ("files", "language = 'unknown'", "path"), "GAP-006": ("routes", "true", "concat(evidence.file, ':', evidence.line_start)"), "GAP-007": ("routes", "true", "concat(evidence.file, ':', evidence.line_start)"), "GAP-008": ("models", "size(fields) = 0", "concat(path, ':', line)"),
+    "GAP-009": ("frontend_routes", "true", "path"), "GAP-010": ("styles", "true", "path"), "GAP-011": ("states", "true", "concat(path, ':', line)"), "GAP-012": ("links", "match_type = 'unmatched' and target_kind = 'backend-route'", "source"),
+    "GAP-014": ("contract_gaps", "gap_type like 'unknown-%'", "contract"), "GAP-015": ("test_maps", "target_kind = 'unmatched'", "test_path"),
+}
+
+
+def gap_evidence(f: dict[str, DataFrame], gaps: DataFrame, n: int = 10) -> DataFrame:
+    """gap_id, rank, evidence: the first ``n`` places of each gap that holds."""
+    rows = union_all([f[t].filter(cond).select(F.lit(g).alias("gap_id"), F.expr(e).alias("evidence")) for g, (t, cond, e) in GAP_EVIDENCE.items() if t in f])
+    part = rows.distinct().withColumn("part", F.pmod(F.xxhash64("evidence"), F.lit(64)))  # the first of each part, then of all
+    near = top_n(part, ["gap_id", "part"], ["evidence"], n).drop("rank", "part")
+    return top_n(near.join(gaps.select("gap_id"), "gap_id", "left_semi"), ["gap_id"], ["evidence"], n).select("gap_id", "rank", "evidence")
 
 
 #: table -> (id prefix, claim type, confidence, sentence) (fixed values)
@@ -113,6 +168,9 @@ CLAIMS = {
     "frontend_routes": ("FR", "frontend-route", "0.85", "concat('Has frontend route ', name, '.')"),
     "calls": ("CALL", "api-call", "0.8", "concat(path, ' calls ', coalesce(method, 'ANY'), ' ', endpoint, '.')"),
     "links": ("LINK", "api-link", "case confidence when 'high' then 0.85 when 'medium' then 0.65 else 0.4 end", "concat(source, ' -> ', coalesce(matched_route, endpoint), ' (', match_type, ').')"),
+    "pages": ("PAGE", "page", "0.85", "concat('Page ', path, ' is shown at ', route, '.')"),
+    "servlets": ("SERVLET", "servlet", "0.9", "concat('Servlet ', name, ' is mapped in ', path, '.')"),
+    "findings": ("REFACTOR", "refactor-finding", "0.65", "concat(title, ': ', subject, '.')"),
     "forms": ("FORM", "form", "0.85", "concat('Form in ', source, ' to ', coalesce(action, '?'), '.')"),
     "assets": ("ASSET", "asset", "0.8", "concat(source, ' uses ', asset_path, '.')"),
     "styles": ("STYLE", "style", "0.8", "concat(path, ' defines styles.')"),
@@ -231,7 +289,8 @@ def surfaces(routes: DataFrame, services: DataFrame, models: DataFrame) -> DataF
 
 def large_files(files: DataFrame, least: int = 20_000) -> DataFrame:
     """Implementation files of at least ``least`` bytes."""
-    return files.filter((F.col("size_bytes") >= least) & F.col("role").isin("source", "service", "repository", "api", "data-model", "entrypoint")).select("path", "role", "size_bytes")
+    wanted = F.col("role").isin(*IMPLEMENTATION_ROLES) & ~F.col("language").isin(*NOT_IMPLEMENTATION) & ~F.lower("path").rlike(r"(package-lock\.json|pnpm-lock\.yaml|yarn\.lock)$")
+    return files.filter((F.col("size_bytes") >= least) & wanted).select("path", "role", "size_bytes")
 
 
 def quality(facts: dict[str, DataFrame]) -> DataFrame:

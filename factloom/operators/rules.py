@@ -100,6 +100,9 @@ RULES = [
     Rule("class-prefix", "aspnetcore", CS, r"\[Route\(\s*\"([^\"]*)\"[^\n]*(?:\n\s*\[[^\n]*)*\n\s*public\s+[\w ]*class\s+(\w+?)(?:Controller)?\b", "", 1, 2, 4),
     Rule("class-prefix", "jax-rs", JVM, r"^@Path\(\s*\"([^\"]*)\"\s*\)", "", 1),
     Rule("class-prefix", "micronaut", JVM, r"@Controller\(\s*\"([^\"]*)\"", "", 1),
+    Rule("route-name", "laravel", PHP, rf"Route::{_VERB}\(\s*{_Q}[^\n;]*->name\(\s*[\"']([\w.-]+)", 1, 2, 3),
+    Rule("route-name", "django", PY, rf"\bpath\(\s*{_Q}[^\n]*\bname\s*=\s*[\"']([\w:.-]+)", "ANY", 1, 2),
+    Rule("call", "laravel-route", JS + " php", r"(?<![\w>:$])route\(\s*[\"']([\w-]+\.[\w.-]+)[\"']", "", 1),
     Rule("binding", "import", JS, r"\bimport\s+(\w+)\s*(?:,\s*\{[^}\n]*\}\s*)?from\s+[\"']([^\"'\n]+)[\"']", "", 1, 2),
     Rule("binding", "require", JS, r"\b(?:const|let|var)\s+(\w+)\s*=\s*require\(\s*[\"']([^\"'\n]+)[\"']\s*\)", "", 1, 2),
     # frontend calls: method, endpoint
@@ -331,7 +334,7 @@ PATHS = {
     "spring-config": r"(^|/)(application|bootstrap)[^/]*\.ya?ml$", "appsettings": r"(^|/)appsettings[^/]*\.json$", "wrangler": r"(^|/)wrangler\.toml$", "vercel": r"(^|/)vercel\.json$", "procfile": r"(^|/)Procfile[^/]*$", "drupal": r"\.routing\.yml$",
 }
 #: label -> what its names are channels of (fixed values)
-CHANNEL_OF = {"socket.io": "socket.io#", "electron": "ipc#", "tauri": "tauri#", "kafka": "kafka#", "rabbitmq": "rabbitmq#", "bullmq": "bullmq#"}
+CHANNEL_OF = {"socket.io": "socket.io#", "electron": "ipc#", "tauri": "tauri#", "kafka": "kafka#", "rabbitmq": "rabbitmq#", "bullmq": "bullmq#", "laravel-route": "route:"}
 #: (label, pattern over the path whose group is the route, side) of routes that stand in file names (fixed values)
 FILE_ROUTES = [
     ("next-app", r"(?:^|/)app/(.*?)/?route\.[jt]sx?$", "backend"), ("sveltekit", r"(?:^|/)src/routes/(.*?)/?\+server\.[jt]s$", "backend"), ("next-api", r"(?:^|/)pages/(api/.*?)(?:/index)?\.[jt]sx?$", "backend"),

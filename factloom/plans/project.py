@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import extract as X
@@ -10,6 +10,7 @@ from ..operators import pages as P
 from ..operators import relate as R
 from ..operators.contracts import contract_details
 from ..operators.link import link_calls
+from ..functions.text import normalize_path
 from ..operators.ordered import first_wins
 from ..sources.tables import stored
 
@@ -59,34 +60,46 @@ def project_facts(files: DataFrame) -> dict[str, DataFrame]:
     by_file = X.file_route(F.col("path"), "frontend")
     paged = files.filter("role not in ('test', 'sample', 'generated')").withColumn("r", by_file).filter("r is not null")
     f["frontend_routes"] = f["frontend_routes"].select("path", "kind", "name", "line").unionByName(paged.select("path", F.col("r.label").alias("kind"), F.col("r.route").alias("name"), F.lit(1).alias("line")))
+    f["pages"] = files.filter("language in ('html', 'jsp') and role not in ('test', 'sample', 'generated')").select("path", page_route(F.col("path")).alias("route"))
     f["forms"], f["assets"], f["styles"] = P.form_facts(files), P.asset_facts(files), P.style_facts(files)
     calls = f["calls"].select(F.xxhash64("path", "line", "endpoint", "method").alias("call_id"), F.col("path").alias("source"), "endpoint", "method", "client")
-    routes = f["routes"].select(F.xxhash64("method", "path", "framework", "handler").alias("route_id"), "method", "path", "framework", "handler", F.lit(None).cast("string").alias("route_name"))
+    names = raw.filter("family = 'route-name' and detail is not null").groupBy(F.upper("verb").alias("method"), normalize_path(F.col("subject")).alias("path"), F.col("path").alias("file")).agg(F.min("detail").alias("route_name"))
+    routes = f["routes"].withColumn("file", F.col("evidence.file")).join(names, ["method", "path", "file"], "left").select(F.xxhash64("method", "path", "framework", "handler").alias("route_id"), "method", "path", "framework", "handler", "route_name")
     f["links"] = stored(link_calls(calls, routes), "links")
     targets = R.union_all([f[k].select(F.lit(kind).alias("kind"), "name", F.lit(o).cast("long").alias("ord")) for o, (k, kind) in enumerate((("components", "component"), ("services", "service"), ("repositories", "repository"), ("models", "data-model"), ("commands", "cli-command")))]).filter("name is not null").distinct()
     f["test_maps"] = stored(R.test_maps(files, f["routes"], stored(targets, "targets")), "test-maps")
-    f["boundary_paths"], f["issues"] = R.module_boundaries(files), X.parse_issues(files)
-    f["boundaries"] = f["boundary_paths"].groupBy("name").agg(F.count("*").alias("n_files"))
+    f["boundary_paths"], f["issues"] = stored(R.module_boundaries(f), "boundaries"), X.parse_issues(files)
+    f["boundaries"] = R.boundary_counts(f["boundary_paths"])
     f["surfaces"] = R.surfaces(f["routes"], f["services"], f["models"])
     f["features"] = R.feature_maps(f["links"], f["routes"], f["commands"], f["entrypoints"])
     f["contracts"] = stored(R.contracts(f["routes"].select("method", "path", "framework"), contract_details(files, f["routes"])), "contracts")
     f["contract_gaps"] = stored(R.contract_gaps(f["contracts"], R.unmatched_calls(f["links"]), R.unlinked_routes(f["routes"], f["links"])), "contract-gaps")
     f["large_files"] = R.large_files(files)
     f["quality"] = stored(R.quality(f), "quality")
-    f["gaps"] = stored(R.detect_gaps(gap_counts(f)), "gaps")
+    f["gaps"] = stored(R.detect_gaps(gap_counts(f), f["issues"]), "gaps")
+    f["gap_evidence"] = R.gap_evidence(f, f["gaps"])
+    f["findings"] = stored(R.refactor_findings(f), "findings")
     f["claims"] = R.trace_claims(f)
     return f
 
 
+def page_route(path: Column) -> Column:
+    """Where a page file is served: its path without public folders, suffix and index."""
+    bare = F.regexp_replace(F.regexp_replace(path, r"^(.*/)?(public|static|www|webapp|templates)/", ""), r"(^|/)index\.\w+$|\.\w+$", "")
+    return F.concat(F.lit("/"), F.regexp_replace(bare, "^/+", ""))
+
+
 def gap_counts(f: dict[str, DataFrame]) -> DataFrame:
     """The one row of counts that the gap rules look at."""
+    served = f["links"].filter("matched_route is not null").select(F.col("matched_method").alias("method"), F.col("matched_route").alias("path"))
+
     def n(df: DataFrame, name: str, cond: str = "true") -> DataFrame:
         return df.agg(F.count_if(F.expr(cond)).alias(name))
 
     parts = [
-        n(f["files"], "unknown_language", "language = 'unknown'"), n(f["files"], "tests", "role = 'test'"), n(f["files"], "sources", "role in ('source','service','api','entrypoint','repository','data-model')"),
-        n(f["entrypoints"], "entrypoints"), n(f["dependencies"], "dependencies"), n(f["commands"], "commands"), n(f["routes"], "routes"), n(f["models"], "models_without_fields", "size(fields) = 0"), n(f["frontend_routes"], "frontend_routes"),
-        n(f["styles"], "styles"), n(f["states"], "states"), n(R.unmatched_calls(f["links"]), "unmatched_calls"), n(R.unlinked_routes(f["routes"], f["links"]), "unlinked_routes"), n(f["contract_gaps"], "unknown_contracts", "gap_type like 'unknown%'"), n(f["test_maps"], "unmapped_tests", "target is null"),
+        n(f["files"], "unknown_language", "language = 'unknown'"), n(f["files"], "tests", "role = 'test'"), n(f["files"], "sources", "role in ('source','api','asset','data-model','entrypoint','frontend-page','repository','service','style','webapp')"),
+        n(f["entrypoints"], "entrypoints"), n(f["dependencies"], "dependencies"), n(f["pages"], "pages"), n(f["forms"], "forms"), n(f["links"], "links"), n(f["routes"], "routes"), n(f["models"], "models_without_fields", "size(fields) = 0"), n(f["frontend_routes"], "frontend_routes"),
+        n(f["styles"], "styles"), n(f["states"], "states"), n(R.unmatched_calls(f["links"]), "unmatched_calls"), n(f["routes"].join(served, ["method", "path"], "left_anti"), "uncalled_routes"), n(f["contracts"], "unknown_contracts", "size(request_hints) = 0 or size(response_hints) = 0 or size(status_codes) = 0"), n(f["test_maps"], "unmapped_tests", "target is null"),
     ]
     out = parts[0]
     for p in parts[1:]:
