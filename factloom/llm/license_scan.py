@@ -13,7 +13,7 @@ templates; ``score`` is 1 if there is a base place, else the best verified share
 words, no labels and score 0.  Repeated rows are scanned alike; repeated words of a phrase count at each place; a null
 doc_id is kept as it is.  Texts of any length are scanned whole.  An empty table gives no rows; other columns, whatever
 their names, take no part.  Words are compared by 64-bit hashes, that is with a chance of 2**-64 for each two words;
-every base place and key phrase is compared with the words of the text.
+base places are compared with the words of the text besides, templates and their key phrases are not.
 """
 
 from __future__ import annotations
