@@ -53,15 +53,15 @@ PAIRS = 1 << 15
 _BIG = np.uint64(1 << 40)
 
 
-def shingle_sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, shingle hash) of a chunk, distinct, by document and hash."""
+def shingle_sets(texts: list[bytes | None], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(document, shingle hash) of a chunk, distinct, by document and hash; a shingle is ``width`` words, or all of a shorter text."""
     w = Words(texts, SPACE_WORDS, True)
     n = w.counts()
     docs, hashes = [], []
-    for k in (SHINGLE, *sorted({int(x) for x in n[(n > 0) & (n < SHINGLE)]})):
+    for k in (width, *sorted({int(x) for x in n[(n > 0) & (n < width)]})):
         at, h = w.windows(k)
         doc = np.searchsorted(w.first, at, side="right") - 1
-        if k < SHINGLE:
+        if k < width:
             whole = n[doc] == k
             doc, h = doc[whole], h[whole]
         docs.append(doc)
@@ -186,9 +186,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield t.filter(pa.array(keep)).select(["x", "y"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int = SHINGLE) -> Iterator[pa.RecordBatch]:
     for part, texts in chunks(batches):
-        doc, h = shingle_sets(texts)
+        doc, h = shingle_sets(texts, width)
         cut = np.searchsorted(doc, np.arange(part.num_rows + 1)).tolist()
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["doc_id", "s"])
 
