@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, line_dedup, ngram_jaccard, odd_sketch, packing, secret_scan, substring_dedup, topk_search, toxicity
+from . import decontaminate, language_id, license_scan, line_dedup, ngram_jaccard, odd_sketch, packing, secret_scan, substring_dedup, topk_search, toxicity, turn_repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup_every_run": line_dedup.op8_line_dedup_every_run,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_turn_repair": turn_repair.op11_turn_repair,
     "op12_minhash_dedup": odd_sketch.op12_minhash_dedup,
 }
 
@@ -30,5 +31,6 @@ ORACLES: dict[str, str] = {
     "op8_line_dedup": line_dedup.ORACLE,
     "op8_line_dedup_every_run": line_dedup.ORACLE_EVERY_RUN,
     "op10_decontamination": decontaminate.ORACLE,
+    "op11_turn_repair": turn_repair.ORACLE,
     "op12_minhash_dedup": odd_sketch.ORACLE,
 }
