@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, line_dedup, ngram_jaccard, odd_sketch, packing, secret_scan, substring_dedup, topk_search, toxicity, turn_repair
+from . import decontaminate, hard_negatives, language_id, license_scan, line_dedup, ngram_jaccard, odd_sketch, packing, secret_scan, substring_dedup, topk_search, toxicity, turn_repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_turn_repair": turn_repair.op11_turn_repair,
     "op12_minhash_dedup": odd_sketch.op12_minhash_dedup,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -33,4 +34,5 @@ ORACLES: dict[str, str] = {
     "op10_decontamination": decontaminate.ORACLE,
     "op11_turn_repair": turn_repair.ORACLE,
     "op12_minhash_dedup": odd_sketch.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
