@@ -12,10 +12,16 @@ has none and links with nothing.  Two documents link at a Jaccard similarity of
 3. First each bucket's members meet its leader (one of ``LEADERS`` ways to choose it, by the key, so a group of copies meets
    a few documents and not itself).  Candidates that the sketches leave are compared on whole sets; their links make
    components.
-4. Then in buckets of three and more that still hold several components all pairs of different components are judged by
-   sketches, block by block, and what is left is compared on whole sets.  A bucket above ``CELL`` members is cut by the size
-   of the sets (a link needs sizes within 0.8, so a band of sizes meets itself and the next) and then into parts, of which
-   each two meet in a task of their own; nothing is dropped.
+4. In buckets of three and more that still hold several components, sketches of all members of different components are
+   met, and components with a candidate between them are joined to clusters; a bucket sends on a forest of such pairs, which
+   is no longer than its members.
+5. Each cluster is a cell whose documents come together with their whole sets, once.  There every candidate of different
+   components is compared on whole sets, and components that have been linked are one from then on, so a cell too sends on
+   a forest.  Pairs near the threshold, which a group of copies has many of, are never rows.
+
+Buckets and clusters above ``CELL`` members or ``SHINGLES`` shingles are cut by the size of the sets (a link needs sizes
+within 0.8, so a band of sizes meets itself and the next) and then into parts, of which each two meet in a task of their own;
+nothing is dropped.
 
 Every link is one that whole sets confirm (by 64-bit shingle hashes; copies by 128 bits).  doc_ids are expected to be
 unique; rows that repeat one share its links.  A row with a null doc_id has its n_shingles, null component_id and kept, and
@@ -34,16 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .ngram_jaccard import DEN, NUM, _by_cell, _sets, _verified, shingle_sets
+from .ngram_jaccard import DEN, NUM, _by_cell, _sets, _verified, enough, shingle_sets
 from .shared import Tables, id_and_text, join_ids, result, ship, table
 from .textwords import chunks, joined, mix
 
 WIDTH = 2
 BANDS, ROWS, SAMPLES, BITS = 32, 3, 128, 512
 LOSS = 1e-9
-LEADERS, CELL = 8, 4096
+LEADERS, CELL, SHINGLES = 8, 2048, 1 << 21
 #: documents whose samples are drawn, and pairs whose sketches are met, at a time
-DOCS_AT_ONCE, PAIRS = 2048, 1 << 20
+DOCS_AT_ONCE, PAIRS = 2048, 1 << 18
 DESCRIBED = "doc_id long, n long, d1 long, d2 long, sketch binary, keys array<long>"
 
 #: one odd factor and one summand for each sample
@@ -156,41 +162,99 @@ def _confirmed(src: DataFrame, near: DataFrame, tables: Tables) -> DataFrame:
     return out
 
 
-def _bucket_pairs(t: pa.Table, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of different components in each bucket (or two parts of one) that may link; pairs with the leader have been met."""
-    part, comp, n, guest, leads = (t.column(c).to_numpy(zero_copy_only=False) for c in ("part", "comp", "n", "guest", "leads"))
-    sketch = _rows_of(t.column("sketch").to_pylist())
+def _candidates(sketch: np.ndarray, n: np.ndarray, comp: np.ndarray, apart: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which rows each of ``x`` may link with: of other components, and not set apart from it (see ``met_elsewhere``)."""
+    ok = np.empty((len(x), len(n)), bool)
+    for a in range(0, len(x), max(1, PAIRS // len(n))):
+        own = x[a : a + max(1, PAIRS // len(n)), None]
+        ok[a : a + len(own)] = (comp[own] != comp) & ~met_elsewhere(apart, own) & fits(sketch[own], sketch, n[own], n)
+    return ok
+
+
+def met_elsewhere(apart: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Pairs that another cell meets, or that have been met. apart: part, guest, leads of each row; two parts meet each other only."""
+    part, guest, leads = apart
+    out = ((guest[x] & guest) | leads[x] | leads) > 0
+    return out | (part[x] == part) if part.min() != part.max() else out
+
+
+def _cell_columns(t: pa.Table, start: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, guest, leads), component and size of the set of a cell's rows."""
+    part, guest, leads, comp, n = (t.column(c).slice(start, size).to_numpy() for c in ("part", "guest", "leads", "doc_id", "n"))
+    return np.stack((part, guest, leads)).astype(np.int64), comp, n
+
+
+def _forests(t: pa.Table, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs that join all rows of a cell between which candidates lead."""
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s, k in zip(start.tolist(), size.tolist(), strict=True):
-        two = part[s : s + k].min() != part[s : s + k].max()
-        for a in range(s, s + k, max(1, PAIRS // k)):
-            x, y = np.arange(a, min(s + k, a + max(1, PAIRS // k)))[:, None], np.arange(s, s + k)[None, :]
-            ok = (x < y) & (comp[x] != comp[y]) & ~(guest[x] & guest[y]) & ~leads[x] & ~leads[y]
-            if two:
-                ok &= part[x] != part[y]
-            x, y = (np.broadcast_to(v, ok.shape)[ok] for v in (x, y))
-            for b in range(0, len(x), PAIRS >> 3):
-                p, q = x[b : b + (PAIRS >> 3)], y[b : b + (PAIRS >> 3)]
-                good = fits(sketch[p], sketch[q], n[p], n[q])
-                left.append(p[good])
-                right.append(q[good])
+        apart, comp, n = _cell_columns(t, s, k)
+        near = _candidates(_rows_of(t.column("sketch").slice(s, k).to_pylist()), n, comp, apart, np.arange(k))
+        waiting = near.any(axis=1)
+        while waiting.any():
+            front = np.flatnonzero(waiting)[:1]
+            waiting[front] = False
+            while len(front):
+                reached = np.flatnonzero(near[front].any(axis=0) & waiting)
+                left.append(front[near[np.ix_(front, reached)].argmax(axis=0)] + s)
+                right.append(reached + s)
+                waiting[reached] = False
+                front = reached
     return np.concatenate(left), np.concatenate(right)
 
 
-def _spread(known: DataFrame, described: DataFrame, tables: Tables) -> DataFrame:
-    """Buckets of three and more that hold several components, as rows for ``_bucket_pairs``. known: key, doc_id, comp, leads."""
-    mixed = known.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).filter("a < b and m > 2")
-    mixed = tables.put(mixed.select("key", (F.col("m") > CELL).alias("hot")), "mixed")
-    rows = known.join(mixed, "key").join(described.select("doc_id", "n", "sketch"), "doc_id")
+def _cell_links(t: pa.Table, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs that link on their whole sets and join all components of a cell between which links lead."""
+    left, right = [], []
+    for s, k in zip(start.tolist(), size.tolist(), strict=True):
+        apart, comp, n = _cell_columns(t, s, k)
+        comp = comp.copy()
+        sketch = _rows_of(t.column("sketch").slice(s, k).to_pylist())
+        _, shingle = np.unique(np.frombuffer(b"".join(t.column("s").slice(s, k).to_pylist()), np.uint64), return_inverse=True)
+        first = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+        label, count = np.unique(comp, return_counts=True)
+        mark = np.zeros(int(shingle.max()) + 1, bool)
+        for x in np.flatnonzero(comp != label[count.argmax()]).tolist():
+            y = np.flatnonzero(_candidates(sketch, n, comp, apart, np.array([x]))[0])
+            if not len(y):
+                continue
+            own = shingle[first[x] : first[x + 1]]
+            mark[own] = True
+            at = np.repeat(first[y] - np.concatenate((np.zeros(1, np.int64), np.cumsum(n[y])[:-1])), n[y]) + np.arange(int(n[y].sum()))
+            both = np.bincount(np.repeat(np.arange(len(y)), n[y])[mark[shingle[at]]], minlength=len(y))
+            mark[own] = False
+            for z in y[enough(both, n[x], n[y])].tolist():
+                if comp[z] != comp[x]:
+                    left.append(x + s)
+                    right.append(z + s)
+                    comp[comp == comp[z]] = comp[x]
+    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+
+
+def _cells(rows: DataFrame, tables: Tables, least: int = 2) -> DataFrame:
+    """Rows key, doc_id, comp, n, leads of the keys that hold several components, dealt to cells (key, band, i, j)."""
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m"), F.sum("n").alias("w")).filter(f"a < b and m >= {least}")
+    mixed = tables.put(mixed.select("key", ((F.col("m") > CELL) | (F.col("w") > SHINGLES)).alias("hot")), "mixed")
     band = F.floor(F.log("n") / F.log(F.lit(DEN / NUM))).cast("int")
     kinds = F.when(F.col("hot"), F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band + 1).alias("band"), F.lit(True).alias("guest"))))
     kinds = kinds.otherwise(F.array(F.struct(F.lit(-1).alias("band"), F.lit(False).alias("guest"))))
-    rows = tables.put(rows.select("key", "doc_id", "comp", "leads", "n", "sketch", F.explode(kinds).alias("k")).select("*", "k.band", "k.guest").drop("k"), "spread")
-    cells = rows.groupBy("key", "band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("guest").alias("guests"), F.count("*").alias("m")).filter("a < b and not guests")
-    cells = tables.put(cells.select("key", "band", F.ceil(F.col("m") / CELL).cast("int").alias("parts")), "spread-cells")
-    rows = rows.join(cells, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rows.select("key", "band", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "guest", "leads", "doc_id", "comp", "n", "sketch")
+    spread = rows.join(mixed, "key").select("key", "doc_id", "comp", "leads", "n", F.explode(kinds).alias("k")).select("*", "k.band", "k.guest").drop("k")
+    spread = tables.put(spread, "spread")
+    cells = spread.groupBy("key", "band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("guest").alias("guests"), F.count("*").alias("m"), F.sum("n").alias("w")).filter("a < b and not guests")
+    parts = F.greatest(F.ceil(F.col("m") / CELL), F.ceil(F.col("w") / SHINGLES)).cast("int")
+    cells = tables.put(cells.select("key", "band", parts.alias("parts")), "spread-cells")
+    dealt = spread.join(cells, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select("key", "band", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "guest", "leads", "doc_id", "comp", "n")
+
+
+_CELL_KEYS = ["key", "band", "i", "j"]
+
+
+def _met(cells: DataFrame, what) -> DataFrame:
+    """Pairs of components (a, b) that ``what`` finds in the cells."""
+    own = cells.withColumn("doc_id", F.col("comp")).drop("comp").repartition(*_CELL_KEYS).sortWithinPartitions(*_CELL_KEYS, "doc_id")
+    return own.mapInArrow(lambda b: _by_cell(b, _CELL_KEYS, what), "a long, b long").filter("a < b").distinct()
 
 
 def _class_labels(src: DataFrame, described: DataFrame, copies: DataFrame, tables: Tables) -> DataFrame:
@@ -203,22 +267,22 @@ def _class_labels(src: DataFrame, described: DataFrame, copies: DataFrame, table
     rows = tables.put(postings.join(cells.select("key", "leader.doc_id", "m").toDF("key", "leader", "m"), "key"), "bucket-rows")
 
     sized = own.select("doc_id", "n", "sketch")
-
-    def judged(pairs: DataFrame, name: str) -> DataFrame:
-        both = pairs.join(sized.toDF("x", "nx", "kx"), "x").join(sized.toDF("y", "ny", "ky"), "y")
-        return tables.put(both.mapInArrow(_judged, "x long, y long"), name)
-
     pairs = rows.filter("doc_id <> leader").select(F.least("doc_id", "leader").alias("x"), F.greatest("doc_id", "leader").alias("y")).distinct()
-    near = _confirmed(src, judged(pairs, "led"), tables)
-    label = connected_components(near.toDF("a", "b"), tables)
-
-    many = rows.filter("m > 2").select("key", "doc_id", (F.col("doc_id") == F.col("leader")).alias("leads"))
-    known = join_ids(many, label.toDF("doc_id", "label"), ["doc_id"], "left").select("key", "doc_id", "leads", F.coalesce("label", "doc_id").alias("comp"))
-    spread = _spread(tables.put(known, "known"), sized, tables)
-    keys = ["key", "band", "i", "j"]
-    met = spread.repartition(*keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(lambda b: _by_cell(b, keys, _bucket_pairs), "x long, y long").distinct()
-    more = _confirmed(src, tables.put(met, "met"), tables)
-    return connected_components(near.unionByName(more).toDF("a", "b"), tables)
+    both = pairs.join(sized.toDF("x", "nx", "kx"), "x").join(sized.toDF("y", "ny", "ky"), "y")
+    links = _confirmed(src, tables.put(both.mapInArrow(_judged, "x long, y long"), "led"), tables).toDF("a", "b")
+    label = connected_components(links, tables)
+
+    known = join_ids(own.select("doc_id", "n"), label.toDF("doc_id", "label"), ["doc_id"], "left").select("doc_id", "n", F.coalesce("label", "doc_id").alias("comp"))
+    known = tables.put(known, "known")
+    many = rows.filter("m > 2").select("key", "doc_id", (F.col("doc_id") == F.col("leader")).alias("leads")).join(known, "doc_id")
+    forest = tables.put(_met(_cells(many, tables, 3).join(sized.select("doc_id", "sketch"), "doc_id"), _forests), "forest")
+    cluster = connected_components(forest, tables)
+
+    clustered = tables.put(known.join(cluster.toDF("comp", "key"), "comp").select("key", "doc_id", "comp", "n", F.lit(False).alias("leads")), "clustered")
+    sets = join_ids(src, clustered.select("doc_id"), ["doc_id"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(partial(_sets, width=WIDTH), "doc_id long, s binary")
+    sets = tables.put(sets, "cluster-sets")
+    more = tables.put(_met(_cells(clustered, tables).join(sized.select("doc_id", "sketch"), "doc_id").join(sets, "doc_id"), _cell_links), "more")
+    return connected_components(links.unionByName(more), tables)
 
 
 def near_duplicates(docs: DataFrame, **columns: str) -> DataFrame:
