@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_path, once
 from ..sources.tables import arrow_ready, stored
+from .lexing import Masks, blocks
 from .mounts import mounted
 from .ordered import first_wins
 from .rules import CHANNEL_OF, FILE_ROUTES, MANIFESTS, PATHS, RULES, Rule
@@ -24,7 +25,7 @@ from .rules import CHANNEL_OF, FILE_ROUTES, MANIFESTS, PATHS, RULES, Rule
 #: roles whose files are not evidence of the project itself (fixed values)
 NOISE = ["generated", "sample"]
 
-RULE_ROWS = "path string, language string, role string, line int, rule int, nth int, family string, label string, verb string, subject string, detail string, owner string"
+RULE_ROWS = "path string, language string, role string, line int, rule int, nth int, family string, label string, verb string, subject string, detail string, owner string, scope array<string>"
 
 
 def compiled(rules: list[Rule]) -> dict[str, list[tuple]]:
@@ -39,30 +40,115 @@ def compiled(rules: list[Rule]) -> dict[str, list[tuple]]:
     return by
 
 
-def matches(content: str, rules: list[tuple]) -> Iterator[tuple]:
-    """(line, rule number, nth match in the line, family, label, verb, subject, detail, owner) in one file; empty groups are None.
+def matches(content: str, rules: list[tuple], language: str = "") -> Iterator[tuple]:
+    """(line, rule number, nth match in the line, family, label, verb, subject, detail, owner, prefixes of the scopes around a route) in one file; empty groups are None.
 
-    Only lines in which a pattern begins are looked at.
+    Only lines in which a pattern begins are looked at, and matches that begin in a comment or a string are left out.
     """
-    starts = None
+    starts = masks = None
+    found: list[tuple[int, tuple]] = []
+    scopes: list[tuple] = []
     for n, r, whole, one in rules:
         at = 0
         while m := whole.search(content, at):
             if starts is None:
                 starts = [0, *(x.end() for x in re.finditer("\n", content))]
+                masks = Masks(content, language)
             line = bisect_right(starts, m.start())
             end = starts[line] if line < len(starts) else len(content) + 1
-            found = [m] if r.span > 1 else one.finditer(content[starts[line - 1] : end - 1].removesuffix("\r"))
-            for k, x in enumerate(found):
+            base, hits = (0, [m]) if r.span > 1 else (starts[line - 1], one.finditer(content[starts[line - 1] : end - 1].removesuffix("\r")))
+            for k, x in enumerate(hits):
+                place = base + x.start() + len(x[0]) - len(x[0].lstrip())
+                kind = masks.kind(place)
+                if kind and kind != r.inside:
+                    continue
                 verb = (x[r.verb] if r.verb else None) if isinstance(r.verb, int) else r.verb
-                yield line, n, k, r.family, r.label, verb or None, (x[r.subject] if r.subject else None) or None, (x[r.detail] if r.detail else None) or None, x.groupdict().get("owner")
+                subject, detail, owner = (x[r.subject] if r.subject else None) or None, (x[r.detail] if r.detail else None) or None, x.groupdict().get("owner")
+                if r.family == "scope":
+                    scopes.append((place, base + x.end(), r.label, verb, subject, detail, owner))
+                found.append((place, (line, n, k, r.family, r.label, verb or None, subject, detail, owner)))
             if end > len(content):
                 break
             at = end
+    around = Scopes(content, language, scopes) if scopes else None
+    for place, row in found:
+        yield *row, around.prefixes(row[4], place) if around and row[3] == "route" else None
+
+
+class Scopes:
+    """The blocks of a file that give the routes inside them a prefix, by label; each knows the one around it."""
+
+    def __init__(self, content: str, language: str, declared: list[tuple]) -> None:
+        tree = blocks(content, language)
+        opens = [b.start for b in tree]
+        self.by_label: dict[str, list[tuple]] = {}
+
+        def innermost(place: int) -> int:
+            k = bisect_right(opens, place) - 1
+            while k >= 0 and not tree[k].body <= place < tree[k].end:
+                k = tree[k].parent
+            return k
+
+        for place, end, label, kind, subject, detail, owner in declared:
+            if kind == "rest":
+                k = innermost(place)
+                span = (end, tree[k].end if k >= 0 else len(content))
+            elif kind == "above":
+                span = next(((b.body, b.end) for b in tree if b.end == place), None)
+            else:
+                k = bisect_right(opens, end - 1) - 1
+                own = tree[k] if k >= 0 and tree[k].body == end else None
+                if own is None:
+                    parent = innermost(place)
+                    own = next((b for b in tree[bisect_right(opens, end - 1) :] if b.parent == parent and b.opener != "("), None)
+                span = own and (own.body, own.end)
+            if span:
+                self.by_label.setdefault(label, []).append((*span, kind, subject, detail, owner))
+        self.starts: dict[str, list[int]] = {}
+        self.around: dict[str, list[int]] = {}
+        for label, spans in self.by_label.items():
+            spans.sort(key=lambda x: (x[0], -x[1]))
+            self.starts[label] = [x[0] for x in spans]
+            open_: list[int] = []
+            self.around[label] = []
+            for n, x in enumerate(spans):
+                while open_ and spans[open_[-1]][1] < x[1]:
+                    open_.pop()
+                self.around[label].append(open_[-1] if open_ else -1)
+                open_.append(n)
+
+    def prefixes(self, label: str, place: int) -> list[str] | None:
+        """From the outermost scope around ``place`` to the innermost; None if there is none."""
+        spans = self.by_label.get(label)
+        if not spans:
+            return None
+        k, chain = bisect_right(self.starts[label], place) - 1, []
+        while k >= 0:
+            if spans[k][0] <= place < spans[k][1]:
+                chain.append(spans[k])
+            k = self.around[label][k]
+        parts: list[str] = []
+        for _, _, kind, subject, detail, owner in reversed(chain):
+            if kind == "resources":
+                parts += [detail or subject, f":{singular(subject)}_id"]
+            elif kind == "member":
+                parts[-1:] = [":id"]
+            elif kind == "collection":
+                del parts[-1:]
+            else:
+                parts.append((detail or subject or "").replace("[controller]", owner or ""))
+        return [x for x in parts if x.strip("/")] or None
+
+
+def singular(word: str) -> str:
+    for many, one in (("ies", "y"), ("sses", "ss"), ("shes", "sh"), ("ches", "ch"), ("xes", "x"), ("ss", "ss"), ("s", "")):
+        if word.endswith(many):
+            return word[: -len(many)] + one
+    return word
 
 
 def extract(files: DataFrame, families: list[str] | None = None, rules: list[Rule] | None = None, skip_roles: list[str] = NOISE) -> DataFrame:
-    """path, language, role, line, rule, nth, family, label, verb, subject, detail, owner of every match of the rules, empty groups as null.
+    """path, language, role, line, rule, nth, family, label, verb, subject, detail, owner, scope of every match of the rules, empty groups as null.
 
     One scan of the files whatever the number of families, and nothing shuffled; each pattern is compiled once a task.
     """
@@ -74,9 +160,9 @@ def extract(files: DataFrame, families: list[str] | None = None, rules: list[Rul
                 (path, language, role, *m)
                 for path, language, role, content in zip(*(b.column(c).to_pylist() for c in ("path", "language", "role", "content")), strict=True)
                 if language in wanted
-                for m in matches(content, wanted[language])
+                for m in matches(content, wanted[language], language)
             ]
-            kinds = [pa.string()] * 3 + [pa.int32()] * 3 + [pa.string()] * 6
+            kinds = [pa.string()] * 3 + [pa.int32()] * 3 + [pa.string()] * 6 + [pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split()[0] for x in RULE_ROWS.split(", ")])
 
     src = files.filter(~F.col("role").isin(*skip_roles) & F.col("content").isNotNull()).select("path", "language", "role", "content")
@@ -110,28 +196,24 @@ def file_route(path: Column, side: str) -> Column:
 def api_routes(files: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """method, path, handler, framework, kind, class_prefix, evidence; first of (method, path, framework, handler) wins.
 
-    A class-level prefix applies to the routes below it, up to the next one of its framework in the file; routers that other
-    files mount have their routes under the mount's prefix.
+    A scope's prefix applies to the routes inside its block, nested scopes one after the other; routers that other files mount
+    have their routes under the mount's prefix.
     """
-    raw = stored(_of(files, ["route", "class-prefix", "router", "mount", "binding", "import"], raw), "route-matches") if raw is None else raw
+    raw = stored(_of(files, ["route", "scope", "router", "mount", "binding", "import"], raw), "route-matches") if raw is None else raw
     declared = stored(declared_routes(raw), "declared")
     return first_wins(mounted(declared, raw, files), ["method", "path", "framework", "handler"], [F.col(f"evidence.{c}") for c in ("file", "line_start")] + ["rule", "nth"]).drop("rule", "nth", "owner", "own_path")
 
 
 def declared_routes(raw: DataFrame) -> DataFrame:
-    """The routes as their files declare them, with class-level prefixes, and the router variable (owner)."""
-    both = raw.filter("family in ('route', 'class-prefix') and role <> 'test'")
-    above = Window.partitionBy("path", "label").orderBy("line", F.col("family").desc(), "rule", "nth").rowsBetween(Window.unboundedPreceding, 0)
-    named_class = F.replace(F.coalesce("subject", F.lit("")), F.lit("[controller]"), F.coalesce("detail", F.lit("")))
-    both = both.withColumn("class_prefix", F.last(F.when(F.col("family") == "class-prefix", named_class), ignorenulls=True).over(above))
-    raw = both.filter("family = 'route'")
+    """The routes as their files declare them, under the prefixes of the scopes around them (class_prefix), and the router variable (owner)."""
+    raw = raw.filter("family = 'route' and role <> 'test'").withColumn("class_prefix", F.array_join(F.transform("scope", lambda x: F.regexp_replace(x, "^/+|/+$", "")), "/"))
     named_by_file = F.col("label") == "next-app"
     channel = F.coalesce(*[F.when(F.col("label") == k, F.lit(v)) for k, v in CHANNEL_OF.items()])
 
     def placed(file: Column) -> Column:
         own = F.when(named_by_file, F.coalesce(file.route, F.lit(""))).otherwise(F.coalesce("subject", F.lit("")))
         own = F.when(F.col("label") == "wordpress", F.concat_ws("/", "detail", F.regexp_replace("subject", "^/", ""))).otherwise(own)
-        below = once(own, lambda x: F.when(F.coalesce("class_prefix", F.lit("")) != "", F.concat_ws("/", F.regexp_replace("class_prefix", "/+$", ""), F.regexp_replace(x, "^/+", ""))).otherwise(x))
+        below = once(own, lambda x: F.when(F.col("class_prefix").isNotNull(), F.concat_ws("/", "class_prefix", F.regexp_replace(x, "^/+", ""))).otherwise(x))
         path = F.when(channel.isNotNull(), F.concat(channel, "subject")).otherwise(once(below, normalize_path))
         return F.struct(path.alias("path_"), F.when(named_by_file, F.coalesce(file.label, F.lit("next-app"))).otherwise(F.col("label")).alias("framework"))
 

@@ -3,7 +3,13 @@
 A rule gives a fact family, a label (framework, client or kind), the languages it reads, a pattern, and which of the
 pattern's groups hold the verb, the subject and the detail of the fact; a group named ``owner`` holds what the fact was
 declared on, such as a router.  ``span`` is more than 1 if the pattern may run over the ends of lines, however many; it then
-matches once from each line.  A rule of one line may match several times in it.
+matches once from each line.  A rule of one line may match several times in it.  Matches that begin inside a comment or a
+string are no facts, unless ``inside`` names what they may begin in.
+
+A rule of the family ``scope`` gives the routes of its label a prefix (the detail, if there is one, else the subject) inside
+a block, which its verb tells: ``body`` is the block that the match opens, or else the next one beside it; ``rest`` what is
+left of the block around it; ``above`` the block that ends where the match begins.  ``resources``, ``member`` and
+``collection`` are bodies whose prefix follows the names of nested resources.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ class Rule(NamedTuple):
     subject: int
     detail: int = 0
     span: int = 1
+    inside: str = ""
 
 
 RULES = [
@@ -52,11 +59,12 @@ RULES = [
     Rule("route", "ktor", JVM, rf"^\s*{_VERB}\(\s*\"([^\"]*)\"\s*\)\s*\{{", 1, 2),
     Rule("route", "micronaut", JVM, r"@(Get|Post|Put|Delete|Patch)\(\s*(?:uri\s*=\s*)?\"([^\"]*)\"", 1, 2),
     Rule("route", "rails", RB, rf"^\s*{_VERB}\s+[\"']([^\"']+)[\"']\s*(?:,\s*to:|=>)\s*[\"']([^\"']+)[\"']", 1, 2, 3),
+    Rule("route", "rails", RB, rf"^\s*{_VERB}\s+:(\w+)\s*(?:,\s*to:\s*[\"']([^\"']+)[\"'])?(?:\s*,\s*on:\s*:\w+)?\s*$", 1, 2, 3),
     Rule("route", "sinatra", RB, rf"^\s*{_VERB}\s+[\"'](/[^\"']*)[\"']\s+do\b", 1, 2),
-    Rule("route", "grape", RB, rf"^\s*{_VERB}\s+:(\w+)\s+do\b", 1, 2),
+    Rule("route", "grape", RB, rf"^\s*{_VERB}(?:\s+:(\w+))?\s+do\b", 1, 2),
     Rule("route", "laravel", PHP, rf"Route::{_VERB}\(\s*{_Q}\s*,\s*(?:\[?\s*)([\w\\]+(?:::class\s*,\s*[\"']\w+[\"'])?|[\"'][^\"']+[\"'])", 1, 2, 3),
     Rule("route", "laravel", PHP, rf"Route::any\(\s*{_Q}", "ANY", 1),
-    Rule("route", "slim", PHP, rf"\$app->{_VERB}\(\s*{_Q}", 1, 2),
+    Rule("route", "slim", PHP, rf"\$(?:app|group)->{_VERB}\(\s*{_Q}", 1, 2),
     Rule("route", "symfony", PHP, r"#\[Route\(\s*[\"']([^\"']*)[\"'](?:[^\n]*methods:\s*\[\s*[\"'](\w+))?[^\n]*\n\s*public\s+function\s+(\w+)", 2, 1, 3, 3),
     Rule("route", "gin", GO, r"\b(?P<owner>\w+)\.(GET|POST|PUT|PATCH|DELETE|OPTIONS|HEAD|Any)\(\s*\"([^\"]*)\"\s*,\s*(?:[\w.()]+\s*,\s*)*([\w.]+)", 2, 3, 4),
     Rule("route", "chi", GO, r"\br\.(Get|Post|Put|Patch|Delete)\(\s*\"([^\"]*)\"\s*,\s*([\w.]+)", 1, 2, 3),
@@ -64,6 +72,7 @@ RULES = [
     Rule("route", "aspnetcore", CS, r"\[Http(Get|Post|Put|Patch|Delete)(?:\(\s*\"([^\"]*)\"[^\n]*\))?\][^\n]*\n\s*public\s+[^\n(]*?\b(\w+)\s*\(", 1, 2, 3, 3),
     Rule("route", "aspnetcore", CS, r"\.Map(Get|Post|Put|Patch|Delete)\(\s*\"([^\"]*)\"\s*,\s*([\w.]+)?", 1, 2, 3),
     Rule("route", "actix", RS, r"#\[(get|post|put|patch|delete)\(\s*\"([^\"]*)\"[^\n]*\n[^\n]*?fn\s+(\w+)", 1, 2, 3, 3),
+    Rule("route", "actix", RS, rf"\.route\(\s*\"([^\"]*)\"\s*,\s*web::{_VERB}\(\)\s*\.to\(\s*(\w[\w:]*)", 2, 1, 3),
     Rule("route", "axum", RS, rf"\.route\(\s*\"([^\"]*)\"\s*,\s*{_VERB}\(\s*(\w[\w:]*)", 2, 1, 3),
     Rule("route", "phoenix", EX, rf"^\s*{_VERB}\s+\"([^\"]*)\"\s*,\s*([\w.]+\s*,\s*:\w+)", 1, 2, 3),
     Rule("route", "vapor", "swift", rf"\bapp\.{_VERB}\(\s*\"([^\"]*)\"", 1, 2),
@@ -95,11 +104,29 @@ RULES = [
     Rule("mount", "fastapi", PY, r"\b(?P<owner>\w+)\.include_router\(\s*([\w.]+)(?:[^)]*?prefix\s*=\s*[\"']([^\"']*)[\"'])?", 3, 2, 0, 4),
     Rule("mount", "flask", PY, r"\b(?P<owner>\w+)\.register_blueprint\(\s*([\w.]+)(?:[^)]*?url_prefix\s*=\s*[\"']([^\"']*)[\"'])?", 3, 2, 0, 4),
     Rule("mount", "django", PY, rf"\b(?:re_)?path\(\s*r?{_Q}\s*,\s*include\(\s*[\"']([\w.]+)[\"']", 1, 2),
-    Rule("class-prefix", "spring", JVM, r"@RequestMapping\(\s*(?:(?:value|path)\s*=\s*)?\"([^\"]*)\"\s*\)", "", 1),
-    Rule("class-prefix", "nestjs", JS, r"@Controller\(\s*(?:[\"'`]([^\"'`]*)[\"'`])?", "", 1),
-    Rule("class-prefix", "aspnetcore", CS, r"\[Route\(\s*\"([^\"]*)\"[^\n]*(?:\n\s*\[[^\n]*)*\n\s*public\s+[\w ]*class\s+(\w+?)(?:Controller)?\b", "", 1, 2, 4),
-    Rule("class-prefix", "jax-rs", JVM, r"^@Path\(\s*\"([^\"]*)\"\s*\)", "", 1),
-    Rule("class-prefix", "micronaut", JVM, r"@Controller\(\s*\"([^\"]*)\"", "", 1),
+    Rule("scope", "spring", JVM, r"@RequestMapping\(\s*(?:(?:value|path)\s*=\s*)?\"([^\"]*)\"\s*\)", "body", 1),
+    Rule("scope", "nestjs", JS, r"@Controller\(\s*(?:\{[^}]*?path:\s*)?(?:[\"'`]([^\"'`]*)[\"'`])?", "body", 1, 0, 2),
+    Rule("scope", "aspnetcore", CS, r"\[Route\(\s*\"([^\"]*)\"[^\n]*(?:\n\s*\[[^\n]*)*\n\s*public\s+[\w ]*class\s+(?P<owner>\w+?)(?:Controller)?\b", "body", 1, 0, 4),
+    Rule("scope", "jax-rs", JVM, r"@Path\(\s*\"([^\"]*)\"\s*\)(?=\s*(?:\n\s*@[^\n]*)*\n\s*(?:public\s+|final\s+|abstract\s+)*(?:class|interface)\b)", "body", 1, 0, 2),
+    Rule("scope", "micronaut", JVM, r"@Controller\(\s*\"([^\"]*)\"", "body", 1),
+    Rule("scope", "symfony", PHP, r"#\[Route\(\s*(?:path:\s*)?[\"']([^\"']*)[\"'][^\n]*(?:\n\s*#\[[^\n]*)*\n\s*(?:final\s+|abstract\s+)*class\b", "body", 1, 0, 4),
+    Rule("scope", "rails", RB, r"^\s*namespace\s+[:\"'](\w[\w/-]*)[\"']?(?:[^\n#]*?\bpath:\s*[\"']([^\"'\n]*)[\"'])?[^\n#]*?\bdo\b", "body", 1, 2),
+    Rule("scope", "rails", RB, r"^\s*scope\s+(?:[^\n#]*?\bpath:\s*)?[:\"']([\w/:.()*-]+)[\"']?(?!\w|:)[^\n#]*?\bdo\b", "body", 1),
+    Rule("scope", "rails", RB, r"^\s*resources\s+[:\"'](\w+)[\"']?(?:[^\n#]*?\bpath:\s*[\"']([^\"'\n]*)[\"'])?[^\n#]*?\bdo\b", "resources", 1, 2),
+    Rule("scope", "rails", RB, r"^\s*resource\s+[:\"'](\w+)[\"']?(?:[^\n#]*?\bpath:\s*[\"']([^\"'\n]*)[\"'])?[^\n#]*?\bdo\b", "body", 1, 2),
+    Rule("scope", "rails", RB, r"^\s*member\s+do\b", "member", 0),
+    Rule("scope", "rails", RB, r"^\s*collection\s+do\b", "collection", 0),
+    Rule("scope", "sinatra", RB, r"^\s*namespace\s+[\"'](/[^\"']*)[\"']\s+do\b", "body", 1),
+    Rule("scope", "grape", RB, r"^\s*(?:namespace|resources?|group|segment)\s+[:\"']([\w/:-]+)[\"']?\s+do\b", "body", 1),
+    Rule("scope", "grape", RB, r"^\s*route_param\s+(:\w+)[^\n#]*?\bdo\b", "body", 1),
+    Rule("scope", "phoenix", EX, r"^\s*scope\s*\(?\s*(?:path:\s*)?\"([^\"]*)\"[^\n#]*?\bdo\b", "body", 1),
+    Rule("scope", "ktor", JVM, r"^\s*route\(\s*\"([^\"]*)\"[^)\n]*\)\s*\{", "body", 1),
+    Rule("scope", "laravel", PHP, r"\bRoute::(?:\w+\([^()\n]*\)\s*->\s*)*prefix\(\s*[\"']([^\"']*)[\"']\s*\)(?:\s*->\s*(?!group\b)\w+\([^()]*\))*\s*->\s*group\(\s*(?:static\s+)?function\s*\([^)]*\)[^{;]*\{", "body", 1, 0, 8),
+    Rule("scope", "laravel", PHP, r"\bRoute::group\(\s*\[[^;{]*?[\"']prefix[\"']\s*=>\s*[\"']([^\"']*)[\"'][^;{]*?,\s*(?:static\s+)?function\s*\([^)]*\)[^{;]*\{", "body", 1, 0, 8),
+    Rule("scope", "slim", PHP, r"\$\w+->group\(\s*[\"']([^\"']*)[\"']\s*,\s*(?:static\s+)?function\s*\([^)]*\)[^{;]*\{", "body", 1, 0, 4),
+    Rule("scope", "chi", GO, r"\br\.Route\(\s*\"([^\"]*)\"\s*,\s*func\(\s*r\s+chi\.Router\s*\)\s*\{", "body", 1),
+    Rule("scope", "actix", RS, r"\bweb::scope\(\s*\"([^\"]*)\"\s*\)", "rest", 1),
+    Rule("scope", "adonisjs", JS, r"\}\s*\)\s*(?:\.\w+\([^()]*\)\s*)*\.prefix\(\s*[\"'`]([^\"'`]*)[\"'`]\s*\)", "above", 1, 0, 2),
     Rule("route-name", "laravel", PHP, rf"Route::{_VERB}\(\s*{_Q}[^\n;]*->name\(\s*[\"']([\w.-]+)", 1, 2, 3),
     Rule("route-name", "django", PY, rf"\bpath\(\s*{_Q}[^\n]*\bname\s*=\s*[\"']([\w:.-]+)", "ANY", 1, 2),
     Rule("call", "laravel-route", JS + " php", r"(?<![\w>:$])route\(\s*[\"']([\w-]+\.[\w.-]+)[\"']", "", 1),
@@ -216,7 +243,7 @@ RULES = [
     Rule("data-model", "scala-case-class", "scala", r"\bcase\s+class\s+(\w+)", "", 1),
     Rule("data-model", "swift-codable-model", "swift", r"\b(?:struct|class)\s+(\w+)\s*:\s*[^\n{]*\b(Codable|Decodable)\b", "", 1, 2),
     Rule("data-model", "fluent-model", "swift", r"\bclass\s+(\w+)\s*:\s*[^\n{]*\b(Model)\b", "", 1, 2),
-    Rule("data-model", "doctrine-entity", PHP, r"(?:#\[ORM\\Entity|@ORM\\Entity)[^\n]*(?:\n\s*(?:#\[|\*)[^\n]*)*\n\s*(?:final\s+)?class\s+(\w+)", "", 1, 0, 4),
+    Rule("data-model", "doctrine-entity", PHP, r"(?:#\[ORM\\Entity|@ORM\\Entity)[^\n]*(?:\n\s*(?:#\[|\*)[^\n]*)*\n\s*(?:final\s+)?class\s+(\w+)", "", 1, 0, 4, "comment"),
     Rule("data-model", "dart-freezed-model", "dart", r"@freezed\s*\n\s*(?:abstract\s+|sealed\s+)?class\s+(\w+)", "", 1, 0, 2),
     Rule("data-model", "clojure-record", "clojure", r"\(defrecord\s+(\w+)", "", 1),
     Rule("data-model", "graphql-type", "graphql", r"^(?:type|input)\s+(?!Query\b|Mutation\b|Subscription\b)(\w+)", "", 1),
