@@ -302,7 +302,7 @@ def _routes(files: DataFrame, raw: DataFrame | None = None) -> DataFrame:
 def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """routes, links of the corpus, by one scan of it."""
     files = classify(code_files(spark, sf_dir))
-    raw = stored(X.extract(files, ["route", "scope", "router", "mount", "binding", "import", "call"]), "matches")
+    raw = stored(X.extract(files, [*X.ROUTE_FAMILIES, "call"]), "matches")
     routes, calls = stored(_routes(files, raw), "routes"), X.api_calls(files, raw)
     keyed = calls.select(F.xxhash64("path", "line").alias("call_id"), F.col("path").alias("source"), "endpoint", "method", "client")
     known = routes.select(F.xxhash64("method", "path").alias("route_id"), "method", "path", "framework", "handler", F.lit(None).cast("string").alias("route_name"))

@@ -22,6 +22,8 @@ from .mounts import mounted
 from .ordered import first_wins
 from .rules import CHANNEL_OF, FILE_ROUTES, MANIFESTS, PATHS, RULES, Rule
 
+#: families of matches that routes and their handlers are found by
+ROUTE_FAMILIES = ["route", "scope", "router", "mount", "binding", "import"]
 #: roles whose files are not evidence of the project itself (fixed values)
 NOISE = ["generated", "sample"]
 
@@ -199,7 +201,7 @@ def api_routes(files: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     A scope's prefix applies to the routes inside its block, nested scopes one after the other; routers that other files mount
     have their routes under the mount's prefix.
     """
-    raw = stored(_of(files, ["route", "scope", "router", "mount", "binding", "import"], raw), "route-matches") if raw is None else raw
+    raw = stored(_of(files, ROUTE_FAMILIES, raw), "route-matches") if raw is None else raw
     declared = stored(declared_routes(raw), "declared")
     return first_wins(mounted(declared, raw, files), ["method", "path", "framework", "handler"], [F.col(f"evidence.{c}") for c in ("file", "line_start")] + ["rule", "nth"]).drop("rule", "nth", "owner", "own_path")
 

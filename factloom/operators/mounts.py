@@ -23,7 +23,7 @@ def _python_files(modules: DataFrame, files: DataFrame) -> DataFrame:
 
 def bindings(raw: DataFrame, files: DataFrame) -> DataFrame:
     """path, variable, target: imported names and the files they stand for."""
-    own = raw.filter("family = 'binding'").select("path", F.col("subject").alias("variable"), F.col("detail").alias("name")).distinct()
+    own = raw.filter("family = 'binding' and label not like 'named-%'").select("path", F.col("subject").alias("variable"), F.col("detail").alias("name")).distinct()
     script = own.join(import_targets(own.select("path", "name").distinct(), files), ["path", "name"]).select("path", "variable", "target")
     names = raw.filter("family = 'import' and label = 'from'").select("path", F.col("subject").alias("module"), F.explode(F.split("detail", ",")).alias("n"))
     first, last = F.regexp_extract("n", r"^[\s(]*(\w+)", 1), F.regexp_extract("n", r"(\w+)[\s)]*$", 1)

@@ -132,6 +132,9 @@ RULES = [
     Rule("call", "laravel-route", JS + " php", r"(?<![\w>:$])route\(\s*[\"']([\w-]+\.[\w.-]+)[\"']", "", 1),
     Rule("binding", "import", JS, r"\bimport\s+(\w+)\s*(?:,\s*\{[^}\n]*\}\s*)?from\s+[\"']([^\"'\n]+)[\"']", "", 1, 2),
     Rule("binding", "require", JS, r"\b(?:const|let|var)\s+(\w+)\s*=\s*require\(\s*[\"']([^\"'\n]+)[\"']\s*\)", "", 1, 2),
+    Rule("binding", "named-import", JS, r"\bimport\s+(?:\w+\s*,\s*)?\{([^}]*)\}\s*from\s+[\"']([^\"'\n]+)[\"']", "", 1, 2, 4),
+    Rule("binding", "named-require", JS, r"\b(?:const|let|var)\s+\{([^}=]*)\}\s*=\s*require\(\s*[\"']([^\"'\n]+)[\"']\s*\)", "", 1, 2, 4),
+    Rule("binding", "namespace", JS, r"\bimport\s+\*\s+as\s+(\w+)\s+from\s+[\"']([^\"'\n]+)[\"']", "", 1, 2),
     # frontend calls: method, endpoint
     Rule("call", "fetch", JS, r"\bfetch\(\s*[\"'`]([^\"'`\n]+)[\"'`](?:\s*,\s*\{[^}]*?method:\s*[\"'](\w+)[\"'])?", 2, 1, 0, 4),
     Rule("call", "axios", JS, rf"\baxios\.{_VERB}(?:<[^>\n]*>)?\(\s*{_Q}", 1, 2),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import extract as X
 from ..operators import pages as P
 from ..operators import relate as R
-from ..operators.contracts import contract_details
+from ..operators.handlers import all_contract_details
 from ..operators.link import link_calls
 from ..functions.text import normalize_path
 from ..operators.ordered import first_wins
@@ -72,7 +72,7 @@ def project_facts(files: DataFrame) -> dict[str, DataFrame]:
     f["boundaries"] = R.boundary_counts(f["boundary_paths"])
     f["surfaces"] = R.surfaces(f["routes"], f["services"], f["models"])
     f["features"] = R.feature_maps(f["links"], f["routes"], f["commands"], f["entrypoints"])
-    f["contracts"] = stored(R.contracts(f["routes"].select("method", "path", "framework"), contract_details(files, f["routes"])), "contracts")
+    f["contracts"] = stored(R.contracts(f["routes"].select("method", "path", "framework"), all_contract_details(files, f["routes"], raw)), "contracts")
     f["contract_gaps"] = stored(R.contract_gaps(f["contracts"], R.unmatched_calls(f["links"]), R.unlinked_routes(f["routes"], f["links"])), "contract-gaps")
     f["large_files"] = R.large_files(files)
     f["quality"] = stored(R.quality(f), "quality")

@@ -13,8 +13,9 @@ from .catalogue import _spark_quotes, query
 from .operators import extract as X
 from .operators import relate as R
 from .operators.classify import classify
+from .operators.handlers import all_contract_details
 from .operators.lexing import block_tree, lexical_masks
-from .sources.tables import table
+from .sources.tables import stored, table
 
 
 def _text(*lines: str) -> str:
@@ -229,3 +230,104 @@ def scoped_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def block_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = block_tree(classify(corpus(spark, sf_dir, [SCOPED[0], MASKED[0]]))).filter("opener not in ('(', '[')")
     return own.select("path", "block", "parent", "line_start", "line_end")
+
+
+# ---------------------------------------------------------------- handlers in other files
+
+_ROUTES_JS = """const users = require('./users');
+const { drop: remove } = require('./more/drop');
+router.get('/s{k}/list', users.list);
+router.delete('/s{k}/one', remove);"""
+_USERS_JS = """// exports.list = async (req, res) => { res.status(500).json(req.query.no); };
+exports.list = wrap(async (req, res) => {
+  if (!req.query.page) {
+    return res.status(404).json({ error: '}' });
+  }
+  res.json([]);
+});
+exports.other = (req, res) => {
+  res.status(418).send(req.query.never);
+};"""
+_DROP_JS = """function drop({ body }, res) {
+  res.status(204).send();
+}
+module.exports = { drop };
+const late = (req, res) => res.render(req.query.late);"""
+_URLS_PY = """from . import views
+urlpatterns = [
+    path('n{k}/items', views.items),
+]"""
+_VIEWS_PY = '''def items(request):
+    """return JsonResponse(1)"""
+    raise Http404
+
+def other(request):
+    return JsonResponse({"status": 500})'''
+_MAIN_GO = """package main
+import (
+	"example.com/app/r{k}/handlers"
+)
+func main() {
+	r.GET("/r{k}/ping", handlers.Ping)
+	r.POST("/r{k}/save", save)
+}"""
+_PING_GO = """package handlers
+func Ping(c *gin.Context) {
+	c.JSON(202, gin.H{})
+}
+func Other(c *gin.Context) {
+	c.JSON(500, gin.H{})
+}"""
+_SAVE_GO = """package main
+func save(c *gin.Context) {
+	c.Status(201)
+}"""
+_RAILS_ROUTES = """Rails.application.routes.draw do
+  namespace :admin do
+    get 'items/{k}', to: 'items#show'
+  end
+end"""
+_ITEMS_RB = """class Admin::ItemsController < ApplicationController
+  def index
+    render json: {}, status: 500
+  end
+
+  def show
+    if params[:deep] then redirect_to x end
+    render json: {}, status: 203
+  end
+end"""
+_PLAIN_ITEMS_RB = """class ItemsController
+  def show
+    render html: x, status: 404
+  end
+end"""
+HANDLERS = [
+    ("supplier", "s_suppkey", "s{k}/srv/routes.js", _ROUTES_JS),
+    ("supplier", "s_suppkey", "s{k}/srv/users.js", _USERS_JS),
+    ("supplier", "s_suppkey", "s{k}/srv/more/drop.ts", _DROP_JS),
+    ("nation", "n_nationkey", "n{k}/urls.py", _URLS_PY),
+    ("nation", "n_nationkey", "n{k}/views.py", _VIEWS_PY),
+    ("region", "r_regionkey", "r{k}/main.go", _MAIN_GO),
+    ("region", "r_regionkey", "r{k}/save.go", _SAVE_GO),
+    ("region", "r_regionkey", "r{k}/handlers/ping.go", _PING_GO),
+    ("part", "p_partkey", "p{k}/config/routes.rb", _RAILS_ROUTES),
+    ("part", "p_partkey", "p{k}/app/controllers/items_controller.rb", _PLAIN_ITEMS_RB),
+    ("part", "p_partkey", "p{k}/app/controllers/admin/items_controller.rb", _ITEMS_RB),
+]
+
+
+@query("cross_file_contracts", _sql(
+    "file, path, request, response, status",
+    _rows("supplier", "s_suppkey", "s{k}/srv/routes.js", ("/s{k}/list", "query:req.query.page", "response:res.json", "404"), ("/s{k}/one", "", "response:res.send", "204")),
+    _rows("nation", "n_nationkey", "n{k}/urls.py", ("/n{k}/items", "", "", "")),
+    _rows("region", "r_regionkey", "r{k}/main.go", ("/r{k}/ping", "", "response:c.JSON", "202"), ("/r{k}/save", "", "", "201")),
+    _rows("part", "p_partkey", "p{k}/config/routes.rb", ("/admin/items/{k}", "param:params.deep", "response:render.json|response:redirect_to", "203")),
+))
+def cross_file_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = classify(corpus(spark, sf_dir, HANDLERS))
+    raw = stored(X.extract(files, X.ROUTE_FAMILIES), "matches")
+    routes = stored(X.api_routes(files, raw), "routes")
+    c = R.contracts(routes.select("method", "path", "framework"), all_contract_details(files, routes, raw))
+    both = c.join(routes.select("path", "evidence.file"), "path")
+    return both.select("file", "path", *[F.array_join(x, "|").alias(n) for x, n in (("request_hints", "request"), ("response_hints", "response"), ("status_codes", "status"))])
