@@ -15,6 +15,8 @@ from .operators import relate as R
 from .operators.classify import classify
 from .operators.handlers import all_contract_details
 from .operators.lexing import block_tree, lexical_masks
+from .operators.link import link_calls
+from .operators.wrappers import resolved_api_calls
 from .sources.tables import stored, table
 
 
@@ -25,25 +27,31 @@ def _text(*lines: str) -> str:
 
 def _line(template: str, key: str) -> str:
     """SQL of one line: ``{k}`` in the template is the row's key."""
-    parts = ["'" + x.replace("'", "''") + "'" for x in template.split("{k}")]
+    parts = ["'" + x.replace("'", "''").replace("${", "$' || '{") + "'" for x in template.split("{k}")]  # a name in ${ } is Spark's own
     return f" || {key} || ".join(parts)
 
 
-def corpus(spark: SparkSession, sf_dir: str, files: list[tuple[str, str, str, str]]) -> DataFrame:
-    """path, content of files given as (table, key column, path, text): one file for each row, ``{k}`` is its key."""
-    out = []
-    for name, key, path, text in files:
-        content = _text(*(_line(x, key) for x in text.split("\n")))
-        out.append(table(spark, sf_dir, name).select(F.expr(_spark_quotes(_line(path, key))).alias("path"), F.expr(_spark_quotes(content)).alias("content")))
-    return R.union_all(out)
+#: the table whose rows the corpora are written from, and its key: a row is a project, its kind is told by the key
+ROWS_OF, KEY = "embeddings", "vec_id"
 
 
-def _rows(name: str, key: str, path: str, *rows: tuple[str, ...]) -> str:
+def corpus(spark: SparkSession, sf_dir: str, files: list[tuple[int, str, str]]) -> DataFrame:
+    """path, content of files given as (kind of project, path, text): ``{k}`` is the key of the row that is the project."""
+    rows, kinds = table(spark, sf_dir, ROWS_OF), 1 + max(kind for kind, _, _ in files)
+    written = []
+    for kind in range(kinds):
+        own = [(_line(path, KEY), _text(*(_line(x, KEY) for x in text.split("\n")))) for k, path, text in files if k == kind]
+        both = F.array(*[F.struct(F.expr(_spark_quotes(path)).alias("path"), F.expr(_spark_quotes(text)).alias("content")) for path, text in own])
+        written.append(F.when(F.pmod(KEY, F.lit(kinds)) == kind, both))
+    return rows.select(F.explode(F.coalesce(*written)).alias("f")).select("f.path", "f.content")
+
+
+def _rows(kind: int, kinds: int, path: str, *rows: tuple[str, ...]) -> str:
     """SQL of rows that one file of the corpus yields: its path and then each value of ``rows``, with ``{k}`` for the key; ``:`` begins a number, ``-`` is null."""
     def value(x: str) -> str:
-        return "NULL" if x == "-" else f"CAST({x[1:]} AS INTEGER)" if x.startswith(":") else _line(x, key)
+        return "NULL" if x == "-" else f"CAST({x[1:]} AS INTEGER)" if x.startswith(":") else _line(x, KEY)
 
-    return " UNION ALL ".join(f"SELECT {', '.join([_line(path, key), *map(value, r)])} FROM {name}" for r in rows)
+    return " UNION ALL ".join(f"SELECT {', '.join([_line(path, KEY), *map(value, r)])} FROM {ROWS_OF} WHERE {KEY} % {kinds} = {kind}" for r in rows)
 
 
 def _sql(columns: str, *parts: str) -> str:
@@ -104,21 +112,21 @@ func never{k}() {}
 `
 func live{k}() { return }"""
 MASKED = [
-    ("part", "p_partkey", "pkg/p{k}.py", _PART),
-    ("supplier", "s_suppkey", "lib/s{k}.js", _SUPPLIER),
-    ("nation", "n_nationkey", "app/n{k}.rb", _NATION),
-    ("customer", "c_custkey", "src/c{k}.rs", _CUSTOMER),
-    ("region", "r_regionkey", "cmd/r{k}.go", _REGION),
+    (0, "pkg/p{k}.py", _PART),
+    (1, "lib/s{k}.js", _SUPPLIER),
+    (2, "app/n{k}.rb", _NATION),
+    (3, "src/c{k}.rs", _CUSTOMER),
+    (4, "cmd/r{k}.go", _REGION),
 ]
 
 
 @query("masked_symbols", _sql(
     "path, family, name, line",
-    _rows("part", "p_partkey", "pkg/p{k}.py", ("import", "mod_{k}", ":5"), ("symbol", "Part_{k}", ":7"), ("symbol", "size", ":8"), ("symbol", "after_{k}", ":15")),
-    _rows("supplier", "s_suppkey", "lib/s{k}.js", ("symbol", "live_{k}", ":5"), ("route", "/s/{k}", ":7"), ("import", "dep-{k}", ":8"), ("runtime", "KEY_{k}", ":4")),
-    _rows("nation", "n_nationkey", "app/n{k}.rb", ("import", "gem_{k}", ":5"), ("symbol", "Nation{k}", ":6"), ("symbol", "live_{k}", ":7")),
-    _rows("customer", "c_custkey", "src/c{k}.rs", ("symbol", "live_{k}", ":3"), ("symbol", "Customer{k}", ":7")),
-    _rows("region", "r_regionkey", "cmd/r{k}.go", ("symbol", "live{k}", ":6")),
+    _rows(0, 5, "pkg/p{k}.py", ("import", "mod_{k}", ":5"), ("symbol", "Part_{k}", ":7"), ("symbol", "size", ":8"), ("symbol", "after_{k}", ":15")),
+    _rows(1, 5, "lib/s{k}.js", ("symbol", "live_{k}", ":5"), ("route", "/s/{k}", ":7"), ("import", "dep-{k}", ":8"), ("runtime", "KEY_{k}", ":4")),
+    _rows(2, 5, "app/n{k}.rb", ("import", "gem_{k}", ":5"), ("symbol", "Nation{k}", ":6"), ("symbol", "live_{k}", ":7")),
+    _rows(3, 5, "src/c{k}.rs", ("symbol", "live_{k}", ":3"), ("symbol", "Customer{k}", ":7")),
+    _rows(4, 5, "cmd/r{k}.go", ("symbol", "live{k}", ":6")),
 ))
 def masked_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = X.extract(classify(corpus(spark, sf_dir, MASKED)), ["symbol", "import", "route", "runtime"])
@@ -127,11 +135,11 @@ def masked_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lexical_masks", _sql(
     "path, kind, line_start, line_end",
-    _rows("part", "p_partkey", "pkg/p{k}.py", ("string", ":1", ":4"), ("comment", ":5", ":5"), ("comment", ":6", ":6"), ("string", ":9", ":9"), ("string", ":10", ":14"), ("string", ":16", ":16")),
-    _rows("supplier", "s_suppkey", "lib/s{k}.js", ("comment", ":1", ":2"), ("comment", ":3", ":3"), ("string", ":4", ":4"), ("string", ":4", ":4"), ("string", ":5", ":5"), ("comment", ":5", ":5"), ("string", ":6", ":6"), ("string", ":7", ":7"), ("string", ":8", ":8")),
-    _rows("nation", "n_nationkey", "app/n{k}.rb", ("comment", ":1", ":4"), ("string", ":5", ":5"), ("comment", ":5", ":5"), ("string", ":8", ":11"), ("string", ":12", ":12")),
-    _rows("customer", "c_custkey", "src/c{k}.rs", ("comment", ":1", ":2"), ("string", ":3", ":3"), ("string", ":4", ":6")),
-    _rows("region", "r_regionkey", "cmd/r{k}.go", ("comment", ":2", ":2"), ("string", ":3", ":5")),
+    _rows(0, 5, "pkg/p{k}.py", ("string", ":1", ":4"), ("comment", ":5", ":5"), ("comment", ":6", ":6"), ("string", ":9", ":9"), ("string", ":10", ":14"), ("string", ":16", ":16")),
+    _rows(1, 5, "lib/s{k}.js", ("comment", ":1", ":2"), ("comment", ":3", ":3"), ("string", ":4", ":4"), ("string", ":4", ":4"), ("string", ":5", ":5"), ("comment", ":5", ":5"), ("string", ":6", ":6"), ("string", ":7", ":7"), ("string", ":8", ":8")),
+    _rows(2, 5, "app/n{k}.rb", ("comment", ":1", ":4"), ("string", ":5", ":5"), ("comment", ":5", ":5"), ("string", ":8", ":11"), ("string", ":12", ":12")),
+    _rows(3, 5, "src/c{k}.rs", ("comment", ":1", ":2"), ("string", ":3", ":3"), ("string", ":4", ":6")),
+    _rows(4, 5, "cmd/r{k}.go", ("comment", ":2", ":2"), ("string", ":3", ":5")),
 ))
 def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_masks(classify(corpus(spark, sf_dir, MASKED))).select("path", "kind", "line_start", "line_end")
@@ -200,23 +208,23 @@ _ACTIX = """fn app() { App::new().service(web::scope("/api/{k}").route("/a", web
     .service(web::scope("/b").route("/c", web::post().to(make))).route("/d", web::put().to(put)))
     .route("/z", web::get().to(zed)) }"""
 SCOPED = [
-    ("nation", "n_nationkey", "n{k}/config/routes.rb", _RAILS),
-    ("region", "r_regionkey", "r{k}/lib/router.ex", _PHOENIX),
-    ("supplier", "s_suppkey", "s{k}/routes/web.php", _LARAVEL),
-    ("customer", "c_custkey", "c{k}/src/Routes.kt", _KTOR),
-    ("part", "p_partkey", "p{k}/src/A.java", _SPRING),
-    ("region", "r_regionkey", "r{k}/src/app.rs", _ACTIX),
+    (0, "n{k}/config/routes.rb", _RAILS),
+    (1, "r{k}/lib/router.ex", _PHOENIX),
+    (2, "s{k}/routes/web.php", _LARAVEL),
+    (3, "c{k}/src/Routes.kt", _KTOR),
+    (4, "p{k}/src/A.java", _SPRING),
+    (5, "r{k}/src/app.rs", _ACTIX),
 ]
 
 
 @query("scoped_routes", "SELECT DISTINCT method, path, handler, framework FROM (" + _sql(
     "file, method, path, handler, framework",
-    _rows("nation", "n_nationkey", "n{k}/config/routes.rb", ("GET", "/admin/stats/{k}", "stats#index", "rails"), ("GET", "/admin/v{k}/categories/:category_id/near", "categories#near", "rails"), ("POST", "/admin/v{k}/categories/:id/publish", "categories#publish", "rails"), ("GET", "/admin/v{k}/categories/search", "-", "rails"), ("DELETE", "/rest/items/:id", "items#drop", "rails"), ("GET", "/home", "pages#home", "rails")),
-    _rows("region", "r_regionkey", "r{k}/lib/router.ex", ("GET", "/api/{k}/v1/users", "UserController, :index", "phoenix"), ("POST", "/api/{k}/users", "UserController, :create", "phoenix"), ("GET", "/", "PageController, :home", "phoenix")),
-    _rows("supplier", "s_suppkey", "s{k}/routes/web.php", ("GET", "/admin/{k}/users", "'UserController@index'", "laravel"), ("POST", "/admin/{k}/deep/save", "'DeepController@save'", "laravel"), ("PUT", "/admin/{k}/users/{id}", "'UserController@put'", "laravel"), ("GET", "/home", "'HomeController@index'", "laravel")),
-    _rows("customer", "c_custkey", "c{k}/src/Routes.kt", ("GET", "/api/{k}/v1/users", "-", "ktor"), ("POST", "/api/{k}/users", "-", "ktor"), ("GET", "/health", "-", "ktor")),
-    _rows("part", "p_partkey", "p{k}/src/A.java", ("GET", "/v{k}/users", "all", "spring"), ("POST", "/plain", "make", "spring")),
-    _rows("region", "r_regionkey", "r{k}/src/app.rs", ("GET", "/api/{k}/a", "list", "actix"), ("POST", "/api/{k}/b/c", "make", "actix"), ("PUT", "/api/{k}/d", "put", "actix"), ("GET", "/z", "zed", "actix")),
+    _rows(0, 6, "n{k}/config/routes.rb", ("GET", "/admin/stats/{k}", "stats#index", "rails"), ("GET", "/admin/v{k}/categories/:category_id/near", "categories#near", "rails"), ("POST", "/admin/v{k}/categories/:id/publish", "categories#publish", "rails"), ("GET", "/admin/v{k}/categories/search", "-", "rails"), ("DELETE", "/rest/items/:id", "items#drop", "rails"), ("GET", "/home", "pages#home", "rails")),
+    _rows(1, 6, "r{k}/lib/router.ex", ("GET", "/api/{k}/v1/users", "UserController, :index", "phoenix"), ("POST", "/api/{k}/users", "UserController, :create", "phoenix"), ("GET", "/", "PageController, :home", "phoenix")),
+    _rows(2, 6, "s{k}/routes/web.php", ("GET", "/admin/{k}/users", "'UserController@index'", "laravel"), ("POST", "/admin/{k}/deep/save", "'DeepController@save'", "laravel"), ("PUT", "/admin/{k}/users/{id}", "'UserController@put'", "laravel"), ("GET", "/home", "'HomeController@index'", "laravel")),
+    _rows(3, 6, "c{k}/src/Routes.kt", ("GET", "/api/{k}/v1/users", "-", "ktor"), ("POST", "/api/{k}/users", "-", "ktor"), ("GET", "/health", "-", "ktor")),
+    _rows(4, 6, "p{k}/src/A.java", ("GET", "/v{k}/users", "all", "spring"), ("POST", "/plain", "make", "spring")),
+    _rows(5, 6, "r{k}/src/app.rs", ("GET", "/api/{k}/a", "list", "actix"), ("POST", "/api/{k}/b/c", "make", "actix"), ("PUT", "/api/{k}/d", "put", "actix"), ("GET", "/z", "zed", "actix")),
 ) + ")")
 def scoped_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.api_routes(classify(corpus(spark, sf_dir, SCOPED))).select("method", "path", "handler", "framework")
@@ -224,11 +232,11 @@ def scoped_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("block_tree", _sql(
     "path, block, parent, line_start, line_end",
-    _rows("nation", "n_nationkey", "n{k}/config/routes.rb", (":0", "-", ":1", ":21"), (":1", ":0", ":2", ":16"), (":2", ":1", ":4", ":14"), (":3", ":2", ":5", ":13"), (":4", ":3", ":7", ":9"), (":5", ":3", ":10", ":12"), (":6", ":0", ":17", ":19")),
-    _rows("part", "p_partkey", "pkg/p{k}.py", (":0", "-", ":7", ":10"), (":1", ":0", ":8", ":10"), (":2", "-", ":15", ":16")),
+    _rows(0, 2, "n{k}/config/routes.rb", (":0", "-", ":1", ":21"), (":1", ":0", ":2", ":16"), (":2", ":1", ":4", ":14"), (":3", ":2", ":5", ":13"), (":4", ":3", ":7", ":9"), (":5", ":3", ":10", ":12"), (":6", ":0", ":17", ":19")),
+    _rows(1, 2, "pkg/p{k}.py", (":0", "-", ":7", ":10"), (":1", ":0", ":8", ":10"), (":2", "-", ":15", ":16")),
 ).replace("NULL", "CAST(NULL AS INTEGER)"))
 def block_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = block_tree(classify(corpus(spark, sf_dir, [SCOPED[0], MASKED[0]]))).filter("opener not in ('(', '[')")
+    own = block_tree(classify(corpus(spark, sf_dir, [SCOPED[0], (1, *MASKED[0][1:])]))).filter("opener not in ('(', '[')")
     return own.select("path", "block", "parent", "line_start", "line_end")
 
 
@@ -303,26 +311,26 @@ _PLAIN_ITEMS_RB = """class ItemsController
   end
 end"""
 HANDLERS = [
-    ("supplier", "s_suppkey", "s{k}/srv/routes.js", _ROUTES_JS),
-    ("supplier", "s_suppkey", "s{k}/srv/users.js", _USERS_JS),
-    ("supplier", "s_suppkey", "s{k}/srv/more/drop.ts", _DROP_JS),
-    ("nation", "n_nationkey", "n{k}/urls.py", _URLS_PY),
-    ("nation", "n_nationkey", "n{k}/views.py", _VIEWS_PY),
-    ("region", "r_regionkey", "r{k}/main.go", _MAIN_GO),
-    ("region", "r_regionkey", "r{k}/save.go", _SAVE_GO),
-    ("region", "r_regionkey", "r{k}/handlers/ping.go", _PING_GO),
-    ("part", "p_partkey", "p{k}/config/routes.rb", _RAILS_ROUTES),
-    ("part", "p_partkey", "p{k}/app/controllers/items_controller.rb", _PLAIN_ITEMS_RB),
-    ("part", "p_partkey", "p{k}/app/controllers/admin/items_controller.rb", _ITEMS_RB),
+    (0, "s{k}/srv/routes.js", _ROUTES_JS),
+    (0, "s{k}/srv/users.js", _USERS_JS),
+    (0, "s{k}/srv/more/drop.ts", _DROP_JS),
+    (1, "n{k}/urls.py", _URLS_PY),
+    (1, "n{k}/views.py", _VIEWS_PY),
+    (2, "r{k}/main.go", _MAIN_GO),
+    (2, "r{k}/save.go", _SAVE_GO),
+    (2, "r{k}/handlers/ping.go", _PING_GO),
+    (3, "p{k}/config/routes.rb", _RAILS_ROUTES),
+    (3, "p{k}/app/controllers/items_controller.rb", _PLAIN_ITEMS_RB),
+    (3, "p{k}/app/controllers/admin/items_controller.rb", _ITEMS_RB),
 ]
 
 
 @query("cross_file_contracts", _sql(
     "file, path, request, response, status",
-    _rows("supplier", "s_suppkey", "s{k}/srv/routes.js", ("/s{k}/list", "query:req.query.page", "response:res.json", "404"), ("/s{k}/one", "", "response:res.send", "204")),
-    _rows("nation", "n_nationkey", "n{k}/urls.py", ("/n{k}/items", "", "", "")),
-    _rows("region", "r_regionkey", "r{k}/main.go", ("/r{k}/ping", "", "response:c.JSON", "202"), ("/r{k}/save", "", "", "201")),
-    _rows("part", "p_partkey", "p{k}/config/routes.rb", ("/admin/items/{k}", "param:params.deep", "response:render.json|response:redirect_to", "203")),
+    _rows(0, 4, "s{k}/srv/routes.js", ("/s{k}/list", "query:req.query.page", "response:res.json", "404"), ("/s{k}/one", "", "response:res.send", "204")),
+    _rows(1, 4, "n{k}/urls.py", ("/n{k}/items", "", "", "")),
+    _rows(2, 4, "r{k}/main.go", ("/r{k}/ping", "", "response:c.JSON", "202"), ("/r{k}/save", "", "", "201")),
+    _rows(3, 4, "p{k}/config/routes.rb", ("/admin/items/{k}", "param:params.deep", "response:render.json|response:redirect_to", "203")),
 ))
 def cross_file_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = classify(corpus(spark, sf_dir, HANDLERS))
@@ -331,3 +339,77 @@ def cross_file_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = R.contracts(routes.select("method", "path", "framework"), all_contract_details(files, routes, raw))
     both = c.join(routes.select("path", "evidence.file"), "path")
     return both.select("file", "path", *[F.array_join(x, "|").alias(n) for x, n in (("request_hints", "request"), ("response_hints", "response"), ("status_codes", "status"))])
+
+
+# ---------------------------------------------------------------- wrapped API clients
+
+_CONFIG_TS = """export const BASE = '/api';
+export const HOSTS = { api: 'https://x{k}.example.com' };
+const LOOP = `${LOOP2}/x`;
+const LOOP2 = LOOP + '/y';"""
+_HTTP_TS = """import { BASE } from './config';
+const ROOT = `${BASE}/p{k}`;
+// export const no = (path) => fetch(ROOT + path);
+export async function request(path, options = {}) {
+  return fetch(ROOT + path, { method: options.method || 'GET' });
+}
+export const send = (method, path, body) => fetch(`${ROOT}${path}`, { method, body: JSON.stringify(body) });
+export function loop(path, n) {
+  if (n) { return loop('/again' + path, n - 1); }
+  return request(path);
+}"""
+_USERS_TS = """import { request, send as submit, loop } from './http';
+import { HOSTS } from './config';
+export const getUser = (id) => request(`/users/${id}`);
+export const users = {
+  drop: async (id) => submit('DELETE', `/users/${encodeURIComponent(id)}`),
+  list() { return request('/users'); },
+  far(id) { return axios.get(HOSTS.api + '/far/' + id); },
+};
+export class Orders {
+  find(page: number) { return this.load('/orders'); }
+  private load(path: string) { return loop(path, 1); }
+}
+export default new Orders();"""
+_VIEW_TSX = """import orders, { getUser, users as people } from '../api/users';
+export function Page() {
+  getUser(7).then(show);
+  people.drop(current.id);
+  orders.find(2);
+  const text = "getUser(8)"; // getUser(9)
+  return fetch('/api/plain/{k}', { method: 'PUT' });
+}"""
+_SERVER_JS = """app.get('/api/p{k}/users/:id', one);
+app.delete('/api/p{k}/users/:id', drop);
+app.get('/api/p{k}/users', list);
+app.get('/api/p{k}/orders', orders);
+app.put('/api/plain/{k}', plain);"""
+WRAPPED = [(0, "w{k}/src/api/config.ts", _CONFIG_TS), (0, "w{k}/src/api/http.ts", _HTTP_TS), (0, "w{k}/src/api/users.ts", _USERS_TS), (0, "w{k}/src/pages/Page.tsx", _VIEW_TSX), (0, "w{k}/server/index.js", _SERVER_JS)]
+
+
+def _wrapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    files = classify(corpus(spark, sf_dir, WRAPPED))
+    raw = stored(X.extract(files, [*X.ROUTE_FAMILIES, "call"]), "matches")
+    return files, raw, stored(resolved_api_calls(files, raw), "calls")
+
+
+@query("wrapped_calls", _sql(
+    "path, line, method, endpoint",
+    _rows(0, 1, "w{k}/src/pages/Page.tsx", (":3", "GET", "/api/p{k}/users/7"), (":4", "DELETE", "/api/p{k}/users/:id"), (":7", "PUT", "/api/plain/{k}")),
+    _rows(0, 1, "w{k}/src/api/users.ts", (":6", "GET", "/api/p{k}/users"), (":7", "GET", "https://x{k}.example.com/far/:id"), (":10", "GET", "/api/p{k}/orders")),
+))
+def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wrapped(spark, sf_dir)[2].select("path", "line", "method", "endpoint")
+
+
+@query("wrapped_links", _sql(
+    "source, method, matched_route, match_type",
+    _rows(0, 1, "w{k}/src/pages/Page.tsx", ("GET", "/api/p{k}/users/:id", "param"), ("DELETE", "/api/p{k}/users/:id", "exact"), ("PUT", "/api/plain/{k}", "exact")),
+    _rows(0, 1, "w{k}/src/api/users.ts", ("GET", "/api/p{k}/users", "exact"), ("GET", "-", "external-url"), ("GET", "/api/p{k}/orders", "exact")),
+))
+def wrapped_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, raw, calls = _wrapped(spark, sf_dir)
+    routes = stored(X.api_routes(files, raw), "routes")
+    keyed = calls.select(F.xxhash64("path", "line", "endpoint").alias("call_id"), F.col("path").alias("source"), "endpoint", "method", "client")
+    known = routes.select(F.xxhash64("method", "path").alias("route_id"), "method", "path", "framework", "handler", F.lit(None).cast("string").alias("route_name"))
+    return link_calls(keyed, known).select("source", "method", "matched_route", "match_type")
