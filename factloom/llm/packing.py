@@ -1,11 +1,11 @@
 """Best-fit packing of token pieces by a grouping genetic algorithm on islands.
 
 Documents are tokenised and closed by id 0; those longer than ``CAPACITY`` ids are cut into full pieces and a rest.  Full
-pieces are sequences of their own.  The others are dealt by a hash into blocks of about ``BLOCK`` pieces, so the work and
-memory of a block stay the same however many blocks there are.  ``ISLANDS`` islands evolve packings of each block, from
-best-fit packings of its pieces in random orders.  Genes are whole bins: crossover injects a choice of the other parent's well-filled bins, drops the bins
-that hold one of the same pieces, and best-fits the displaced pieces, largest first; mutation dissolves the emptiest
-bins in the same way.  After each epoch every island's elite migrates to all islands of its block.  An island stops early
+pieces are sequences of their own.  The others are dealt by size into blocks of about ``BLOCK`` pieces, each of which gets
+its even share of every size, so the work and memory of a block stay the same however many blocks there are.  ``ISLANDS`` islands evolve packings of each block, from best-fit
+packings of its pieces, largest first and in random orders.  Genes are whole bins: crossover injects a choice of the other
+parent's well-filled bins, drops the bins that hold one of the same pieces, and best-fits the displaced pieces, largest
+first; mutation dissolves the emptiest bins in the same way.  After each epoch every island's elite migrates to all islands of its block.  An island stops early
 at the lower bound.  The badly filled bins of all blocks then meet once more in new blocks, as whole bins; the result
 replaces them only where it needs fewer.
 
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,12 +209,13 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
 def evolve(sizes: np.ndarray, elites: list[np.ndarray], seed: int | list[int], capacity: int = CAPACITY, generations: int = GENERATIONS, population: int = POPULATION, log: dict | None = None) -> np.ndarray:
     """The best packing (a bin for each piece) that one island finds from the elites it has been sent.
 
-    An island without elites starts from best-fit packings of the pieces in random orders.  ``log`` counts what happens:
+    Beside its elites an island starts from best-fit packings of the pieces, largest first and in random orders.  ``log`` counts what happens:
     crossovers, those whose child needed fewer bins than both parents, and the bins of the first and last best.
     """
     rng = np.random.default_rng(seed)
     none = np.full(len(sizes), -1)
     pop = list(elites)
+    pop.append(best_fit(sizes, np.argsort(-sizes, kind="stable"), capacity, none, []))
     while len(pop) < population:
         pop.append(best_fit(sizes, rng.permutation(len(sizes)), capacity, none, []))
     least = lower_bound(sizes, capacity)
@@ -291,6 +293,25 @@ def _pack_blocks(items: DataFrame, tables: Tables, capacity: int, blocks: int) -
     return tables.put(blocks.join(elites, "block").mapInArrow(settle, "block long, " + PIECES + ", bin long, offset long, fill long"), "packed")
 
 
+def _blocks_of_like_sizes(rest: DataFrame, blocks: int, tables: Tables) -> DataFrame:
+    """rest (the piece's columns, slot) with block: pieces in the order of length and slot are dealt in turn."""
+    names = [*_COLUMNS, "slot"]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], [*names, "part", "place"])
+            at += n
+
+    ordered = rest.select(*names).repartitionByRange("length", "slot").sortWithinPartitions("length", "slot")
+    numbered = tables.put(ordered.mapInArrow(number, PIECES + ", slot long, part int, place long"), "numbered")
+    counts = sorted(numbered.groupBy("part").count().collect())  # a row for each partition
+    before = np.cumsum([0, *(n for _, n in counts)]).tolist()
+    offsets = rest.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "part int, before long")
+    return numbered.join(F.broadcast(offsets), "part").select(F.pmod(F.col("place") + F.col("before"), F.lit(blocks)).alias("block"), *_COLUMNS)
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """Pieces with sequence_id and offset; sequences hold at most ``capacity`` ids."""
     spark, cols = pieces.sparkSession, _COLUMNS
@@ -300,7 +321,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Dat
         full = pieces.filter(F.col("length") >= capacity).select(*cols, (F.col("slot") * 4).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
         rest = pieces.filter(F.col("length") < capacity)
         blocks = max(1, -(-rest.count() // block))
-        first = _pack_blocks(rest.select(F.pmod(F.xxhash64("slot"), F.lit(blocks)).alias("block"), *cols, F.lit(-1).cast("long").alias("bin")), tables, capacity, blocks)
+        dealt = _blocks_of_like_sizes(rest, blocks, tables) if blocks > 1 else rest.select(F.lit(0).cast("long").alias("block"), *cols)
+        first = _pack_blocks(dealt.withColumn("bin", F.lit(-1).cast("long")), tables, capacity, blocks)
         number = (F.col("block") * (1 << 24) + F.col("bin")).alias("group")
         poor = F.col("fill") < int(0.97 * capacity)
         good = first.filter(~poor).select(*cols, (F.col("block") * (1 << 24) * 4 + F.col("bin") * 4 + 1).alias("sequence_id"), "offset")

@@ -359,9 +359,11 @@ def test_evolution_beats_best_fit_decreasing():
     assert (np.bincount(moved, sizes) <= 2048).all() and len(np.unique(moved)) == log["last"]
 
 
-def test_packing_reaches_the_bound_by_evolution(spark):
-    """More pieces than a block holds; the seeds need more bins than the result."""
-    rows = [(k, " ".join(["w"] * random.randrange(50, 900))) for k in range(1500)] + [(None, "one two"), (None, "one two"), (7, "again")]
+@pytest.mark.parametrize("draw", [1, 2, 3])
+def test_packing_reaches_the_bound_by_evolution(spark, draw):
+    """More pieces than a block holds; the seeds need more bins than the result. Draws its own sizes, whatever tests ran before."""
+    own = random.Random(draw)
+    rows = [(k, " ".join(["w"] * own.randrange(50, 900))) for k in range(1500)] + [(None, "one two"), (None, "one two"), (7, "again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = packing.pack(packing.token_pieces(docs, capacity=1024), 1024, block=512).collect()
     assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 2
