@@ -2,9 +2,10 @@
 
 Every chunk of about 1 MB of training documents is a shard with a suffix array: its word positions in the order of the
 word sequences that begin there and end with their document.  It is sorted by prefix doubling, whole and to any depth.
-Every test suffix that starts a window is binary-searched in every shard; the range found gives all places of the window,
-and each is extended word by word to the longest verbatim match.  A table of the shard's ``LEAD``-word hashes spares the
-search of suffixes that cannot stand in it.  Places found are compared with the test item's words, not their hashes alone.
+Every test suffix that starts a window is binary-searched in every shard, suffixes of one window together; the range found
+gives all places of the window.  The longest verbatim match of a document with the items that hit it is searched by halves.  A table of the shard's ``LEAD``-word hashes spares the
+search of suffixes that cannot stand in it.  Places found are compared with the
+test item's words, or by a second hash of them, not by their hashes alone.
 
 A window is ``WINDOW`` consecutive words of an item; an item of fewer words, but not none, is one window.  Nulls and
 texts without words hit nothing.  Repeated items with one id count once; repeated documents each get their own row, and
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Tables, id_and_text, result, ship, table
-from .textwords import ALNUM_WORDS, Words, chunks
+from .textwords import ALNUM_WORDS, Words, byte_hashes, chunks, window_hashes
 
 WINDOW, LEAD = 13, 4
 BLOCK_BYTES = 8 << 20
@@ -68,7 +69,7 @@ def suffix_array(w: Words) -> np.ndarray:
 
 
 class TestSuffixes:
-    """The suffixes of test items that start a window, with the hashes of their first words."""
+    """The suffixes of test items that start a window: their item, first word and the words of the window."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW) -> None:
         self.window = window
@@ -80,10 +81,6 @@ class TestSuffixes:
         self.item = np.repeat(np.arange(len(n)), per)
         self.start = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, a + k) for a, k in zip(w.first[:-1], per, strict=True))]).astype(np.int64)
         self.length = size[self.item]
-        self.item_end = w.first[1:][self.item]
-        col = np.arange(window)
-        at = np.minimum(self.start[:, None] + col, max(len(self.words) - 1, 0))
-        self.rows = np.where(col < self.length[:, None], self.words[at] if len(self.words) else np.zeros(at.shape, np.uint64), np.uint64(0))
         self.leads = {}
         for q in np.unique(np.minimum(self.length, LEAD)).tolist():
             own = np.flatnonzero(np.minimum(self.length, LEAD) == q)
@@ -91,6 +88,16 @@ class TestSuffixes:
             self.leads[q] = (own, h[np.searchsorted(at, self.start[own])] >> _TABLE)
 
 
+    def keys(self, own: np.ndarray) -> np.ndarray:
+        """The word hashes of some windows, a row each; 0 behind a shorter one."""
+        col = np.arange(self.window)
+        at = np.minimum(self.start[own][:, None] + col, len(self.words) - 1)
+        return np.where(col < self.length[own][:, None], self.words[at], np.uint64(0))
+
+    def item_words(self, item: int) -> np.ndarray:
+        return self.words[self.text.first[item] : self.text.first[item + 1]]
+
+
 def _search(w: Words, end: np.ndarray, suffixes: np.ndarray, keys: np.ndarray, length: np.ndarray, above: bool) -> np.ndarray:
     """For each key the first slot of the suffix array that is not below it (``above``: that is above it)."""
     lo, hi = np.zeros(len(keys), np.int64), np.full(len(keys), len(suffixes), np.int64)
@@ -109,8 +116,11 @@ def _search(w: Words, end: np.ndarray, suffixes: np.ndarray, keys: np.ndarray, l
     return lo
 
 
-def matches(w: Words, tests: TestSuffixes, suffixes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(test suffix, word position) of every place in the chunk where a test window stands."""
+def matches(w: Words, tests: TestSuffixes, suffixes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(window, word position) of every place in the chunk where a test window stands, and the test suffixes of each window.
+
+    Windows of equal words are one, so a place is found once for each length of windows, however often both sides repeat.
+    """
     none = np.zeros(0, np.int64)
     wanted = [none]
     for q, (own, lead) in tests.leads.items():
@@ -119,64 +129,88 @@ def matches(w: Words, tests: TestSuffixes, suffixes: np.ndarray | None = None) -
         wanted.append(own[there[lead]])
     wanted = np.sort(np.concatenate(wanted))
     if not len(wanted):
-        return none, none
+        return none, none, []
+    keys = np.column_stack((tests.keys(wanted), tests.length[wanted].astype(np.uint64)))
+    keys, first, window, count = np.unique(keys, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    of = np.split(wanted[np.argsort(window.ravel(), kind="stable")], np.cumsum(count)[:-1])
     suffixes = suffix_array(w) if suffixes is None else suffixes
-    end, keys, length = document_ends(w), tests.rows[wanted], tests.length[wanted]
-    lo, hi = (_search(w, end, suffixes, keys, length, above) for above in (False, True))
+    end, length = document_ends(w), tests.length[wanted[first]]
+    lo, hi = (_search(w, end, suffixes, keys[:, :-1], length, above) for above in (False, True))
     n = hi - lo
     flat = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    test, place = np.repeat(wanted, n), suffixes[flat]
-    same = [w.text(p, p + k) == tests.text.text(a, a + k) for p, a, k in zip(place.tolist(), tests.start[test].tolist(), tests.length[test].tolist(), strict=True)]
-    same = np.array(same, dtype=bool)
-    return test[same], place[same]
-
-
-def _longest(w: Words, tests: TestSuffixes, test: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Words of each match when it is extended to the right as far as both sides agree."""
-    size = tests.length[test].copy()
-    doc_end = document_ends(w)[place]
-    live = np.arange(len(test))
-    while len(live):
-        a, b = tests.start[test[live]] + size[live], place[live] + size[live]
-        ok = (a < tests.item_end[test[live]]) & (b < doc_end[live])
-        live, a, b = live[ok], a[ok], b[ok]
-        live = live[tests.words[a] == w.hash[b]]
-        size[live] += 1
-    return size
+    window, place = np.repeat(np.arange(len(n)), n), suffixes[flat]
+    return (*_compared(w, tests, wanted[first], window, place), of)
+
+
+def _compared(w: Words, tests: TestSuffixes, suffix: np.ndarray, window: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places whose words are those of the window, by the words of the first place of each and by a second hash of the others'."""
+    if not len(place):
+        return window, place
+    length = tests.length[suffix][window]
+    ends = np.cumsum(length)
+    col = np.arange(int(ends[-1])) - np.repeat(ends - length, length)
+    here, there = np.repeat(place, length) + col, np.repeat(tests.start[suffix][window], length) + col
+    same = byte_hashes(w.data, w.start[here], w.end[here], 1) == byte_hashes(tests.text.data, tests.text.start[there], tests.text.end[there], 1)
+    ok = np.logical_and.reduceat(same, ends - length)
+    for k in np.unique(window, return_index=True)[1].tolist():
+        p, a, size = int(place[k]), int(tests.start[suffix[window[k]]]), int(length[k])
+        ok[k] &= w.text(p, p + size) == tests.text.text(a, a + size)
+    return window[ok], place[ok]
+
+
+def _longest(words: np.ndarray, tests: TestSuffixes, items: list[int]) -> tuple[int, int, int]:
+    """(length, item, place) of the longest run of words that a document shares with one of the items that hit it.
+
+    A shared run of some length has shared runs of every smaller one, down to a window, so the length is searched by halves.
+    """
+    long_, short = ([i for i in items if (len(tests.item_words(i)) >= tests.window) == big] for big in (True, False))
+
+    def shared(size: int, own: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        here = window_hashes(words, size)
+        return here, np.isin(here, np.concatenate([np.zeros(0, np.uint64), *(window_hashes(tests.item_words(i), size) for i in own)]))
+
+    own, size = long_, tests.window
+    if long_:
+        most = min(len(words), max(len(tests.item_words(i)) for i in long_))
+        while size < most:
+            middle = (size + most + 1) // 2
+            size, most = (middle, most) if shared(middle, long_)[1].any() else (size, middle - 1)
+    else:  # items below a window stand whole or not at all
+        size = max(len(tests.item_words(i)) for i in short)
+        own = [i for i in short if len(tests.item_words(i)) == size]
+    here, hit = shared(size, own)
+    place = int(hit.argmax())
+    return size, next(i for i in own if (window_hashes(tests.item_words(i), size) == here[place]).any()), place
 
 
 def scan(texts: list[bytes | None], tests: TestSuffixes, suffixes: np.ndarray | None = None) -> list[tuple]:
     """For each text of a shard: (n_words, starts, ends, item ids, longest, its item, its place)."""
     w = Words(texts, ALNUM_WORDS, True)
     out = [[n, [], [], [], None, None, None] for n in w.counts().tolist()]
-    test, place = matches(w, tests, suffixes)
-    if len(test):
+    window, place, of = matches(w, tests, suffixes)
+    if len(window):
         doc = np.searchsorted(w.first, place, side="right") - 1
-        size = _longest(w, tests, test, place)
-        order = np.lexsort((test, place, -size, doc))
-        for d, t, p, k in zip(doc[order].tolist(), test[order].tolist(), place[order].tolist(), size[order].tolist(), strict=True):
-            row, p = out[d], p - int(w.first[d])
-            row[1].append(p)
-            row[2].append(p + int(tests.length[t]))
-            row[3].append(tests.ids[tests.item[t]])
-            if row[4] is None:
-                row[4:] = [k, row[3][-1], p]
-    for row in out:
-        row[1], row[2] = united(row[1], row[2])
-        row[3] = sorted(set(row[3]), key=lambda x: (x is not None, x or ""))
+        order = np.lexsort((place, doc))
+        window, place, doc = window[order], place[order], doc[order]
+        cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])).tolist() + [len(doc)]
+        items_of = [np.unique(tests.item[x]) for x in of]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            row, start = out[doc[a]], int(w.first[doc[a]])
+            own = np.unique(window[a:b])
+            size = np.array([tests.length[of[k][0]] for k in own.tolist()])
+            row[1], row[2] = united(place[a:b] - start, place[a:b] - start + size[np.searchsorted(own, window[a:b])])
+            items = np.unique(np.concatenate([items_of[k] for k in own.tolist()])).tolist()
+            row[3] = sorted({tests.ids[i] for i in items}, key=lambda x: (x is not None, x or ""))
+            size, item, at = _longest(w.hash[w.first[doc[a]] : w.first[doc[a] + 1]], tests, items)
+            row[4:] = [size, tests.ids[item], at]
     return out
 
 
-def united(starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
-    """The same words as disjoint, sorted ranges."""
-    a, b = [], []
-    for s, e in sorted(zip(starts, ends, strict=True)):
-        if b and s <= b[-1]:
-            b[-1] = max(b[-1], e)
-        else:
-            a.append(s)
-            b.append(e)
-    return a, b
+def united(starts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
+    """Ranges in the order of their starts as disjoint ones of the same words."""
+    reach = np.maximum.accumulate(ends)
+    new = np.append(True, starts[1:] > reach[:-1])
+    return starts[new].tolist(), reach[np.append(new[1:], True)].tolist()
 
 
 def is_contaminated(n_hit: int, n_words: int) -> bool:
@@ -278,10 +312,11 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BL
     n_blocks = block_count(items, block_bytes)
     if n_blocks > 1:
         with Tables(spark, "contamination") as tables:
-            rows = tables.put(docs.withColumn("dc_row", F.monotonically_increasing_id()), "rows")
-            found = _hits(id_and_text(rows, doc_id="dc_row").withColumnRenamed("doc_id", "row"), items, n_blocks, tables)
-            bad = found.filter("n_hit > 0 and 20 * n_hit >= n_words").select(F.col("row").alias("dc_row"))
-            return result(rows.join(bad, "dc_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]), "decontaminated")
+            row = "row" + "_" * max(map(len, docs.columns))  # the name of no column
+            rows = tables.put(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+            found = _hits(id_and_text(rows, doc_id=row).withColumnRenamed("doc_id", "row"), items, n_blocks, tables)
+            bad = found.filter("n_hit > 0 and 20 * n_hit >= n_words").select(F.col("row").alias(row))
+            return result(rows.join(bad, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]), "decontaminated")
 
     def keep(part: pa.RecordBatch, found: list) -> pa.RecordBatch:
         return part.filter(pa.array([not is_contaminated(sum(b) - sum(a), n) for n, a, b, *_ in found], pa.bool_()))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import hard_negatives, odd_sketch, turn_repair
+from factloom.llm import decontaminate, hard_negatives, line_dedup, odd_sketch, turn_repair
 
 # ---------------------------------------------------------------- 11 turn repair
 
@@ -324,3 +324,50 @@ def test_queries_read_whole_tables(spark, tmp_path):
     want = {k: expected(plain_rows(v)) for k, v in damaged.items()}
     assert {r.conv_id: tuple(r)[1:] for r in got.collect()} == want
     assert got.filter(F.col("conv_id").isNull()).count() == 0
+
+
+# ---------------------------------------------------------------- repeats and names that clash in operators 8 and 10
+
+
+def test_benchmark_words_that_repeat():
+    """Every place of a repeated window is hit, the longest run is found, and equal windows cost no pairs."""
+    tests = decontaminate.TestSuffixes([("a", b"w " * 2000), ("b", b"w " * 20 + b"x"), ("c", b"y z"), ("d", b"w " * 12)])
+    got = decontaminate.scan([b"w " * 20_000, b"v " + b"w " * 20 + b"x w", b"y z y z", b"q", None], tests)
+    assert got[0] == [20_000, [0], [20_000], ["a", "b", "d"], 2000, "a", 0]
+    assert got[1] == [23, [1], [22], ["a", "b", "d"], 21, "b", 1]  # the last w alone is no window
+    assert got[2] == [4, [0], [4], ["c"], 2, "c", 0]
+    assert got[3][:4] == [1, [], [], []] and got[4][:4] == [0, [], [], []]
+
+
+def test_ranges_and_longest_matches_by_brute_force():
+    rng = random.Random(9)
+    for _ in range(60):
+        words = lambda n: [rng.choice("ab") for _ in range(n)]
+        items, docs = [words(rng.randrange(1, 9)) for _ in range(4)], [words(rng.randrange(0, 30)) for _ in range(3)]
+        tests = decontaminate.TestSuffixes([(str(k), " ".join(x).encode()) for k, x in enumerate(items)], window=4)
+        for doc, row in zip(docs, decontaminate.scan([" ".join(x).encode() for x in docs], tests), strict=True):
+            hit, found, longest = set(), set(), (0, 0, 0)
+            for k, item in enumerate(items):
+                for a in range(max(1, len(item) - 3)):
+                    size = min(4, len(item))
+                    for p in range(len(doc) - size + 1):
+                        if doc[p : p + size] == item[a : a + size]:
+                            hit |= set(range(p, p + size))
+                            found.add(str(k))
+                            while p + size < len(doc) and a + size < len(item) and doc[p + size] == item[a + size]:
+                                size += 1
+                            longest = min(longest, (-size, p, k))
+                            size = min(4, len(item))
+            assert {x for a, b in zip(row[1], row[2], strict=True) for x in range(a, b)} == hit and row[3] == sorted(found)
+            assert not found or (row[4], row[6], row[5]) == (-longest[0], longest[1], str(longest[2]))
+
+
+def test_columns_of_any_name(spark, monkeypatch):
+    rows = [(1, "a\nb\nc\nd", "mine", "gone", 7, 8), (2, "a\nb\nc\nd", "yours", None, 7, 9), (3, None, "x", "y", 7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, dl_text string, dl_gone string, dl_left int, dc_row long")
+    for every in (False, True):
+        got = line_dedup.dedup_lines(docs, every=every)
+        assert {tuple(r[c] for c in ("doc_id", "dl_text", "dl_gone", "dl_left", "dc_row")) for r in got.collect()} == {(r[0], *r[2:]) for r in rows}
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 8)
+    items = spark.createDataFrame([(1, "q r s"), (2, "a b c"), (3, "t u v")], "item_id long, text string")
+    assert {tuple(r) for r in decontaminate.remove_contaminated(docs, items).collect()} == {rows[2]}
