@@ -63,7 +63,7 @@ def beside(marked: DataFrame, entries: str) -> DataFrame:
 def repeated_chunks(docs: DataFrame, tables: Tables, every: bool = False) -> DataFrame:
     """doc_id, dl_text (hash of the text), k: the chunks to be removed. ``docs``: doc_id, text."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("dl_text"))
-    chunk = let("t", f"array_join({_lines('k')}, '\\n')", f"named_struct('k', k, 'n', e - {_start('k')} + 1, 'a', xxhash64(t), 'b', xxhash64(t, 7))")
+    chunk = let("t", f"array_join({_lines('k')}, '\\n')", f"named_struct('k', k, 'n', e - {_start('k')} + 1, 'a', xxhash64(t), 'b', xxhash64(7, t))")
     found = let("s", _cut(), f"filter(transform(s.ends, (e, k) -> {chunk}), c -> c.n >= {LEAST_LINES})")
     if every:
         pair = let("t", _PAIR.format(k="k"), "named_struct('k', k, 'a', xxhash64(t), 'b', xxhash64(7, t))")
@@ -88,7 +88,12 @@ def repeated_chunks(docs: DataFrame, tables: Tables, every: bool = False) -> Dat
 
 
 def dedup_lines(docs: DataFrame, every: bool = False) -> DataFrame:
-    """``docs`` with repeated chunks (``every``: of all cuts) taken out of ``text``, and dl_n_lines, dl_n_removed, dl_n_chunks_removed."""
+    """``docs`` with repeated chunks (``every``: of all cuts) taken out of ``text``, and dl_n_lines, dl_n_removed, dl_n_chunks_removed.
+
+    Columns of ``docs`` pass through whatever their names, but for three of these last names, which are replaced.
+    """
+    names = {c: c if c in ("doc_id", "text") else f"own_{k}" for k, c in enumerate(docs.columns)}
+    docs = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in names.items()])
     with Tables(docs.sparkSession, "line-dedup") as tables:
         gone = repeated_chunks(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")), tables, every)
         removed = result(gone.groupBy("doc_id", "dl_text").agg(F.collect_set("k").alias("dl_gone")), "removed-chunks")
@@ -102,7 +107,8 @@ def dedup_lines(docs: DataFrame, every: bool = False) -> DataFrame:
     text = F.expr("if(dl_gone is null, text, array_join(dl_left, '\n'))").alias("text")
     gone = F.when(F.col("dl_gone").isNull(), 0).otherwise(F.col("dl_n_lines") - F.size("dl_left")).cast("long")
     parts = F.when(F.col("dl_gone").isNull(), 0).otherwise(F.size("dl_gone")).cast("long")
-    return left.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns], "dl_n_lines", gone.alias("dl_n_removed"), parts.alias("dl_n_chunks_removed"))
+    added = ("dl_n_lines", "dl_n_removed", "dl_n_chunks_removed")
+    return left.select(*[text if c == "text" else F.col(x).alias(c) for c, x in names.items() if c not in added], "dl_n_lines", gone.alias("dl_n_removed"), parts.alias("dl_n_chunks_removed"))
 
 
 def op8_line_dedup(spark, sf_dir: str, every: bool = False) -> DataFrame:
