@@ -9,6 +9,7 @@ from ..operators import extract as X
 from ..operators import pages as P
 from ..operators import relate as R
 from ..operators.handlers import all_contract_details
+from ..operators.trees import TREE_LABELS, spec_routes, tree_facts, written_nodes
 from ..operators.wrappers import resolved_api_calls
 from ..operators.link import link_calls
 from ..functions.text import normalize_path
@@ -54,9 +55,13 @@ def project_facts(files: DataFrame) -> dict[str, DataFrame]:
     f["dependencies"], f["imports"], f["symbols"] = stored(X.dependencies(files, raw), "dependencies"), X.named(files, "import", raw=raw), X.named(files, "symbol", raw=raw)
     f["frameworks"] = X.frameworks(f["dependencies"], f["imports"])
     f["entrypoints"], f["commands"] = stored(entrypoints(files), "entrypoints"), commands(files, raw)
-    f["routes"], f["calls"] = stored(X.api_routes(files, raw), "routes"), stored(resolved_api_calls(files, raw), "calls")
+    nodes = written_nodes(files)
+    routes = X.api_routes(files, raw)
+    f["routes"], f["calls"] = stored(routes.unionByName(spec_routes(nodes).select(*routes.columns)), "routes"), stored(resolved_api_calls(files, raw), "calls")
     for name, family in (("components", "component"), ("states", "state"), ("frontend_routes", "frontend-route"), ("repositories", "repository"), ("services", "service"), ("data_layer", "data-layer"), ("runtime", "runtime"), ("servlets", "servlet")):
         f[name] = X.named(files, family, raw=raw)
+    in_trees = tree_facts(nodes).filter("family = 'runtime'").drop("family", "doc")
+    f["runtime"] = stored(f["runtime"].filter(~F.col("kind").isin(*TREE_LABELS)).unionByName(in_trees, allowMissingColumns=True), "runtime")
     f["models"] = X.data_models(files, raw)
     by_file = X.file_route(F.col("path"), "frontend")
     paged = files.filter("role not in ('test', 'sample', 'generated')").withColumn("r", by_file).filter("r is not null")

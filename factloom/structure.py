@@ -16,6 +16,7 @@ from .operators.classify import classify
 from .operators.handlers import all_contract_details
 from .operators.lexing import block_tree, lexical_masks
 from .operators.link import link_calls
+from .operators.trees import openapi_routes, tree_facts, tree_nodes
 from .operators.wrappers import resolved_api_calls
 from .sources.tables import stored, table
 
@@ -413,3 +414,116 @@ def wrapped_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = calls.select(F.xxhash64("path", "line", "endpoint").alias("call_id"), F.col("path").alias("source"), "endpoint", "method", "client")
     known = routes.select(F.xxhash64("method", "path").alias("route_id"), "method", "path", "framework", "handler", F.lit(None).cast("string").alias("route_name"))
     return link_calls(keyed, known).select("source", "method", "matched_route", "match_type")
+
+
+# ---------------------------------------------------------------- YAML and JSON trees
+
+_OPENAPI_YAML = """# paths:
+openapi: "3.0.1" # get:
+paths:
+  /users/{id}:
+    parameters:
+    - name: id
+      in: path
+    get:
+      operationId: getUser{k}
+      description: |
+        post:
+          operationId: no
+      parameters:
+        - {name: deep, in: query}
+      responses:
+        "200": {description: 'ok # not a comment'}
+        '404':
+          description: gone
+    delete:
+      responses: {'204': {description: done}}
+components:
+  get:
+    operationId: never"""
+_KUBERNETES = """apiVersion: apps/v1
+kind: Deployment
+metadata:
+  name: web{k}
+spec:
+  template:
+    spec:
+      containers:
+      - name: app
+        image: registry/app:{k} # image: no
+        ports:
+        - containerPort: 8080
+---
+apiVersion: batch/v1
+kind: CronJob
+metadata: {name: job{k}}
+spec:
+  schedule: "*/5 * * * *"
+---
+note: |
+  kind: Nothing"""
+_WORKFLOW = """on:
+  schedule:
+    - cron: '0 {k} * * *'
+jobs:
+  build{k}:
+    steps:
+      - uses: actions/checkout@v4
+      - name: uses
+        run: |
+          uses: no
+          make {k}
+  test:
+    steps: [{uses: a/b@v1}]"""
+_COMPOSE = """services:
+  db{k}:
+    image: postgres:16
+    ports: ["5432:5432"]
+  web:
+    image: web
+volumes:
+  data:"""
+_OPENAPI_JSON = """{"swagger": "2.0", "paths": {"/items/{id}": {"put": {"operationId": "put{k}", "parameters": [{"name": "id", "in": "path"}, {"name": "body", "in": "body"}], "requestBody": {}, "responses": {"200": {}, "400": {}}}}},
+ "definitions": {"get": {"operationId": "no"}}}"""
+TREES = [
+    (0, "y{k}/openapi.yaml", _OPENAPI_YAML),
+    (1, "y{k}/deploy/all.yaml", _KUBERNETES),
+    (2, "y{k}/.github/workflows/ci.yml", _WORKFLOW),
+    (2, "y{k}/docker-compose.yml", _COMPOSE),
+    (3, "y{k}/swagger.json", _OPENAPI_JSON),
+]
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_nodes(classify(corpus(spark, sf_dir, TREES)))
+
+
+@query("yaml_paths", _sql(
+    "path, doc, keys, value, line",
+    _rows(1, 4, "y{k}/deploy/all.yaml", (":0", "apiVersion", "apps/v1", ":1"), (":0", "kind", "Deployment", ":2"), (":0", "metadata name", "web{k}", ":4"), (":0", "spec template spec containers [] name", "app", ":9"), (":0", "spec template spec containers [] image", "registry/app:{k}", ":10"), (":0", "spec template spec containers [] ports [] containerPort", "8080", ":12"), (":1", "apiVersion", "batch/v1", ":14"), (":1", "kind", "CronJob", ":15"), (":1", "metadata name", "job{k}", ":16"), (":1", "spec schedule", "*/5 * * * *", ":18"), (":2", "note", "kind: Nothing", ":20")),
+    _rows(2, 4, "y{k}/docker-compose.yml", (":0", "services db{k} image", "postgres:16", ":3"), (":0", "services db{k} ports []", "5432:5432", ":4"), (":0", "services web image", "web", ":6")),
+))
+def yaml_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _nodes(spark, sf_dir).filter("value is not null and (path like '%all.yaml' or path like '%compose.yml')")
+    return own.select("path", "doc", F.array_join("keys", " ").alias("keys"), "value", "line")
+
+
+@query("openapi_routes", _sql(
+    "path, method, route, handler, parameters, n_responses",
+    _rows(0, 4, "y{k}/openapi.yaml", ("GET", "/users/{id}", "getUser{k}", "id,deep", ":2"), ("DELETE", "/users/{id}", "-", "id", ":1")),
+    _rows(3, 4, "y{k}/swagger.json", ("PUT", "/items/{id}", "put{k}", "id,body", ":2")),
+))
+def spec_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = openapi_routes(_nodes(spark, sf_dir))
+    return own.select("path", "method", "route", "handler", F.array_join("parameters", ",").alias("parameters"), F.col("n_responses").cast("int").alias("n_responses"))
+
+
+@query("tree_facts", _sql(
+    "path, kind, name, detail",
+    _rows(1, 4, "y{k}/deploy/all.yaml", ("kubernetes-kind", "Deployment", "-"), ("kubernetes-name", "web{k}", "-"), ("kubernetes-image", "registry/app:{k}", "-"), ("kubernetes-port", "8080", "-"), ("kubernetes-kind", "CronJob", "-"), ("kubernetes-name", "job{k}", "-"), ("kubernetes-schedule", "*/5 * * * *", "-")),
+    _rows(2, 4, "y{k}/.github/workflows/ci.yml", ("github-job", "build{k}", "-"), ("github-job", "test", "-"), ("github-action", "actions/checkout@v4", "build{k}"), ("github-action", "a/b@v1", "test"), ("github-schedule", "0 {k} * * *", "-")),
+    f"SELECT {_line('y{k}/.github/workflows/ci.yml', KEY)}, 'github-run', 'uses: no' || chr(10) || {_line('make {k}', KEY)}, {_line('build{k}', KEY)} FROM {ROWS_OF} WHERE {KEY} % 4 = 2",
+    _rows(2, 4, "y{k}/docker-compose.yml", ("compose-service", "db{k}", "-"), ("compose-service", "web", "-"), ("compose-image", "postgres:16", "db{k}"), ("compose-image", "web", "web"), ("compose-port", "5432:5432", "db{k}")),
+))
+def facts_of_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_facts(_nodes(spark, sf_dir)).select("path", "kind", "name", "detail")
