@@ -24,8 +24,9 @@ COLUMNS = {
     "op8_line_dedup_every_run": "doc_id n_lines n_removed n_chunks_removed kept_sha256",
     "op9_toxicity": "doc_id held_out score predicted",
     "op10_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
+    "op12_minhash_dedup": "doc_id n_shingles component_id kept",
 }
-TYPES = {"string": "labels base_labels spans base_sha256 kept_sha256 items_sha256 lang_pred", "int": "piece predicted rank", "double": "score", "boolean": "held_out contaminated"}
+TYPES = {"string": "labels base_labels spans base_sha256 kept_sha256 items_sha256 lang_pred", "int": "piece predicted rank", "double": "score", "boolean": "held_out contaminated kept"}
 
 
 def prose(n):
@@ -56,7 +57,7 @@ def kinds(name):
     return next((kind for kind, names in TYPES.items() if name in names.split()), "bigint")
 
 
-@pytest.mark.parametrize("name", [n for n in queries.QUERIES if not n.startswith("op5")])
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n in COLUMNS])
 def test_query(spark, sf_dir, name):
     got = queries.QUERIES[name](spark, sf_dir)
     wanted = COLUMNS[name].split()
@@ -75,6 +76,11 @@ def test_query(spark, sf_dir, name):
         assert all(r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def test_all_queries_are_held_somewhere():
+    elsewhere = {"op5_topk_search", "op11_turn_repair", "op13_hard_negatives"}  # of other tables: below, and in test_pairs_and_turns
+    assert set(queries.QUERIES) == set(COLUMNS) | elsewhere
+
+
 def test_topk_query(spark, sf_dir):
     rows = queries.QUERIES["op5_topk_search"](spark, sf_dir)
     assert rows.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint")]
