@@ -87,7 +87,7 @@ LOOPS = {"while", "until", "for"}
 _BRACKETS = {")": "(", "]": "[", "}": "{"}
 #: a slash after one of these opens a pattern, not a division
 _BEFORE_PATTERN = set("(,=:[!&|?{};~\n") | {""}
-_PATTERN = re.compile(r"/(?![/*\s=])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
+_PATTERN = re.compile(r"/(?![/*\s=>])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 
 
 class Reader(NamedTuple):

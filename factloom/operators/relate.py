@@ -262,22 +262,22 @@ def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     return hit.groupBy("path", "name").agg(F.min_by("candidate", "rank").alias("target"))
 
 
-def mount_closure(edges: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
+def mount_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """node, prefix, depth of mounted routers: edges (parent, child, prefix), roots (node).
 
-    One join for each level of nesting.  A router mounted twice has two prefixes; a cycle that a root leads into ends at
-    ``max_depth`` levels.
+    One join for each level of nesting.  A router mounted twice has two prefixes; a chain that comes back to one of its
+    nodes ends before it.
     """
-    level = roots.select("node", F.lit("").alias("prefix"), F.lit(0).alias("depth")).distinct()
+    level = roots.select("node", F.lit("").alias("prefix"), F.lit(0).alias("depth"), F.array("node").alias("seen")).distinct()
     out = [level]
     step = edges.select(F.col("parent").alias("node"), "child", F.col("prefix").alias("own"))
-    for _ in range(max_depth):
-        below = level.join(step, "node").select(F.col("child").alias("node"), F.regexp_replace(F.concat("prefix", F.lit("/"), "own"), "/+", "/").alias("prefix"), (F.col("depth") + 1).alias("depth"))
+    while True:
+        further = level.join(step, "node").filter(~F.array_contains("seen", F.col("child")))
+        below = further.select(F.col("child").alias("node"), F.regexp_replace(F.concat("prefix", F.lit("/"), "own"), "/+", "/").alias("prefix"), (F.col("depth") + 1).alias("depth"), F.array_append("seen", F.col("child")).alias("seen"))
         level = stored(below.distinct(), "mounts")
         if level.isEmpty():
-            break
+            return union_all(out).drop("seen").distinct()
         out.append(level)
-    return union_all(out)
 
 
 def surfaces(routes: DataFrame, services: DataFrame, models: DataFrame) -> DataFrame:

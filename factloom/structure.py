@@ -13,6 +13,7 @@ from .catalogue import _spark_quotes, query
 from .operators import extract as X
 from .operators import relate as R
 from .operators.classify import classify
+from .operators.frontend_routes import frontend_routes
 from .operators.handlers import all_contract_details
 from .operators.lexing import block_tree, lexical_masks
 from .operators.link import link_calls
@@ -527,3 +528,74 @@ def spec_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 ))
 def facts_of_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_facts(_nodes(spark, sf_dir)).select("path", "kind", "name", "detail")
+
+
+# ---------------------------------------------------------------- nested and lazy frontend routes
+
+_APP_TSX = """import Admin from './admin/Admin';
+const Late = lazy(() => import('./late'));
+// <Route path="/no" element={<No />} />
+export default () => <Routes>
+  <Route path="/p{k}" element={<Layout wide={1 > 0} />}>
+    <Route index element={<Home />} />
+    <Route path="users" element={<Users />}>
+      <Route path=":id" element={<User />} />
+    </Route>
+    <Route path="admin/*" element={<Admin />} />
+  </Route>
+  <Route path="late/*" element={<Late />} />
+</Routes>;"""
+_ADMIN_TSX = """export default function Admin() {
+  return <Routes>
+    <Route path="stats" element={<Stats />} />
+  </Routes>;
+}"""
+_LATE_TSX = """export default () => <Routes><Route path="deep" element={<Deep />} /><Route path="back/*" element={<Back />} /></Routes>;"""
+_ROUTER_TS = """import { createRouter } from 'vue-router';
+import { itemRoutes } from './items';
+const routes = [
+  { path: '/', component: Home, meta: { path: 'no' } },
+  { path: '/shop{k}', component: Shop, children: [
+    { path: '', component: List },
+    { path: ':id', component: () => import('./Item.vue'), children: itemRoutes },
+    { path: '/old', redirect: '/' },
+  ] },
+];
+const settings = { path: '/tmp' };"""
+_ITEMS_TS = """import { RouteRecordRaw } from 'vue-router';
+export const itemRoutes = [{ path: 'edit', component: Edit }];"""
+_NG_ROUTES = """import { Routes } from '@angular/router';
+export const routes: Routes = [
+  { path: 'admin{k}', loadChildren: () => import('./admin/admin.module').then(m => m.AdminModule) },
+  { path: 'x', children: [ { path: 'y', component: Y } ] },
+];"""
+_NG_MODULE = """import { AdminRoutingModule } from './admin-routing.module';
+export class AdminModule {}"""
+_NG_ROUTING = """const routes: Routes = [{ path: 'people', component: People, children: [{ path: ':id', component: Person }] }];
+export class AdminRoutingModule {}"""
+FRONTEND = [
+    (0, "r{k}/src/App.tsx", _APP_TSX),
+    (0, "r{k}/src/admin/Admin.tsx", _ADMIN_TSX),
+    (0, "r{k}/src/late/index.tsx", _LATE_TSX),
+    (1, "v{k}/src/router.ts", _ROUTER_TS),
+    (1, "v{k}/src/items.ts", _ITEMS_TS),
+    (2, "a{k}/src/app.routes.ts", _NG_ROUTES),
+    (2, "a{k}/src/admin/admin.module.ts", _NG_MODULE),
+    (2, "a{k}/src/admin/admin-routing.module.ts", _NG_ROUTING),
+]
+
+
+@query("nested_frontend_routes", _sql(
+    "path, kind, name, component",
+    _rows(0, 3, "r{k}/src/App.tsx", ("react-router", "/p{k}", "Layout"), ("react-router", "/p{k}", "Home"), ("react-router", "/p{k}/users", "Users"), ("react-router", "/p{k}/users/:id", "User"), ("react-router", "/p{k}/admin", "Admin"), ("react-router", "/late", "Late")),
+    _rows(0, 3, "r{k}/src/admin/Admin.tsx", ("react-router", "/p{k}/admin/stats", "Stats")),
+    _rows(0, 3, "r{k}/src/late/index.tsx", ("react-router", "/late/deep", "Deep"), ("react-router", "/late/back", "Back")),
+    _rows(1, 3, "v{k}/src/router.ts", ("vue-router", "/", "Home"), ("vue-router", "/shop{k}", "Shop"), ("vue-router", "/shop{k}", "List"), ("vue-router", "/shop{k}/:id", "-"), ("vue-router", "/old", "-")),
+    _rows(1, 3, "v{k}/src/items.ts", ("vue-router", "/shop{k}/:id/edit", "Edit")),
+    _rows(2, 3, "a{k}/src/app.routes.ts", ("angular", "/admin{k}", "-"), ("angular", "/x", "-"), ("angular", "/x/y", "Y")),
+    _rows(2, 3, "a{k}/src/admin/admin-routing.module.ts", ("vue-router", "/admin{k}/people", "People"), ("vue-router", "/admin{k}/people/:id", "Person")),
+))
+def nested_frontend_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = classify(corpus(spark, sf_dir, FRONTEND))
+    raw = stored(X.extract(files, ["binding", "import"]), "matches")
+    return frontend_routes(files, raw).select("path", "kind", "name", "component")
