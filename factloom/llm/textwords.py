@@ -6,6 +6,8 @@ function here works on one chunk, so memory follows the chunk and never the part
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,6 +121,13 @@ def hash_words(words: list[str]) -> np.ndarray:
     return Words([b" ".join(x.encode() for x in words)], SPACE_WORDS, False).hash
 
 
+def release() -> None:
+    """Gives memory that is free inside this worker back to the machine, so that waiting workers hold little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Cuts Arrow batches into slices of about ``CHUNK`` text bytes: (slice, its texts)."""
     for batch in batches:
@@ -133,3 +142,5 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
                 stop += 1
             yield batch.slice(at, stop - at), texts[at:stop]
             at = stop
+        del texts
+    release()
