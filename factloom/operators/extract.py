@@ -20,10 +20,11 @@ from ..sources.tables import arrow_ready, stored
 from .lexing import Masks, blocks
 from .mounts import mounted
 from .ordered import first_wins
+from .resources import implied_routes
 from .rules import CHANNEL_OF, FILE_ROUTES, MANIFESTS, PATHS, RULES, Rule
 
 #: families of matches that routes and their handlers are found by
-ROUTE_FAMILIES = ["route", "scope", "router", "mount", "binding", "import"]
+ROUTE_FAMILIES = ["route", "scope", "resource", "router", "mount", "binding", "import"]
 #: roles whose files are not evidence of the project itself (fixed values)
 NOISE = ["generated", "sample"]
 
@@ -74,7 +75,7 @@ def matches(content: str, rules: list[tuple], language: str = "") -> Iterator[tu
             at = end
     around = Scopes(content, language, scopes) if scopes else None
     for place, row in found:
-        yield *row, around.prefixes(row[4], place) if around and row[3] == "route" else None
+        yield *row, around.prefixes(row[4], place) if around and row[3] in ("route", "resource") else None
 
 
 class Scopes:
@@ -208,7 +209,11 @@ def api_routes(files: DataFrame, raw: DataFrame | None = None) -> DataFrame:
 
 def declared_routes(raw: DataFrame) -> DataFrame:
     """The routes as their files declare them, under the prefixes of the scopes around them (class_prefix), and the router variable (owner)."""
-    raw = raw.filter("family = 'route' and role <> 'test'").withColumn("class_prefix", F.array_join(F.transform("scope", lambda x: F.regexp_replace(x, "^/+|/+$", "")), "/"))
+    def prefix() -> Column:
+        return F.array_join(F.transform("scope", lambda x: F.regexp_replace(x, "^/+|/+$", "")), "/").alias("class_prefix")
+
+    implied = implied_routes(raw).select("method", normalize_path(F.concat_ws("/", prefix(), "route")).alias("path_"), "handler", "framework", F.lit("route").alias("kind"), prefix(), "owner", evidence("route").alias("evidence"), "rule", "nth")
+    raw = raw.filter("family = 'route' and role <> 'test'").select("*", prefix())
     named_by_file = F.col("label") == "next-app"
     channel = F.coalesce(*[F.when(F.col("label") == k, F.lit(v)) for k, v in CHANNEL_OF.items()])
 
@@ -222,7 +227,7 @@ def declared_routes(raw: DataFrame) -> DataFrame:
     raw = raw.withColumn("placed", once(F.when(named_by_file, file_route(F.col("path"), "backend")), placed))
     handler = F.when(F.col("label") != "wordpress", F.col("detail"))
     routes = raw.select(F.upper(F.coalesce("verb", F.lit("GET"))).alias("method"), "placed.path_", handler.alias("handler"), "placed.framework", F.lit("route").alias("kind"), "class_prefix", "owner", evidence("route").alias("evidence"), "rule", "nth")
-    return routes.withColumnRenamed("path_", "path")
+    return routes.unionByName(implied).withColumnRenamed("path_", "path")
 
 
 def api_calls(files: DataFrame, raw: DataFrame | None = None) -> DataFrame:

@@ -96,6 +96,11 @@ RULES = [
     Rule("route", "wordpress", PHP, r"\bregister_rest_route\(\s*[\"']([^\"']+)[\"']\s*,\s*[\"']([^\"']+)[\"']", "ANY", 2, 1),
     Rule("route", "drupal", "yaml", r"^\s+path:\s*[\"'](/[^\"']*)[\"']", "ANY", 1),
     Rule("route", "aiohttp", PY, rf"@routes\.{_VERB}\(\s*{_Q}" + _CALLED, 1, 2, 3, 2),
+    # lines that imply several routes: names, options (verb: the kind)
+    Rule("resource", "rails", RB, r"^\s*resources\s+((?:[:\"']\w+[\"']?\s*,\s*)*[:\"']\w+[\"']?)(?![\w\"']|\s*=>)([^\n#]*)", "many", 1, 2),
+    Rule("resource", "rails", RB, r"^\s*resource\s+((?:[:\"']\w+[\"']?\s*,\s*)*[:\"']\w+[\"']?)(?![\w\"']|\s*=>)([^\n#]*)", "one", 1, 2),
+    Rule("resource", "laravel", PHP, r"\bRoute::(resource|apiResource)\(\s*[\"']([^\"'\n]+)[\"']\s*,\s*([^;]*)", 1, 2, 3, 6),
+    Rule("resource", "phoenix", EX, r"^\s*resources\s*\(?\s*\"([^\"\n]+)\"\s*,\s*([^\n#]*)", "many", 1, 2),
     # what routes are declared on: groups of a router variable, and routers mounted on others (verb: the prefix)
     Rule("router", "fastapi", PY, r"^\s*(\w+)\s*=\s*APIRouter\((?:[^)]*?prefix\s*=\s*[\"']([^\"']*)[\"'])?", 2, 1, 0, 4),
     Rule("router", "flask", PY, r"^\s*(\w+)\s*=\s*Blueprint\((?:[^)]*?url_prefix\s*=\s*[\"']([^\"']*)[\"'])?", 2, 1, 0, 4),

@@ -221,7 +221,7 @@ SCOPED = [
 
 @query("scoped_routes", "SELECT DISTINCT method, path, handler, framework FROM (" + _sql(
     "file, method, path, handler, framework",
-    _rows(0, 6, "n{k}/config/routes.rb", ("GET", "/admin/stats/{k}", "stats#index", "rails"), ("GET", "/admin/v{k}/categories/:category_id/near", "categories#near", "rails"), ("POST", "/admin/v{k}/categories/:id/publish", "categories#publish", "rails"), ("GET", "/admin/v{k}/categories/search", "-", "rails"), ("DELETE", "/rest/items/:id", "items#drop", "rails"), ("GET", "/home", "pages#home", "rails")),
+    _rows(0, 6, "n{k}/config/routes.rb", ("GET", "/admin/stats/{k}", "stats#index", "rails"), ("GET", "/admin/v{k}/categories/:category_id/near", "categories#near", "rails"), ("POST", "/admin/v{k}/categories/:id/publish", "categories#publish", "rails"), ("GET", "/admin/v{k}/categories/search", "-", "rails"), ("GET", "/admin/v{k}/categories", "categories#index", "rails"), ("POST", "/admin/v{k}/categories", "categories#create", "rails"), ("GET", "/admin/v{k}/categories/:id", "categories#show", "rails"), ("PATCH", "/admin/v{k}/categories/:id", "categories#update", "rails"), ("PUT", "/admin/v{k}/categories/:id", "categories#update", "rails"), ("DELETE", "/admin/v{k}/categories/:id", "categories#destroy", "rails"), ("DELETE", "/rest/items/:id", "items#drop", "rails"), ("GET", "/home", "pages#home", "rails")),
     _rows(1, 6, "r{k}/lib/router.ex", ("GET", "/api/{k}/v1/users", "UserController, :index", "phoenix"), ("POST", "/api/{k}/users", "UserController, :create", "phoenix"), ("GET", "/", "PageController, :home", "phoenix")),
     _rows(2, 6, "s{k}/routes/web.php", ("GET", "/admin/{k}/users", "'UserController@index'", "laravel"), ("POST", "/admin/{k}/deep/save", "'DeepController@save'", "laravel"), ("PUT", "/admin/{k}/users/{id}", "'UserController@put'", "laravel"), ("GET", "/home", "'HomeController@index'", "laravel")),
     _rows(3, 6, "c{k}/src/Routes.kt", ("GET", "/api/{k}/v1/users", "-", "ktor"), ("POST", "/api/{k}/users", "-", "ktor"), ("GET", "/health", "-", "ktor")),
@@ -599,3 +599,38 @@ def nested_frontend_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = classify(corpus(spark, sf_dir, FRONTEND))
     raw = stored(X.extract(files, ["binding", "import"]), "matches")
     return frontend_routes(files, raw).select("path", "kind", "name", "component")
+
+
+# ---------------------------------------------------------------- routes implied by resources
+
+_RESOURCES_RB = """Rails.application.routes.draw do
+  namespace :admin{k} do
+    resources :posts, :tags, only: [:index, :show] do
+      resources :comments, shallow: true, except: %i[destroy update]
+    end
+    resource :profile, path: 'me', only: :show
+  end
+  resources :boxes, param: :slug, controller: 'crates', only: [:update] # , only: [:show]
+end"""
+_RESOURCES_PHP = """<?php
+Route::prefix('v{k}')->group(function () {
+    Route::apiResource('photos.comments', CommentController::class)
+        ->only(['index', 'show']);
+});
+Route::resource('entries', 'EntryController', ['except' => ['create', 'edit', 'update', 'destroy']]);
+// Route::resource('no', 'NoController');"""
+_RESOURCES_EX = """scope "/api/{k}", App do
+  resources "/users", UserController, only: [:index, :update]
+end"""
+RESOURCES = [(0, "q{k}/config/routes.rb", _RESOURCES_RB), (1, "q{k}/routes/api.php", _RESOURCES_PHP), (2, "q{k}/lib/router.ex", _RESOURCES_EX)]
+
+
+@query("resource_routes", _sql(
+    "file, method, path, handler, framework",
+    _rows(0, 3, "q{k}/config/routes.rb", ("GET", "/admin{k}/posts", "posts#index", "rails"), ("GET", "/admin{k}/posts/:id", "posts#show", "rails"), ("GET", "/admin{k}/tags", "tags#index", "rails"), ("GET", "/admin{k}/tags/:id", "tags#show", "rails"), ("GET", "/admin{k}/posts/:post_id/comments", "comments#index", "rails"), ("POST", "/admin{k}/posts/:post_id/comments", "comments#create", "rails"), ("GET", "/admin{k}/comments/:id", "comments#show", "rails"), ("GET", "/admin{k}/me", "profile#show", "rails"), ("PATCH", "/boxes/:slug", "crates#update", "rails"), ("PUT", "/boxes/:slug", "crates#update", "rails")),
+    _rows(1, 3, "q{k}/routes/api.php", ("GET", "/v{k}/photos/{photo}/comments", "CommentController@index", "laravel"), ("GET", "/v{k}/photos/{photo}/comments/{comment}", "CommentController@show", "laravel"), ("GET", "/entries", "EntryController@index", "laravel"), ("POST", "/entries", "EntryController@store", "laravel"), ("GET", "/entries/{entry}", "EntryController@show", "laravel")),
+    _rows(2, 3, "q{k}/lib/router.ex", ("GET", "/api/{k}/users", "UserController, :index", "phoenix"), ("PATCH", "/api/{k}/users/:id", "UserController, :update", "phoenix"), ("PUT", "/api/{k}/users/:id", "UserController, :update", "phoenix")),
+))
+def resource_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = stored(X.extract(classify(corpus(spark, sf_dir, RESOURCES)), X.ROUTE_FAMILIES), "matches")
+    return X.declared_routes(raw).select("evidence.file", "method", "path", "handler", "framework")

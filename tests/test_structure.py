@@ -98,7 +98,7 @@ def test_facts_outside_comments_and_strings(files):
 
 def test_routes_in_scopes(files):
     got = {(r.framework, r.path) for r in X.api_routes(files).collect()}
-    assert {("rails", "/a/x"), ("rails", "/a/never-closed/in"), ("spring", "/v1/in"), ("spring", "/out"), ("nestjs", "/cats"), ("nestjs", "/dogs/:id"), ("slim", "/api/a"), ("slim", "/b"), ("actix", "/x/y"), ("actix", "/z"), ("rails", "/boxes/:box_id/racks/:line_id/dust")} <= got
+    assert {("rails", "/a/x"), ("rails", "/a/never-closed/in"), ("spring", "/v1/in"), ("spring", "/out"), ("nestjs", "/cats"), ("nestjs", "/dogs/:id"), ("slim", "/api/a"), ("slim", "/b"), ("actix", "/x/y"), ("actix", "/z"), ("rails", "/boxes/:box_id/racks/:line_id/dust"), ("rails", "/boxes/:box_id/racks/:id")} <= got
     assert not {p for _, p in got if "no" in p.split("/")}
 
 
@@ -107,3 +107,13 @@ def test_tables(files):
     tree = block_tree(files).filter("path = 'e.java' and opener = '{'").orderBy("block").collect()
     assert [(r.line_start, r.line_end, r.parent is None) for r in tree] == [(2, 7, True), (3, 6, False), (5, 5, False), (8, 11, True), (10, 10, False)]
     assert block_tree(files.filter("path = 'empty.py'")).count() == 0
+
+
+def test_implied_routes(spark):
+    text = "resources :a, 'b', only: %w[index destroy]\nresources :c, except: [:index, :create, :update], path: '/cs/', param: :key do\n  resources :d, shallow: true, only: :show\nend\nresource :e, only: [:show, :unknown]\nresources 'no' => 'x'\n# resources :gone\n"
+    files = classify(spark.createDataFrame([("config/routes.rb", text), ("x/r.php", "<?php Route::resource('a-bs.classes', C::class, ['only' => ['edit']]);"), ("r.ex", 'resources "/u", U, only: [:delete]\n')], "path string, content string"))
+    got = {(r.method, r.path, r.handler) for r in X.api_routes(files).collect()}
+    assert got == {
+        ("GET", "/a", "a#index"), ("DELETE", "/a/:id", "a#destroy"), ("GET", "/b", "b#index"), ("DELETE", "/b/:id", "b#destroy"), ("GET", "/cs/:key", "c#show"), ("DELETE", "/cs/:key", "c#destroy"), ("GET", "/d/:id", "d#show"), ("GET", "/e", "e#show"),
+        ("GET", "/a-bs/{a_b}/classes/{class}/edit", "C@edit"), ("DELETE", "/u/:id", "U, :delete"),
+    }
