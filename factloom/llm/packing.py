@@ -6,7 +6,7 @@ its even share of every size, so the work and memory of a block stay the same ho
 packings of its pieces, largest first and in random orders.  Genes are whole bins: crossover injects a choice of the other
 parent's well-filled bins, drops the bins that hold one of the same pieces, and best-fits the displaced pieces, largest
 first; mutation dissolves the emptiest bins in the same way.  After each epoch every island's elite migrates to all islands of its block.  An island stops early
-at the lower bound.  The badly filled bins of all blocks then meet once more in new blocks, as whole bins; the result
+at the lower bound, or when its best has not changed for ``STALE`` generations.  The badly filled bins of all blocks then meet once more in new blocks, as whole bins; the result
 replaces them only where it needs fewer.
 
 Null and empty texts are the single id 0.  Repeated rows are packed each on its own; a null doc_id stays null.  Pieces of
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import Tables, id_and_text, result, ship, table
 from .textwords import chunks
 
-CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, MUTATION = 2048, 4096, 2, 2, 60, 4, 0.1
+CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, MUTATION, STALE = 2048, 4096, 2, 2, 60, 4, 0.1, 20
 #: words whose ids a worker keeps; at this many it starts afresh.
 CACHE = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -222,10 +222,11 @@ def evolve(sizes: np.ndarray, elites: list[np.ndarray], seed: int | list[int], c
     pop = sorted(((*_fitness(sizes, x, capacity), k, x) for k, x in enumerate(pop)), key=lambda x: x[:3])
     log = {} if log is None else log
     log |= {"crossovers": 0, "fewer": 0, "first": pop[0][0]}
-    born = len(pop)
+    born, stale = len(pop), 0
     for _ in range(generations):
-        if pop[0][0] <= least:
+        if pop[0][0] <= least or stale == STALE:
             break
+        best = pop[0][:2]
         i, j = sorted(rng.choice(len(pop), 2, replace=False).tolist())
         child = crossover(sizes, pop[i][3], pop[j][3], capacity, rng)
         other = mutate(sizes, child, capacity, rng)
@@ -237,6 +238,7 @@ def evolve(sizes: np.ndarray, elites: list[np.ndarray], seed: int | list[int], c
             if all(fit != y[:2] for y in pop):  # twins would take the place of other parents
                 pop.append((*fit, born, x))
         pop = sorted(pop, key=lambda x: x[:3])[:population]
+        stale = 0 if pop[0][:2] < best else stale + 1
     log["last"] = pop[0][0]
     return pop[0][3]
 
