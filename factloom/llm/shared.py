@@ -54,7 +54,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 #: what holds while a table is written: shuffle files go as soon as the query that made them ends, and Arrow batches are small
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216b"}
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304b"}
 
 
 @contextlib.contextmanager
