@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import Tables, id_and_text, result, ship, table
 from .textwords import chunks
 
-CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, MUTATION, STALE = 2048, 4096, 2, 2, 60, 4, 0.1, 20
+CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, MUTATION, STALE = 2048, 4096, 2, 2, 60, 4, 0.1, 6
 #: words whose ids a worker keeps; at this many it starts afresh.
 CACHE = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
