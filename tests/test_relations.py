@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.operators import extract as X
+from factloom.operators import link
 from factloom.operators import relate as R
 from factloom.operators.classify import classify
 from factloom.operators.contracts import body_of, contract_details, details, signature, status_code
@@ -127,3 +128,24 @@ def test_mounts_end_in_cycles(spark):
     edges = spark.createDataFrame([("a", "b", "x"), ("b", "c", "y"), ("c", "b", "z"), ("a", "b", "w")], "parent string, child string, prefix string")
     got = R.mount_closure(edges, spark.createDataFrame([("a",)], "node string")).collect()
     assert {(r.node, r.prefix, r.depth) for r in got} == {("a", "", 0), ("b", "/x", 1), ("b", "/w", 1), ("c", "/x/y", 2), ("c", "/w/y", 2)}
+
+
+def test_links_make_no_pairs_of_paths_that_begin_alike(spark, monkeypatch):
+    """2,000 projects behind one first part, and one path that 2,000 routes share: candidates stay a few a call, and the least route is chosen."""
+    n, pairs, join = 2000, [], link._same_shape
+
+    def counted(*args):
+        out = join(*args)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(link, "_same_shape", counted)
+    ids = spark.range(n)
+    own = ids.select((F.col("id") + n).alias("route_id"), F.lit("GET").alias("method"), F.concat(F.lit("/api/p"), "id", F.lit("/users/:id")).alias("path"))
+    shared = ids.select("id", F.lit("GET"), F.concat(F.lit("/api/all/{x"), "id", F.lit("}/end")))
+    routes = own.union(shared).select("*", F.lit("express").alias("framework"), F.lit(None).cast("string").alias("handler"), F.lit(None).cast("string").alias("route_name"))
+    calls = ids.select(F.col("id").alias("call_id"), F.explode(F.array(F.concat(F.lit("/api/p"), "id", F.lit("/users/7")), F.concat(F.lit("/api/all/"), "id", F.lit("/end")))).alias("endpoint"))
+    calls = calls.select("call_id", F.lit("a.js").alias("source"), "endpoint", F.lit("GET").alias("method"), F.lit("fetch").alias("client"))
+    got = link_calls(calls, routes).withColumn("own", F.col("matched_route") == F.concat(F.lit("/api/p"), "call_id", F.lit("/users/:id")))
+    assert {(r.match_type, r.own, r.shared): r["count"] for r in got.groupBy("match_type", "own", (F.col("matched_route") == "/api/all/{x0}/end").alias("shared")).count().collect()} == {("param", True, False): n, ("param", False, True): n}
+    assert max(pairs) <= 4 * n
