@@ -19,7 +19,7 @@ from .operators.lexing import block_tree, lexical_masks
 from .operators.link import link_calls
 from .operators.trees import openapi_routes, tree_facts, tree_nodes
 from .operators.wrappers import resolved_api_calls
-from .sources.tables import stored, table
+from .sources.tables import spread, stored, table
 
 
 def _text(*lines: str) -> str:
@@ -39,7 +39,7 @@ ROWS_OF, KEY = "embeddings", "vec_id"
 
 def corpus(spark: SparkSession, sf_dir: str, files: list[tuple[int, str, str]]) -> DataFrame:
     """path, content of files given as (kind of project, path, text): ``{k}`` is the key of the row that is the project."""
-    rows, kinds = table(spark, sf_dir, ROWS_OF), 1 + max(kind for kind, _, _ in files)
+    rows, kinds = spread(table(spark, sf_dir, ROWS_OF).select(KEY)), 1 + max(kind for kind, _, _ in files)
     written = []
     for kind in range(kinds):
         own = [(_line(path, KEY), _text(*(_line(x, KEY) for x in text.split("\n")))) for k, path, text in files if k == kind]
