@@ -10,9 +10,11 @@ times moves as a few rows; byte comparison is a join that adaptive execution may
 marked in them by a broadcast as long as that is counted to be small, and by a shuffle beyond.  All array work is linear in
 the lines of a document.
 
-Boundaries that fall elsewhere in two documents hide most short runs from any one cut.  With ``every`` the chunks are those
-of all cuts at once: each two adjacent lines are one, so every repeated run of two lines or more is found.  A chunk that
-overlaps its own first place is not a repeat.  Each line taken out still stands at an earlier place.
+Boundaries that fall elsewhere in two documents hide most short runs from any one cut.  With ``every`` an exact check
+follows on what the chunks leave: each two adjacent lines that do not both stand in a removed chunk are looked up, so every
+repeated run of two lines or more is found.  (The first place of a pair is in no removed chunk, as that chunk's own first
+place holds the pair too; so leaving these out changes no other.)  A pair that overlaps its own first place is not a repeat.
+Each line taken out still stands at an earlier place.
 
 Null texts have no lines and stay null; an empty text is one empty line.  Single-line chunks are never removed.  Rows
 equal in doc_id and text are one document for the order and are all returned alike; a null doc_id comes first.  Other columns pass through.
@@ -61,13 +63,19 @@ def beside(marked: DataFrame, entries: str) -> DataFrame:
 
 
 def repeated_chunks(docs: DataFrame, tables: Tables, every: bool = False) -> DataFrame:
-    """doc_id, dl_text (hash of the text), k: the chunks to be removed. ``docs``: doc_id, text."""
+    """doc_id, dl_text (hash of the text), k: the chunks to be removed (``every``: the pairs of lines). ``docs``: doc_id, text."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("dl_text"))
+    if every:
+        own = repeated_chunks(docs, tables).groupBy("doc_id", "dl_text").agg(F.collect_set("k").alias("own"))
+        own = beside(tables.put(own, "own-chunks"), "own")
+        pairs = F.expr(let("s", _cut(), f"flatten(transform(own, k -> sequence({_start('k')}, s.ends[k] - 1)))"))
+        inside = tables.put(join_same(keyed, own, ["doc_id", "dl_text"]).select("doc_id", "dl_text", pairs.alias("own")).distinct(), "inside")
+        keyed = join_same(keyed, beside(inside, "own"), ["doc_id", "dl_text"], "left")
     chunk = let("t", f"array_join({_lines('k')}, '\\n')", f"named_struct('k', k, 'n', e - {_start('k')} + 1, 'a', xxhash64(t), 'b', xxhash64(7, t))")
     found = let("s", _cut(), f"filter(transform(s.ends, (e, k) -> {chunk}), c -> c.n >= {LEAST_LINES})")
     if every:
         pair = let("t", _PAIR.format(k="k"), "named_struct('k', k, 'a', xxhash64(t), 'b', xxhash64(7, t))")
-        found = let("s", _LINES, f"if(size(s) < 2, null, transform(sequence(0, size(s) - 2), k -> {pair}))")
+        found = let("s", _LINES, f"if(size(s) < 2, null, transform(array_except(sequence(0, size(s) - 2), coalesce(own, cast(array() as array<int>))), k -> {pair}))")
     chunks = keyed.withColumn("c", F.expr(found))
     places = chunks.select("doc_id", "dl_text", F.explode("c").alias("c")).select("doc_id", "dl_text", "c.k", "c.a", "c.b")
     places = tables.put(places.distinct(), "chunks")
@@ -84,7 +92,8 @@ def repeated_chunks(docs: DataFrame, tables: Tables, every: bool = False) -> Dat
     bytes_ = tables.put(texts.select("doc_id", "dl_text", F.explode(cut).alias("x")).select("doc_id", "dl_text", "x.w.*", "x.bytes"), "bytes")
     kept = bytes_.filter("first").select("a", "b", F.col("bytes").alias("first_bytes")).dropDuplicates(["a", "b"])
     same = bytes_.filter("not first").join(kept, ["a", "b"]).filter("bytes = first_bytes")
-    return same.select("doc_id", "dl_text", "k")
+    same = same.select("doc_id", "dl_text", "k")
+    return same.unionByName(inside.select("doc_id", "dl_text", F.explode("own").alias("k"))) if every else same
 
 
 def dedup_lines(docs: DataFrame, every: bool = False) -> DataFrame:

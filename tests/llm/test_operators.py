@@ -472,6 +472,33 @@ def test_line_dedup_null_ids(spark, every):
     assert got[1][1] > 10 and got[2][1] > 10
 
 
+def test_line_dedup_every_run_goes_through_chunks(spark, monkeypatch):
+    """Content-defined chunks are removed first; the exact check sees the pairs of lines that they leave, and adds what they miss."""
+    rng = random.Random(4)
+    runs = [[f"run {r} line {i} {rng.random()}" for i in range(rng.randint(2, 9))] for r in range(12)]
+    texts = ["\n".join(line for _ in range(4) for line in [f"own {d} {rng.random()}", *rng.choice(runs)]) for d in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    real, asked = line_dedup.repeated_chunks, []
+
+    def seen(docs, tables, every=False):
+        out = real(docs, tables, every)
+        asked.append((every, out.count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "repeated_chunks", seen)
+    got = {r.doc_id: r.dl_n_removed for r in line_dedup.dedup_lines(docs, every=True).collect()}
+    first, want = {}, {}
+    for d, text in enumerate(texts):
+        lines, gone = text.split("\n"), set()
+        for k in range(len(lines) - 1):
+            f = first.setdefault((lines[k], lines[k + 1]), (d, k))
+            if f not in ((d, k), (d, k - 1)):
+                gone |= {k, k + 1}
+        want[d] = len(gone)
+    assert got == want
+    assert [every for every, _ in asked] == [False, True] and 0 < asked[0][1] < asked[1][1]
+
+
 def test_line_dedup_every_run(spark):
     texts = ["one\ntwo", "own\none\ntwo\nend", "three\nfour\nfive", "x\nfour\nfive", "two\none", "k\nk\nk", "k\n" * 7, None, "", "one\ntwo\none\ntwo", "four\nfive\ntwo\none\nrest"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
