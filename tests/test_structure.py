@@ -3,10 +3,13 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from factloom import structure
 from factloom.operators import extract as X
 from factloom.operators.classify import classify
 from factloom.operators.lexing import SYNTAX, Lines, Masks, block_tree, blocks, lexical_masks
+from factloom.plans.project import project_facts
 
 
 def masked(text, language):
@@ -117,3 +120,26 @@ def test_implied_routes(spark):
         ("GET", "/a", "a#index"), ("DELETE", "/a/:id", "a#destroy"), ("GET", "/b", "b#index"), ("DELETE", "/b/:id", "b#destroy"), ("GET", "/cs/:key", "c#show"), ("DELETE", "/cs/:key", "c#destroy"), ("GET", "/d/:id", "d#show"), ("GET", "/e", "e#show"),
         ("GET", "/a-bs/{a_b}/classes/{class}/edit", "C@edit"), ("DELETE", "/u/:id", "U, :delete"),
     }
+
+
+def test_rows_of_a_small_file_are_dealt_over_tasks(spark, tmp_path):
+    """A corpus written from one small file is scanned by as many tasks as a shuffle has, each with its share."""
+    spark.range(400).select(F.col("id").alias("vec_id")).coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    files = structure.corpus(spark, str(tmp_path), [(0, "a{k}.js", "x();")])
+    shares = [r["count"] for r in files.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) >= 4 and max(shares) <= 2 * 400 / len(shares)
+
+
+def test_project_reads_its_files_once(spark):
+    """The corpus is read and classified once, however many facts derive from it."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    files = spark.createDataFrame([("a.js", "app.get('/x', y);\n"), ("b.py", "class A(BaseModel):\n    n: int\n")], "path string, content string")
+    facts = project_facts(classify(files.withColumn("content", counted.asNondeterministic()("content"))))
+    assert facts["routes"].count() == 1 and facts["models"].count() == 1
+    assert read.value == 2
