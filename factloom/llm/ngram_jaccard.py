@@ -3,7 +3,9 @@
 A document's set holds its distinct ``SHINGLE``-word shingles, lower-cased; a shorter text is one shingle; a text without
 words has none and links with nothing.  Two documents link at a Jaccard similarity of ``NUM``/``DEN`` or more.  Shingles
 are hashed to 64 bits; the top bits are the shingle's group, and a document's point is its count in each group.  Overlap
-is at most the sum over the groups of the smaller count; groups are nested, so points fold from fine to coarse.
+is at most the sum over the groups of the smaller count.  Parities of finer groups, as many as shingles or more, bound the
+overlap from the other side: each group in which two parities differ holds a shingle that only one set has.  Groups are
+nested, so parities fold from fine to coarse.
 
 1. Documents with one set (by 128 bits) form a class and are represented by their smallest doc_id.
 2. One R-tree over all points cannot be cut into independent parts, so points are routed to a forest: linked documents
@@ -12,26 +14,31 @@ is at most the sum over the groups of the smaller count; groups are nested, so p
 3. Each cell's points are bulk-loaded into an R-tree: sorted and cut in half by the group in which they spread most, again
    and again down to leaves of ``LEAF``; a node has the largest count per group and the least and most set size below it.
    All candidates come from these trees.  Descending from pairs of the root with itself, a pair of nodes goes on if the
-   summed minima of its counts allow a link, down to pairs of points.  Survivors are bounded by fine points and verified
-   on whole sets.
-4. Trees are descended twice.  The first time only pairs of neighbours are taken from trees of several leaves: the first
-   document of a node with those of its children.  Their links make components, which absorb groups of copies without
-   pairing all their members.  The second time all trees that hold several components are descended in full, past pairs of
-   nodes within one component.  Trees of one leaf are taken in full at once.
-
-Cells above ``CELL`` rows are cut into parts by a hash: the first time each part has the cell's smallest document too,
-which meets all of it; the second time the cell is cut by set size first (a link needs sizes within 0.8, so a band meets
-itself and the next) and each two parts of a band meet in a tree of their own.
+   summed minima of its counts allow a link, down to pairs of points.  Survivors are bounded by parities and verified on
+   whole sets.
+4. Trees are descended three times.  The first time only pairs of neighbours are taken from trees of several leaves: the
+   first document of a node with those of its children.  Their links make components, which absorb groups of copies without
+   pairing all their members.  Trees of one leaf are taken in full at once.
+5. The second time all trees that hold several components are descended in full, past pairs of nodes within one component.
+   A pair meets in each cell that it shares, and groups of documents just below the threshold hold many pairs, so pairs
+   that may link don't leave their cell: it gives a forest of them that joins what they join.  The forests make clusters,
+   and every pair that may link lies within one.
+6. A document is in one cluster at most, so clusters get whole sets.  Their trees are descended and their pairs bounded by
+   wide parities and verified where they meet; what leaves is a forest of links between components.
+
+Cells and clusters above ``CELL`` rows or ``SHINGLES`` shingles are cut into parts by a hash: the first time each part has
+the cell's smallest document too, which meets all of it; later the cell is cut by set size first (a link needs sizes within
+0.8, so a band meets itself and the next) and each two parts of a band meet in a tree of their own.
 
 No cell is gathered whole, no partner or candidate is dropped, and no link between different components is lost.
 doc_ids are expected to be unique; rows that repeat one share its links.  A row with a null doc_id has its n_shingles, a
-null component_id, and links with nothing.  Null and empty texts are components of their own.  Long texts have points of
+null component_id, and links with nothing.  Null and empty texts are components of their own.  Long texts have parities of
 as many groups as they need.  An empty table gives no rows; other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,17 +47,18 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import Tables, id_and_text, join_ids, result, ship, table
-from .textwords import SPACE_WORDS, Words, chunks, mix
+from .textwords import SPACE_WORDS, Words, chunks, mix, release
 
 SHINGLE, NUM, DEN = 5, 80, 100
 COARSE, CELL, LEAF, COMMON = 32, 512, 8, 1 << 16
-#: cells of this many rows are descended with fine points the second time, as their coarse ones are much alike.
+#: shingles of a part's sets
+SHINGLES = 1 << 20
+#: cells below this many rows are trees of one leaf after the first time
 LARGE = 64
 #: shingles looked at together when common ones are counted
-FLUSH = 4 << 20
+FLUSH = 2 << 20
 #: pairs bounded at a time
 PAIRS = 1 << 15
-_BIG = np.uint64(1 << 40)
 
 
 def shingle_sets(texts: list[bytes | None], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -96,24 +104,76 @@ def common_shingles(src: DataFrame, most: int = COMMON) -> np.ndarray:
     return np.array([r.h for r in reversed(rows)], dtype=np.int64).view(np.uint64)
 
 
-def fine_groups(n: np.ndarray) -> np.ndarray:
-    """Bits of a point: groups hold one or two shingles on average, and there are ``COARSE`` at least."""
-    return np.maximum(int(np.log2(COARSE)), np.ceil(np.log2(np.maximum(n, 1) / 2)).astype(np.int64))
+def points(doc: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
+    """Counts in ``COARSE`` groups of each of ``size`` documents; 65535 stands for that many or more."""
+    group = (h >> np.uint64(64 - int(np.log2(COARSE)))).astype(np.int64)
+    return np.minimum(np.bincount(doc * COARSE + group, minlength=size * COARSE), 65535).astype(np.uint16).reshape(size, COARSE)
 
 
-def points(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """Counts per group of each document; 255 stands for that many or more."""
-    bits = fine_groups(n)
-    at = np.concatenate((np.zeros(1, np.int64), np.cumsum(1 << bits)))
-    where = at[doc] + (h >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64)
-    counts = np.minimum(np.bincount(where, minlength=int(at[-1])), 255).astype(np.uint8)
-    return [counts[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+def wide(points: list[bytes]) -> np.ndarray:
+    """Points as upper bounds of the counts."""
+    point = np.frombuffer(b"".join(points), np.uint16).reshape(-1, COARSE)
+    return np.where(point == 65535, 1 << 40, point.astype(np.int64))
 
 
-def fold(point: np.ndarray, groups: int) -> np.ndarray:
-    """A point in fewer groups, as upper bounds of the counts."""
-    wide = np.where(point == np.iinfo(point.dtype).max, _BIG, point.astype(np.uint64)).astype(np.int64)
-    return wide.reshape(*point.shape[:-1], groups, point.shape[-1] // groups).sum(axis=-1)
+def parities(doc: np.ndarray, h: np.ndarray, n: np.ndarray, more: int = 0) -> list[bytes]:
+    """A bit for each group of each document, set where its count is odd; ``n`` groups at least, up to twice as many, times 2**more."""
+    bits = np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) + more)
+    at = np.concatenate((np.zeros(1, np.int64), np.cumsum(1 << bits)))
+    where = at[doc] + (h >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64)  # ascends, as the hashes of a document do
+    last = np.flatnonzero(np.append(where[1:] != where[:-1], np.ones(min(1, len(where)), bool)))
+    odd = where[last[np.diff(last, prepend=-1) % 2 == 1]]
+    out = np.zeros(int(at[-1]) >> 3, np.uint8)
+    start = np.flatnonzero(np.append(np.ones(min(1, len(odd)), bool), odd[1:] >> 3 != odd[:-1] >> 3))
+    if len(start):
+        out[odd[start] >> 3] = np.add.reduceat(1 << (odd & 7), start)
+    return [out[a:b].tobytes() for a, b in zip((at[:-1] >> 3).tolist(), (at[1:] >> 3).tolist(), strict=True)]
+
+
+def may_link(parity: list[bytes], n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the parities of each pair of places allow a link: as many shingles as bits differ are in one set only. Sets are within 0.8 of each other in size, so one has as many bits or twice as many."""
+    size = np.fromiter(map(len, parity), np.int64, len(parity))
+    least = np.minimum(size[x], size[y])
+    ok = np.zeros(len(x), bool)
+    for width in np.unique(least).tolist():
+        own = np.flatnonzero(least == width)
+        rows = np.unique(np.concatenate((x[own], y[own])))
+        bits = np.empty((len(rows), width), np.uint8)
+        same = size[rows] == width
+        bits[same] = np.frombuffer(b"".join(parity[k] for k in rows[same].tolist()), np.uint8).reshape(-1, width)
+        for k in np.flatnonzero(~same).tolist():
+            raw = np.frombuffer(parity[rows[k]], np.uint8)
+            while len(raw) > width:  # folded: a group is odd if one of its halves is
+                half = np.unpackbits(raw, bitorder="little")
+                raw = np.packbits(half[::2] ^ half[1::2], bitorder="little")
+            bits[k] = raw
+        words = bits.view(np.uint64)
+        place = np.zeros(len(parity), np.int64)
+        place[rows] = np.arange(len(rows))
+        step = max(1, (PAIRS << 5) // width)
+        for a in range(0, len(own), step):
+            i, j = x[own[a : a + step]], y[own[a : a + step]]
+            apart = np.bitwise_count(words[place[i]] ^ words[place[j]]).sum(axis=1, dtype=np.int64)
+            ok[own[a : a + step]] = enough((n[i] + n[j] - apart) // 2, n[i], n[j])
+    return ok
+
+
+def forest(x: np.ndarray, y: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which of the pairs are enough to join all labels that they join. Labels are places."""
+    kept, left = [np.zeros(0, np.int64)], np.arange(len(x))
+    while True:
+        a, b = label[x[left]], label[y[left]]
+        left, a, b = left[a != b], a[a != b], b[a != b]
+        if not len(left):
+            return np.concatenate(kept)
+        order = np.lexsort((np.minimum(a, b), np.maximum(a, b)))
+        high, at = np.unique(np.maximum(a, b)[order], return_index=True)  # each goes to its least neighbour below it
+        kept.append(left[order[at]])
+        up = np.arange(len(label))
+        up[high] = np.minimum(a, b)[order][at]
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
 
 
 def _describe(common: np.ndarray):
@@ -135,17 +195,16 @@ def _describe(common: np.ndarray):
             prefix = order[np.arange(len(h)) - first[doc] < keep[doc]]
             offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.minimum(keep, n))))
             digest = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(c)), dtype=np.uint64))) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-            fine = points(doc, h, n)
-            coarse = [np.minimum(fold(x, COARSE), 65535).astype(np.uint16).tobytes() for x in fine]
+            point = [x.tobytes() for x in points(doc, h, size)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n), *(pa.array((d[first[1:]] - d[first[:-1]]).view(np.int64)) for d in digest), pa.array([x.tobytes() for x in fine], pa.binary()), pa.array(coarse, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h[prefix].view(np.int64)))],
-                ["doc_id", "n", "d1", "d2", "fine", "coarse", "prefix"],
+                [part.column("doc_id"), pa.array(n), *(pa.array((d[first[1:]] - d[first[:-1]]).view(np.int64)) for d in digest), pa.array(parities(doc, h, n), pa.binary()), pa.array(point, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h[prefix].view(np.int64)))],
+                ["doc_id", "n", "d1", "d2", "parity", "point", "prefix"],
             )
 
     return run
 
 
-DESCRIBED = "doc_id long, n long, d1 long, d2 long, fine binary, coarse binary, prefix array<long>"
+DESCRIBED = "doc_id long, n long, d1 long, d2 long, parity binary, point binary, prefix array<long>"
 
 
 def enough(overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -154,36 +213,35 @@ def enough(overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with their fine points -> those that may link."""
+    """Pairs with their parities -> those that may link."""
     for t in batches:
-        n, m = (t.column(c).to_numpy() for c in ("nx", "ny"))
-        x, y = (t.column(c).to_pylist() for c in ("fx", "fy"))
-        a, b = (np.fromiter(map(len, v), np.int64, len(v)) for v in (x, y))
-        keep = np.zeros(t.num_rows, bool)
-        for i, j in np.unique(np.stack((a, b), 1), axis=0).tolist():
-            same = np.flatnonzero((a == i) & (b == j))
-            groups, step = min(i, j), max(1, (PAIRS << 5) // max(i, j))
-            for own in np.split(same, range(step, len(same), step)):
-                p, q = (fold(np.frombuffer(b"".join(v[k] for k in own.tolist()), np.uint8).reshape(len(own), -1), groups) for v in (x, y))
-                keep[own] = enough(np.minimum(p, q).sum(axis=1), n[own], m[own])
-        yield t.filter(pa.array(keep)).select(["x", "y"])
+        if t.num_rows:
+            n, place = np.concatenate([t.column(c).to_numpy() for c in ("nx", "ny")]), np.arange(t.num_rows)
+            keep = may_link(t.column("fx").to_pylist() + t.column("fy").to_pylist(), n, place, place + t.num_rows)
+            yield t.filter(pa.array(keep)).select(["x", "y"])
+    release()
+
+
+def linked(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Which pairs of whole sets link."""
+    a, b = (np.fromiter((len(s) >> 3 for s in v), np.int64, len(v)) for v in (x, y))
+    keep = np.zeros(len(x), bool)
+    cut = np.searchsorted(np.cumsum(a + b), np.arange(FLUSH >> 1, int((a + b).sum()), FLUSH >> 1))
+    for own in np.split(np.arange(len(x)), cut):
+        h = np.frombuffer(b"".join(v[k] for v in (x, y) for k in own.tolist()), np.uint64)
+        pair = np.concatenate((np.repeat(own, a[own]), np.repeat(own, b[own])))
+        order = np.lexsort((h, pair))
+        h, pair = h[order], pair[order]
+        both = np.bincount(pair[1:][(h[1:] == h[:-1]) & (pair[1:] == pair[:-1])], minlength=len(x))[own]
+        keep[own] = enough(both, a[own], b[own])
+    return keep
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with their whole sets -> those that link."""
     for t in batches:
-        x, y = (t.column(c).to_pylist() for c in ("sx", "sy"))
-        a, b = (np.fromiter((len(s) >> 3 for s in v), np.int64, len(v)) for v in (x, y))
-        keep = np.zeros(t.num_rows, bool)
-        cut = np.searchsorted(np.cumsum(a + b), np.arange(FLUSH >> 2, int((a + b).sum()), FLUSH >> 2))
-        for own in np.split(np.arange(t.num_rows), cut):
-            h = np.frombuffer(b"".join(v[k] for v in (x, y) for k in own.tolist()), np.uint64)
-            pair = np.concatenate((np.repeat(own, a[own]), np.repeat(own, b[own])))
-            order = np.lexsort((h, pair))
-            h, pair = h[order], pair[order]
-            both = np.bincount(pair[1:][(h[1:] == h[:-1]) & (pair[1:] == pair[:-1])], minlength=t.num_rows)[own]
-            keep[own] = enough(both, a[own], b[own])
-        yield t.filter(pa.array(keep)).select(["x", "y"])
+        yield t.filter(pa.array(linked(*(t.column(c).to_pylist() for c in ("sx", "sy"))))).select(["x", "y"])
+    release()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int = SHINGLE) -> Iterator[pa.RecordBatch]:
@@ -194,12 +252,12 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int = SHINGLE) -> Iterator[p
 
 
 def links(src: DataFrame, described: DataFrame, pairs: DataFrame, tables: Tables) -> DataFrame:
-    """The pairs (x, y) that link: bounded by their fine points first, then verified on whole sets. Written."""
-    n, fine = described.select("doc_id", "n"), described.select("doc_id", "fine")
+    """The pairs (x, y) that link: bounded by their parities first, then verified on whole sets. Written."""
+    n, parity = described.select("doc_id", "n"), described.select("doc_id", "parity")
     close = pairs.join(n.toDF("x", "nx"), "x").join(n.toDF("y", "ny"), "y").filter(f"{DEN} * least(nx, ny) >= {NUM} * greatest(nx, ny)")
     close = tables.put(close.select("x", "y", "nx", "ny"), "close")
-    left = join_ids(fine.toDF("x", "fx"), close, ["x"], "inner")
-    right = join_ids(fine.toDF("y", "fy"), close.select("x", "y"), ["y"], "inner")
+    left = join_ids(parity.toDF("x", "fx"), close, ["x"], "inner")
+    right = join_ids(parity.toDF("y", "fy"), close.select("x", "y"), ["y"], "inner")
     near = tables.put(left.join(right, ["x", "y"]).mapInArrow(_bounded, "x long, y long"), "bounded")
     ids = tables.put(near.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "ids")
     sets = tables.put(join_ids(src, ids, ["doc_id"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, s binary"), "sets")
@@ -292,21 +350,6 @@ class RTree:
         return x[ok], y[ok]
 
 
-def cell_pairs(part: np.ndarray, guest: np.ndarray, comp: np.ndarray, n: np.ndarray, points: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of one cell's pairs that may link, by R-trees over fine points: documents that may link have points of equal sizes or one twice the other."""
-    size = np.array([len(x) for x in points])
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for groups in np.unique(size).tolist():
-        own = np.flatnonzero((size == groups) | (size == 2 * groups))
-        if len(own) < 2:
-            continue
-        point = np.stack([fold(np.frombuffer(points[k], np.uint8), groups) for k in own.tolist()])
-        x, y = RTree(n[own], point, comp[own]).pairs(part[own], (guest[own], size[own] != groups))
-        left.append(own[x])
-        right.append(own[y])
-    return np.concatenate(left), np.concatenate(right)
-
-
 def _by_cell(batches: Iterator[pa.RecordBatch], keys: list[str], pairs) -> Iterator[pa.RecordBatch]:
     """Rows sorted by cell -> the pairs of doc_ids that ``pairs(table, starts, sizes)`` finds. Cells may run over the ends of batches."""
     held: pa.Table | None = None
@@ -337,14 +380,15 @@ def _by_cell(batches: Iterator[pa.RecordBatch], keys: list[str], pairs) -> Itera
         held = held.slice(cut)
     if held is not None:
         yield from found(held)
+    release()
 
 
 def _first_descent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells (h, part) of doc_id, n, coarse, leads -> pairs of neighbours; all pairs of one leaf."""
+    """Cells (h, part) of doc_id, n, point, leads -> pairs of neighbours; all pairs of one leaf."""
 
     def pairs(t: pa.Table, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         doc, n, leads = (t.column(c).to_numpy() for c in ("doc_id", "n", "leads"))
-        point = np.frombuffer(b"".join(t.column("coarse").to_pylist()), np.uint16).reshape(-1, COARSE)
+        point = wide(t.column("point").to_pylist())
         place = np.arange(t.num_rows) - np.repeat(start, size)
         after = np.repeat(size, size) - 1 - place
         one_leaf = np.repeat(size <= LEAF, size)
@@ -355,13 +399,13 @@ def _first_descent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for a in range(0, len(left), PAIRS):
             x, y = left[a : a + PAIRS], right[a : a + PAIRS]
             fits = (doc[x] != doc[y]) & (DEN * np.minimum(n[x], n[y]) >= NUM * np.maximum(n[x], n[y]))
-            fits[fits] = enough(np.minimum(fold(point[x[fits]], COARSE), fold(point[y[fits]], COARSE)).sum(axis=1), n[x[fits]], n[y[fits]])
+            fits[fits] = enough(np.minimum(point[x[fits]], point[y[fits]]).sum(axis=1), n[x[fits]], n[y[fits]])
             ok[a : a + PAIRS] = fits
         left, right = [left[ok]], [right[ok]]
         for s, k in zip(start[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
             own = slice(s, s + k)
             leader = np.flatnonzero(leads[own])
-            x, y = RTree(n[own], fold(point[own], COARSE), doc[own]).neighbours(int(leader[0]) if len(leader) else None)
+            x, y = RTree(n[own], point[own], doc[own]).neighbours(int(leader[0]) if len(leader) else None)
             left.append(x + s)
             right.append(y + s)
         return np.concatenate(left), np.concatenate(right)
@@ -369,64 +413,107 @@ def _first_descent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     return _by_cell(batches, ["h", "part"], pairs)
 
 
-def _second_descent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells (h, band, i, j) of part, guest, doc_id, comp, n, large, point -> all pairs of different components that may link."""
+CELL_KEYS = ["h", "band", "i", "j"]
+
+
+def _in_cells(cells: DataFrame, link: Callable) -> DataFrame:
+    """Cells (h, band, i, j) of part, guest, doc_id, comp, n, point and what ``link`` looks at -> pairs of its forests, each once.
+
+    ``link(cell, x, y, label)`` gets the pairs that come from the cell's tree and the components of its rows, as places.
+    """
 
     def pairs(t: pa.Table, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        part, comp, n, guest, large = (t.column(c).to_numpy() for c in ("part", "comp", "n", "guest", "large"))
-        raw = t.column("point").to_pylist()
+        part, comp, n, guest = (t.column(c).to_numpy() for c in ("part", "comp", "n", "guest"))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s, k in zip(start.tolist(), size.tolist(), strict=True):
             own = slice(s, s + k)
-            if large[s]:
-                x, y = cell_pairs(part[own], guest[own], comp[own], n[own], raw[own])
-            else:
-                point = fold(np.frombuffer(b"".join(raw[own]), np.uint16).reshape(-1, COARSE), COARSE)
-                x, y = RTree(n[own], point, comp[own]).pairs(part[own], (guest[own],))
-            left.append(x + s)
-            right.append(y + s)
+            point = wide(t.column("point").slice(s, k).to_pylist())
+            x, y = RTree(n[own], point, comp[own], k if LEAF < k < LARGE else LEAF).pairs(part[own], (guest[own],))
+            if len(x):
+                _, first, label = np.unique(comp[own], return_index=True, return_inverse=True)
+                kept = link(t.slice(s, k), x, y, first[label])
+                left.append(x[kept] + s)
+                right.append(y[kept] + s)
         return np.concatenate(left), np.concatenate(right)
 
-    return _by_cell(batches, ["h", "band", "i", "j"], pairs)
-
-
-def _spread(known: DataFrame, described: DataFrame, tables: Tables) -> DataFrame:
-    """Cells of several leaves and components, as rows for ``_second_descent``. known: h, doc_id, comp."""
-    mixed = known.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m")).filter(f"a < b and m > {LEAF}")
-    mixed = tables.put(mixed.select("h", (F.col("m") >= LARGE).alias("large"), (F.col("m") > CELL).alias("hot")), "mixed")
-    rows = known.join(mixed, "h").join(described.select("doc_id", "n", "coarse", "fine"), "doc_id")
-    point = F.when(F.col("large"), F.col("fine")).otherwise(F.col("coarse")).alias("point")
+    ordered = cells.repartition(*CELL_KEYS).sortWithinPartitions(*CELL_KEYS, "doc_id")
+    return ordered.mapInArrow(lambda b: _by_cell(b, CELL_KEYS, pairs), "x long, y long").distinct()
+
+
+def _second_descent(cell: pa.Table, x: np.ndarray, y: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which pairs join all rows that pairs which may link by their parities (parity) join."""
+    near = np.flatnonzero(may_link(cell.column("parity").to_pylist(), cell.column("n").to_numpy(), x, y))
+    return near[forest(x[near], y[near], np.arange(len(label)))]
+
+
+def _third_descent(cell: pa.Table, x: np.ndarray, y: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which pairs link by their whole sets (s) and join all components that links join."""
+    sets = cell.column("s").to_pylist()
+    n = np.fromiter((len(v) >> 3 for v in sets), np.int64, len(sets))
+    near = np.flatnonzero(may_link(parities(np.repeat(np.arange(len(n)), n), np.frombuffer(b"".join(sets), np.uint64), n, 3), n, x, y))
+    kept = [np.zeros(0, np.int64)]
+    label = label.copy()
+    while len(near):
+        near = near[label[x[near]] != label[y[near]]]  # joined meanwhile
+        some, near = near[:LARGE], near[LARGE:]
+        some = some[linked(*([sets[k] for k in v[some].tolist()] for v in (x, y)))]
+        some = some[forest(x[some], y[some], label)]
+        kept.append(some)
+        for a, b in zip(x[some].tolist(), y[some].tolist(), strict=True):
+            label[label == label[a]] = label[b]
+    return np.concatenate(kept)
+
+
+def _spread(known: DataFrame, tables: Tables) -> DataFrame:
+    """Cells that hold several components, as rows for ``_in_cells`` without their points. known: h, doc_id, comp, n."""
+    mixed = known.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("m"), F.sum("n").alias("w")).filter("a < b")
+    mixed = tables.put(mixed.select("h", ((F.col("m") > CELL) | (F.col("w") > SHINGLES)).alias("hot")), "mixed")
     band = F.floor(F.log("n") / F.log(F.lit(DEN / NUM))).cast("int")
     kinds = F.when(F.col("hot"), F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band + 1).alias("band"), F.lit(True).alias("guest"))))
     kinds = kinds.otherwise(F.array(F.struct(F.lit(-1).alias("band"), F.lit(False).alias("guest"))))
-    rows = tables.put(rows.select("h", "doc_id", "comp", "n", "large", point, F.explode(kinds).alias("k")).select("*", "k.band", "k.guest").drop("k"), "spread")
-    cells = rows.groupBy("h", "band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("guest").alias("guests"), F.count("*").alias("m")).filter("a < b and not guests")
-    cells = tables.put(cells.select("h", "band", F.ceil(F.col("m") / CELL).cast("int").alias("parts")), "spread-cells")
+    rows = tables.put(known.join(mixed, "h").select("h", "doc_id", "comp", "n", F.explode(kinds).alias("k")).select("*", "k.band", "k.guest").drop("k"), "spread")
+    cells = rows.groupBy("h", "band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("guest").alias("guests"), F.count("*").alias("m"), F.sum("n").alias("w")).filter("a < b and not guests")
+    parts = F.greatest(F.ceil(F.col("m") / CELL), F.ceil(F.col("w") / SHINGLES)).cast("int")
+    cells = tables.put(cells.select("h", "band", parts.alias("parts")), "spread-cells")
     rows = rows.join(cells, ["h", "band"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rows.select("h", "band", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "guest", "doc_id", "comp", "n", "large", "point")
+    return rows.select("h", "band", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "guest", "doc_id", "comp", "n")
 
 
 def _class_labels(src: DataFrame, described: DataFrame, member: DataFrame, copies: DataFrame, tables: Tables) -> DataFrame:
     """(rep, label): the component of each class that links with another."""
-    postings = join_ids(described.filter("n > 0 and doc_id is not null"), copies, ["doc_id", "n", "d1", "d2"], "left_anti").select("doc_id", F.explode("prefix").alias("h"))
+    postings = join_ids(described.filter("n > 0 and doc_id is not null"), copies, ["doc_id", "n", "d1", "d2"], "left_anti").select("doc_id", "n", F.explode("prefix").alias("h"))
     cells = postings.groupBy("h").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("b"), F.count("*").alias("m")).filter("leader < b")
-    cells = tables.put(cells.select("h", "leader", F.ceil(F.col("m") / CELL).cast("int").alias("parts")), "cells")
-    rows = tables.put(postings.join(cells, "h").select("h", "doc_id", "leader", "parts"), "cell-rows")
+    cells = tables.put(cells.select("h", "leader", F.ceil(F.col("m") / CELL).cast("int").alias("parts"), (F.col("m") > LEAF).alias("leaves")), "cells")
+    rows = tables.put(postings.join(cells, "h").select("h", "doc_id", "n", "leader", "parts", "leaves"), "cell-rows")
 
     part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
     everywhere = (F.col("doc_id") == F.col("leader")) & (F.col("parts") > 1)
     trees = rows.withColumn("part", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))))
-    trees = trees.join(described.select("doc_id", "n", "coarse"), "doc_id").select("h", "part", "doc_id", "n", "coarse", everywhere.cast("int").alias("leads"))
+    trees = trees.drop("n").join(described.select("doc_id", "n", "point"), "doc_id").select("h", "part", "doc_id", "n", "point", everywhere.cast("int").alias("leads"))
     near = trees.repartition("h", "part").sortWithinPartitions("h", "part", "doc_id").mapInArrow(_first_descent, "x long, y long").distinct()
     near = links(src, described, near, tables)
     label = connected_components(near.toDF("a", "b"), tables)
 
-    known = join_ids(rows.select("h", "doc_id"), label.toDF("doc_id", "label"), ["doc_id"], "left").select("h", "doc_id", F.coalesce("label", "doc_id").alias("comp"))
-    spread = _spread(tables.put(known, "known"), described, tables)
-    found = spread.repartition("h", "band", "i", "j").sortWithinPartitions("h", "band", "i", "j", "doc_id").mapInArrow(_second_descent, "x long, y long").distinct()
-    more = links(src, described, found, tables)
-    return connected_components(near.unionByName(more).toDF("a", "b"), tables)
+    # trees of one leaf have been taken in full
+    known = join_ids(rows.filter("leaves").select("h", "doc_id", "n"), label.toDF("doc_id", "label"), ["doc_id"], "left")
+    known = tables.put(known.select("h", "doc_id", F.coalesce("label", "doc_id").alias("comp"), "n"), "known")
+    tables.drop(rows, cells)
+    cells = _spread(known, tables).drop("n").join(described.select("doc_id", "n", "point", "parity"), "doc_id")
+    joined = tables.put(_in_cells(cells, _second_descent), "forests")
+    cluster = connected_components(joined.toDF("a", "b"), tables)
+
+    of_docs = known.select("doc_id", "comp", "n").distinct()
+    clustered = tables.put(of_docs.join(cluster.toDF("doc_id", "h"), "doc_id").select("h", "doc_id", "comp", "n"), "clustered")
+    sets = tables.put(join_ids(src, clustered.select("doc_id"), ["doc_id"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, s binary"), "sets")
+    more = tables.put(_in_cells(_spread(clustered, tables).join(described.select("doc_id", "point"), "doc_id").join(sets, "doc_id"), _third_descent), "more")
+    # components that these links join, by their labels
+    own = label.toDF("doc_id", "label")
+    for c in ("x", "y"):
+        more = join_ids(more, own.withColumnRenamed("doc_id", c), [c], "left").withColumn(c, F.coalesce("label", c)).drop("label")
+    up = connected_components(more.toDF("a", "b"), tables)
+    known = label.toDF("rep", "comp").unionByName(up.select(F.col("node").alias("rep"), F.col("node").alias("comp"))).distinct()
+    return known.join(up.toDF("comp", "up"), "comp", "left").select("rep", F.coalesce("up", "comp").alias("label"))
 
 
 def jaccard_components(docs: DataFrame, **columns: str) -> DataFrame:

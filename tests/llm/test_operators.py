@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,6 +248,48 @@ def test_tree_finds_every_pair():
     assert {(max(a, b), min(a, b)) for a, b in zip(x.tolist(), y.tolist())} <= want
 
 
+def test_parities_keep_every_link():
+    """Sets whose sizes lie on both sides of a power of two; most pairs below the threshold go, none that links does."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 300).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(np.concatenate((rng.choice(base, k, replace=False), rng.integers(0, 2**63, 300 - k).astype(np.uint64)[: int(rng.integers(0, 30))]))) for k in rng.integers(230, 301, 80).tolist()]
+    n = np.array(list(map(len, sets)))
+    x, y = np.triu_indices(len(sets), 1)
+    both = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x.tolist(), y.tolist())])
+    size = 100 * np.minimum(n[x], n[y]) >= 80 * np.maximum(n[x], n[y])
+    x, y, both = x[size], y[size], both[size]
+    parity = ngram_jaccard.parities(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), n)
+    assert len({len(p) for p in parity}) == 2
+    links, kept = ngram_jaccard.enough(both, n[x], n[y]), ngram_jaccard.may_link(parity, n, x, y)
+    assert 30 < links.sum() and kept[links].all() and (~kept).sum() > len(x) // 4
+
+
+def test_cells_give_forests():
+    """A group of documents just below the threshold holds many pairs in every cell; what leaves is no more than joins its rows."""
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64))
+    sets = [np.sort(rng.choice(base, 790, replace=False)) for _ in range(120)]  # 0.78 of each other
+    n = np.array(list(map(len, sets)))
+    doc, h = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
+    cell = pa.table({"parity": pa.array(ngram_jaccard.parities(doc, h, n), pa.binary()), "s": pa.array([x.tobytes() for x in sets], pa.binary()), "n": n})
+    x, y = np.triu_indices(len(sets), 1)
+    near = ngram_jaccard.may_link(cell.column("parity").to_pylist(), n, x, y)
+    kept = ngram_jaccard._second_descent(cell, x, y, np.arange(len(sets)))
+    assert near.sum() > 10 * len(sets) > 10 * len(kept)
+
+    def classes(i, j):
+        root = list(range(len(sets)))
+        for a, b in zip(i.tolist(), j.tolist()):
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+        return root
+
+    assert classes(x[kept], y[kept]) == classes(x[near], y[near])
+    links = np.array([ngram_jaccard.enough(np.array([len(np.intersect1d(sets[i], sets[j]))]), n[i], n[j])[0] for i, j in zip(x.tolist(), y.tolist())])
+    kept = ngram_jaccard._third_descent(cell, x, y, np.arange(len(sets)))
+    assert links[kept].all() and classes(x[kept], y[kept]) == classes(x[links], y[links]) and len(kept) < len(sets)
+
+
 def test_links_come_from_the_trees(spark, monkeypatch):
     asked = []
     own = ngram_jaccard.links
