@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from .shared import Tables, id_and_text, result, ship, table
 from .textwords import chunks
 
-CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, MUTATION, STALE = 2048, 4096, 2, 2, 60, 4, 0.1, 6
+CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, MUTATION, STALE = 2048, 4096, 2, 2, 60, 4, 0.1, 20
 #: words whose ids a worker keeps; at this many it starts afresh.
 CACHE = 1 << 20
+#: new words that are encoded as one text
+JOINED = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -44,7 +46,13 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        from tokenizers.pre_tokenizers import ByteLevel
+
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids that end a run of letters or of marks
+        self.final[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
+        self.joins = all(f"{x}</w>" in vocab for x in ByteLevel.alphabet())  # so every run has such an id at its end
         self._clear()
 
     def _clear(self) -> None:
@@ -52,15 +60,41 @@ class WordIds:
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used, self.bytes = np.zeros(1 << 16, np.uint32), 0, 0
 
+    def _encoded(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The words in another order, all their ids in it, and how many each has.
+
+        Words of letters are one run, and two with marks behind them.  They are encoded many at a time and cut where their
+        runs end; where a text has more runs than its words should have, the words are encoded one by one.
+        """
+        texts = [x.decode("utf-8", "replace") for x in words]
+        runs = np.fromiter((1 if x.isalpha() else 2 * x.rstrip(".,;:!?").isalpha() for x in texts), np.int64, len(texts)) * self.joins
+        order, flat, size = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        alone = [np.flatnonzero(runs == 0)]
+        for k in (1, 2):
+            own = np.flatnonzero(runs == k)
+            groups = np.split(own, range(JOINED, len(own), JOINED)) if len(own) else []
+            for g, x in zip(groups, self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in g.tolist()]) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(x.ids, dtype=np.uint32)
+                ends = np.flatnonzero(self.final[ids]) + 1
+                if len(ends) == k * len(g) and ends[-1] == len(ids):
+                    order.append(g)
+                    flat.append(ids)
+                    size.append(np.diff(ends[k - 1 :: k], prepend=0))
+                else:
+                    alone.append(g)
+        order.append(np.concatenate(alone))
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([texts[i] for i in order[-1].tolist()], add_special_tokens=False)]
+        size.append(np.fromiter(map(len, found), np.int64, len(found)))
+        flat.append(np.array([i for x in found for i in x], dtype=np.uint32))
+        return [words[i] for i in np.concatenate(order).tolist()], np.concatenate(flat), np.concatenate(size)
+
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words in order, and how many each word has."""
         if len(self.known) > CACHE or self.bytes > 64 * CACHE:
             self._clear()
         new = list(dict.fromkeys(x for x in words if x not in self.known))
         if new:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.array([i for x in found for i in x], dtype=np.uint32)
+            new, flat, size = self._encoded(new)
             while self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
             self.pool[self.used : self.used + len(flat)] = flat

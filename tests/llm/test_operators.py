@@ -380,6 +380,29 @@ def test_packing_round_trip(spark, docs):
     assert len(by) <= 1 + -(-sum(sizes) // packing.CAPACITY) + sum(s > packing.CAPACITY // 2 for s in sizes) // 50
 
 
+def test_words_encoded_together_have_their_own_ids():
+    """Words of one and two runs, and some that look like it but lower-case or compose to more; far fewer texts than words are encoded."""
+    words = ["".join(random.choice("aeioubcdé") for _ in range(8)) + random.choice(["", "", ".", "?!", "..."]) for _ in range(2000)]
+    odd = ["\u0130stanbul", "\u0958x", "\u0958x.", "it's", "a.b", "x1", "...", "\u00e9t\u00e9,", "\u039f\u0394\u039f\u03a3.", "\U0001f600", "e\u0301", "", "\ufb01n", "\u4e2d\u6587", "<|startoftext|>"]
+    words = list(dict.fromkeys(words + odd))
+    own = packing.WordIds(packing.tokenizer_path())
+    ids, size = own.ids([x.encode() for x in words])
+    want = [x.ids for x in own.tokenizer.encode_batch(words, add_special_tokens=False)]
+    assert size.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+    class Counting:
+        n = 0
+
+        def encode_batch_fast(self, texts, **more):
+            self.n += len(texts)
+            return plain.encode_batch_fast(texts, **more)
+
+    plain, own.tokenizer = own.tokenizer, Counting()
+    own._clear()
+    own.ids([x.encode() for x in words])
+    assert own.tokenizer.n < len(words) // 4
+
+
 def test_evolution_beats_best_fit_decreasing():
     """Three pieces fill each of 60 bins; best-fit decreasing misses that, crossover comes nearer from worse seeds, and elites are used."""
     rng = np.random.default_rng(1)
