@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from factloom import catalogue
 from factloom.functions import text as T
 from factloom.operators import extract as X
 from factloom.operators import link
@@ -149,3 +150,34 @@ def test_links_make_no_pairs_of_paths_that_begin_alike(spark, monkeypatch):
     got = link_calls(calls, routes).withColumn("own", F.col("matched_route") == F.concat(F.lit("/api/p"), "call_id", F.lit("/users/:id")))
     assert {(r.match_type, r.own, r.shared): r["count"] for r in got.groupBy("match_type", "own", (F.col("matched_route") == "/api/all/{x0}/end").alias("shared")).count().collect()} == {("param", True, False): n, ("param", False, True): n}
     assert max(pairs) <= 4 * n
+
+
+def test_targets_that_share_a_key_cost_no_pairs(spark, monkeypatch):
+    """Forty targets of one term and forty tests that hold it: one row stands for the targets, and the least of them is chosen as before."""
+    files = spark.createDataFrame([(f"tests/widget{k}.test.js", "test", 10, "use('widget');") for k in range(40)] + [("tests/a.test.js", "test", 10, "get('/x');")], "path string, role string, size_bytes long, content string")
+    routes = spark.createDataFrame([(m, "/x") for m in ("PUT", "GET", "POST")], "method string, path string")
+    targets = spark.createDataFrame([("service", f"WidgetStore{k}", 1) for k in range(40)] + [("data-model", "WidgetModel", 3)], "kind string, name string, ord long")
+    joined = []
+    own = type(targets).join
+
+    def join(left, right, *a, **kw):
+        joined.append(own(left, right, *a, **kw))
+        return joined[-1]
+
+    monkeypatch.setattr(type(targets), "join", join)
+    rows = R.test_maps(files, routes, targets).collect()
+    assert {(r.target_kind, r.target, r.confidence) for r in rows if "widget" in r.test_path} == {("service", "WidgetStore0", "medium")}
+    assert [(r.target, r.confidence) for r in rows if r.test_path == "tests/a.test.js"] == [("GET /x", "high")] and len(rows) == 41
+    assert max(df.count() for df in joined) <= 41
+
+
+def test_service_corpus_is_classified_and_scanned_once(spark, monkeypatch):
+    """The classified files and the matches are stored before anything derives from them."""
+    kept, scanned = [], []
+    own, store = X.extract, catalogue.stored
+    monkeypatch.setattr(X, "extract", lambda files, *a, **kw: scanned.append(any(files is k for k in kept)) or own(files, *a, **kw))
+    monkeypatch.setattr(catalogue, "stored", lambda df, what: kept.append(store(df, what)) or kept[-1])
+    for name in ("test_targets", "gap_evidence", "boundary_sizes"):
+        scanned.clear()
+        assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+        assert scanned == [True]
