@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import ship, table
-from .textwords import chunks
+from .textwords import CHUNK, chunks
 
 PROFILE = 400
 SAMPLE = 4000
 HASHES = 1 << 63
 #: training n-grams counted in a worker before they are handed on
-FLUSH = 4 << 20
+FLUSH = 1 << 20
+#: bytes of text whose n-grams are looked at together; a byte takes some 140 meanwhile
+SLICE = CHUNK // 8
 RESULT = "doc_id long, lang_pred string, score double"
 
 
@@ -138,7 +140,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
             held.clear()
 
-        for part, texts in chunks(batches):
+        for part, texts in chunks(batches, most=SLICE):
             langs = part.column("lang").to_pylist()
             for lang in sorted(set(langs)):
                 keys, n = _counted(grams([t for t, x in zip(texts, langs, strict=True) if x == lang])[1])
@@ -158,6 +160,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
     return Profiles([(r.lang, r.gram, r.r - 1) for r in best.select("lang", "gram", "r").collect()])
 
 
+def judged(batches: Iterator[pa.RecordBatch], profiles: Profiles) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
+    """Slices of the batches with the language and score of each row."""
+    for part, texts in chunks(batches, most=SLICE):
+        yield part, *profiles.predict(texts)
+
+
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """(doc_id, lang_pred, score) of every document."""
     spark = docs.sparkSession
@@ -165,8 +173,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     model = spark.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches):
-            pred, score = model.value.predict(texts)
+        for part, pred, score in judged(batches, model.value):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, RESULT)
@@ -179,8 +186,7 @@ def keep_known(docs: DataFrame, profiles: Profiles, min_score: float = 0.0) -> D
     model = spark.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches):
-            pred, score = model.value.predict(texts)
+        for part, pred, score in judged(batches, model.value):
             yield part.filter(pa.array([p != "und" and s >= min_score for p, s in zip(pred, score, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -12,7 +12,7 @@ replaces them only where it needs fewer.
 Null and empty texts are the single id 0.  Repeated rows are packed each on its own; a null doc_id stays null.  Pieces of
 one length are interchangeable, and ties between packings go to the one found first.  An empty table gives no rows; other
 columns, whatever their names, take no part.  Ids are those of the tokenizer for the whole text: it drops white space and
-never joins across it, so ids are kept per white-space-separated word, by the word itself, in a bounded cache.
+never joins across it, so ids are kept per white-space-separated word, by 128 bits of it, in a bounded cache of flat arrays.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Tables, id_and_text, result, ship, table
-from .textwords import chunks
+from .textwords import SPACE_WORDS, Words, byte_hashes, chunks
 
 CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, MUTATION, STALE = 2048, 4096, 2, 2, 60, 4, 0.1, 20
-#: words whose ids a worker keeps; at this many it starts afresh.
+#: words whose ids a worker keeps; at this many, or eight times as many ids, it starts afresh.
 CACHE = 1 << 20
 #: new words that are encoded as one text
 JOINED = 64
@@ -40,7 +40,7 @@ PACKED = PIECES + ", sequence_id long, offset long"
 
 
 class WordIds:
-    """Token ids of words, kept by the words themselves."""
+    """Token ids of words, kept by two hashes of 64 bits in arrays: some 50 bytes a word, where a dict of the words takes 160."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -56,12 +56,12 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used, self.bytes = np.zeros(1 << 16, np.uint32), 0, 0
+        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # first hashes in order, and the row of each
+        self.check, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)  # of each row
+        self.pool, self.used = np.empty(1 << 16, np.uint32), 0
 
-    def _encoded(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The words in another order, all their ids in it, and how many each has.
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places of the words in another order, all their ids in it, and how many each has.
 
         Words of letters are one run, and two with marks behind them.  They are encoded many at a time and cut where their
         runs end; where a text has more runs than its words should have, the words are encoded one by one.
@@ -86,25 +86,52 @@ class WordIds:
         found = [x.ids for x in self.tokenizer.encode_batch_fast([texts[i] for i in order[-1].tolist()], add_special_tokens=False)]
         size.append(np.fromiter(map(len, found), np.int64, len(found)))
         flat.append(np.array([i for x in found for i in x], dtype=np.uint32))
-        return [words[i] for i in np.concatenate(order).tolist()], np.concatenate(flat), np.concatenate(size)
+        return np.concatenate(order), np.concatenate(flat), np.concatenate(size)
+
+    def _add(self, keys: np.ndarray, check: np.ndarray, words: list[bytes]) -> None:
+        """Encodes and keeps words; ``keys``, their first hashes, ascend and are new."""
+        order, flat, size = self._encoded(words)
+        row = np.empty(len(words), np.int32)
+        row[order] = np.arange(len(self.at), len(self.at) + len(words))
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.row = np.insert(self.keys, place, keys), np.insert(self.row, place, row)
+        self.check = np.concatenate((self.check, check[order]))
+        self.at = np.concatenate((self.at, self._pooled(flat) + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size.astype(np.int32)))
+
+    def _pooled(self, flat: np.ndarray) -> int:
+        """Where ``flat`` has been put in the pool."""
+        if self.used + len(flat) > len(self.pool):
+            pool = np.empty(max(2 * len(self.pool), self.used + len(flat)), np.uint32)  # pages beyond ``used`` stay untouched
+            pool[: self.used] = self.pool[: self.used]
+            self.pool = pool
+        at, self.used = self.used, self.used + len(flat)
+        self.pool[at : self.used] = flat
+        return at
 
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words in order, and how many each word has."""
-        if len(self.known) > CACHE or self.bytes > 64 * CACHE:
+        end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        data, start = b"".join(words), np.concatenate((np.zeros(1, np.int64), end))[:-1]
+        return self.slices(data, start, end, byte_hashes(data, start, end))
+
+    def slices(self, data: bytes, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``ids`` of the slices data[start:end], whose first hashes are ``first``."""
+        if len(self.keys) > CACHE or self.used > 8 * CACHE:
             self._clear()
-        new = list(dict.fromkeys(x for x in words if x not in self.known))
-        if new:
-            new, flat, size = self._encoded(new)
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.known.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-            self.at = np.concatenate((self.at, self.used + np.cumsum(size) - size))
-            self.size = np.concatenate((self.size, size))
-            self.used += len(flat)
-            self.bytes += sum(map(len, new))
-        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        at, size = self.at[which], self.size[which]
+        second = byte_hashes(data, start, end, 1)
+        keys, one, which = np.unique(first, return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        new = self.keys[place] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if new.any():
+            own = one[new]
+            self._add(keys[new], second[own], [data[a:b] for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True)])
+        row = self.row[np.searchsorted(self.keys, keys)][which]
+        at, size = self.at[row], self.size[row].astype(np.int64)
+        other = np.flatnonzero(self.check[row] != second)  # words whose first hash is another word's
+        if len(other):
+            order, flat, n = self._encoded([data[a:b] for a, b in zip(start[other].tolist(), end[other].tolist(), strict=True)])
+            at[other[order]], size[other[order]] = self._pooled(flat) + np.cumsum(n) - n, n
         return self.pool[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))], size
 
 
@@ -115,9 +142,9 @@ def document_ids(texts: list[bytes | None], path: str) -> list[np.ndarray]:
     """The ids of each text, closed by 0."""
     if path not in _WORD_IDS:
         _WORD_IDS[path] = WordIds(path)
-    words = [(x or b"").split() for x in texts]
-    ids, size = _WORD_IDS[path].ids([x for own in words for x in own])
-    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))[np.concatenate((np.zeros(1, np.int64), np.cumsum([len(x) for x in words])))]
+    words = Words(texts, SPACE_WORDS, False)
+    ids, size = _WORD_IDS[path].slices(words.data, words.start, words.end, words.hash)
+    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))[words.first]
     zero = np.zeros(1, np.uint32)
     return [np.concatenate((ids[a:b], zero)) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 CHUNK = 1 << 20
@@ -128,19 +129,17 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Cuts Arrow batches into slices of about ``CHUNK`` text bytes: (slice, its texts)."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Cuts Arrow batches into slices of about ``most`` text bytes: (slice, its texts). Only one slice's texts are made at a time."""
     for batch in batches:
         n, at = batch.num_rows, 0
         if not n:
             continue
-        texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
+        texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
         while at < n:
-            stop, size = at, 0
-            while stop < n and (stop == at or size + len(texts[stop] or b"") <= CHUNK):
-                size += len(texts[stop] or b"")
-                stop += 1
-            yield batch.slice(at, stop - at), texts[at:stop]
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, stop - at), texts.slice(at, stop - at).to_pylist()
             at = stop
         del texts
     release()

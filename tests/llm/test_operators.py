@@ -1,8 +1,10 @@
 """The operators against plain Python over small tables with nulls, empty and long texts, ties, repeats and clashing names."""
 
+import gc
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.shared import Tables
 from factloom.llm.textwords import ALNUM_WORDS, Words, joined
-from factloom.llm import decontaminate, language_id, license_scan, line_dedup, ngram_jaccard, packing, secret_scan, substring_dedup, topk_search, toxicity
+from factloom.llm import decontaminate, language_id, license_scan, line_dedup, ngram_jaccard, packing, secret_scan, substring_dedup, textwords, topk_search, toxicity
 
 random.seed(5)
 WORDS = [f"w{i}" for i in range(400)]
@@ -403,6 +405,71 @@ def test_words_encoded_together_have_their_own_ids():
     assert own.tokenizer.n < len(words) // 4
 
 
+def test_word_ids_take_few_bytes():
+    """A worker keeps this cache through all later stages; a dict of the words took 160 bytes and more each."""
+    words = [b"%x" % (k * 0x9E3779B97F4A7C15 % 2**40) for k in range(50_000)]
+    own = packing.WordIds(packing.tokenizer_path())
+    own.ids(words[:10])
+    gc.collect()
+    tracemalloc.start()
+    for a in range(0, len(words), 5000):
+        own.ids(words[a : a + 5000])
+    gc.collect()
+    held, ids = tracemalloc.get_traced_memory()[0], own.used
+    tracemalloc.stop()
+    assert held < 40 * len(words) + 8 * ids
+
+
+def test_words_of_one_hash_have_their_own_ids(monkeypatch):
+    """Words whose first hash is another word's, in the same call or an earlier one, are told apart by the second."""
+    plain = packing.byte_hashes
+    monkeypatch.setattr(packing, "byte_hashes", lambda data, a, e, family=0: plain(data, a, e, family) % np.uint64(50) if family == 0 else plain(data, a, e, family))
+    own = packing.WordIds(packing.tokenizer_path())
+    for words in (["alpha", "x1", "", "beta."], [f"word{k % 300}." for k in range(900)], ["beta.", "gamma", "\u4e2d\u6587"]):
+        ids, size = own.ids([x.encode() for x in words])
+        want = [x.ids for x in own.tokenizer.encode_batch(words, add_special_tokens=False)]
+        assert size.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
+def test_word_ids_start_afresh_at_the_bound(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 64)
+    own = packing.WordIds(packing.tokenizer_path())
+    texts = [b" ".join(b"w%d" % (k * j % 977) for k in range(200)) for j in range(1, 9)]
+    monkeypatch.setitem(packing._WORD_IDS, "bounded", own)
+    for t in [None, b"", b" \x0b\x0c ", *texts]:
+        assert packing.document_ids([t], "bounded")[0].tolist() == [*own.tokenizer.encode((t or b"").decode(), add_special_tokens=False).ids, 0]
+    assert len(own.keys) <= 64 + 200
+
+
+def test_texts_of_a_batch_are_made_slice_by_slice():
+    texts = [None, b"", *[b"x" * 65536] * 128, b"y" * 3_000_000, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], ["doc_id", "text"])
+    tracemalloc.start()
+    got, sizes = [], []
+    for part, own in textwords.chunks(iter([batch])):
+        assert part.num_rows == len(own)
+        sizes.append(sum(len(x or b"") for x in own))
+        got += [hash(x) for x in own]
+        del own, part
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == list(map(hash, texts)) and max(sizes[:-1]) <= 3_000_000 and sizes[0] == textwords.CHUNK
+    assert most < 6 << 20  # 8 MB of short texts and 3 MB of a long one
+
+
+def test_languages_are_judged_with_few_temporaries():
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(97, 123, 2000))).replace("q", " ") for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], ["doc_id", "text"])
+    profiles = language_id.Profiles([("aa", 97, 0), ("bb", 98, 0)])
+    next(language_id.judged(iter([batch.slice(0, 1)]), profiles))
+    tracemalloc.start()
+    rows = sum(len(pred) for _, pred, _ in language_id.judged(iter([batch]), profiles))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1000 and most < 50 << 20
+
+
 def test_evolution_beats_best_fit_decreasing():
     """Three pieces fill each of 60 bins; best-fit decreasing misses that, crossover comes nearer from worse seeds, and elites are used."""
     rng = np.random.default_rng(1)
